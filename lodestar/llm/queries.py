@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from lodestar.llm import quality, simhash, subdedup
+from lodestar.llm import mixing, packing, pii, quality, secret_scan, simhash, subdedup
 
 QUERIES = {
+    "op1_length_buckets": packing.op1_length_buckets,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_pii": pii.op5_pii,
     "op7_substring_dedup": subdedup.op7_substring_dedup,
+    "op8_mix_sources": mixing.op8_mix_sources,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
+    "op10_secrets": secret_scan.op10_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}
