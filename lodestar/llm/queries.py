@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lodestar.llm import mixing, packing, pii, quality, secret_scan, simhash, subdedup
+from lodestar.llm import licenses, mixing, packing, pii, quality, secret_scan, simhash, subdedup, vectors
 
 QUERIES = {
     "op1_length_buckets": packing.op1_length_buckets,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_pii": pii.op5_pii,
+    "op6_embedding_near_dedup": vectors.op6_embedding_near_dedup,
     "op7_substring_dedup": subdedup.op7_substring_dedup,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
