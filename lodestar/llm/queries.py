@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lodestar.llm import licenses, mixing, packing, pii, quality, secret_scan, simhash, subdedup, vectors
+from lodestar.llm import html_text, licenses, mixing, packing, pii, quality, secret_scan, simhash, subdedup, vectors
 
 QUERIES = {
     "op1_length_buckets": packing.op1_length_buckets,
+    "op2_html_text": html_text.op2_html_text,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_pii": pii.op5_pii,
