@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from lodestar.plans import queries_graph
+
+QUERIES = {**queries_graph.QUERIES}
+ORACLE_SQL = {**queries_graph.ORACLE_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["impact"](spark, sf_dir)
+    return QUERIES["impact_ranked"](spark, sf_dir)
