@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.plans import queries_graph
+from lodestar.plans import fixtures, queries_graph, queries_rest
 
-QUERIES = {**queries_graph.QUERIES}
-ORACLE_SQL = {**queries_graph.ORACLE_SQL}
+QUERIES = {**queries_graph.QUERIES, **queries_rest.QUERIES, **fixtures.QUERIES}
+ORACLE_SQL = {**queries_graph.ORACLE_SQL, **queries_rest.ORACLE_SQL, **fixtures.ORACLE_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

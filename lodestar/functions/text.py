@@ -27,8 +27,8 @@ def derive_name(source: Column, kind: Column) -> Column:
 def human_size(size: Column) -> Column:
     out = F.when(size < 1024, F.format_string("%d B", size.cast("long")))
     for k, unit in ((1, "KB"), (2, "MB")):
-        out = out.when(size < 1024 ** (k + 1), F.format_string(f"%.1f {unit}", size / F.lit(float(1024**k))))
-    return out.otherwise(F.format_string("%.1f GB", size / F.lit(float(1024**3))))
+        out = out.when(size < 1024 ** (k + 1), F.format_string(f"%.1f {unit}", F.round(size / F.lit(float(1024**k)), 1)))
+    return out.otherwise(F.format_string("%.1f GB", F.round(size / F.lit(float(1024**3)), 1)))
 
 
 def url_host(url: Column) -> Column:

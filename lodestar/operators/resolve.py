@@ -3,6 +3,9 @@
 files: (path, module, ord), ord the order of the files. imports: (path, module, name, alias, line, level, is_from,
 ord). symbols: (path, module, qualname, name, kind, parent, line_start, ord, base_classes). calls: (path, callee,
 caller, line, ord).
+
+Chains of unknown length (scopes, bases) are walked level by level, each level written to the shared folder, until
+none is left. Inputs should be tables rather than long plans, for they are read several times.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.scoring import CONFIDENCE
 from lodestar.operators.graph import first_wins, last_wins
+from lodestar.plans.written import Written
 
 MAX_LEVELS = 10
 MAX_HOPS = 2
@@ -157,23 +161,27 @@ def enclosing_classes(symbols: DataFrame) -> DataFrame:
     """(path, caller, owner): the nearest class around a symbol along its parents; a missing parent ends the search."""
     known = _by_qualname(symbols).select("path", "qualname", "parent", "kind")
     at = known.select("path", F.col("qualname").alias("caller"), F.col("parent").alias("up")).where("up is not null and up <> ''")
-    found = None
-    for _ in range(MAX_LEVELS):
+    found, keep = None, Written(symbols.sparkSession)
+    while True:
         above = at.join(known.select("path", F.col("qualname").alias("up"), F.col("parent").alias("next"), "kind"), ["path", "up"])
         part = above.where("kind = 'class'").select("path", "caller", F.col("up").alias("owner"))
         found = part if found is None else found.union(part)
-        at = above.where("kind <> 'class' and next is not null and next <> ''").select("path", "caller", F.col("next").alias("up"))
-    return found
+        at = keep(above.where("kind <> 'class' and next is not null and next <> ''").select("path", "caller", F.col("next").alias("up")))
+        if at.isEmpty():  # scopes nest finitely
+            return found
 
 
 def class_lookup_order(bases: DataFrame, classes: DataFrame, levels: int = MAX_LEVELS) -> DataFrame:
     """(path, owner, at_path, at_qualname, rank): the classes self.x looks in, breadth first in order of bases."""
     step = bases.where("base_path is not null").select(F.col("path").alias("at_path"), F.col("qualname").alias("at_qualname"), "base_path", "base_qualname", "position")
     frontier = classes.select("path", F.col("qualname").alias("owner"), F.col("path").alias("at_path"), F.col("qualname").alias("at_qualname"), F.array().cast("array<int>").alias("rank"))
-    found = frontier
+    found, keep = frontier, Written(bases.sparkSession)
     for _ in range(levels - 1):
         frontier = frontier.join(step, ["at_path", "at_qualname"]).select("path", "owner", F.col("base_path").alias("at_path"), F.col("base_qualname").alias("at_qualname"), F.concat("rank", F.array("position")).alias("rank"))
         frontier = frontier.groupBy("path", "owner", "at_path", "at_qualname").agg(F.min("rank").alias("rank"))
+        frontier = keep(frontier)
+        if frontier.isEmpty():
+            break
         found = found.union(frontier)
     return found.groupBy("path", "owner", "at_path", "at_qualname").agg(F.min(F.struct(F.size("rank").alias("level"), "rank")).alias("rank"))
 

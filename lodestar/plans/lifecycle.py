@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.operators import build, chunking, cochange, resolve
+from lodestar.plans.written import Written
 from lodestar.sources import extract, tree
 
 
@@ -62,21 +63,25 @@ class Parsed:
 
 
 def parse_repository(source: DataFrame, repo: str, commits: DataFrame | None = None, settings: Settings = Settings()) -> Parsed:
-    """The whole plan from a source tree (path, content, size_bytes) to graph and chunks. Nothing runs until a table is read.
+    """From a source tree (path, content, size_bytes) to graph and chunks.
 
-    A commit log that cannot be used leaves the rest whole: its failure is a warning.
+    What extraction and resolution find is written to the shared folder once and read from there; nodes, edges and
+    chunks are lazy. A commit log that cannot be used leaves the rest whole: its failure is a warning.
     """
+    keep = Written(source.sparkSession)
     files, skipped = tree.walk(source, settings.max_file_bytes)
-    parsed = extract.extract(files)
-    symbols, imports, calls = extract.symbols_of(parsed), extract.imports_of(parsed), extract.calls_of(parsed)
+    files = keep(files)
+    parsed = keep(extract.extract(files))
+    symbols, imports, calls = keep(extract.symbols_of(parsed)), keep(extract.imports_of(parsed)), keep(extract.calls_of(parsed))
     index = files.select("path", "module", F.col("path").alias("ord"))
-    resolved = resolve.resolve_imports(imports, index)
-    bases = resolve.resolve_bases(symbols, index, resolved)
-    found = resolve.resolve_calls(calls, symbols, index, resolved, bases)
+    resolved = keep(resolve.resolve_imports(imports, index))
+    bases = keep(resolve.resolve_bases(symbols, index, resolved))
+    found = keep(resolve.resolve_calls(calls, symbols, index, resolved, bases))
     deduped = resolve.dedupe_edges(resolved)
     nodes = build.node_rows(repo, parsed, symbols, resolve.unresolved_by_caller(found), files)
     nodes = nodes.unionByName(build.module_rows(repo, deduped), allowMissingColumns=True).unionByName(build.external_class_rows(repo, bases), allowMissingColumns=True)
     edges = {"CONTAINS": build.contains_rows(repo, parsed, symbols), "IMPORTS": build.import_rows(repo, deduped), "CALLS": build.call_rows(repo, found, symbols), "INHERITS": build.inherit_rows(repo, bases, symbols)}
+    nodes = keep(nodes)
     edges = {kind: build.merge_edges(rows, nodes, kind) for kind, rows in edges.items()}
     text = files.select("path", "module", F.decode("content", "UTF-8").alias("text"))
     out = Parsed(files.drop("content"), skipped, parsed, symbols, resolved, found, bases, nodes, edges, chunking.chunk(text, symbols, repo))
