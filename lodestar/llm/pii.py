@@ -60,16 +60,17 @@ def entities(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]
 def contexts(found: DataFrame, id_col: str) -> DataFrame:
     """(id, __key, entity, context, term, start, end): each term beside each entity, outside all entities.
 
-    Words that the window cuts at its outer edge don't count.
+    context is a hash of what stands on both sides of an occurrence. Words that the window cuts at its outer edge don't count.
     """
     one = found.where("size(__spans) > 0").select(F.col(id_col).alias("__id"), "__key", "__text", "__spans", F.explode("__spans").alias("s"))
+    around = F.xxhash64(F.expr(f"substring(__text, greatest(s.start - {CONTEXT}, 0) + 1, least(s.start, {CONTEXT}))"), F.expr(f"substring(__text, s.end + 1, {CONTEXT})"))
     windows = F.expr(f"""array(
         struct(greatest(s.start - {CONTEXT}, 0) as low, s.start as high),
         struct(s.end as low, least(s.end + {CONTEXT}, length(__text)) as high))""")
-    sides = one.select("__id", "__key", "__spans", F.concat_ws(":", "s.kind", "s.hit").alias("entity"), F.length("__text").alias("n"), F.col("s.start").alias("of"), "__text", F.explode(windows).alias("w"))
+    sides = one.select("__id", "__key", "__spans", F.concat_ws(":", "s.kind", "s.hit").alias("entity"), around.alias("context"), F.length("__text").alias("n"), F.col("s.start").alias("of"), "__text", F.explode(windows).alias("w"))
     sides = sides.withColumn("side", F.expr("substring(__text, w.low + 1, w.high - w.low)")).drop("__text")
     cut_ = cut(sides, "side", {"term": (TERM, "true")})
-    terms = cut_.select("__id", "__key", "__spans", "entity", "n", "of", "w", F.xxhash64("side").alias("context"), F.explode(F.expr(located("__g_term", "__m_term", "w.low"))).alias("t"))
+    terms = cut_.select("__id", "__key", "__spans", "entity", "n", "of", "w", "context", F.explode(F.expr(located("__g_term", "__m_term", "w.low"))).alias("t"))
     whole = terms.where("""(t.start > w.low or w.low = 0 or w.low > of) and (t.end < w.high or w.high = n or w.high = of)
         and not exists(__spans, x -> x.start < t.end and t.start < x.end)""")
     return whole.select("__id", "__key", "entity", "context", F.lower("t.hit").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
@@ -77,7 +78,8 @@ def contexts(found: DataFrame, id_col: str) -> DataFrame:
 
 def disclosing(docs: DataFrame, beside: DataFrame, text_col: str) -> DataFrame:
     """(entity, term) of the terms that reveal an entity. Counts combine before each shuffle."""
-    pairs = beside.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("support"))
+    once = beside.groupBy("entity", "term", "context", "__id", "__key").agg(F.lit(1).alias("one"))
+    pairs = once.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("support"))
     pairs = pairs.where(F.col("support") >= SUPPORT)
     occurrences = beside.groupBy("entity", "__id", "__key", "context").agg(F.lit(1).alias("one")).groupBy("entity", "__id", "__key").agg(F.count("*").alias("n"))
     by_entity = occurrences.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("docs_e"))
