@@ -268,7 +268,7 @@ ORACLE_SQL = {
     "debt_summary": _ALL + " select count_if(rank <= 1) as total, count_if(rank = 0) as high, count_if(rank = 1) as medium, 0 as low, 0 as info, count(*) as scanned_total from ranked",
     "import_cycles_minimal": _CYCLES + " select array_to_string(files, '>') as files, hops from minimal",
     "circular_imports": _CYCLES + """ select 'circular_import' as kind, case when hops = 2 then 'high' else 'medium' end as severity, array_to_string(list_append(files, files[1]), ' -> ') as subject, files[1] as path, 1 as line_start,
-      array_to_string(list_append(files, files[1]), ' -> ') as key, hops || ' files import each other in a cycle: ' || array_to_string(list_append(files, files[1]), ' -> ') as why, 1.0::double as confidence from minimal""",
+      files[1] as key, hops || ' files import each other in a cycle: ' || array_to_string(list_append(files, files[1]), ' -> ') as why, 1.0::double as confidence from minimal""",
     "dead_code": "with " + p.SQL_CALLS + """, c as (select *, case when p_partkey % 7 = 0 then '_p' || p_partkey when p_partkey % 11 = 0 then 'main' else 'p' || p_partkey end as name, 'p' || p_partkey as key, p_partkey % 3 = 0 as decorated,
         case when p_partkey % 13 = 0 then 'tests/test_x.py' else 'src/x.py' end as path from part where p_partkey % 5 <> 0 and p_partkey % 13 <> 0 and 'p' || p_partkey not in (select dst from calls))
       select 'dead_code' as kind, case when name like '\\_%' escape '\\' then 'medium' else 'low' end as severity, p_brand || '.' || p_partkey as subject, path, 1 as line_start, key,
