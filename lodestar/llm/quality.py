@@ -25,7 +25,7 @@ from lodestar.llm.hashing import BYTE_CODE, mix, span_hashes, word_spans
 
 @dataclass(frozen=True)
 class QualityParams:
-    sample_per_class: int = 1500
+    sample_per_class: int = 1000
     min_per_class: int = 8
     held_out: int = 4  # every fourth row of the sample calibrates
     bits: int = 14  # hashed features for words, and as many for characters
@@ -150,21 +150,20 @@ def train(ids: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, p: Qua
     held = np.zeros(len(y), bool)
     for c in (0, 1):  # of both classes
         held[np.flatnonzero(y == c)[:: p.held_out]] = True
-    row = np.repeat(np.arange(len(y)), [len(i) for i in ids])
-    col = np.concatenate(ids).astype(np.int64)
-    # Frequent features are scaled down by their spread, so all weights move at like rates.
-    val = np.sqrt(np.concatenate(values)).astype(np.float64)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(i) for i in ids])
+    col = np.concatenate(ids)
+    val = np.sqrt(np.concatenate(values))  # square roots keep frequent features from ruling
     size = 2 << p.bits
     w, bias, grad2 = np.zeros(size), 0.0, np.full(size, 1e-8)
     weight = np.where(y == 1, 0.5 / max(1, (y[~held] == 1).sum()), 0.5 / max(1, (y[~held] == 0).sum())) * ~held
     for _ in range(p.rounds):
-        z = np.bincount(row, w[col] * val, len(y)) + bias
+        z = np.bincount(row, w.astype(np.float32)[col] * val, len(y)) + bias
         r = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight
-        g = np.bincount(col, r[row] * val, size) + p.l2 * w
+        g = np.bincount(col, r.astype(np.float32)[row] * val, size) + p.l2 * w
         grad2 += g * g
         w -= p.rate * g / np.sqrt(grad2)
         bias -= p.rate * r.sum()
-    z = np.bincount(row, w[col] * val, len(y)) + bias
+    z = np.bincount(row, w.astype(np.float32)[col] * val, len(y)) + bias
     a, b = platt(z[held], y[held])
     return QualityModel(w.astype(np.float32), a, a * bias + b)
 
