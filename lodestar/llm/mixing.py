@@ -27,7 +27,7 @@ from lodestar.llm.common import Written, n_words, table
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MAX_COPIES = 2.0
-SHARD_ROWS = 20_000
+SHARD_ROWS = 4096
 FAN_IN = 64
 
 
