@@ -137,7 +137,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     by = Window.partitionBy("doc_id", "__key").orderBy(F.lit(0))
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text")).withColumn("__rank", F.row_number().over(by))
     counts = mix(docs).select("doc_id", "__key", "copies").withColumn("__rank", F.row_number().over(by))
-    taken = counts.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("__key").alias("__k"), F.col("__rank").alias("__r"), "copies")
+    taken = counts.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("__key").alias("__k"), F.col("__rank").alias("__r"), F.col("copies").cast("int").alias("__copies"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")) & (F.col("__rank") == F.col("__r"))
     joined = keyed.join(taken, same)
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), "__copies")).alias("__copy")).drop("__copy")

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import Written, table
@@ -159,7 +159,9 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component. Of rows that repeat that id, one stays, the same in reruns."""
+    """The document with the smallest id of each component. Of rows that repeat that id (or have none), the one with
+    the smallest hash of its text stays; ranking them uses the partitions of the join."""
     kept = near_duplicates(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     rows = docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*docs.columns)
