@@ -31,7 +31,8 @@ RADIUS = 3
 SEED = 42
 SHINGLE = 3
 VARIANTS_PER_BUCKET = 1 << 22
-FINGERPRINTS_PER_BATCH = 4096
+FINGERPRINTS_PER_BATCH = 512  # 5 MB of variants
+FINGERPRINTS_PER_TASK = 8192
 
 
 def fingerprint(text: str | None) -> int:
@@ -134,7 +135,8 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
         u, v = meet(np.concatenate([np.frombuffer(b, item) for b in rows.column("block").to_pylist()]))
         return pa.table({"u": pa.array(u.view(np.int64)), "v": pa.array(v.view(np.int64))})
 
-    return distinct.select("fp").mapInArrow(_emit(n_buckets), "bucket long, block binary").groupBy("bucket").applyInArrow(joined, "u long, v long")
+    spread = distinct.select("fp").repartition(max(1, -(-n // FINGERPRINTS_PER_TASK)), "fp")
+    return spread.mapInArrow(_emit(n_buckets), "bucket long, block binary").groupBy("bucket").applyInArrow(joined, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
