@@ -26,11 +26,20 @@ class IngestError(Exception):
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content, size_bytes) of every file below a folder, with paths relative to it."""
+    """(path, content, size_bytes) of every file below a folder, with paths relative to it.
+
+    Spark's file sources leave empty files out, which an __init__.py often is; a listing adds those.
+    """
+    top = root.rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/") + "/")
-    relative = F.substring_index(F.col("path"), base, -1)
-    return files.select(relative.alias("path"), "content", F.col("length").alias("size_bytes"))
+    found = files.select(F.substring_index("path", top, -1).alias("path"), "content", F.col("length").alias("size_bytes"))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listed, empty = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True), []
+    while listed.hasNext():
+        status = listed.next()
+        if status.getLen() == 0:
+            empty.append((status.getPath().toString().rpartition(top)[2], bytearray(), 0))
+    return found.union(spark.createDataFrame(empty, found.schema))
 
 
 def read_zips(spark: SparkSession, paths: str) -> DataFrame:

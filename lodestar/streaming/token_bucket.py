@@ -39,8 +39,12 @@ def check(requests: DataFrame, capacity: float, per_minute: float) -> DataFrame:
     return rows.repartition("client").sortWithinPartitions("client", "at", "id").mapInPandas(run, "client string, id long, at double, allowed boolean, wait double")
 
 
-def check_stream(requests: DataFrame, capacity: float, per_minute: float) -> DataFrame:
-    """The same decisions over a stream, in arrival order within a client; the state of idle clients is dropped."""
+def check_stream(requests: DataFrame, capacity: float, per_minute: float, idle_ms: int = 3_600_000) -> DataFrame:
+    """The same decisions over a stream, in arrival order within a client.
+
+    The state of clients idle for idle_ms is dropped; with 0 it is kept, which a query that is to end by itself
+    needs (a timeout on processing time always schedules another batch).
+    """
     rate = per_minute / 60.0
 
     def fold(key, batches, state):
@@ -56,7 +60,8 @@ def check_stream(requests: DataFrame, capacity: float, per_minute: float) -> Dat
             tokens -= ok
             out.append((ok, None if ok else max(1.0, (1.0 - tokens) / rate) if rate else 60.0))
         state.update((tokens, updated))
-        state.setTimeoutDuration(3_600_000)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield rows.assign(allowed=[o for o, _ in out], wait=pd.Series([w for _, w in out], index=rows.index, dtype="float64"))[["client", "id", "at", "allowed", "wait"]]
 
-    return requests.groupBy("client").applyInPandasWithState(fold, "client string, id long, at double, allowed boolean, wait double", "tokens double, updated double", "append", "ProcessingTimeTimeout")
+    return requests.groupBy("client").applyInPandasWithState(fold, "client string, id long, at double, allowed boolean, wait double", "tokens double, updated double", "append", "ProcessingTimeTimeout" if idle_ms else "NoTimeout")
