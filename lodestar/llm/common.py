@@ -1,13 +1,14 @@
-"""What the operators of this subpackage share: tables, written intermediates, word tests."""
+"""What the operators of this subpackage share: tables, written intermediates, word counts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.plans.written import Written
+
+__all__ = ["WORD", "Written", "n_words", "table"]
+
 #: White space of the word pattern [^\x20\x09-\x0D]+; bytes.split() cuts at the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,32 +17,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of this machine only where none is named."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lodestar-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-class Written:
-    """DataFrames written as Parquet to the shared folder: lineage ends there and nothing is computed twice."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.base, self.paths = spark, f"{shared_dir(spark)}/lodestar-{uuid.uuid4().hex}", []
-
-    def __call__(self, df: DataFrame) -> DataFrame:
-        path = f"{self.base}/{len(self.paths)}"
-        self.paths.append(path)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, k: int) -> None:
-        """Delete the k-th table, once nothing reads it any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[k])
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
