@@ -91,6 +91,16 @@ def hybrid(vectors: DataFrame, edges: DataFrame, query: DataFrame, k: int = 8, d
     return kept.unionByName(graph).orderBy(F.desc(F.round("score", 9)), "id")
 
 
+def search(vectors: DataFrame, edges: DataFrame, query: DataFrame, k: int = 8, mode: str = "hybrid", depth: int = 1, kinds: list | None = None) -> DataFrame:
+    """Hybrid or vector search. A filter on kinds forces vector mode, since neighbours may be of any kind; depth is 1 or 2."""
+    if not 1 <= depth <= 2:
+        raise ValueError(f"depth must be 1 or 2, not {depth}")
+    if mode == "vector" or kinds is not None:
+        found = top_k(vectors, query, k, kinds)
+        return found.select("id", "symbol_key", "score", F.lit("vector").alias("source"), F.lit(None).cast("int").alias("hops"), F.lit(None).cast("string").alias("seed"))
+    return hybrid(vectors, edges, query, k, depth)
+
+
 def payload(chunks: DataFrame, model: str, run_id: str, dimensions: int = DIMENSIONS) -> DataFrame:
     """Chunks as vector rows stamped with the model and the run. A blank text is embedded as one space."""
     text = F.when(F.trim("text") == "", " ").otherwise(F.col("text"))

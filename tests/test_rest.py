@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import keys, text
 from lodestar.operators import chunking, conversation, debt, impact, retrieval
-from lodestar.plans import lifecycle
+from lodestar.plans import cli, lifecycle
 from lodestar.sources import extract, sinks, tree
 from lodestar.streaming import token_bucket
 
@@ -182,6 +182,26 @@ def test_trees_on_disk(spark, tmp_path):
         tree.read_zips(spark, str(tmp_path / "z/evil.zip")).collect()
 
 
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "a.py").write_text("class A:\n    def f(self): pass\n")
+    (tmp_path / "b.txt").write_text("x")
+    assert cli.main([str(tmp_path), "--symbols", "--json"], spark) == 0
+    assert '"qualname":"A.f"' in capsys.readouterr().out
+    assert cli.main([str(tmp_path), "--show-skipped"], spark) == 0
+    assert "unsupported_extension" in capsys.readouterr().out
+    assert cli.main([str(tmp_path / "none")], spark) == 1
+
+
+def test_search_modes(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], "a", 0, "function"), (2, [0.0, 1.0], "b", 0, "class")], "id long, embedding array<double>, symbol_key string, part int, kind string")
+    edges = spark.createDataFrame([("a", "b", "CALLS", 1.0)], "src string, dst string, type string, confidence double")
+    q = spark.createDataFrame([([1.0, 0.0],)], "q array<double>")
+    assert [r.id for r in retrieval.search(vectors, edges, q, 2, kinds=["class"]).collect()] == [2]
+    assert {r.source for r in retrieval.search(vectors, edges, q, 2).collect()} == {"vector"}
+    with pytest.raises(ValueError):
+        retrieval.search(vectors, edges, q, 2, depth=3)
+
+
 def test_partitions_are_replaced_by_repository(spark, tmp_path):
     at = str(tmp_path / "t")
     sinks.replace_partitions(spark.createDataFrame([("a", 1), ("b", 2)], "repo string, v int"), at)
