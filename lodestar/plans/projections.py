@@ -15,9 +15,9 @@ from lodestar.plans.written import Written
 _stored: dict[tuple, DataFrame] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """A derived graph, written once a session and version of its source, as a parse writes its graph once for all queries."""
-    source = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/lineitem.parquet")
+def stored(spark: SparkSession, sf_dir: str, name: str, make, of: str = "lineitem") -> DataFrame:
+    """A derived table, written once a session and version of its source, as a parse writes what it finds once for all queries."""
+    source = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{of}.parquet")
     status = source.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(source)
     key = (spark.sparkContext.applicationId, sf_dir, name, status.getModificationTime(), status.getLen())
     if key not in _stored:
@@ -93,6 +93,10 @@ WORDS = " (and|or|und|oder|et|ou|y|de) "
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "symbols", _symbols, "documents")
+
+
+def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as functions of the file `source`: lines are lines, branching is the number of small words."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", F.lit("labelled").alias("docstring")).distinct()
     d = docs.join(labels, "doc_id", "left")
