@@ -99,28 +99,29 @@ def lookup_in_file(asked: DataFrame, symbols: DataFrame, bound: DataFrame) -> Da
 
     A name is a qualname of the file, else, without dots, the picked symbol of that name, else what the file
     imports under it, followed over at most two re-exports. The first conclusive answer is final.
+
+    One chain of joins, each by a unique key. Rows that are answered look on under a key of their own that matches
+    nothing, so they neither change nor gather in one partition.
     """
+    key = ["look_path", "look_name"]
     exact = _by_qualname(symbols).select(F.col("path").alias("look_path"), F.col("qualname").alias("look_name"), F.struct("qualname", "module", "kind").alias("hit"))
-    names = _by_name(symbols)
     picked, unclear = _picked()
-    loose = names.select(F.col("path").alias("look_path"), F.col("name").alias("look_name"), picked.alias("picked"), unclear.alias("unclear"))
+    loose = _by_name(symbols).select(F.col("path").alias("look_path"), F.col("name").alias("look_name"), picked.alias("picked"), unclear.alias("unclear"))
+    meaning = exact.join(loose, key, "full")
     follow = bound.where("target_path is not null and target_path <> path").select(F.col("path").alias("look_path"), F.col("bound_name").alias("look_name"), F.col("target_path").alias("next_path"), F.col("imported_name").alias("next_name"))
-    rest, done = asked, None
+    none = F.lit(None).cast(exact.schema["hit"].dataType)
+    now = asked.withColumns({"dst": none, "dst_path": F.lit(None).cast("string"), "ambiguous": F.lit(False)})
     for hop in range(MAX_HOPS + 1):
-        dotted = F.contains("look_name", F.lit("."))
-        seen = rest.join(exact, ["look_path", "look_name"], "left").join(loose, ["look_path", "look_name"], "left")
-        dst = F.coalesce("hit", F.when(~dotted, F.col("picked")))
-        vague = F.col("hit").isNull() & ~dotted & F.coalesce("unclear", F.lit(False))
-        seen = seen.withColumn("dst", dst).withColumn("ambiguous", vague).withColumn("dst_path", F.when(dst.isNotNull(), F.col("look_path"))).drop("hit", "picked", "unclear")
-        part = seen if hop == MAX_HOPS else seen.where(F.col("dst").isNotNull() | F.col("ambiguous") | dotted)
-        open_ = seen.where(F.col("dst").isNull() & ~F.col("ambiguous") & ~dotted).drop("dst", "ambiguous", "dst_path")
+        bare = ~F.contains("look_name", F.lit("."))
+        hit = F.coalesce("hit", F.when(bare, F.col("picked")))
+        vague = F.col("hit").isNull() & bare & F.coalesce("unclear", F.lit(False))
+        seen = now.join(meaning, key, "left")
+        now = seen.withColumns({"dst": F.coalesce("dst", hit), "dst_path": F.coalesce("dst_path", F.when(hit.isNotNull(), F.col("look_path"))), "ambiguous": F.col("ambiguous") | vague}).drop("hit", "picked", "unclear")
         if hop < MAX_HOPS:
-            nexts = open_.join(follow, ["look_path", "look_name"], "left")
-            none = nexts.where("next_path is null").drop("next_path", "next_name").withColumn("dst", F.lit(None).cast(seen.schema["dst"].dataType)).withColumn("ambiguous", F.lit(False)).withColumn("dst_path", F.lit(None).cast("string"))
-            part = part.unionByName(none)
-            rest = nexts.where("next_path is not null").withColumn("look_name", F.coalesce("next_name", "look_name")).withColumn("look_path", F.col("next_path")).drop("next_path", "next_name")
-        done = part if done is None else done.unionByName(part)
-    return done
+            goes_on = F.col("dst").isNull() & ~F.col("ambiguous") & bare & F.col("next_path").isNotNull()
+            path = F.when(goes_on, F.col("next_path")).otherwise(F.concat(F.lit("\x1f"), "look_id"))
+            now = now.join(follow, key, "left").withColumns({"look_path": path, "look_name": F.when(goes_on, F.coalesce("next_name", "look_name")).otherwise("")}).drop("next_path", "next_name")
+    return now
 
 
 def longest_prefix(asked: DataFrame, index: DataFrame, dotted: str) -> DataFrame:

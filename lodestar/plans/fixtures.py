@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import cochange, resolve
 from lodestar.plans import lifecycle
+from lodestar.plans.written import Written
 from lodestar.sources import extract, history, tree
 
 FILES = {
@@ -73,16 +74,29 @@ def extract_errors(spark, sf_dir):
     return _extracted(spark).where("error is not null").select("path", F.substring_index("error", ":", 1).alias("error"))
 
 
+def _resolved_imports(spark, keep: Written) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(parsed, files in order, resolved imports) of the tree."""
+    files, _, parsed = lifecycle.extract_tree(source_tree(spark), keep)
+    index = lifecycle.ordered_files(files)
+    return parsed, index, resolve.resolve_imports(extract.imports_of(parsed), index)
+
+
 def resolve_imports(spark, sf_dir):
-    return _parse(spark).imports.select("source_path", "target_path", "target_module", "resolution", "bound_name", "line")
+    return _resolved_imports(spark, Written(spark))[2].select("source_path", "target_path", "target_module", "resolution", "bound_name", "line")
 
 
 def resolve_bases(spark, sf_dir):
-    return _parse(spark).bases
+    keep = Written(spark)
+    parsed, index, resolved = _resolved_imports(spark, keep)
+    return resolve.resolve_bases(extract.symbols_of(parsed), index, keep(resolved))
 
 
 def resolve_calls(spark, sf_dir):
-    return _parse(spark).calls.select("path", "callee", "line", "dst_path", "dst_qualname", "resolution", "confidence", "reason")
+    keep = Written(spark)
+    parsed, index, resolved = _resolved_imports(spark, keep)
+    symbols, resolved = extract.symbols_of(parsed), keep(resolved)
+    bases = keep(resolve.resolve_bases(symbols, index, resolved))
+    return resolve.resolve_calls(extract.calls_of(parsed), symbols, index, resolved, bases).select("path", "callee", "line", "dst_path", "dst_qualname", "resolution", "confidence", "reason")
 
 
 def graph_build(spark, sf_dir):

@@ -62,6 +62,18 @@ class Parsed:
     warnings: list[str] = field(default_factory=list)
 
 
+def extract_tree(source: DataFrame, keep: Written, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files and skipped paths of a source tree, and what its files hold; files and what they hold are written once."""
+    files, skipped = tree.walk(source, settings.max_file_bytes)
+    files = keep(files)
+    return files, skipped, keep(extract.extract(files))
+
+
+def ordered_files(files: DataFrame) -> DataFrame:
+    """(path, module, ord) as resolution reads them: files count in order of their paths."""
+    return files.select("path", "module", F.col("path").alias("ord"))
+
+
 def parse_repository(source: DataFrame, repo: str, commits: DataFrame | None = None, settings: Settings = Settings()) -> Parsed:
     """From a source tree (path, content, size_bytes) to graph and chunks.
 
@@ -69,11 +81,9 @@ def parse_repository(source: DataFrame, repo: str, commits: DataFrame | None = N
     chunks are lazy. A commit log that cannot be used leaves the rest whole: its failure is a warning.
     """
     keep = Written(source.sparkSession)
-    files, skipped = tree.walk(source, settings.max_file_bytes)
-    files = keep(files)
-    parsed = keep(extract.extract(files))
+    files, skipped, parsed = extract_tree(source, keep, settings)
     symbols, imports, calls = extract.symbols_of(parsed), extract.imports_of(parsed), extract.calls_of(parsed)
-    index = files.select("path", "module", F.col("path").alias("ord"))
+    index = ordered_files(files)
     resolved = keep(resolve.resolve_imports(imports, index))
     bases = keep(resolve.resolve_bases(symbols, index, resolved))
     found = keep(resolve.resolve_calls(calls, symbols, index, resolved, bases))

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestar.functions import scoring
-from lodestar.operators import cochange, graph, impact, risk
+from lodestar.operators import cochange, graph, impact, resolve, risk
 
 EDGE = "src string, dst string, type string, confidence double"
 
@@ -119,3 +119,29 @@ def test_cochange_counts_pairs(spark, commits):
             for pair in itertools.combinations(sorted(c), 2):
                 want[pair] = want.get(pair, 0) + 1
     assert got == want
+
+
+def test_lookup_follows_two_reexports_and_stops(spark):
+    symbols = spark.createDataFrame(
+        [("d.py", "d", "f", "f", "function", None, 1), ("c.py", "c", "g", "g", "function", None, 1), ("c.py", "c", "A.h", "h", "method", "A", 2), ("c.py", "c", "B.h", "h", "method", "B", 3)],
+        "path string, module string, qualname string, name string, kind string, parent string, ord int",
+    )
+    bound = spark.createDataFrame(
+        [("a.py", "f", "b.py", "f"), ("b.py", "f", "c.py", "f"), ("c.py", "f", "d.py", None), ("b.py", "x", "c.py", "g"), ("b.py", "h", "c.py", "h"), ("e.py", "f", "e.py", "f"), ("a.py", "math", None, None)],
+        "path string, bound_name string, target_path string, imported_name string",
+    )
+    asked = [
+        ("1", "d.py", "f", "d.py", "f", False),  # at once
+        ("2", "c.py", "f", "d.py", "f", False),  # one re-export, without a name of its own
+        ("3", "b.py", "f", "d.py", "f", False),  # two
+        ("4", "a.py", "f", None, None, False),  # three are too many
+        ("5", "b.py", "x", "c.py", "g", False),  # renamed on the way
+        ("6", "b.py", "h", None, None, True),  # two methods of one name
+        ("7", "c.py", "A.h", "c.py", "A.h", False),
+        ("8", "b.py", "A.h", None, None, False),  # dotted names are not followed
+        ("9", "e.py", "f", None, None, False),  # a file that imports from itself
+        ("10", "a.py", "math", None, None, False),
+    ]
+    rows = spark.createDataFrame([a[:3] for a in asked], "look_id string, look_path string, look_name string")
+    found = {r.look_id: (r.dst_path, r.q, r.ambiguous) for r in resolve.lookup_in_file(rows, symbols, bound).selectExpr("look_id", "dst_path", "dst.qualname as q", "ambiguous").collect()}
+    assert found == {a[0]: a[3:] for a in asked}
