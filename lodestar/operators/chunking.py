@@ -43,7 +43,8 @@ def symbol_chunks(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """Chunks of functions and methods. files: (path, module, lines); symbols: (path, qualname, kind, line_start, line_end, …)."""
     joined = symbols.where("kind <> 'class'").drop("module").join(files.select("path", "module", "lines"), "path")
     body = slice_lines(F.col("lines"), F.col("line_start"), F.col("line_end"))
-    cut = joined.withColumn("w", F.explode(windows(F.col("line_start"), F.col("line_end"), F.length(body))))
+    # The length is a column of its own, so that windows() does not build the body again at each mention.
+    cut = joined.withColumn("chars", F.length(body)).withColumn("w", F.explode(windows(F.col("line_start"), F.col("line_end"), F.col("chars"))))
     part = F.when(F.col("w.part_count") > 1, F.format_string(" (part %d of %d)", F.col("w.part") + 1, F.col("w.part_count"))).otherwise("")
     text = F.concat(header(F.col("path"), F.col("module"), F.concat_ws(": ", "kind", "qualname")), part, F.lit("\n\n"), slice_lines(F.col("lines"), F.col("w.line_start"), F.col("w.line_end")))
     return cut.select("path", "module", "qualname", "name", "kind", "w.line_start", "w.line_end", "w.part", "w.part_count", text.alias("text"))
