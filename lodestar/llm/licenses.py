@@ -14,9 +14,10 @@ Null and empty texts have no words and no labels. Repeated rows are scanned each
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,29 +146,41 @@ class Detection:
     priority: int
 
 
+def spaces_before(normal: bytes) -> Callable[[int], int]:
+    """How many spaces stand before a byte: by binary search over their places, which are listed at the first call."""
+    places: list[np.ndarray] = []
+
+    def count(at: int) -> int:
+        if not places:
+            places.append(np.flatnonzero(np.frombuffer(normal, np.uint8) == 32))
+        return int(places[0].searchsorted(at))
+
+    return count
+
+
 def base_places(normal: bytes) -> list[Detection]:
     """Every place of every base phrase in ' words joined ', overlapping ones too."""
-    found = []
+    found, before = [], spaces_before(normal)
     for k, (phrase, label) in enumerate(BASE):
         probe = f" {phrase} ".encode()
         at = normal.find(probe)
         while at >= 0:
-            first = normal.count(b" ", 0, at)
+            first = before(at)
             found.append(Detection(first, first + phrase.count(" ") + 1, label, 1.0, k - len(BASE)))
             at = normal.find(probe, at + 1)
     return found
 
 
 def detections(normal: bytes, ordered: list[Rule]) -> list[Detection]:
-    """What the gated rules find, without what lies inside a detection of higher priority."""
+    """What the gated rules find; suppress() decides between them."""
     if not any(word in normal for word in GENERAL):
         return []
     gates: dict[bytes, bool] = {}
-    found = []
+    found, before = [], spaces_before(normal)
     for k, rule in enumerate(ordered):
         if gates.setdefault(rule.keyword, rule.keyword in normal):
             for m in rule.pattern.finditer(normal):
-                first = normal.count(b" ", 0, m.start()) - 1
+                first = before(m.start()) - 1
                 found.append(Detection(first, first + m[0].count(b" ") + 1, rule.label, rule.sure, k))
     return found
 
