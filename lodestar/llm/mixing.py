@@ -29,6 +29,7 @@ SHARE = 1.5
 MAX_COPIES = 2.0
 SHARD_ROWS = 4096
 FAN_IN = 64
+BROADCAST_SOURCES = 100_000  # above it the table of sources joins by shuffle
 
 
 def targets(sizes: list[tuple[str | None, int]], share: float = SHARE, weights: tuple[float, ...] = WEIGHTS, most: float = MAX_COPIES) -> dict[str | None, float]:
@@ -84,8 +85,9 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: id_col, __key (a hash of id and text), __source, size, source_size, target, copies, taken.
 
-    Rows that repeat are documents of their own. The table of sources is gathered on the driver and must be
-    small (some thousand names): one row each. An empty table gives an empty result.
+    Rows that repeat are documents of their own. The table of sources, one row a name, is gathered on the driver,
+    since the targets depend on all of them; it is broadcast only up to BROADCAST_SOURCES names. An empty table
+    gives an empty result.
     """
     spark = docs.sparkSession
     keep = Written(spark)
@@ -95,7 +97,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     facts = [(r["__source"], r.n, target[r["__source"]], max(1, -(-r.rows // SHARD_ROWS))) for r in found]
     per_source = spark.createDataFrame(facts, "s string, source_size long, target double, shards long")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.join(F.broadcast(per_source), F.col("__source").eqNullSafe(F.col("s"))).drop("s")
+    rows = rows.join(F.broadcast(per_source) if len(facts) <= BROADCAST_SOURCES else per_source, F.col("__source").eqNullSafe(F.col("s"))).drop("s")
     rows = rows.withColumn("base", F.floor(ratio + 1e-12)).withColumn("p", F.greatest(ratio - F.col("base"), F.lit(0.0)))
     rows = rows.withColumn("shard", F.pmod(F.col("__key"), F.col("shards")))
     id_type = docs.schema[id_col].dataType.simpleString()
