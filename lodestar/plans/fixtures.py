@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions import scoring, text
 from lodestar.operators import cochange, resolve
 from lodestar.plans import lifecycle
 from lodestar.plans.written import Written
@@ -37,7 +38,7 @@ LOG = (
 
 
 def source_tree(spark: SparkSession) -> DataFrame:
-    rows = [(path, bytearray(text.encode()), len(text.encode())) for path, text in FILES.items()]
+    rows = [(path, bytearray(code.encode()), len(code.encode())) for path, code in FILES.items()]
     return spark.createDataFrame(rows, "path string, content binary, size_bytes long")
 
 
@@ -122,7 +123,36 @@ def history_pairs(spark, sf_dir):
     return cochange.co_change(found)
 
 
-QUERIES = {f.__name__: f for f in (walker_inventory, walker_skipped, extract_symbols, extract_imports, extract_calls, extract_errors, resolve_imports, resolve_bases, resolve_calls, graph_build, chunk_tree, history_commits, history_pairs)}
+def extract_counts(spark, sf_dir):
+    return extract.counts(_extracted(spark))
+
+
+def inventory_totals(spark, sf_dir):
+    return tree.inventory_totals(*tree.walk(source_tree(spark)))[0].select("file_count", "total_lines")
+
+
+def skipped_by_reason(spark, sf_dir):
+    return tree.inventory_totals(*tree.walk(source_tree(spark)))[1]
+
+
+def source_kinds(spark, sf_dir):
+    """Sources by kind, and the names they get."""
+    rows = spark.createDataFrame([(x,) for x in ("https://h.org/a/b.git", "git@h.org:a/c.git", "/data/My Repo.ZIP", "/srv/code/", "plain", "/")], "source string")
+    kind = text.classify_source(F.col("source"))
+    return rows.select("source", kind.alias("kind"), text.derive_name(F.col("source"), kind).alias("name"))
+
+
+def name_validation(spark, sf_dir):
+    rows = spark.createDataFrame([(0, "shop"), (1, "  "), (2, None), (3, "a/b"), (4, "x" * 256), (5, " padded ")], "n int, name string")
+    return rows.select("n", text.name_problem(F.col("name")).alias("problem"))
+
+
+def known_test_paths(spark, sf_dir):
+    rows = spark.createDataFrame([(x,) for x in ("tests/test_a.py", "src/a.py", "pkg/a_test.py", "src/contest.py")], "path string")
+    return rows.select("path", scoring.is_test_path(F.col("path")).alias("is_test"))
+
+
+QUERIES = {f.__name__: f for f in (extract_counts, inventory_totals, skipped_by_reason, source_kinds, name_validation, known_test_paths, walker_inventory, walker_skipped, extract_symbols, extract_imports, extract_calls, extract_errors, resolve_imports, resolve_bases, resolve_calls, graph_build, chunk_tree, history_commits, history_pairs)}
 
 
 def _values(columns: str, *rows: str) -> str:
@@ -172,6 +202,20 @@ ORACLE_SQL = {
         "'tools/run.py', 'f', 2, 'main', 0",
         "'tools/run.py', 'f', 2, 'main', 0",
     ),
+    "extract_counts": "select 7::bigint as files, 10::bigint as symbols, 6::bigint as imports, 15::bigint as calls, 1::bigint as failed",
+    "inventory_totals": "select 7::bigint as file_count, 45::bigint as total_lines",
+    "skipped_by_reason": _values("reason, n", "'ignored_dir', 1::bigint", "'unsupported_extension', 1::bigint"),
+    "source_kinds": _values(
+        "source, kind, name",
+        "'https://h.org/a/b.git', 'git', 'b'",
+        "'git@h.org:a/c.git', 'git', 'c'",
+        "'/data/My Repo.ZIP', 'zip', 'My-Repo'",
+        "'/srv/code/', 'local', 'code'",
+        "'plain', 'local', 'plain'",
+        "'/', 'local', null",
+    ),
+    "name_validation": _values("n, problem", "0, null", "1, 'empty'", "2, 'empty'", "3, 'forbidden_characters'", "4, 'too_long'", "5, null"),
+    "known_test_paths": _values("path, is_test", "'tests/test_a.py', true", "'src/a.py', false", "'pkg/a_test.py', true", "'src/contest.py', false"),
     "extract_errors": _values("path, error", "'shop/broken.py', 'SyntaxError'"),
     "resolve_imports": _values(
         "source_path, target_path, target_module, resolution, bound_name, line",

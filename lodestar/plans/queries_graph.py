@@ -88,6 +88,11 @@ def node_search(spark, sf_dir):
     return graph.search_nodes(_nodes(spark, sf_dir), "1.", 25).select("key", "label", "shown_length")
 
 
+def node_lookup(spark, sf_dir):
+    """One node by its key."""
+    return graph.get_node(_nodes(spark, sf_dir), "p1").select("key", "label")
+
+
 def node_counts(spark, sf_dir):
     return graph.count_nodes(_nodes(spark, sf_dir))
 
@@ -199,7 +204,7 @@ def risk_bar_widths(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    impact_ranked, impact_decay1, impact_summary, impact_routes, impact_groups, dependencies_2hop, dependents_2hop, neighbours_seeded, call_edges_agg, resolution_counts, unresolved_by_caller, node_search, node_counts,
+    impact_ranked, impact_decay1, impact_summary, impact_routes, impact_groups, dependencies_2hop, dependents_2hop, neighbours_seeded, call_edges_agg, resolution_counts, unresolved_by_caller, node_search, node_lookup, node_counts,
     files_view, calls_view, collapse_groups, visible_edges, graph_upsert_sweep, cochange_pairs, cochange_for_key, cochange_window_stats, partner_index, churn, cochange_edges,
     risk_metrics, risk_ranked, risk_no_history, risk_bands, risk_dashboard, risk_bar_widths,
 )}
@@ -289,6 +294,7 @@ ORACLE_SQL = {
     "unresolved_by_caller": "select 'p' || a.l_partkey as caller, count(*) as unresolved_calls from lineitem a where l_returnflag = 'R' and not exists (select 1 from lineitem b where b.l_orderkey = a.l_orderkey and b.l_linenumber = a.l_linenumber + 1 and b.l_returnflag = 'R') group by 1",
     "node_search": "with " + _NODES + """ select key, label, length(coalesce(qualname, path, name, '')) as shown_length from nodes
       where contains(lower(coalesce(qualname, '')), '1.') or contains(lower(coalesce(path, '')), '1.') or contains(lower(coalesce(name, '')), '1.') or contains(lower(coalesce(dotted_name, '')), '1.') order by shown_length, key limit 25""",
+    "node_lookup": "with " + _NODES + " select key, label from nodes where key = 'p1'",
     "node_counts": "with " + _NODES + " select label, count(*) as n from nodes group by label",
     "files_view": "with " + _NODES + ", " + p.SQL_IMPORTS + " select key as src, dst, confidence from nodes left join imports on src = key where label = 'File'",
     "calls_view": "with " + _NODES + ", " + p.SQL_CALLS + " select src, dst, confidence from calls where src in (select key from nodes where label = 'Function')",

@@ -91,6 +91,11 @@ def files_page(spark, sf_dir):
     return listing.with_total(p.document_files(spark, sf_dir), listing.page(listing.list_files(p.document_files(spark, sf_dir), "_c1"), 5, 2)).select("path", "line_count", "total")
 
 
+def files_filtered(spark, sf_dir):
+    """Paths that hold a literal, in any case."""
+    return listing.client_filter(p.document_files(spark, sf_dir), "C1").select("path", "line_count")
+
+
 def symbols_page(spark, sf_dir):
     return listing.page(listing.list_symbols(p.symbols(spark, sf_dir), "d1", "function"), 50, 10).select("module", "qualname", "line_end")
 
@@ -215,7 +220,7 @@ def url_names(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    debt_complexity, debt_god_files, debt_missing_docstring, debt_rollup, debt_tally, debt_filtered, debt_summary, import_cycles_minimal, circular_imports, dead_code, files_page, symbols_page, jobs_latest, jobs_page,
+    debt_complexity, debt_god_files, debt_missing_docstring, debt_rollup, debt_tally, debt_filtered, debt_summary, import_cycles_minimal, circular_imports, dead_code, files_page, files_filtered, symbols_page, jobs_latest, jobs_page,
     conversations_page, conversation_detail, history_last8, conversation_title, stub_chat, repository_deleted, chunk_windows, chunk_hash, module_leftover, chunk_uuid5, vector_topk, vector_topk_kind, hybrid_slots, hash_embedding,
     token_bucket_decisions, stage_percentages, endpoint_median, url_validation, url_names,
 )}
@@ -276,6 +281,7 @@ ORACLE_SQL = {
           when decorated then 'no statically visible caller, but decorated with cached — check before deleting'
           else 'public function, ' || p_size || ' lines, no caller or subclass in the repository — may be public API, or called at module scope' end as why,
         case when name like '\\_%' escape '\\' then 0.75::double when decorated then 0.5::double else 0.6::double end as confidence from c where name <> 'main'""",
+    "files_filtered": "with " + p.SQL_SYMBOLS + " select path, sum(line_end)::bigint as line_count from symbols where contains(lower(path), 'c1') group by path",
     "files_page": "with " + p.SQL_SYMBOLS + ", fl as (select path, sum(line_end)::bigint as line_count from symbols group by path) select path, line_count, (select count(*) from fl) as total from fl where path ilike '%_c1%' order by path limit 5 offset 2",
     "symbols_page": "with " + p.SQL_SYMBOLS + " select module, qualname, line_end from symbols where qualname ilike '%d1%' order by module nulls last, line_start, qualname limit 50 offset 10",
     "jobs_latest": "select user_id as repo, event_id as id, case when event_type = 'error' then 'failed' else 'complete' end as status, ts as started_at from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1",
