@@ -9,12 +9,12 @@ share of the entity's occurrences with the term beside them,
 
 is the part of the entity's information that the term gives away: 1 where it stands with this entity only and
 always, 0 where it is independent. Terms of at least `DISCLOSURE`, seen in at least `SUPPORT` different
-contexts of the entity (copies of one passage count once), are spans too. Sanitised texts have placeholders
+contexts of the entity (copies of one passage count once), are spans too, wherever they stand: contexts only
+rate a term, and a revealing one is then found in the words of all documents. Sanitised texts have placeholders
 for entities, [NUM] for revealing numbers and [NAME] for revealing capitalised words; other revealing terms
 are removed.
 
-Everything runs as DataFrame operations. Counts cover all documents. Null texts count as empty; texts without
-entities have no spans; repeated rows count each for itself.
+Everything runs as DataFrame operations. Counts cover all documents. Null texts count as empty; repeated rows count each for itself.
 """
 
 from __future__ import annotations
@@ -91,23 +91,49 @@ def disclosing(docs: DataFrame, beside: DataFrame, text_col: str) -> DataFrame:
     return rated.where(F.col("docs_e") < F.col("n_docs")).where(ratio >= DISCLOSURE).select("entity", "term")
 
 
-def revealing_spans(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(__id, __key, __terms): the places of revealing terms in each text that has some."""
-    beside = Written(docs.sparkSession)(contexts(found, id_col))
-    hits = beside.join(disclosing(docs, beside, text_col), ["entity", "term"])
-    one = "array_sort(collect_set(struct(start, end)))"
-    return hits.groupBy("__id", "__key").agg(F.expr(one).alias("__terms"))
+# The text with blanks for its entities, so that places stay and words that touch an entity are told from it.
+_BARE = """aggregate(array_sort(transform(__spans, s -> struct(s.start, s.end))), struct(0 as at, '' as out),
+    (acc, s) -> struct(greatest(acc.at, s.end) as at,
+        concat(acc.out, substring(__text, acc.at + 1, greatest(s.start - acc.at, 0)), repeat(' ', greatest(s.end - greatest(acc.at, s.start), 0))) as out),
+    acc -> concat(acc.out, substring(__text, acc.at + 1)))"""
+# Places grow only at a hit, so words of long texts are passed in linear time.
+_PLACES = """aggregate(zip_with(slice(__g_term, 1, size(__m_term)), __m_term, (a, b) -> struct(length(a) as gap, b as hit)),
+    struct(0 as at, cast(array() as array<struct<start:int,end:int>>) as out),
+    (acc, x) -> struct(int(acc.at + x.gap + length(x.hit)) as at,
+        case when array_contains(__revealing, lower(x.hit)) then concat(acc.out, array(struct(int(acc.at + x.gap) as start, int(acc.at + x.gap + length(x.hit)) as end))) else acc.out end as out),
+    acc -> acc.out)"""
+
+
+def revealing(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(__id, __key, __revealing): the revealing terms of each text that has some, whether it holds an entity or not.
+
+    found: entities() of the texts that hold some, at least. Both tables are written, so that Spark broadcasts them only
+    where they are small; a term that is frequent in a large join is split by the adaptive plan.
+    """
+    keep = Written(docs.sparkSession)
+    beside = keep(contexts(found, id_col))
+    terms = keep(disclosing(docs, beside, text_col).select("term").distinct())
+    bare = entities(docs, id_col, text_col).select(F.col(id_col).alias("__id"), "__key", F.expr(_BARE).alias("__bare"))
+    words = bare.select("__id", "__key", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("__bare", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
+    return keep(words.join(terms, "term").groupBy("__id", "__key").agg(F.collect_set("term").alias("__revealing")))
+
+
+def with_terms(found: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
+    """entities() with __terms: the places (start, end) of revealing terms, outside all entities."""
+    rows = found.join(terms, F.col(id_col).eqNullSafe(F.col("__id")) & (found["__key"] == terms["__key"]), "left").drop(terms["__key"]).drop("__id")
+    rows = rows.withColumn("__revealing", F.expr("coalesce(__revealing, cast(array() as array<string>))"))
+    rows = rows.withColumn("__bare", F.expr(f"case when size(__revealing) > 0 then {_BARE} else '' end"))
+    return cut(rows, "__bare", {"term": (TERM, "size(__revealing) > 0")}).withColumn("__terms", F.expr(_PLACES))
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms."""
     slim = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))
-    found = Written(docs.sparkSession)(entities(slim, id_col, text_col).withColumn("__text", F.expr("case when size(__spans) > 0 then __text end")))
-    terms = revealing_spans(slim, found, id_col, text_col)
-    rows = found.drop("__text").join(terms, F.col(id_col).eqNullSafe(F.col("__id")) & (found["__key"] == terms["__key"]), "left")
-    rows = rows.withColumn("__all", F.expr("concat(transform(__spans, s -> struct(s.kind, s.start, s.end)), transform(coalesce(__terms, array()), s -> struct('term' as kind, s.start, s.end)))"))
+    found = entities(slim, id_col, text_col)
+    rows = with_terms(found, revealing(slim, found, id_col, text_col), id_col)
+    rows = rows.withColumn("__all", F.expr("concat(transform(__spans, s -> struct(s.kind, s.start, s.end)), transform(__terms, s -> struct('term' as kind, s.start, s.end)))"))
     counts = [F.expr(f"bigint(size(filter(__spans, s -> s.kind = '{k}')))").alias(f"n_{k}") for k in KINDS]
-    return rows.select(id_col, *counts, F.expr(f"sha2({written_out('__spans')}, 256)").alias("base_sha256"), F.expr(written_out("__all")).alias("spans"), F.expr("bigint(size(coalesce(__terms, array())))").alias("n_terms"))
+    return rows.select(id_col, *counts, F.expr(f"sha2({written_out('__spans')}, 256)").alias("base_sha256"), F.expr(written_out("__all")).alias("spans"), F.expr("bigint(size(__terms))").alias("n_terms"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,18 +147,15 @@ _TERM_TO = r"case when substring(__text, s.start + 1, s.end - s.start) rlike r'^
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their texts sanitised and n_chars, where it is a column, counted anew.
 
-    Only texts with entities are shuffled: their revealing terms join by id and text.
+    Revealing terms go from every text, with an entity or without; they join by id and text.
     """
     names, other = docs.columns, [c for c in docs.columns if c not in ("doc_id", "text")]
     prepared = docs.select("doc_id", F.struct(*other).alias("__rest"), "text") if other else docs.select("doc_id", F.struct(F.lit(0).alias("none")).alias("__rest"), "text")
     found = entities(prepared.withColumn("__had", F.col("text").isNotNull()), "doc_id", "text", ("__rest", "__had"))
-    terms = revealing_spans(docs.select("doc_id", "text"), entities(docs, "doc_id", "text"), "doc_id", "text")
-    held = found.where("size(__spans) > 0")
-    joined = held.join(terms, F.col("doc_id").eqNullSafe(F.col("__id")) & (held["__key"] == terms["__key"]), "left")
+    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = with_terms(found, revealing(slim, entities(slim, "doc_id", "text"), "doc_id", "text"), "doc_id")
     spans = F.expr(f"""array_sort(concat(transform(__spans, s -> struct(s.start, s.end, {_TO} as to)),
-        transform(coalesce(__terms, array()), s -> struct(s.start, s.end, {_TERM_TO} as to))))""")
-    cleaned = joined.withColumn("__all", spans).select("doc_id", "__rest", replaced("__text", "__all").alias("text"))
-    rest = found.where("size(__spans) = 0").select("doc_id", "__rest", F.expr("case when __had then __text end").alias("text"))
-    done = cleaned.union(rest)
+        transform(__terms, s -> struct(s.start, s.end, {_TERM_TO} as to))))""")
+    done = rows.withColumn("__all", spans).withColumn("__clean", replaced("__text", "__all")).select("doc_id", "__rest", F.expr("case when __had then __clean end").alias("text"))
     cols = [F.col(c) if c in ("doc_id", "text") else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"__rest.`{c}`") for c in names]
     return done.select(*cols)

@@ -198,6 +198,22 @@ def test_terms_that_reveal_an_entity_are_found_and_taken_out(spark):
     assert "zan@" not in clean[0] and "Zanzibarov" not in clean[0] and "[EMAIL]" in clean[0] and "[NAME]" in clean[0] and clean[101] == texts[101]
 
 
+def test_revealing_terms_are_found_away_from_their_entity(spark):
+    far = " ".join(["filler"] * 30)
+    rows = [(k, f"note {k} says Zanzibarov uses zan@corp.example today number {k} {far} ZANZIBAROV again") for k in range(6)]
+    rows += [(50, "é😀 Zanzibarov alone"), (None, "none zanzibarov, zanzibarov"), (51, "Zanzibarovs are others"), (52, "Zanzibarov " + "long " * 30_000 + "Zanzibarov"), (53, None)]
+    rows += [(100 + k, f"nothing at all says today uses number code {k} with words") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    for r in pii.detect(docs).collect():
+        places = [(m.start(), m.end()) for m in re.finditer(r"(?i)\bzanzibarov\b", texts[r.doc_id] or "")]
+        got = [(int(a), int(b)) for kind, a, b in (s.split(":") for s in r.spans.split(",") if s) if kind == "term"]
+        assert set(places) <= set(got) and (r.doc_id in range(6) or got == places) and r.n_terms == len(got)
+    clean = {r.doc_id: r.text for r in pii.stage(spark, docs, "").collect()}
+    assert len(clean) == len(rows) and not any(re.search(r"(?i)\bzanzibarov\b", t or "") for t in clean.values())
+    assert clean[50] == "é😀 [NAME] alone" and clean[None] == "none , " and clean[51] == texts[51] and clean[53] is None and clean[101] == texts[101]
+
+
 def test_pii_stage_keeps_columns_and_nulls(spark, docs):
     out = pii.stage(spark, docs, "")
     assert out.columns == docs.columns and out.count() == len(ROWS)
