@@ -27,7 +27,7 @@ from lodestar.llm.common import table
 #: Phrase and label.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Label, keyword that gates its rules, name in normal form (a regular expression).
+#: Label, keyword that gates its rules and is in every match of them, name in normal form (a regular expression).
 NAMES = (
     ("agpl-3", "affero", r"(?:gnu )?affero general public license(?: agpl)?(?: version| v)? ?3(?: 0)?"),
     ("agpl-3", "agpl", r"(?:gnu )?agpl ?v?3(?: 0)?"),
@@ -47,32 +47,39 @@ NAMES = (
     ("apache-1.1", "apache", r"apache software license(?: version| v)? ?1 1"),
     ("apache", "apache", r"apache software license"),
     ("mit-0", "mit", r"mit no attribution|mit 0"),
-    ("mit", "mit", r"mit(?: x11)?|expat"),
+    ("mit", "mit", r"mit(?: x11)?"),
+    ("mit", "expat", r"expat"),
     ("bsd-4", "bsd", r"bsd 4 clause|4 clause bsd|original bsd"),
     ("bsd-3", "bsd", r"bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd"),
     ("bsd-2", "bsd", r"bsd 2 clause|2 clause bsd|simplified bsd|freebsd"),
-    ("bsd-0", "0bsd", r"0bsd|zero clause bsd"),
+    ("bsd-0", "bsd", r"0bsd|zero clause bsd"),
     ("bsd", "bsd", r"bsd"),
     ("isc", "isc", r"isc"),
     ("zlib", "zlib", r"zlib(?: libpng)?"),
     ("mpl-2", "mozilla", r"mozilla public license(?: mpl)?(?: version| v)? ?2(?: 0)?"),
     ("mpl-2", "mpl", r"mpl ?2(?: 0)?"),
     ("mpl-1.1", "mozilla", r"mozilla public license(?: mpl)?(?: version| v)? ?1 1"),
-    ("epl-2", "eclipse", r"eclipse public license(?: version| v)? ?2(?: 0)?|epl 2(?: 0)?"),
-    ("epl-1", "eclipse", r"eclipse public license(?: version| v)? ?1(?: 0)?|epl 1(?: 0)?"),
+    ("epl-2", "eclipse", r"eclipse public license(?: version| v)? ?2(?: 0)?"),
+    ("epl-2", "epl", r"epl 2(?: 0)?"),
+    ("epl-1", "eclipse", r"eclipse public license(?: version| v)? ?1(?: 0)?"),
+    ("epl-1", "epl", r"epl 1(?: 0)?"),
     ("eupl", "european", r"european union public licen[cs]e(?: v?1 [12])?"),
     ("cddl-1", "distribution", r"common development and distribution license(?: cddl)?(?: version)?(?: 1(?: [01])?)?"),
-    ("boost-1", "boost", r"boost software license(?: version)?(?: 1(?: 0)?)?|bsl 1 0"),
+    ("boost-1", "boost", r"boost software license(?: version)?(?: 1(?: 0)?)?"),
+    ("boost-1", "bsl", r"bsl 1 0"),
     ("artistic-2", "artistic", r"artistic license(?: version)? ?2(?: 0)?"),
     ("artistic-1", "artistic", r"artistic license(?: version)? ?1(?: 0)?"),
     ("unlicense", "unlicense", r"(?:the )?unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl|do what the fuck you want to public license"),
-    ("psf-2", "python", r"python software foundation license(?: version 2)?|psf license"),
+    ("wtfpl", "wtfpl", r"wtfpl"),
+    ("wtfpl", "want to public", r"do what the fuck you want to public license"),
+    ("psf-2", "python", r"python software foundation license(?: version 2)?"),
+    ("psf-2", "psf", r"psf license"),
     ("ruby", "ruby", r"ruby license|ruby s license"),
     ("php-3", "php", r"php license(?: version)?(?: 3(?: 0?1)?)?"),
     ("postgresql", "postgresql", r"postgresql licen[cs]e"),
     ("openssl", "openssl", r"openssl license"),
-    ("ms-pl", "microsoft", r"microsoft public license|ms pl"),
+    ("ms-pl", "microsoft", r"microsoft public license"),
+    ("ms-pl", "ms pl", r"ms pl"),
     ("ofl-1.1", "font", r"sil open font license(?: version)?(?: 1 [01])?"),
     ("odbl-1", "database", r"open (?:data commons )?(?:open )?database license(?: v?1(?: 0)?)?"),
     ("odc-by", "commons", r"open data commons attribution license"),
@@ -109,7 +116,7 @@ OTHERS = (
     ("rights reserved", "proprietary", r"all rights reserved", 0.5),
     ("proprietary", "proprietary", r"proprietary and confidential", 0.6),
 )
-GENERAL = (b"licen", b"spdx", b" under ", b"subject to", b"governed by", b"covered by", b"permission", b"redistribution", b"public domain", b"rights reserved", b"proprietary", b"cc by")
+GENERAL = (b"licen", b"spdx", b" under ", b"subject to", b"governed by", b"covered by", b"permission", b"redistribution", b"public domain", b"rights reserved", b"proprietary", b"cc by", b"cc0", b"creative commons")
 
 
 @dataclass(frozen=True)

@@ -265,6 +265,49 @@ def test_license_rules():
     assert labels("Redistribution and use in source and binary forms, with or without modification, are permitted") == {"bsd"}
 
 
+def variants(expression):
+    """Texts that match the expression: every alternative, optional parts all there and all left out."""
+    import re._parser as parser
+
+    def made(parts, full):
+        out = [""]
+        for op, v in parts:
+            if op is parser.LITERAL:
+                more = [chr(v)]
+            elif op is parser.IN:
+                more = ["1" if v[0][0] is parser.CATEGORY else chr(v[0][1])]
+            elif op is parser.MAX_REPEAT:
+                more = made(v[2], full) if full or v[0] else [""]
+            elif op is parser.SUBPATTERN:
+                more = made(v[3], full)
+            else:
+                assert op is parser.BRANCH
+                more = [x for branch in v[1] for x in made(branch, full)]
+            out = [a + b for a in out for b in more]
+        return out
+
+    parsed = parser.parse(expression)
+    return set(made(parsed, True)) | set(made(parsed, False))
+
+
+def test_license_gates_lose_nothing():
+    ordered, texts = licenses.rules(), set()
+    for _, _, expression, _ in licenses.OTHERS:
+        texts |= variants(expression)
+    for label, _, name in licenses.NAMES:
+        for text in variants(name):
+            texts |= {phrase for p, _ in licenses.PHRASINGS for phrase in variants(p.format(f"(?:{text})"))} | ({text} if label.startswith("cc") else set())
+    assert len(texts) > 1000
+    for text in texts:
+        normal = f" {text} ".encode()
+        every = {(k, m.start(), m.end()) for k, rule in enumerate(ordered) for m in rule.pattern.finditer(normal)}
+        assert every and len(licenses.detections(normal, ordered)) == len(every), text
+    for text, label in [("SPDX-License-Identifier: EPL-2.0", "epl-2"), ("SPDX-License-Identifier: MS-PL", "ms-pl"), ("SPDX-License-Identifier: BSL-1.0", "boost-1"), ("licensed under the Expat license", "mit"),
+                        ("CC0 1.0 Universal", "cc0-1"), ("Creative Commons Attribution-ShareAlike 4.0", "cc-by-sa")]:
+        normal = b" " + b" ".join(licenses.normalise(text)) + b" "
+        assert {d.label for d in licenses.suppress(licenses.detections(normal, ordered))} == {label}
+
+
 # --- 2 ---
 
 
