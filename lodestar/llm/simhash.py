@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import Written, table
@@ -161,9 +161,15 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component. Of rows that repeat that id (or have none), the one with
-    the smallest hash of its text stays; ranking them uses the partitions of the join."""
-    kept = near_duplicates(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*docs.columns)
+    """One row of each component: that with the smallest id, a missing id last, then with the smallest hash of its text.
+
+    Rows are told apart by id and a hash of all they hold, so rows that share an id or have none stay unless they are near-duplicates.
+    What agrees in all of that is a copy; copies combine before the shuffle or in the partitions of the join.
+    """
+    hashed = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    keys = [F.col("doc_id").isNull().alias("__none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.xxhash64("text").alias("__text"), F.xxhash64(*hashed).alias("__key")]
+    rows = docs.select(F.struct(keys[0], "doc_id", *keys[1:]).alias("row"), "text")
+    kept = near_duplicates(rows, "row").select("component_id").distinct()
+    names = ["__none", "__id", "__text", "__key"]
+    joined = docs.select("*", *keys).join(kept.select(*[F.col(f"component_id.{c}").alias(c) for c in names]), names, "left_semi")
+    return joined.dropDuplicates(names).select(*docs.columns)

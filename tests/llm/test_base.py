@@ -78,6 +78,18 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_simhash_stage_keeps_one_row_of_each_component(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(7, a, "x"), (7, b, "x"), (1, b.upper(), "x"), (None, c, "x"), (None, d, "x"), (None, d, "x"), (None, a, "x"), (9, "own words here", "x"), (9, "own words here", "y"), (9, "other words there", "x"), (None, None, "x"), (None, "", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    out = simhash.stage(spark, docs, "")
+    assert out.columns == docs.columns
+    got = collections.Counter((r.doc_id, r.text) for r in out.collect())
+    blank = [k for k in got if not k[1]]
+    assert len(blank) == 1 and got.pop(blank[0]) == 1
+    assert got == collections.Counter([(7, a), (1, b.upper()), (None, c), (None, d), (9, "own words here"), (9, "other words there")])
+
+
 def test_ball_hashing_finds_every_pair(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**64, 40, dtype=np.uint64)
