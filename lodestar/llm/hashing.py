@@ -1,4 +1,7 @@
-"""Vectorised 64-bit hashes of spans of bytes: a polynomial over random byte codes, modulo 2^64, then mixed."""
+"""Vectorised 64-bit hashes of spans of bytes: a polynomial over random byte codes, modulo 2^64, then mixed.
+
+Hashes only find candidates here: whatever decides a result compares the bytes too.
+"""
 
 from __future__ import annotations
 
@@ -6,24 +9,20 @@ import numpy as np
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODE = _RNG.integers(1, 2**64, 256, dtype=np.uint64)
-BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse
-BASE_INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
+BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
+CHUNK = 1 << 17  # bytes hashed at once, however long a text is
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 
-_powers: dict[str, np.ndarray] = {}
+
+def _powers(base: int) -> np.ndarray:
+    """base**0 .. base**CHUNK."""
+    out = np.full(CHUNK + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out, dtype=np.uint64)
 
 
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1), grown as texts get longer."""
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have, dtype=np.uint64)
-        _powers[name] = have if size <= 1 << 20 else have[:n]
-    return have[:n]
+UP, DOWN = _powers(BASE), _powers(pow(BASE, -1, 2**64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -33,13 +32,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _prefixes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each x of `at`, ascending: the polynomial of data[:x], and BASE**-x."""
+    sums, inverse = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
+    before, up, down, k = 0, 1, 1, 0
+    for low in range(0, len(data) + 1, CHUNK):
+        part = data[low : low + CHUNK]
+        own = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(BYTE_CODE[part] * UP[: len(part)], out=own[1:])
+        j = int(at.searchsorted(low + CHUNK))
+        place = at[k:j] - low
+        sums[k:j] = own[place] * np.uint64(up) + np.uint64(before)
+        inverse[k:j] = DOWN[place] * np.uint64(down)
+        before, up, down, k = (before + up * int(own[-1])) % 2**64, up * int(UP[-1]) % 2**64, down * int(DOWN[-1]) % 2**64, j
+    return sums, inverse
+
+
 def span_hashes(raw: bytes | np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of raw[start:end] for each span."""
+    """A hash of raw[start:end] for each span; starts and ends ascend."""
     data = np.frombuffer(raw, np.uint8) if isinstance(raw, bytes) else raw
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[data] * _power("up", BASE, len(data)), out=sums[1:])
-    inverse = _power("down", BASE_INVERSE, len(data) + 1)
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    (low, inverse), (high, _) = _prefixes(data, starts), _prefixes(data, ends)
+    return mix((high - low) * inverse + (ends - starts).astype(np.uint64))
 
 
 def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -112,25 +113,77 @@ def test_components_of_a_long_path(spark):
 # --- 7 ---
 
 
-def test_substring_dedup(docs, none):
-    w = {k: words(t) for k, t, *_ in ROWS}
-    seen = collections.Counter(tuple(x[i : i + 35]) for x in w.values() for i in range(len(x) - 34))
+def plain_repeats(rows, n=35):
+    w = {k: words(t) for k, t in rows}
+    seen = collections.Counter(tuple(x[i : i + n]) for x in w.values() for i in range(len(x) - n + 1))
     want = {}
     for k, x in w.items():
-        gone = set()
-        for i in range(len(x) - 34):
-            if seen[tuple(x[i : i + 35])] > 1:
-                gone |= set(range(i, i + 35))
+        gone = {j for i in range(len(x) - n + 1) if seen[tuple(x[i : i + n])] > 1 for j in range(i, i + n)}
         want[k] = (len(x), len(gone), " ".join(y for i, y in enumerate(x) if i not in gone))
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in subdedup.remove_repeats(docs).collect()}
-    assert got == want
+    return want
+
+
+def test_substring_dedup(docs, none):
+    want = plain_repeats([(k, t) for k, t, *_ in ROWS])
+    got = {r.doc_id: r for r in subdedup.remove_repeats(docs).collect()}
+    assert {k: (r.n_words, r.n_removed, r.kept) for k, r in got.items()} == want
+    for k, r in got.items():
+        spans = [tuple(map(int, x.split(":"))) for x in r.spans.split(",") if x]
+        assert sum(b - a for a, b in spans) == r.n_removed and (r.n_factors > 0) == bool(spans) and all(b - a >= 35 for a, b in spans)
     hashed = {r.doc_id: r.kept for r in subdedup.remove_repeats(docs, with_text=False).collect()}
     assert hashed == {k: hashlib.sha256(v[2].encode()).hexdigest() for k, v in want.items()}
     assert subdedup.remove_repeats(none).count() == 0
 
 
-def test_factors_break_where_the_block_changes():
-    assert subdedup.factors(np.array([-1, 2, 2, 5, -1, 5]), 3) == [(1, 5, 2), (3, 6, 5), (5, 8, 5)]
+def thue_morse(first):
+    """2,048 letters; both of these share every polynomial hash modulo 2^64 to an odd base."""
+    w = [first]
+    while len(w) < 2048:
+        w += [1 - b for b in w]
+    return "".join("ab"[b] for b in w)
+
+
+@pytest.fixture
+def small_blocks():
+    old, subdedup.BLOCK_BYTES = subdedup.BLOCK_BYTES, (2000, 3000)
+    yield
+    subdedup.BLOCK_BYTES = old
+
+
+def test_substring_dedup_over_many_blocks_with_clashing_hashes(spark, small_blocks):
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(50)]
+    some = lambda a, b: " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(a, b)))
+    passages = [some(20, 120) for _ in range(30)]
+    rows = [(k, " ".join(rng.choice(passages) if rng.random() < 0.5 else some(1, 60) for _ in range(rng.randrange(1, 12)))) for k in range(150)]
+    tail = " ".join(f"w{i}" for i in range(34))
+    a, b = thue_morse(0), thue_morse(1)
+    rows += [(1000 + k, f"{a} {tail} {p}") for k, p in enumerate(passages[:3])] + [(2000, f"{b} {tail}"), (2001, f"x {b} {tail} y")]
+    found, factors = subdedup.parse(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in found.collect()} == plain_repeats(rows)
+    assert factors.count() > 100 and factors.where("n_words < 35 or block = reference").isEmpty()
+
+
+def test_words_that_only_share_a_hash_stay(spark, small_blocks):
+    tail = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, f"{thue_morse(0)} {tail}"), (2, f"{thue_morse(1)} {tail}")]
+    assert {r.n_removed for r in subdedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
+
+
+def test_merge_offers_each_holder_one_near_reference():
+    h = np.array([3, 5, 9], np.uint64)
+    blocks = list(range(0, 700, 3))
+    out = subdedup.merge(blocks, [h if b % 2 else h[:2] for b in blocks])
+    of = {b: int(r[0]) for b, (found, r) in zip(blocks, out, strict=True)}
+    assert all(found[:2].all() for found, _ in out) and all(o in of and o != b for b, o in of.items())
+    assert max(collections.Counter(of.values()).values()) <= (subdedup.FAN - 1) * 4 + 1
+    for b in blocks:  # one tree: all lead to the smallest
+        seen = set()
+        while of[b] < b:
+            seen.add(b)
+            b = of[b]
+        assert b == 0
+    assert subdedup.merge([4], [h])[0][0].sum() == 0
 
 
 # --- 4 ---
