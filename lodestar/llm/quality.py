@@ -1,12 +1,15 @@
 """Quality rules: a calibrated logistic regression over hashed word and character n-grams, and fixed text rules.
 
-The model is fitted on a bounded sample of the labelled rows (`QualityParams.sample_per_class` rows of each
-class, those with the smallest hash of their id, so reruns agree) and calibrated on a part of it held out.
-Every whole text is then scored in Arrow batches against a fixed threshold.
+The model is fitted on a bounded sample of the labelled rows (`QualityParams.sample_per_class` ids of each class,
+those with the smallest hash, so reruns agree; one text an id and `max_features` features a text, so the bound
+holds in rows and bytes) and calibrated on a part of it held out. Every whole text is then scored in Arrow batches
+against a fixed threshold. Features are hashed; the counts of the rules are exact.
 
 Defined results: a null or empty text has no words, so it fails the rules. Rows with a null label, or whose
-id is not in the documents, do not train. With fewer than `min_per_class` labelled rows of either class there
-is no model: the probability is null and the rules alone decide. Repeated rows are scored each on its own.
+id is null or not in the documents, do not train; of an id's labels the smallest counts, of its texts the one with
+the smallest hash. With fewer than `min_per_class` labelled rows of either class there is no model: the probability
+is null and the rules alone decide. Repeated rows are scored each on its own. Very long texts are scored whole, in
+pieces of bounded memory. Empty tables give empty results. Only the columns named are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from lodestar.llm.hashing import BYTE_CODE, mix, span_hashes, word_spans
 @dataclass(frozen=True)
 class QualityParams:
     sample_per_class: int = 1000
+    max_features: int = 8192  # a sampled text trains with its most frequent ones
     min_per_class: int = 8
     held_out: int = 4  # every fourth row of the sample calibrates
     bits: int = 14  # hashed features for words, and as many for characters
@@ -50,28 +54,57 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.a * raw + self.b, -40, 40)))
 
 
-def feature_ids(raw: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, p: QualityParams) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed ids of the word uni- and bigrams, and of the character n-grams (bytes)."""
-    shift = np.uint64(64 - p.bits)
-    two = mix(hashes[:-1] * np.uint64(3) + hashes[1:]) if len(hashes) > 1 else hashes[:0]
-    words = (np.concatenate([hashes, two]) >> shift).astype(np.int64)
-    data = np.frombuffer(raw, np.uint8)
-    n = len(data) - p.char_n + 1
-    if n <= 0:
-        return words, np.zeros(0, np.int64)
-    h = np.zeros(n, np.uint64)
-    for k in range(p.char_n):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + BYTE_CODE[data[k : k + n]]
-    return words, (h >> shift).astype(np.int64) + (1 << p.bits)
+PIECE = 1 << 18
 
 
-def base_counts(text: str | None) -> tuple[int, int, int, int, int, bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; then what scoring reuses."""
+def feature_counts(raw: bytes, hashes: np.ndarray, p: QualityParams) -> tuple[np.ndarray, np.ndarray]:
+    """How often each hashed word uni- or bigram occurs, and each hashed character n-gram (bytes)."""
+    shift, size = np.uint64(64 - p.bits), 1 << p.bits
+    words, chars = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for low in range(0, len(hashes), PIECE):
+        one = hashes[low : low + PIECE + 1]
+        words += np.bincount((one[:PIECE] >> shift).astype(np.int64), minlength=size)
+        if len(one) > 1:
+            words += np.bincount((mix(one[:-1] * np.uint64(3) + one[1:]) >> shift).astype(np.int64), minlength=size)
+    data = np.frombuffer(raw, np.uint8)
+    for low in range(0, len(data) - p.char_n + 1, PIECE):
+        part = data[low : low + PIECE + p.char_n - 1]
+        h = np.zeros(len(part) - p.char_n + 1, np.uint64)
+        for k in range(p.char_n):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + BYTE_CODE[part[k : k + len(h)]]
+        chars += np.bincount((h >> shift).astype(np.int64), minlength=size)
+    return words, chars
+
+
+def repeated_words(raw: bytes, hashes: np.ndarray) -> int:
+    """Words in 3-word windows found twice or more. Hashes find candidates; the words of each are compared."""
+    n = len(hashes)
+    if n < 4:
+        return 0
+    window = mix(mix(hashes[:-2] * np.uint64(3) + hashes[1:-1]) * np.uint64(5) + hashes[2:])
+    order = np.argsort(window, kind="stable")
+    same = window[order][1:] == window[order][:-1]
+    if not same.any():
+        return 0
+    again, before = order[1:][same], order[:-1][same]
+    words = raw.split()
+    if any(words[a : a + 3] != words[b : b + 3] for a, b in zip(again.tolist(), before.tolist(), strict=True)):
+        seen: dict[tuple, list[int]] = {}  # different windows share a hash: the candidates are grouped by their words
+        for k in {*again.tolist(), *before.tolist()}:
+            seen.setdefault(tuple(words[k : k + 3]), []).append(k)
+        again = before = np.array([k for places in seen.values() if len(places) > 1 for k in places], np.int64)
+    covered = np.zeros(n, bool)
+    for k in range(3):
+        covered[again + k] = covered[before + k] = True
+    return int(covered.sum())
+
+
+def base_counts(text: str | None) -> tuple[int, int, int, int, int, bytes, np.ndarray]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; then what scoring reuses: the bytes and the words' hashes."""
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
     starts, ends = word_spans(raw)
-    hashes = span_hashes(raw, starts, ends) if len(starts) else np.zeros(0, np.uint64)
-    n = len(starts)
+    hashes = span_hashes(raw, starts, ends)
     word_chars = len(text) - sum(text.count(c) for c in " \t\n\v\f\r")
     n_symbols = sum(raw.count(c) for c in (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"))
     n_dup_lines, seen = 0, set()
@@ -79,21 +112,7 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int, bytes, np.nd
         if line.split(None, 1):
             n_dup_lines += line in seen
             seen.add(line)
-    n_repeat = 0
-    if n > 3:
-        window = mix(mix(hashes[:-2] * np.uint64(3) + hashes[1:-1]) * np.uint64(5) + hashes[2:])
-        order = np.argsort(window)
-        same = window[order][1:] == window[order][:-1]
-        if same.any():
-            dup = np.zeros(n - 2, bool)
-            dup[order[1:][same]] = True
-            dup[order[:-1][same]] = True
-            covered = np.zeros(n, bool)
-            covered[:-2] |= dup
-            covered[1:-1] |= dup
-            covered[2:] |= dup
-            n_repeat = int(covered.sum())
-    return n, word_chars, n_symbols, n_dup_lines, n_repeat, raw, starts, ends, hashes
+    return len(starts), word_chars, n_symbols, n_dup_lines, repeated_words(raw, hashes), raw, hashes
 
 
 def fails_rules(n_words: int, n_repeat_words: int, p: QualityParams) -> bool:
@@ -101,12 +120,14 @@ def fails_rules(n_words: int, n_repeat_words: int, p: QualityParams) -> bool:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, p: QualityParams) -> DataFrame:
-    """(doc_id, y, text) of at most sample_per_class rows a class; the ids are few by that bound, so they are broadcast."""
+    """(doc_id, y, text) of at most sample_per_class rows a class, one an id; the ids are few by that bound, so they are broadcast."""
     rows = labels.select(F.col("doc_id").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     rows = rows.groupBy("doc_id").agg(F.min("y").alias("y"))
     of = [rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample_per_class) for y in (0, 1)]
     chosen = of[0].union(of[1])
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("text"))).alias("one")  # a row an id before the shuffle
+    return texts.groupBy("doc_id", "y").agg(one).select("doc_id", "y", "one.text")
 
 
 def _sparse_rows(p: QualityParams):
@@ -116,13 +137,11 @@ def _sparse_rows(p: QualityParams):
         for batch in batches:
             out = []
             for doc_id, y, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "y", "text")), strict=True):
-                *_, raw, starts, ends, hashes = base_counts(text)
-                ids, values = [], []
-                for part in feature_ids(raw, starts, ends, hashes, p):
-                    i, c = np.unique(part, return_counts=True)
-                    ids.append(i)
-                    values.append(c / max(1, len(part)))
-                out.append((doc_id, y, np.concatenate(ids).astype(np.int32).tobytes(), np.concatenate(values).astype(np.float32).tobytes()))
+                *_, raw, hashes = base_counts(text)
+                share = np.concatenate([c / max(1, c.sum()) for c in feature_counts(raw, hashes, p)])
+                ids = np.flatnonzero(share)
+                ids = np.sort(ids[np.argsort(-share[ids], kind="stable")[: p.max_features]])
+                out.append((doc_id, y, ids.astype(np.int32).tobytes(), share[ids].astype(np.float32).tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -130,7 +149,7 @@ def _sparse_rows(p: QualityParams):
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> QualityModel | None:
-    """The driver gets one bounded sparse vector a sampled row: at most 2**(bits+1) features each."""
+    """The driver gets one bounded sparse vector a sampled row: at most max_features each."""
     found = labelled_sample(docs, labels, p).mapInArrow(_sparse_rows(p), "doc_id long, y int, ids binary, values binary").collect()
     found.sort(key=lambda r: (r.doc_id, r.y, r.ids, r.values))
     y = np.array([r.y for r in found], float)
@@ -185,14 +204,13 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 1e-6), b
 
 
-def raw_score(weights: np.ndarray, parts: tuple[np.ndarray, np.ndarray]) -> float:
+def raw_score(weights: np.ndarray, counts: tuple[np.ndarray, np.ndarray]) -> float:
     """The weighted sum over square roots of the features' shares, as in training."""
-    total = 0.0
-    for k, part in enumerate(parts):
-        if len(part):
-            low = k * (len(weights) // 2)
-            share = np.bincount(part - low, minlength=len(weights) // 2)
-            total += float(np.sqrt(share / len(part)) @ weights[low : low + len(weights) // 2])
+    total, low = 0.0, 0
+    for c in counts:
+        if n := c.sum():
+            total += float(np.sqrt(c / n) @ weights[low : low + len(c)])
+        low += len(c)
     return total
 
 
@@ -211,9 +229,9 @@ def score(docs: DataFrame, model: QualityModel | None, p: QualityParams = Qualit
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                n, chars, symbols, lines, repeat, raw, starts, ends, hashes = base_counts(text)
+                n, chars, symbols, lines, repeat, raw, hashes = base_counts(text)
                 failed = fails_rules(n, repeat, p)
-                prob = None if m is None else float(m.probability(np.float64(raw_score(m.weights, feature_ids(raw, starts, ends, hashes, p)))))
+                prob = None if m is None else float(m.probability(np.float64(raw_score(m.weights, feature_counts(raw, hashes, p)))))
                 rows.append((n, chars, symbols, lines, repeat, failed, prob, not failed and (prob is None or prob >= p.threshold)))
             if rows:
                 cols = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)]
@@ -239,10 +257,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         m = held and QualityModel(*held.value)
 
         def one(text):
-            n, _, _, _, repeat, raw, starts, ends, hashes = base_counts(text)
+            n, _, _, _, repeat, raw, hashes = base_counts(text)
             if fails_rules(n, repeat, p):
                 return False
-            return m is None or float(m.probability(np.float64(raw_score(m.weights, feature_ids(raw, starts, ends, hashes, p))))) >= p.threshold
+            return m is None or float(m.probability(np.float64(raw_score(m.weights, feature_counts(raw, hashes, p))))) >= p.threshold
 
         return texts.map(one).astype(bool)
 

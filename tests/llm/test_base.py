@@ -202,6 +202,36 @@ def test_quality_counts(docs, none):
     assert quality.score(none, None).count() == 0
 
 
+def test_repeated_windows_are_told_by_their_words(spark):
+    a, b = thue_morse(0), thue_morse(1)
+    texts = {1: f"{a} x y {b} x y", 2: f"{a} x y {b} x y {a} x y", 3: "p q r s", 4: "p q r p q r"}
+    got = {r.doc_id: r.n_repeat_words for r in quality.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), None).collect()}
+    assert got == {1: 0, 2: 6, 3: 0, 4: 6}
+
+
+def test_features_of_long_texts_are_counted_in_pieces():
+    p = quality.QualityParams()
+    text = " ".join(f"w{k % 977}" for k in range(70_000))
+    *_, raw, hashes = quality.base_counts(text)
+    whole = quality.feature_counts(raw, hashes, p)
+    old, quality.PIECE = quality.PIECE, 1000
+    try:
+        cut = quality.feature_counts(raw, hashes, p)
+    finally:
+        quality.PIECE = old
+    assert all((x == y).all() for x, y in zip(whole, cut, strict=True)) and whole[0].sum() == 2 * 70_000 - 1 and whole[1].sum() == len(raw) - 3
+
+
+def test_sample_is_bounded_in_rows_and_features(spark):
+    docs = spark.createDataFrame([(k % 4, f"text {k} " + "word " * 60) for k in range(40)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, 1), (2, 0), (3, 1), (None, 1), (9, 1), (1, None)], "doc_id long, quality int")
+    rows = quality.labelled_sample(docs, labels, quality.QualityParams(sample_per_class=2)).collect()
+    assert sorted((r.doc_id, r.y) for r in rows if r.y == 0) == [(0, 0), (2, 0)] and len([r for r in rows if r.y]) <= 2
+    few = quality._sparse_rows(quality.QualityParams(max_features=5))
+    made = quality.labelled_sample(docs, labels, quality.QualityParams()).mapInArrow(few, "doc_id long, y int, ids binary, values binary").collect()
+    assert len(made) == 4 and all(len(r.ids) <= 20 for r in made)
+
+
 def test_quality_model_holds_out(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     p = quality.QualityParams(sample_per_class=60, min_per_class=4)
