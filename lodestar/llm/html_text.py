@@ -1,21 +1,25 @@
 """Main text of web pages: gradient-boosted trees over DOM-node features, decoded along the tree.
 
-A tolerant tokenizer builds the tree of block-level nodes; inline markup only contributes its text. Each node
-has features of itself and of its subtree: tag, depth, text and link density, sentence punctuation, attribute
+A tolerant scanner builds the tree of block-level nodes in one pass; inline markup only contributes its text. Each
+node has features of itself and of its subtree: tag, depth, text and link density, sentence punctuation, attribute
 tokens of its own and of its ancestors, its place among its siblings and theirs in text. Trees boosted for the
 logistic loss give each node the probability that it or something below it is main text. Decoding maximises the
 sum of log-odds under the rule that nothing below a dropped node is kept, so ancestors and descendants never
 contradict each other. A kept node's own text runs are its blocks.
 
-The model is fitted on the driver, on pages composed from a fixed seed out of layouts whose main text is known
-(`training_pages`); it is a few kilobytes and the same in every run.
+The model is fitted on the driver once a process, on pages composed from a fixed seed out of layouts whose main text
+is known (`training_pages`); it is a few kilobytes and the same in every run.
 
-Null, empty and tagless texts: no text for null and empty; a page without tags is one block. Unclosed and
-stray tags follow the usual repairs. Repeated rows are extracted each for itself.
+Defined results: no text for null and empty pages and for an empty table no rows; a page without tags is one block.
+Unclosed and stray tags follow the usual repairs. A quote that never closes, or whose value runs past a > into the
+next tag, ends with its tag, so that text is not lost; a tag without > at the end of a page is dropped. Very long
+pages are whole and take time in proportion to their length. Repeated rows are extracted each for itself. Columns
+other than those named are not read, so they may have any name.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterator
@@ -40,8 +44,12 @@ TAGS = ("body", "div", "section", "article", "main", "p", "h1", "h2", "h3", "h4"
 GOOD_WORDS = frozenset("article content post entry story body text main page hentry blog read prose".split())
 BAD_WORDS = frozenset("ad ads advert advertisement adverts advertising aside banner breadcrumb breadcrumbs comment comments consent contact cookie cookies copyright disqus footer form gdpr header login masthead menu meta modal nav navbar navigation newsletter notice outbrain pagination pager popup privacy promo promotion promoted recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe tags toc toolbar trending widget widgets".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+NAME = re.compile(r"[^\t\n\f\r />]*+")
+BETWEEN = re.compile(r"[\t\n\f\r /]*+")
+ATTRIBUTE = re.compile(r"([^\t\n\f\r />][^\t\n\f\r />=]*+)[\t\n\f\r ]*+(=[\t\n\f\r ]*+)?+")
+BARE = re.compile(r"[^\t\n\f\r >]*+")
+RUNS_ON = re.compile(r"[^<>]*+>[^<]*+</?[a-zA-Z]")
+NONE = re.compile(r"display\s*+:\s*+none", re.I)
 SPACE = re.compile(r"\s+")
 SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
@@ -49,30 +57,120 @@ SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 class Node:
     __slots__ = ("tag", "parent", "depth", "good", "bad", "hidden", "runs", "n_links", "link_chars", "children", "first", "last")
 
-    def __init__(self, tag: str, parent: int, depth: int, attributes: str):
+    def __init__(self, tag: str, parent: int, depth: int, attributes: list[tuple[str, str]]):
         self.tag, self.parent, self.depth = tag, parent, depth
         self.good = self.bad = 0
         self.hidden = tag in NEVER
-        if attributes and not attributes.isspace():
-            for m in ATTRIBUTE.finditer(attributes):
-                name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
-                if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-                    self.hidden = True
-                elif name in ("class", "id", "role", "itemprop"):
-                    words = {w.lower() for w in SPLIT.split(value) if w}
-                    self.good += len(words & GOOD_WORDS)
-                    self.bad += len(words & BAD_WORDS)
+        for name, value in attributes:
+            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and NONE.search(value)):
+                self.hidden = True
+            elif name in ("class", "id", "role", "itemprop"):
+                words = {w.lower() for w in SPLIT.split(value) if w}
+                self.good += len(words & GOOD_WORDS)
+                self.bad += len(words & BAD_WORDS)
         self.runs: list[tuple[int, list[str]]] = []  # number on the page, and pieces
         self.n_links = self.link_chars = 0
         self.children: list[int] = []
 
 
+class Scanner:
+    """Text and tags of a page from left to right. No place is searched again for what is not there."""
+
+    def __init__(self, source: str):
+        self.source, self.pos = source, 0
+        self.gone: set[str] = set()  # what does not occur any more
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        found = self.source.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def skip_to(self, what: str, at: int) -> None:
+        found = self.find(what, at)
+        self.pos = len(self.source) if found < 0 else found + len(what)
+
+    def attributes(self, at: int) -> tuple[list[tuple[str, str]], bool, int] | None:
+        """Attributes from `at` on, whether the tag closes itself, and its end; None where the page ends before."""
+        source, out = self.source, []
+        while True:
+            start = at
+            at = BETWEEN.match(source, at).end()
+            if at >= len(source):
+                return None
+            if source[at] == ">":
+                return out, at > start and source[at - 1] == "/", at + 1
+            m = ATTRIBUTE.match(source, at)
+            name, at = m[1].lower(), m.end()
+            if not m[2]:
+                out.append((name, ""))
+            elif source[at : at + 1] in ("'", '"'):
+                close = self.find(source[at], at + 1)
+                if close < 0 or RUNS_ON.match(source, at + 1, close):
+                    end = self.find(">", at + 1)
+                    if end < 0:
+                        return None
+                    return [*out, (name, source[at + 1 : end])], False, end + 1
+                out.append((name, source[at + 1 : close]))
+                at = close + 1
+            else:
+                m = BARE.match(source, at)
+                out.append((name, m[0]))
+                at = m.end()
+
+    def __iter__(self) -> Iterator[tuple[str | None, str, list[tuple[str, str]], bool]]:
+        """(tag, text, attributes, closes itself): text where tag is null; an end tag's name starts with /."""
+        source, said = self.source, 0
+        while True:
+            at = self.find("<", self.pos)
+            if at < 0:
+                if said < len(source):
+                    yield None, source[said:], [], False
+                return
+            nxt, after = source[at + 1 : at + 2], source[at + 2 : at + 3]
+            is_tag = nxt.isascii() and nxt.isalpha() or (nxt == "/" and after.isascii() and after.isalpha())
+            if not is_tag and nxt not in ("!", "?") and not (nxt == "/" and after):
+                self.pos = at + 1  # a < of the text
+                continue
+            if at > said:
+                yield None, source[said:at], [], False
+            if is_tag:
+                m = NAME.match(source, at + 1 + (nxt == "/"))
+                made = self.attributes(m.end())
+                if made is None:
+                    return
+                self.pos = said = made[2]
+                yield ("/" if nxt == "/" else "") + m[0].lower(), "", made[0], made[1]
+            elif source.startswith("<!--", at):
+                if source.startswith((">", "->"), at + 4):
+                    self.skip_to(">", at + 4)
+                else:
+                    ends = [k for k in (self.find("-->", at + 4), self.find("--!>", at + 4)) if k >= 0]
+                    self.pos = self.source.index(">", min(ends)) + 1 if ends else len(source)
+            elif source.startswith("<![CDATA[", at):
+                end = self.find("]]>", at + 9)
+                end = len(source) if end < 0 else end
+                yield None, html.escape(source[at + 9 : end]), [], False
+                self.pos = end + 3
+            else:
+                self.skip_to(">", at + 2)
+            said = self.pos
+
+    def skip_raw(self, tag: str) -> None:
+        """Passes the content of an element that holds no markup, and its end tag."""
+        close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(self.source, self.pos)
+        self.skip_to(">", close.end()) if close else self.skip_to("", len(self.source))
+
+
 def parse(source: str) -> list[Node]:
     """Block-level nodes in page order; node 0 is the page."""
-    nodes = [Node("html", -1, 0, "")]
+    nodes = [Node("html", -1, 0, [])]
     stack: list[tuple[str, int]] = [("html", 0)]  # open tags, inline ones with their block
+    places: dict[str, list[int]] = {}  # of each open tag on the stack
     run: list[str] | None = None
-    n_runs, pos, in_link = 0, 0, 0
+    n_runs, in_link = 0, 0
 
     def say(piece: str) -> None:
         nonlocal run, n_runs
@@ -87,6 +185,10 @@ def parse(source: str) -> list[Node]:
         if in_link:
             owner.link_chars += len(piece.strip())
 
+    def push(tag: str, node: int) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, node))
+
     def shut(at: int) -> None:
         """Closes what is open from place `at` of the stack on."""
         nonlocal run, in_link
@@ -95,75 +197,61 @@ def parse(source: str) -> list[Node]:
                 in_link = max(0, in_link - 1)
             elif tag not in INLINE:
                 run = None
+            places[tag].pop()
         del stack[at:]
 
     def opened(tags, fence) -> int:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                return k
-            if stack[k][0] in fence:
-                break
-        return 0
-
-    while True:
-        m = TOKEN.search(source, pos)
-        end = m.start() if m else len(source)
-        if end > pos:
-            say(html.unescape(source[pos:end]))
-        if not m:
-            return nodes
-        pos = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                say(m[0][9:].removesuffix("]]>"))
-            continue
-        tag = m[2].lower()
-        if m[1]:
+        """The place of the innermost open one of `tags`, 0 if a tag of `fence` stands between or none is open."""
+        at = max((places[t][-1] for t in tags if places.get(t)), default=0)
+        wall = max((places[t][-1] for t in fence if t not in tags and places.get(t)), default=0)
+        return at if at > wall else 0
+
+    def block(tag: str, attributes) -> None:
+        nonlocal run
+        run = None
+        up = stack[-1][1]
+        nodes.append(Node(tag, up, nodes[up].depth + 1, attributes))
+        nodes[up].children.append(len(nodes) - 1)
+        push(tag, len(nodes) - 1)
+
+    page = Scanner(source)
+    for tag, text, attributes, closes_itself in page:
+        if tag is None:
+            say(html.unescape(text))
+        elif tag[0] == "/":
+            tag = tag[1:]
             if tag == "p" and not opened({"p"}, ()):
                 run = None
-            elif k := opened({tag}, () if tag in ("body", "html", "table") else {"table"} if tag not in ("tr", "td", "th", "tbody", "thead", "tfoot", "caption") else ()):
+            elif k := opened({tag}, () if tag in ("body", "html", "table") or tag in ("tr", "td", "th", "tbody", "thead", "tfoot", "caption") else {"table"}):
                 shut(k)
-            continue
-        if tag == "br":
+        elif tag == "br":
             say(" ") if run is not None else None
-            continue
-        if tag in VOID:
+        elif tag in VOID:
             if tag == "hr":
                 run = None
-            continue
-        if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, pos)
-            pos = close.end() if close else len(source)
-            continue
-        if tag in ("html", "head") or (tag == "body" and opened({"body"}, ())):
+        elif tag in RAW:
+            page.skip_raw(tag)
+        elif tag in ("html", "head") or (tag == "body" and opened({"body"}, ())):
             if tag == "head":
-                stack.append((tag, len(nodes)))
-                nodes.append(Node(tag, stack[-2][1], nodes[stack[-2][1]].depth + 1, m[3]))
-                nodes[nodes[-1].parent].children.append(len(nodes) - 1)
-                run = None
-            continue
-        if tag == "body" and (k := opened({"head"}, ())):
-            shut(k)
-        if tag in CLOSES_P and (k := opened({"p"}, {"table", "td", "th", "button", "object"})):
-            shut(k)
-        if tag in ENDS and (k := opened(ENDS[tag], FENCE[tag])):
-            shut(k)
-        if tag == "a" and (k := opened({"a"}, {"table", "td"})):
-            shut(k)
-        block = stack[-1][1]
-        if tag in INLINE and not (tag != "a" and re.search(r"hidden|display\s*:\s*none", m[3])):
-            if tag == "a":
-                in_link += 1
-                nodes[block].n_links += 1
-            if not m[3].endswith("/"):
-                stack.append((tag, block))
-            elif tag == "a":
-                in_link -= 1
-        elif not (m[3].endswith("/") and tag in ("svg", "path", "embed")):
-            run = None
-            nodes.append(Node(tag, block, nodes[block].depth + 1, m[3]))
-            nodes[block].children.append(len(nodes) - 1)
-            stack.append((tag, len(nodes) - 1))
+                block(tag, attributes)
+        else:
+            if tag == "body" and (k := opened({"head"}, ())):
+                shut(k)
+            if tag in CLOSES_P and (k := opened({"p"}, {"table", "td", "th", "button", "object"})):
+                shut(k)
+            if tag in ENDS and (k := opened(ENDS[tag], FENCE[tag])):
+                shut(k)
+            if tag == "a" and (k := opened({"a"}, {"table", "td"})):
+                shut(k)
+            if tag in INLINE and (tag == "a" or not any("hidden" in n or "hidden" in v or NONE.search(v) for n, v in attributes)):
+                if tag == "a":
+                    nodes[stack[-1][1]].n_links += 1
+                if not closes_itself:
+                    in_link += tag == "a"
+                    push(tag, stack[-1][1])
+            elif not (closes_itself and tag in ("svg", "path", "embed")):
+                block(tag, attributes)
+    return nodes
 
 
 SENTENCE = re.compile(r"[.!?…。](?:\s|$)|,\s")
@@ -398,7 +486,9 @@ def training_pages(n: int = 400, seed: int = 11) -> Iterator[tuple[str, set[str]
         yield "<html><head><title>x</title></head><body>" + pick("{}", "{}", '<div id="wrapper">{}</div>').format("".join(before) + body + "".join(after)) + "</body></html>", set(main)
 
 
+@functools.cache
 def train() -> Boosted:
+    """The model, fitted once a process."""
     xs, ys = [], []
     for page, main in training_pages():
         nodes = parse(page)

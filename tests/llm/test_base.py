@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -429,6 +430,72 @@ def test_extraction_details(spark, model):
     assert [got[k].text for k in (2, 3, 4)] == ["", "", ""] and len(got) == 6
 
 
+ARTICLE = "<html><body><nav><a href=/>Menu</a></nav><article><h1>A good title here</h1>{}<p>Second paragraph is here, and it goes on.</p></article></body></html>"
+
+
+@pytest.mark.parametrize(
+    ("markup", "text"),
+    [
+        ('<p class="x>First paragraph, as it is.</p>', "First paragraph, as it is."),  # its value would run on into the next tag
+        ("<p data-x=it's>First one, as it is.</p>", "First one, as it is."),
+        ("<!--><p>First one, as it is.</p>", "First one, as it is."),
+        ("<!---><p>First one, as it is.</p>", "First one, as it is."),
+        ("<!-- <p>gone</p> --!><p>First one, as it is.</p>", "First one, as it is."),
+        ("<p title='a > b'>First one, as it is.</p>", "First one, as it is."),
+        ('<p title="<b>x</b>">First one, as it is.</p>', "First one, as it is."),
+        ("<p>1 < 2 and a<3, \"x\" isn't.</p>", "1 < 2 and a<3, \"x\" isn't."),
+        ("<p>Left </><?php echo 1 ?>over, it is.</p>", "Left over, it is."),
+        ("<p>So <script>if (a<b) '</p>'</script>it is, he said.</p>", "So it is, he said."),
+        ("<p>One&nbsp;two &lt;b&gt; it&#39;s, so.</p>", "One two <b> it's, so."),
+    ],
+)
+def test_bad_markup_neither_leaks_nor_loses_text(model, markup, text):
+    assert next(html_text.main_texts([ARTICLE.format(markup)], model)) == f"A good title here\n{text}\nSecond paragraph is here, and it goes on."
+
+
+def test_pages_made_by_hand(model):
+    news = """<!DOCTYPE html><html lang=en><head><title>Site</title><style>p{color:red}</style></head><body>
+      <div id="cookie-banner">We use cookies, as all do.</div><header class="site-header"><a href="/">Home</a> <a href="/a">About</a></header>
+      <div class="layout"><main id="content"><h1>Bridge opens</h1><div class="byline-social share">Share this</div>
+      <p>The bridge over the river opened on Monday, after two years of work.</p><div class="advert"><p>Buy a boat today, half price.</p></div>
+      <p>Crowds came to see it. <em>Nobody</em> fell in.</p><ul><li>Length: 300 m, in all</li><li>Cost: too much, some said</li></ul></main>
+      <aside class="sidebar"><h3>Most read</h3><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></aside></div>
+      <section id="comments"><p>I like it, it is big.</p></section><footer>&copy; 2020 The Paper</footer></body></html>"""
+    want = "Bridge opens\nThe bridge over the river opened on Monday, after two years of work.\nCrowds came to see it. Nobody fell in.\nLength: 300 m, in all\nCost: too much, some said"
+    assert next(html_text.main_texts([news], model)) == want
+    blog = """<body><div class=nav-menu><ul><li><a href=/x>x</a><li><a href=/y>y</a></ul></div><div class="post"><h2>On bread</h2><p>Bread needs time, water and salt.
+      <p>Flour too, of course.<blockquote>No bread, no life.</blockquote></div><form action=/s><label>Search</label><input></form><div class="footer">All rights, some wrongs.</div>"""
+    assert next(html_text.main_texts([blog], model)) == "On bread\nBread needs time, water and salt.\nFlour too, of course.\nNo bread, no life."
+
+
+@pytest.mark.parametrize("page", ["<" + "a" * 200_000, '<a title="x ' * 20_000, "<div>" * 20_000 + "deep", "<p><table><tr><td>" + "<div>" * 20_000, "<p a='x>" * 20_000, "<!--" * 50_000, "<script></script " * 20_000, '<p a="' + ">x" * 100_000])
+def test_parsing_takes_linear_time(page):
+    began = time.monotonic()
+    html_text.parse(page)
+    assert time.monotonic() - began < 2
+
+
+def test_decoding_is_optimal_on_small_trees():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n = int(rng.integers(1, 9))
+        nodes = [html_text.Node("html", -1, 0, [])]
+        for k in range(1, n):
+            up = int(rng.integers(0, k))
+            nodes.append(html_text.Node(rng.choice(["div", "p", "script"], p=[0.5, 0.4, 0.1]), up, nodes[up].depth + 1, []))
+            nodes[up].children.append(k)
+        for x in nodes:
+            x.runs = [(0, ["x" * int(rng.integers(0, 200))])]
+        odds = rng.normal(size=n)
+        weight = odds * np.array([1 + len(x.runs[0][1][0]) / 50 for x in nodes])
+        best = -np.inf
+        for bits in range(1 << (n - 1)):
+            kept = [True, *(bool(bits >> k & 1) for k in range(n - 1))]
+            if all(not kept[k] or (kept[x.parent] and not x.hidden) for k, x in enumerate(nodes) if k):
+                best = max(best, weight[kept].sum())
+        assert np.isclose(weight[html_text.decode(nodes, odds)].sum(), best)
+
+
 def test_decoding_never_keeps_below_a_dropped_node(model):
     for page, _ in html_text.training_pages(30, seed=8):
         nodes = html_text.parse(page)
