@@ -14,7 +14,9 @@ rate a term, and a revealing one is then found in the words of all documents. Sa
 for entities, [NUM] for revealing numbers and [NAME] for revealing capitalised words; other revealing terms
 are removed.
 
-Everything runs as DataFrame operations. Counts cover all documents. Null texts count as empty; repeated rows count each for itself.
+Everything runs as DataFrame operations; counts cover all documents. Defined results: null texts count as empty and stay
+null in the pipeline; repeated rows and null ids count each for itself; an empty table gives an empty result; very long
+texts are handled whole, in time proportional to their length and matches. The stage keeps other columns whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import Written, table
-from lodestar.llm.spans import cut, located, replaced, written_out
+from lodestar.llm.spans import around, blanked, cut, located, replaced, written_out
 
 CONTEXT = 60
 DISCLOSURE = 0.9
@@ -57,28 +59,28 @@ def entities(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]
     return found.select(id_col, *keep, "__text", F.xxhash64("__text").alias("__key"), F.expr(f"concat({', '.join(parts)})").alias("__spans"))
 
 
+# The text with blanks for its entities, so that places stay and words that touch an entity are told from it.
+_BARE = blanked("__text", "array_sort(transform(__spans, s -> struct(s.start, s.end)))")
+
+
 def contexts(found: DataFrame, id_col: str) -> DataFrame:
-    """(id, __key, entity, context, term, start, end): each term beside each entity, outside all entities.
+    """(__id, __key, entity, context, term): each term beside each entity, outside all entities.
 
     context is a hash of what stands on both sides of an occurrence. Words that the window cuts at its outer edge don't count.
     """
-    one = found.where("size(__spans) > 0").select(F.col(id_col).alias("__id"), "__key", "__text", "__spans", F.explode("__spans").alias("s"))
-    around = F.xxhash64(F.expr(f"substring(__text, greatest(s.start - {CONTEXT}, 0) + 1, least(s.start, {CONTEXT}))"), F.expr(f"substring(__text, s.end + 1, {CONTEXT})"))
-    windows = F.expr(f"""array(
-        struct(greatest(s.start - {CONTEXT}, 0) as low, s.start as high),
-        struct(s.end as low, least(s.end + {CONTEXT}, length(__text)) as high))""")
-    sides = one.select("__id", "__key", "__spans", F.concat_ws(":", "s.kind", "s.hit").alias("entity"), around.alias("context"), F.length("__text").alias("n"), F.col("s.start").alias("of"), "__text", F.explode(windows).alias("w"))
-    sides = sides.withColumn("side", F.expr("substring(__text, w.low + 1, w.high - w.low)")).drop("__text")
-    cut_ = cut(sides, "side", {"term": (TERM, "true")})
-    terms = cut_.select("__id", "__key", "__spans", "entity", "n", "of", "w", "context", F.explode(F.expr(located("__g_term", "__m_term", "w.low"))).alias("t"))
-    whole = terms.where("""(t.start > w.low or w.low = 0 or w.low > of) and (t.end < w.high or w.high = n or w.high = of)
-        and not exists(__spans, x -> x.start < t.end and t.start < x.end)""")
-    return whole.select("__id", "__key", "entity", "context", F.lower("t.hit").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
+    rows = found.where("size(__spans) > 0").withColumn("__bare", F.expr(_BARE))
+    sides = rows.select(F.col(id_col).alias("__id"), "__key", F.length("__text").alias("n"), F.expr(around("__bare", "__spans", CONTEXT)).alias("w"))
+    one = sides.select("__id", "__key", "n", F.explode("w").alias("s"))  # texts stay behind
+    left = F.expr(rf"case when s.of.start > {CONTEXT} then regexp_replace(s.before, r'^{TERM}', '') else s.before end")
+    right = F.expr(rf"case when s.of.end + {CONTEXT} < n then regexp_replace(s.after, r'(?<![\p{{L}}\p{{N}}]){TERM}$', '') else s.after end")
+    sides = one.select("__id", "__key", F.concat_ws(":", "s.of.kind", "s.of.hit").alias("entity"), F.xxhash64("s.before", "s.after").alias("context"), F.concat_ws(" ", left, right).alias("beside"))
+    terms = F.array_distinct(F.regexp_extract_all(F.lower("beside"), F.lit(TERM), F.lit(0)))
+    return sides.select("__id", "__key", "entity", "context", F.explode_outer(terms).alias("term"))
 
 
 def disclosing(docs: DataFrame, beside: DataFrame, text_col: str) -> DataFrame:
-    """(entity, term) of the terms that reveal an entity. Counts combine before each shuffle."""
-    once = beside.groupBy("entity", "term", "context", "__id", "__key").agg(F.lit(1).alias("one"))
+    """(entity, term, disclosure) of the terms that reveal an entity. Counts combine before each shuffle."""
+    once = beside.where("term is not null").groupBy("entity", "term", "context", "__id", "__key").agg(F.lit(1).alias("one"))
     pairs = once.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("support"))
     pairs = pairs.where(F.col("support") >= SUPPORT)
     occurrences = beside.groupBy("entity", "__id", "__key", "context").agg(F.lit(1).alias("one")).groupBy("entity", "__id", "__key").agg(F.count("*").alias("n"))
@@ -88,74 +90,62 @@ def disclosing(docs: DataFrame, beside: DataFrame, text_col: str) -> DataFrame:
     total = docs.agg(F.count("*").alias("n_docs"))
     rated = pairs.join(by_entity, "entity").join(by_term, "term").join(F.broadcast(total))  # one row
     ratio = F.log(F.least(F.lit(1.0), F.col("n_te") / F.col("n_e")) * F.col("n_docs") / F.col("docs_t")) / -F.log(F.col("docs_e") / F.col("n_docs"))
-    return rated.where(F.col("docs_e") < F.col("n_docs")).where(ratio >= DISCLOSURE).select("entity", "term")
+    return rated.where(F.col("docs_e") < F.col("n_docs")).where(ratio >= DISCLOSURE).select("entity", "term", ratio.alias("disclosure"))
 
 
-# The text with blanks for its entities, so that places stay and words that touch an entity are told from it.
-_BARE = """aggregate(array_sort(transform(__spans, s -> struct(s.start, s.end))), struct(0 as at, '' as out),
-    (acc, s) -> struct(greatest(acc.at, s.end) as at,
-        concat(acc.out, substring(__text, acc.at + 1, greatest(s.start - acc.at, 0)), repeat(' ', greatest(s.end - greatest(acc.at, s.start), 0))) as out),
-    acc -> concat(acc.out, substring(__text, acc.at + 1)))"""
-# Places grow only at a hit, so words of long texts are passed in linear time.
-_PLACES = """aggregate(zip_with(slice(__g_term, 1, size(__m_term)), __m_term, (a, b) -> struct(length(a) as gap, b as hit)),
-    struct(0 as at, cast(array() as array<struct<start:int,end:int>>) as out),
-    (acc, x) -> struct(int(acc.at + x.gap + length(x.hit)) as at,
-        case when array_contains(__revealing, lower(x.hit)) then concat(acc.out, array(struct(int(acc.at + x.gap) as start, int(acc.at + x.gap + length(x.hit)) as end))) else acc.out end as out),
-    acc -> acc.out)"""
-
-
-def revealing(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def revealing(found: DataFrame, id_col: str) -> DataFrame:
     """(__id, __key, __revealing): the revealing terms of each text that has some, whether it holds an entity or not.
 
-    found: entities() of the texts that hold some, at least. Both tables are written, so that Spark broadcasts them only
-    where they are small; a term that is frequent in a large join is split by the adaptive plan.
+    found: entities() of all texts, written. What is derived is written too, so that Spark broadcasts tables only where
+    they are small; a term that is frequent in a large join is split by the adaptive plan.
     """
-    keep = Written(docs.sparkSession)
+    keep = Written(found.sparkSession)
     beside = keep(contexts(found, id_col))
-    terms = keep(disclosing(docs, beside, text_col).select("term").distinct())
-    bare = entities(docs, id_col, text_col).select(F.col(id_col).alias("__id"), "__key", F.expr(_BARE).alias("__bare"))
-    words = bare.select("__id", "__key", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("__bare", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
+    terms = keep(disclosing(found, beside, "__text").select("term").distinct())
+    bare = found.select(F.col(id_col).alias("__id"), "__key", F.expr(_BARE).alias("__bare"))
+    words = bare.select("__id", "__key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("__bare"), F.lit(TERM), F.lit(0)))).alias("term"))
     return keep(words.join(terms, "term").groupBy("__id", "__key").agg(F.collect_set("term").alias("__revealing")))
 
 
 def with_terms(found: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
-    """entities() with __terms: the places (start, end) of revealing terms, outside all entities."""
-    rows = found.join(terms, F.col(id_col).eqNullSafe(F.col("__id")) & (found["__key"] == terms["__key"]), "left").drop(terms["__key"]).drop("__id")
-    rows = rows.withColumn("__revealing", F.expr("coalesce(__revealing, cast(array() as array<string>))"))
-    rows = rows.withColumn("__bare", F.expr(f"case when size(__revealing) > 0 then {_BARE} else '' end"))
-    return cut(rows, "__bare", {"term": (TERM, "size(__revealing) > 0")}).withColumn("__terms", F.expr(_PLACES))
+    """entities() with __terms: the places (start, end, hit) of revealing terms, outside all entities."""
+    rows = found.join(terms.withColumnRenamed("__key", "__key2"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__key2")), "left").drop("__key2", "__id")
+    rows = rows.withColumn("__bare", F.expr(f"case when __revealing is not null then {_BARE} else '' end"))
+    rows = cut(rows, "__bare", {"term": (TERM, "__revealing is not null")})
+    return rows.withColumn("__terms", F.expr(f"filter({located('__g_term', '__m_term')}, s -> array_contains(__revealing, lower(s.hit)))"))
+
+
+_TO = "case s.kind when 'email' then '[EMAIL]' when 'ip' then '[IP]' when 'card' then '[CARD]' else '[PHONE]' end"
+_TERM_TO = r"case when s.hit rlike r'^\p{N}+$' then '[NUM]' when s.hit rlike r'^\p{Lu}' then '[NAME]' else '' end"
+_CLEAN = replaced("__text", f"""array_sort(concat(transform(__spans, s -> struct(s.start, s.end, {_TO} as to)),
+    transform(__terms, s -> struct(s.start, s.end, {_TERM_TO} as to))))""")
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms."""
-    slim = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))
-    found = entities(slim, id_col, text_col)
-    rows = with_terms(found, revealing(slim, found, id_col, text_col), id_col)
+    """One row per document: id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms, sanitised (the text without them)."""
+    found = Written(docs.sparkSession)(entities(docs, id_col, text_col))
+    rows = with_terms(found, revealing(found, id_col), id_col)
     rows = rows.withColumn("__all", F.expr("concat(transform(__spans, s -> struct(s.kind, s.start, s.end)), transform(__terms, s -> struct('term' as kind, s.start, s.end)))"))
     counts = [F.expr(f"bigint(size(filter(__spans, s -> s.kind = '{k}')))").alias(f"n_{k}") for k in KINDS]
-    return rows.select(id_col, *counts, F.expr(f"sha2({written_out('__spans')}, 256)").alias("base_sha256"), F.expr(written_out("__all")).alias("spans"), F.expr("bigint(size(__terms))").alias("n_terms"))
+    return rows.select(
+        id_col, *counts, F.expr(f"sha2({written_out('__spans')}, 256)").alias("base_sha256"), F.expr(written_out("__all")).alias("spans"), F.expr("bigint(size(__terms))").alias("n_terms"), F.expr(_CLEAN).alias("sanitised")
+    )
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect(table(spark, sf_dir, "documents"))
-
-
-_TO = "case s.kind when 'email' then '[EMAIL]' when 'ip' then '[IP]' when 'card' then '[CARD]' else '[PHONE]' end"
-_TERM_TO = r"case when substring(__text, s.start + 1, s.end - s.start) rlike r'^\p{N}+$' then '[NUM]' when substring(__text, s.start + 1, 1) rlike r'\p{Lu}' then '[NAME]' else '' end"
+    found = detect(table(spark, sf_dir, "documents"))
+    return found.withColumn("sanitised", F.sha2("sanitised", 256)).withColumnRenamed("sanitised", "sanitised_sha256")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their texts sanitised and n_chars, where it is a column, counted anew.
 
-    Revealing terms go from every text, with an entity or without; they join by id and text.
+    Revealing terms go from every text, with an entity or without; they join by id and text. Null texts stay null.
     """
-    names, other = docs.columns, [c for c in docs.columns if c not in ("doc_id", "text")]
-    prepared = docs.select("doc_id", F.struct(*other).alias("__rest"), "text") if other else docs.select("doc_id", F.struct(F.lit(0).alias("none")).alias("__rest"), "text")
-    found = entities(prepared.withColumn("__had", F.col("text").isNotNull()), "doc_id", "text", ("__rest", "__had"))
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = with_terms(found, revealing(slim, entities(slim, "doc_id", "text"), "doc_id", "text"), "doc_id")
-    spans = F.expr(f"""array_sort(concat(transform(__spans, s -> struct(s.start, s.end, {_TO} as to)),
-        transform(__terms, s -> struct(s.start, s.end, {_TERM_TO} as to))))""")
-    done = rows.withColumn("__all", spans).withColumn("__clean", replaced("__text", "__all")).select("doc_id", "__rest", F.expr("case when __had then __clean end").alias("text"))
-    cols = [F.col(c) if c in ("doc_id", "text") else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"__rest.`{c}`") for c in names]
-    return done.select(*cols)
+    other = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("none")]
+    prepared = docs.select("doc_id", F.struct(*other).alias("__rest"), F.col("text").isNotNull().alias("__had"), "text")
+    found = Written(spark)(entities(prepared, "doc_id", "text", ("__rest", "__had")))
+    rows = with_terms(found, revealing(found, "doc_id"), "doc_id")
+    done = rows.select("doc_id", "__rest", F.expr(f"case when __had then {_CLEAN} end").alias("text"))
+    new = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text")}
+    return done.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"__rest.`{c}`")).alias(c) for c in docs.columns])

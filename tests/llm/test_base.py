@@ -2,15 +2,19 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import time
 
 import numpy as np
 import pytest
+import regex
 import xxhash
+from pyspark.sql import functions as F
 
-from lodestar.llm import components, html_text, licenses, mixing, packing, pii, quality, secret_scan, simhash, subdedup, vectors
+from lodestar.llm import components, html_text, licenses, mixing, packing, pii, quality, secret_scan, simhash, spans, subdedup, vectors
+from lodestar.llm.common import Written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -326,12 +330,134 @@ def test_secrets(docs, none):
     assert secret_scan.detect(none).count() == 0
 
 
-def test_random_tokens_are_told_from_words(spark):
+ALPHABETS = {
+    "hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "abcdefghijklmnopqrstuvwxyz0123456789",
+    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+}
+NAMES = "convertHtmlToPlainText2024 getUserProfileByIdentifier42 JohnsonAndSmithHolidays1998 ABSTRACTFACTORYBEAN2INSTANCE thequickbrownfoxjumps2over test_the_parser_of_2_long_names user-agent-string-parser-v2 org/apache/spark/sql/functions2 REMOTE_SERVER_ADDRESS_4_TEST 20240101T000000Z-report-final".split()
+
+
+def drawn(rng, encoding, n):
+    while True:
+        t = "".join(rng.choice(list(ALPHABETS[encoding]), n))
+        if re.search("[0-9]", t) and re.search("[A-Za-z]", t):
+            return t
+
+
+def test_random_tokens_are_told_from_names(spark):
     rng = np.random.default_rng(1)
-    alphabet = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
-    rows = [(k, "key " + "".join(rng.choice(alphabet, 40)) + " end") for k in range(60)] + [(1000 + k, f"see some-very-long-page-name-about-things-{k:03d}-in-the-year-2024 there") for k in range(60)]
-    got = {r.doc_id: r.n_random for r in secret_scan.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert sum(got[k] for k in range(60)) >= 57 and sum(v for k, v in got.items() if k >= 1000) == 0
+    planted = [(k * 100 + j, f"key {drawn(rng, e, n)} end") for k, (e, n) in enumerate([("base62", 32), ("base62", 40), ("base64", 40), ("base36", 32), ("base32", 40)]) for j in range(40)]
+    names = [(10_000 + k, f"see {name} there") for k, name in enumerate(NAMES)] + [(20_000 + k, f"see some-very-long-page-name-about-things-{k:03d}-in-the-year-2024 there") for k in range(60)]
+    got = {r.doc_id: r.n_random for r in secret_scan.detect(spark.createDataFrame(planted + names, "doc_id long, text string")).collect()}
+    assert sum(got[k] for k, _ in planted) >= 0.95 * len(planted) and sum(v for k, v in got.items() if k >= 10_000) == 0
+
+
+def plain_battery(t):
+    t = t.rstrip("=")
+    e = next(k for k, x in [("hex", "[0-9a-f]+|[0-9A-F]+"), ("base32", "[A-Z2-7]+"), ("base36", "[a-z0-9]+|[A-Z0-9]+"), ("base62", "[A-Za-z0-9]+"), ("base64", ".*")] if re.fullmatch(x, t))
+    low, cells, share = t.lower(), secret_scan.HEX_CELL if e == "hex" else secret_scan.CELL, secret_scan.SHARES[e]
+    shown = t if e in ("base62", "base64") else low
+    n, of = len(t), sum(share.values())
+    chi = sum((sum(c in cells[k] for c in shown) / n - m / of) ** 2 / (m / of) for k, m in share.items()) ** 0.5
+    kind = ["D" if c.isdigit() else "U" if c.isupper() else "l" if c.isalpha() else "S" for c in shown]
+    runs = sum(x != y and (x, y) != ("U", "l") for x, y in zip(kind, kind[1:], strict=False)) / (n - 1)
+    v = np.array([c in "aeiou" for c in low], float)
+    d = v - v.mean()
+    serial = (d[1:] * d[:-1]).sum() / (d * d).sum() if 0 < v.mean() < 1 else None
+    names = secret_scan.NAMES[e]
+    z = [(names.chi - chi) / names.chi_sd, (runs - names.runs) / (names.runs * (1 - names.runs) / (n - 1)) ** 0.5, 0.0 if serial is None or names.serial is None else (serial - names.serial) * n**0.5 / names.serial_sd]
+    return e, chi, runs, serial, 0.5 * math.erfc(sum(z) / (3 + 6 * secret_scan.RHO) ** 0.5 / 2**0.5)
+
+
+def test_battery_against_plain_formulas(spark):
+    rng = np.random.default_rng(2)
+    tokens = [*NAMES, *(drawn(rng, e, n) for e in ALPHABETS for n in (20, 33, 64)), "b1" * 12, "A0=", "1a" + "0" * 30, "x9" + "aeiou" * 5 + "=="]
+    for r in secret_scan.tested(spark.createDataFrame([(t,) for t in tokens if len(t) >= 20], "token string")).collect():
+        e, chi, runs, serial, p = plain_battery(r.token)
+        assert r.encoding == e and math.isclose(r.chi, chi, abs_tol=1e-9) and math.isclose(r.runs, runs, abs_tol=1e-9)
+        assert (r.serial is None) == (serial is None) and (serial is None or math.isclose(r.serial, serial, abs_tol=1e-9))
+        assert math.isclose(r.p, p, rel_tol=0.08, abs_tol=1e-30) and (p > 0.5 or r.p >= p * 0.999)
+
+
+def test_false_discovery_control_against_plain_steps(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, int(b)) for s, n in (("a", 400), ("b", 30), ("c", 3)) for b in np.concatenate([rng.exponential(20, n), rng.uniform(150, 400, n // 10)])]
+    got = {r.stratum: r.cut for r in secret_scan.rejected_from(spark.createDataFrame(rows, "stratum string, bin int")).collect()}
+    for s in "abc":
+        p = np.sort([10 ** (-b / secret_scan.BINS_PER_DECADE) for x, b in rows if x == s])
+        passed = [k for k in range(len(p)) if p[k] <= secret_scan.FDR * (k + 1) / len(p)]
+        bins = sorted((b for x, b in rows if x == s), reverse=True)
+        assert got.get(s) == (bins[passed[-1]] if passed else None)
+
+
+def test_many_matches_in_one_text_take_linear_time(spark):
+    took = []
+    for k in (2000, 16_000):
+        rows = [(1, "at 1.2.3.4 and a@b.cd token=abcdefghijkl0 " * k)]
+        began = time.monotonic()
+        r = pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).first()
+        assert (r.n_ip, r.n_email) == (k, k) and r.sanitised.startswith("at [IP] and [EMAIL] token=") and r.sanitised.count("[IP]") == k
+        assert secret_scan.detect(spark.createDataFrame(rows, "doc_id long, text string")).first().n_assign == k
+        took.append(time.monotonic() - began)
+    assert took[1] < 5 * took[0] + 10
+
+
+def test_places_and_replacements_of_many_spans(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(["é", "😀", "a ", "1.2 ", "33.44", "x" * rng.randrange(0, 1500)]) for _ in range(n)) for n in (0, 1, 23, 24, 25, 60, 576, 577, 1200)]
+    df = spans.cut(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "t", {"n": (r"[0-9]+\.[0-9]+", "true")})
+    df = df.withColumn("at", F.expr(spans.located("__g_n", "__m_n"))).withColumn("new", F.expr(spans.replaced("t", "transform(at, s -> struct(s.start, s.end, concat('<', s.hit, '>') as to))")))
+    df = df.withColumn("bare", F.expr(spans.blanked("t", "transform(at, s -> struct(s.start, s.end))"))).withColumn("near", F.expr(spans.around("t", "at", 60)))
+    number = re.compile(r"[0-9]+\.[0-9]+")
+    for r in df.collect():
+        t = texts[r.id]
+        assert [(x.start, x.end) for x in r["at"]] == [m.span() for m in number.finditer(t)]
+        assert r.new == number.sub(lambda m: f"<{m[0]}>", t) and r.bare == number.sub(lambda m: " " * len(m[0]), t)
+        assert [(x.before, x.after) for x in r.near] == [(t[max(0, m.start() - 60) : m.start()], t[m.end() : m.end() + 60]) for m in number.finditer(t)]
+    one = spark.createDataFrame([("abcdefgh", [(1, 4, "A"), (2, 6, "B"), (3, 5, "C"), (6, 7, "D")])], "t string, s array<struct<start:int,end:int,to:string>>")
+    assert one.select(F.expr(spans.replaced("t", "s"))).first()[0] == "aADh"
+
+
+def plain_disclosing(rows):
+    """(entity, term) pairs by the definition, document by document."""
+    found = {k: sorted({(a, b, kind, t[a:b]) for kind, p, ok in PII for m in re.finditer(p, t) if ok(m[0]) for a, b in [m.span()]}) for k, t in rows.items()}
+    seen, held, word_docs = collections.defaultdict(set), collections.defaultdict(set), collections.Counter()
+    for k, t in rows.items():
+        word_docs.update(set(regex.findall(pii.TERM, t.lower())))
+        bare = list(t)
+        for a, b, *_ in found[k]:
+            bare[a:b] = " " * (b - a)
+        bare = "".join(bare)
+        for a, b, kind, hit in found[k]:
+            before, after = bare[max(0, a - 60) : a], bare[b : b + 60]
+            held[kind, hit].add((k, before, after))
+            left = regex.sub("^" + pii.TERM, "", before) if a > 60 else before
+            right = regex.sub(pii.TERM + "$", "", after) if b + 60 < len(t) else after
+            for term in set(regex.findall(pii.TERM, f"{left} {right}".lower())):
+                seen[(kind, hit), term].add((k, before, after))
+    out, n = set(), len(rows)
+    for (e, term), places in seen.items():
+        docs_e = len({k for k, *_ in held[e]})
+        if len({x[1:] for x in places}) >= pii.SUPPORT and docs_e < n:
+            if math.log(len(places) / len(held[e]) * n / word_docs[term]) / -math.log(docs_e / n) >= pii.DISCLOSURE:
+                out.add((":".join(e), term))
+    return out
+
+
+def test_disclosure_against_its_definition(spark, sf):
+    rng = random.Random(4)
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    common = [w for w, _ in collections.Counter(w for t in rows.values() for w in t.split()).most_common(200) if w.isalpha()]
+    some = lambda: " ".join(rng.choice(common) for _ in range(12))
+    for k in range(5):  # planted: a name and a number that give an address away, and words that don't
+        rows[10_000 + k] = f"{some()} Quillfeather 90210 {some()[:20]} wrote q.f@corp.example of it {some()} call +1 555 0{k}0 1234 {some()}"
+        rows[10_010 + k] = f"{some()} Quillfeather again {some()}" if k < 1 else some()
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    found = Written(spark)(pii.entities(docs, "doc_id", "text"))
+    got = {(r.entity, r.term) for r in pii.disclosing(found, pii.contexts(found, "doc_id"), "__text").collect()}
+    assert got == plain_disclosing(rows) and {("email:q.f@corp.example", "quillfeather"), ("email:q.f@corp.example", "90210")} <= got
+    clean = {r.doc_id: r.sanitised for r in pii.detect(docs).collect()}
+    assert all("Quillfeather" not in t and "q.f@" not in t for t in clean.values()) and "[NAME]" in clean[10_010] and "[NUM]" in clean[10_000]
 
 
 # --- 3 ---
