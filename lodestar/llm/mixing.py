@@ -8,13 +8,18 @@ The one left over meets the next. A shard of a source ends with at most one docu
 groups of `FAN_IN`, level by level, until each source has one, which is then drawn. A source's taken words
 differ from its target by one document's size at most.
 
-Draws come from hashes of ids and sizes, so reruns agree. Shards hold about `SHARD_ROWS` rows however large a
-source is, and a shard is rounded as a stream. Null texts have size 0 and are taken floor(c) times.
+Draws come from hashes of ids and sizes, so reruns agree. Rows that repeat id, text and source count together first: m of
+them take floor(m * f) at once and share one fraction. Shards hold about `SHARD_ROWS` of these however large a source
+is, and a shard is rounded as a stream. Sources are rows of a table throughout: their order comes from a sort, their
+targets from rounds of one sum each, and nothing of a source reaches the driver but those sums.
+
+Defined results: null and empty texts have size 0 and are taken floor(c) times; a null source is one of its own, the
+last; null ids are ids like others; an empty table gives an empty result; very long texts only count by their words.
+Columns of the documents may have any name.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable
 
 import numpy as np
@@ -32,21 +37,33 @@ FAN_IN = 64
 BROADCAST_SOURCES = 100_000  # above it the table of sources joins by shuffle
 
 
-def targets(sizes: list[tuple[str | None, int]], share: float = SHARE, weights: tuple[float, ...] = WEIGHTS, most: float = MAX_COPIES) -> dict[str | None, float]:
-    """Words to take of each source: shares of the total by weight, none above `most` times the source's size;
-    what exceeds is shared anew among the others. Sources in order of code points, null last."""
-    order = sorted(sizes, key=lambda s: (s[0] is None, s[0] or ""))
-    weight = {name: weights[k % len(weights)] for k, (name, _) in enumerate(order)}
-    left, out, open_ = share * sum(n for _, n in order), {}, dict(order)
-    while open_:
-        whole = math.fsum(weight[s] for s in open_)
-        full = [s for s, n in open_.items() if left * weight[s] / whole > most * n]
-        if not full:
-            return out | {s: left * weight[s] / whole for s in open_}
-        for s in full:
-            out[s] = most * open_.pop(s)
-        left = share * sum(n for _, n in order) - math.fsum(out.values())
-    return out
+def ranked(sources: DataFrame, keep: Written) -> DataFrame:
+    """Adds rank, 0 for the first source by code point, null last. Each part of the sort counts its own rows."""
+    parts = keep(sources.orderBy(F.col("s").isNull(), "s").withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33).alias("part")
+    counts = parts.groupBy(part).agg(F.count("*").alias("n"))  # a row a part of the sort
+    first = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
+    return parts.withColumn("part", part).join(F.broadcast(first), "part").withColumn("rank", F.col("first") + F.col("at") % (1 << 33)).drop("part", "at", "first")
+
+
+def targets(sources: DataFrame, keep: Written, share: float = SHARE, weights: tuple[float, ...] = WEIGHTS, most: float = MAX_COPIES) -> DataFrame:
+    """(s, source_size, rows, target): words to take of each source (s, source_size, rows).
+
+    Shares of the total by weight, none above `most` times the source's size; what exceeds is shared anew among the
+    others. A round needs two sums over the sources, and every round fills at least one more.
+    """
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    table_ = keep(ranked(sources, keep).withColumn("w", weight))
+    total, whole, left, filled = share * (table_.agg(F.sum("source_size")).first()[0] or 0), 0.0, 0.0, -1
+    full = F.lit(False)
+    while True:
+        r = table_.agg(F.coalesce(F.sum(F.when(full, F.col("source_size"))), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("w"))), F.lit(0.0)), F.count_if(full)).first()
+        if r[2] == filled or not r[1]:
+            break
+        left, whole, filled = total - most * r[0], r[1], r[2]
+        full = full | (F.lit(left) * F.col("w") / F.lit(whole) > most * F.col("source_size"))
+    due = F.lit(left) * F.col("w") / F.lit(whole) if whole else F.lit(0.0)
+    return table_.select("s", "source_size", "rows", F.when(full, most * F.col("source_size")).otherwise(due).alias("target"))
 
 
 def pivot(rows: Iterable[tuple[int, float, float]]) -> tuple[dict[int, int], tuple[int, float] | None]:
@@ -85,23 +102,21 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: id_col, __key (a hash of id and text), __source, size, source_size, target, copies, taken.
 
-    Rows that repeat are documents of their own. The table of sources, one row a name, is gathered on the driver,
-    since the targets depend on all of them; it is broadcast only up to BROADCAST_SOURCES names. An empty table
-    gives an empty result.
+    Rows that repeat are documents of their own. The table of sources is broadcast only up to BROADCAST_SOURCES names.
     """
-    spark = docs.sparkSession
-    keep = Written(spark)
-    rows = keep(sized(docs, id_col, text_col, source_col))
-    found = rows.groupBy("__source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
-    target = targets([(r["__source"], r.n) for r in found])
-    facts = [(r["__source"], r.n, target[r["__source"]], max(1, -(-r.rows // SHARD_ROWS))) for r in found]
-    per_source = spark.createDataFrame(facts, "s string, source_size long, target double, shards long")
+    keep = Written(docs.sparkSession)
+    rows = keep(sized(docs, id_col, text_col, source_col).groupBy(id_col, "__key", "__source", "size").agg(F.count("*").alias("m")))
+    found = rows.groupBy(F.col("__source").alias("s")).agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count("*").alias("rows"))
+    shards = F.ceil(F.col("rows") / SHARD_ROWS)
+    per_source = keep(targets(found, keep).select("s", "source_size", "target", F.greatest(F.lit(1), shards).cast("long").alias("shards")))
+    n_sources, most = per_source.agg(F.count("*"), F.coalesce(F.max("shards"), F.lit(1))).first()
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.join(F.broadcast(per_source) if len(facts) <= BROADCAST_SOURCES else per_source, F.col("__source").eqNullSafe(F.col("s"))).drop("s")
-    rows = rows.withColumn("base", F.floor(ratio + 1e-12)).withColumn("p", F.greatest(ratio - F.col("base"), F.lit(0.0)))
+    rows = rows.join(F.broadcast(per_source) if n_sources <= BROADCAST_SOURCES else per_source, F.col("__source").eqNullSafe(F.col("s"))).drop("s")
+    rows = rows.withColumn("base", F.floor(ratio + 1e-12)).withColumn("p", F.greatest(ratio - F.col("base"), F.lit(0.0)) * F.when(F.col("size") > 0, F.col("m")).otherwise(0))
+    rows = rows.withColumn("ones", F.floor(F.col("p") + 1e-9)).withColumn("p", F.greatest(F.col("p") - F.col("ones"), F.lit(0.0)))
     rows = rows.withColumn("shard", F.pmod(F.col("__key"), F.col("shards")))
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, __key long, __source string, size long, source_size long, target double, shards long, base long, p double, shard long, extra int"
+    schema = f"`{id_col}` {id_type}, __key long, __source string, size long, m long, source_size long, target double, shards long, base long, p double, ones long, shard long, extra int"
 
     def round_shard(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["__key", "size"], kind="stable").reset_index(drop=True)
@@ -116,7 +131,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         return pdf.assign(p=p, extra=extra)
 
     done, level = None, rows
-    most = max((f[3] for f in facts), default=1)
     while True:
         out = keep(level.groupBy("__source", "shard").applyInPandas(round_shard, schema))
         part = out.where("extra >= 0")
@@ -126,8 +140,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         # What each shard leaves undecided: one row a shard. FAN_IN shards make one of the next level.
         level = out.where("extra < 0").drop("extra").withColumn("shard", F.expr(f"shard div {FAN_IN}")).withColumn("shards", F.expr(f"(shards + {FAN_IN - 1}) div {FAN_IN}"))
         most = -(-most // FAN_IN)
-    copies = F.col("base") + F.col("extra")
-    return done.select(id_col, "__key", "__source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    one = done.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "m")))  # of the rows that repeat, the first ones get the more
+    copies = F.col("base") + (F.col("nth") <= F.col("ones") + F.col("extra")).cast("long")
+    return one.select(id_col, "__key", "__source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,11 +150,12 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it. Rows that repeat id and text are told apart by rank."""
-    by = Window.partitionBy("doc_id", "__key").orderBy(F.lit(0))
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text")).withColumn("__rank", F.row_number().over(by))
-    counts = mix(docs).select("doc_id", "__key", "copies").withColumn("__rank", F.row_number().over(by))
-    taken = counts.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("__key").alias("__k"), F.col("__rank").alias("__r"), F.col("copies").cast("int").alias("__copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")) & (F.col("__rank") == F.col("__r"))
-    joined = keyed.join(taken, same)
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), "__copies")).alias("__copy")).drop("__copy")
+    """Each document as many times as the mix takes it. Rows that repeat id and text are told apart by rank; all columns stay, whatever their names."""
+    key = F.xxhash64("doc_id", "text")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("__id"), key.alias("__k"))
+    keyed = keyed.withColumn("__r", F.row_number().over(Window.partitionBy("__id", "__k").orderBy(F.lit(0))))
+    counts = mix(docs).select("doc_id", "__key", "copies").withColumn("__rank", F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy(F.lit(0))))
+    taken = counts.where("copies > 0").select("doc_id", "__key", "__rank", F.col("copies").cast("int").alias("copies"))
+    same = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__k") == F.col("__key")) & (F.col("__r") == F.col("__rank"))
+    joined = keyed.join(taken, same).select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("nth"))
+    return joined.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -9,8 +9,10 @@ Batches are cut along one numbering of each bucket: pieces fall into shards by h
 shard its first number, and a row number inside the shard does the rest. So a bucket has at most one batch that
 is not full, and no task needs more than a shard, however many pieces one bucket holds.
 
-Null and empty texts have no tokens and no pieces. Repeated rows are packed each for itself. Batches are
-numbered from 0 within a bucket. Tokens are the words [^\\x20\\x09-\\x0D]+ unless a column of counts is named.
+Defined results: null and empty texts have no tokens and no pieces, an empty table no rows. Repeated rows and null
+ids are packed each for itself; equal pieces of one id count together until they are numbered, so no shard grows with
+them. Very long texts are pieces like others. Only the columns named are read, so others may have any
+name. Batches are numbered from 0 within a bucket. Tokens are the words [^\\x20\\x09-\\x0D]+ unless a column of counts is named.
 """
 
 from __future__ import annotations
@@ -70,21 +72,22 @@ def pack(docs: DataFrame, p: PackParams = PackParams(), id_col: str = "doc_id",
     m = F.lit(p.max_len)
     pieces = sized.select(id_col, "__n", F.explode(F.sequence(F.lit(0), F.expr(f"int((__n - 1) div {p.max_len})"))).alias("piece"))
     pieces = pieces.select(id_col, "piece", (F.col("piece").cast("long") * m).alias("start_token"), F.least(m.cast("long"), F.col("__n") - F.col("piece") * m).cast("int").alias("n_tokens"))
-    pieces = keep(pieces)
-    found = sorted((r.n_tokens, r.m) for r in pieces.groupBy("n_tokens").agg(F.count("*").alias("m")).collect())  # max_len rows at most
-    lengths, counts = np.array([a for a, _ in found], np.int64), np.array([b for _, b in found], np.int64)
+    pieces = keep(pieces.groupBy(id_col, "piece", "start_token", "n_tokens").agg(F.count("*").alias("__m")))
+    found = sorted((r.n_tokens, r.m, r.groups) for r in pieces.groupBy("n_tokens").agg(F.sum("__m").alias("m"), F.count("*").alias("groups")).collect())  # max_len rows at most
+    lengths, counts = np.array([a for a, *_ in found], np.int64), np.array([b for _, b, _ in found], np.int64)
     bounds = best_bounds(lengths, counts, p.n_buckets)
-    shards = max(1, -(-int(counts.sum()) // p.shard_rows))
+    shards = max(1, -(-sum(c for *_, c in found) // p.shard_rows))
     bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<int>"), lambda b: b < F.col("n_tokens")))
     dealt = pieces.withColumn("bucket", bucket).withColumn("__h", F.xxhash64(id_col, "piece"))
     dealt = dealt.withColumn("__shard", F.pmod("__h", F.lit(shards)))
-    sizes = dealt.groupBy("bucket", "__shard").agg(F.count("*").alias("__m"))
+    sizes = dealt.groupBy("bucket", "__shard").agg(F.sum("__m").alias("__size"))
     before = Window.partitionBy("bucket").orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.select("bucket", "__shard", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__first"))  # n_buckets * shards rows
-    inside = Window.partitionBy("bucket", "__shard").orderBy("__h", id_col, "piece")
-    numbered = dealt.withColumn("__k", F.row_number().over(inside)).join(first, ["bucket", "__shard"])
+    first = sizes.select("bucket", "__shard", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__first"))  # n_buckets * shards rows
+    inside = Window.partitionBy("bucket", "__shard").orderBy("__h", id_col, "piece", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = dealt.withColumn("__k", F.coalesce(F.sum("__m").over(inside), F.lit(0))).join(first, ["bucket", "__shard"])
+    numbered = numbered.withColumn("__nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__m") - 1)))
     bound = F.element_at(F.array(*[F.lit(b) for b in bounds]) if bounds else F.array(F.lit(0)), F.col("bucket") + 1)
-    numbered = numbered.withColumn("bound", bound).withColumn("__at", F.col("__first") + F.col("__k") - 1)
+    numbered = numbered.withColumn("bound", bound).withColumn("__at", F.col("__first") + F.col("__k") + F.col("__nth"))
     fits = F.greatest(F.lit(1), F.floor(F.lit(p.budget) / F.col("bound")))
     return numbered.select(
         id_col, "piece", "start_token", "n_tokens", "bucket", "bound", F.floor(F.col("__at") / fits).alias("batch"), (F.col("__at") % fits).alias("slot"), (F.col("bound") - F.col("n_tokens")).alias("padding")

@@ -164,12 +164,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component: that with the smallest id, a missing id last, then with the smallest hash of its text.
 
     Rows are told apart by id and a hash of all they hold, so rows that share an id or have none stay unless they are near-duplicates.
-    What agrees in all of that is a copy; copies combine before the shuffle or in the partitions of the join.
+    What agrees in all of that is a copy; copies combine before the shuffle or in the partitions of the join. Columns may have any name.
     """
-    hashed = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
-    keys = [F.col("doc_id").isNull().alias("__none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.xxhash64("text").alias("__text"), F.xxhash64(*hashed).alias("__key")]
-    rows = docs.select(F.struct(keys[0], "doc_id", *keys[1:]).alias("row"), "text")
-    kept = near_duplicates(rows, "row").select("component_id").distinct()
-    names = ["__none", "__id", "__text", "__key"]
-    joined = docs.select("*", *keys).join(kept.select(*[F.col(f"component_id.{c}").alias(c) for c in names]), names, "left_semi")
-    return joined.dropDuplicates(names).select(*docs.columns)
+    names = [f"`{c}`" for c in docs.columns]
+    hashed = [F.col(f"`{c}`") for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("text"), F.xxhash64(*hashed).alias("all"))
+    rows = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key.alias("key")).alias("row"), "text")
+    kept = near_duplicates(rows, "row").select(*[F.col(f"component_id.key.{c}").alias(c) for c in ("none", "id", "text", "all")]).distinct()
+    one = docs.select(F.struct(*names).alias("row"), *[key.getField(c).alias(c) for c in ("none", "id", "text", "all")])
+    one = one.join(kept, ["none", "id", "text", "all"], "left_semi").dropDuplicates(["none", "id", "text", "all"])
+    return one.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

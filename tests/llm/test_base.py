@@ -672,10 +672,39 @@ def test_vectors(spark):
 # --- 8, 1 ---
 
 
-def test_targets():
-    t = mixing.targets([("b", 100), ("a", 1000), (None, 50)])
-    assert t["b"] == 200 and t[None] == 100 and abs(sum(t.values()) - 1.5 * 1150) < 1e-9
-    assert mixing.targets([("a", 0)]) == {"a": 0.0} and mixing.targets([]) == {}
+def plain_targets(sizes):
+    order = sorted(sizes, key=lambda s: (s[0] is None, s[0] or ""))
+    weight = {name: mixing.WEIGHTS[k % 3] for k, (name, _) in enumerate(order)}
+    total, out, free = 1.5 * sum(n for _, n in order), {}, dict(order)
+    while free:
+        left = total - sum(out.values())
+        due = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        full = [s for s, n in free.items() if due[s] > 2 * n]
+        if not full:
+            return out | due
+        out |= {s: 2.0 * free.pop(s) for s in full}
+    return out
+
+
+def test_targets(spark):
+    rng = np.random.default_rng(9)
+    cases = [[("b", 100), ("a", 1000), (None, 50)], [("a", 0)], [], [(f"s{k}", int(n)) for k, n in enumerate(rng.pareto(0.6, 300) * 50)], [("é", 5), ("z", 7), ("", 90), (None, 0)]]
+    for sizes in cases:
+        df = spark.createDataFrame([(s, n, 1) for s, n in sizes], "s string, source_size long, rows long").repartition(3)
+        got = {r.s: r.target for r in mixing.targets(df, Written(spark)).collect()}
+        want = plain_targets(sizes)
+        assert set(got) == set(want) and all(math.isclose(got[k], v, rel_tol=1e-12, abs_tol=1e-9) for k, v in want.items())
+
+
+def test_mixing_of_rows_that_repeat(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", 5)] * 500 + [(k, f"d{k} e", "y", 6) for k in range(2, 40)] + [(None, "f g", None, 7)] * 3, "doc_id long, text string, source string, __rank int")
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == 541 and sorted(r.taken for r in rows) == sorted(r.taken for r in mixing.mix(docs.repartition(7)).collect())
+    for source in ("x", "y", None):
+        own = [r for r in rows if r["__source"] == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own) and all(r.taken <= 2 * r.size for r in own)
+    staged = mixing.stage(spark, docs, "")
+    assert staged.columns == docs.columns and {r["__rank"] for r in staged.collect()} <= {5, 6, 7} and staged.count() == sum(r.copies for r in rows)
 
 
 def test_mixing(docs, none, spark):
@@ -748,3 +777,11 @@ def test_packing(docs, none):
         own = [b for (k, _), b in batches.items() if k == bucket]
         assert sum(len(b) < 100 // b[0].bound for b in own) <= 1
     assert packing.pack(none, p).count() == 0
+
+
+def test_packing_of_rows_that_repeat(spark):
+    docs = spark.createDataFrame([(1, "a b c")] * 50 + [(None, "d e")] * 7 + [(1, "f g")] * 3, "doc_id long, text string")
+    rows = packing.pack(docs, packing.PackParams(max_len=8, n_buckets=2, budget=12, shard_rows=2)).collect()
+    assert collections.Counter((r.doc_id, r.n_tokens) for r in rows) == {(1, 3): 50, (None, 2): 7, (1, 2): 3}
+    assert len({(r.bucket, r.batch, r.slot) for r in rows}) == 60 and all(r.slot < 12 // r.bound for r in rows)
+    assert sorted((r.bucket, r.batch, r.slot) for r in rows if r.bucket == 0) == [(0, k // 6, k % 6) for k in range(10)]
