@@ -1,8 +1,11 @@
-"""The queries of this subpackage and, where SQL can express one, its SQL."""
+"""The queries of this subpackage and, where SQL can express one, its SQL.
+
+A query opN_base holds the base columns of operator N's rows, which come through the operator, so that they have SQL too.
+"""
 
 from __future__ import annotations
 
-from lodestar.llm import html_text, licenses, mixing, packing, pii, quality, secret_scan, simhash, subdedup, vectors
+from lodestar.llm import html_text, licenses, mixing, oracles, packing, pii, quality, secret_scan, simhash, subdedup, vectors
 
 QUERIES = {
     "op1_length_buckets": packing.op1_length_buckets,
@@ -15,6 +18,17 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_secrets": secret_scan.op10_secrets,
+    "op3_base": lambda spark, sf_dir: licenses.op3_license_scan(spark, sf_dir).drop("labels", "score", "detections"),
+    "op4_base": lambda spark, sf_dir: quality.op4_quality_rules(spark, sf_dir).drop("probability", "kept"),
+    "op5_base": lambda spark, sf_dir: pii.op5_pii(spark, sf_dir).drop("spans", "n_terms", "sanitised_sha256"),
+    "op10_base": lambda spark, sf_dir: secret_scan.op10_secrets(spark, sf_dir).drop("spans", "n_random"),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op6_embedding_near_dedup": oracles.OP6,
+    "op7_substring_dedup": oracles.OP7,
+    "op3_base": oracles.OP3_BASE,
+    "op4_base": oracles.OP4_BASE,
+    "op5_base": oracles.OP5_BASE,
+    "op10_base": oracles.OP10_BASE,
+}
