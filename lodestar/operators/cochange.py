@@ -10,25 +10,35 @@ MIN_SHARED = 2
 MAX_PAIRS = 5000
 
 
+def sized_commits(commits: DataFrame, paths: DataFrame | None = None, max_files: int = MAX_FILES) -> DataFrame:
+    """(ord, authored_at, n_files, files): commits with a file, files sorted and null in a commit of more than max_files.
+
+    Repeats of a path in one commit count once; with paths: (path), only those count. Files are gathered only in
+    commits that turned out small enough, so a commit that touches everything never becomes one row of its files.
+    """
+    if paths is None:
+        rows = commits.select("ord", "authored_at", F.array_sort(F.array_distinct("paths")).alias("files"))
+        return rows.where(F.size("files") > 0).select("ord", "authored_at", F.size("files").alias("n_files"), F.when(F.size("files") <= max_files, F.col("files")).alias("files"))
+    rows = commits.select("ord", "authored_at", F.explode(F.array_distinct("paths")).alias("path")).join(paths.select("path").distinct(), "path", "left_semi")
+    sizes = rows.groupBy("ord", "authored_at").agg(F.count("*").cast("int").alias("n_files"))
+    small = sizes.where(F.col("n_files") <= max_files).select("ord", "authored_at")
+    files = rows.join(small, ["ord", "authored_at"], "left_semi").groupBy("ord", "authored_at").agg(F.array_sort(F.collect_list("path")).alias("files"))
+    return sizes.join(files, ["ord", "authored_at"], "left")
+
+
 def used_commits(commits: DataFrame, paths: DataFrame | None = None, max_files: int = MAX_FILES) -> tuple[DataFrame, DataFrame]:
     """(ord, authored_at, path) rows of the commits that count, and a row for each commit with its number of files.
 
-    Repeats of a path in one commit count once; with paths: (path), only those count. A commit of more than
-    max_files says nothing about coupling and is left out of all counts.
+    A commit of more than max_files says nothing about coupling and is left out of all counts.
     """
-    rows = commits.select("ord", "authored_at", F.explode(F.array_distinct("paths")).alias("path"))
-    if paths is not None:
-        rows = rows.join(paths.select("path").distinct(), "path", "left_semi")
-    sizes = rows.groupBy("ord", "authored_at").agg(F.count("*").alias("n_files"), F.array_sort(F.collect_list("path")).alias("files"))
-    kept = sizes.where(F.col("n_files") <= max_files)
-    return kept.select("ord", "authored_at", F.explode("files").alias("path")), sizes.drop("files")
+    sized = sized_commits(commits, paths, max_files)
+    return sized.select("ord", "authored_at", F.explode("files").alias("path")), sized.drop("files")
 
 
-def pairs_of(rows: DataFrame) -> DataFrame:
+def pairs_of(sized: DataFrame) -> DataFrame:
     """(left_path, right_path, ord, authored_at) of each commit: at most max_files * (max_files - 1) / 2, made within its row."""
-    one = rows.groupBy("ord", "authored_at").agg(F.array_sort(F.collect_list("path")).alias("f"))
-    both = F.expr("flatten(transform(f, (l, i) -> transform(slice(f, i + 2, size(f)), r -> struct(l as left_path, r as right_path))))")
-    return one.where("size(f) > 1").select("ord", "authored_at", F.explode(both).alias("p")).select("p.left_path", "p.right_path", "ord", "authored_at")
+    both = F.expr("flatten(transform(files, (l, i) -> transform(slice(files, i + 2, size(files)), r -> struct(l as left_path, r as right_path))))")
+    return sized.where("size(files) > 1").select("ord", "authored_at", F.explode(both).alias("p")).select("p.left_path", "p.right_path", "ord", "authored_at")
 
 
 def co_change(commits: DataFrame, paths: DataFrame | None = None, max_files: int = MAX_FILES, min_shared: int = MIN_SHARED, min_jaccard: float = 0.0, max_pairs: int | None = MAX_PAIRS) -> DataFrame:
@@ -36,9 +46,9 @@ def co_change(commits: DataFrame, paths: DataFrame | None = None, max_files: int
 
     jaccard is rounded to 4 decimals and compared rounded. last_together is the date of the newest shared commit.
     """
-    rows, _ = used_commits(commits, paths, max_files)
-    per_file = rows.groupBy("path").agg(F.count("*").alias("n"))
-    pairs = pairs_of(rows).groupBy("left_path", "right_path").agg(F.count("*").alias("shared"), F.min_by("authored_at", "ord").alias("last_together")).where(F.col("shared") >= min_shared)
+    sized = sized_commits(commits, paths, max_files)
+    per_file = sized.select(F.explode("files").alias("path")).groupBy("path").agg(F.count("*").alias("n"))
+    pairs = pairs_of(sized).groupBy("left_path", "right_path").agg(F.count("*").alias("shared"), F.min_by("authored_at", "ord").alias("last_together")).where(F.col("shared") >= min_shared)
     both = pairs.join(per_file.select(F.col("path").alias("left_path"), F.col("n").alias("left_commits")), "left_path").join(per_file.select(F.col("path").alias("right_path"), F.col("n").alias("right_commits")), "right_path")
     rated = both.withColumn("jaccard", F.round(F.col("shared") / (F.col("left_commits") + F.col("right_commits") - F.col("shared")), 4)).where(F.col("jaccard") >= min_jaccard)
     out = rated.select("left_path", "right_path", "shared", "left_commits", "right_commits", "jaccard", "last_together").orderBy(F.desc("shared"), F.desc("jaccard"), "left_path", "right_path")

@@ -6,18 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.scoring import WEIGHTS, band, factors, is_test_path, reasons, weight
-from lodestar.operators.graph import checked_depth
+from lodestar.operators.graph import checked_depth, get_node
 
 CONTAINED = 4
 
 
-def reach(edges: DataFrame, depth: int) -> DataFrame:
-    """(src, dst): the pairs with a path of 1 to depth edges, each once, without loops. Distinct after every hop."""
+def reach(edges: DataFrame, depth: int, to: DataFrame | None = None) -> DataFrame:
+    """(src, dst): the pairs with a path of 1 to depth edges, each once, without loops. Distinct after every hop.
+
+    to: (key), the ends asked for. Paths grow backwards from the ends, so what does not lead to them is never touched;
+    a node that very many paths cross is split by the adaptive plan's skew join.
+    """
     checked_depth(depth)
     step = edges.select("src", "dst").where("src <> dst").distinct()
-    seen = frontier = step
+    first = step if to is None else step.join(to.select(F.col("key").alias("dst")).distinct(), "dst", "left_semi")
+    seen = frontier = first.select("src", "dst")
+    before = step.select(F.col("src").alias("far"), F.col("dst").alias("src"))
     for _ in range(depth - 1):
-        frontier = frontier.join(step.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst")).where("src <> dst").distinct()
+        frontier = frontier.join(before, "src").select(F.col("far").alias("src"), "dst").where("src <> dst").distinct()
         seen = seen.union(frontier)
     return seen.distinct()
 
@@ -33,29 +39,37 @@ def owners(contains: DataFrame, files: DataFrame, levels: int = CONTAINED) -> Da
     return found.groupBy("node").agg(F.min("file").alias("file"))
 
 
-def metrics(nodes: DataFrame, edges: DataFrame, contains: DataFrame, files: DataFrame, partners: DataFrame, depth: int = 2) -> DataFrame:
+def metrics(nodes: DataFrame, edges: DataFrame, contains: DataFrame, files: DataFrame, partners: DataFrame, depth: int = 2, only: bool = False) -> DataFrame:
     """One row a node: the counts that the score is made of, all of distinct nodes.
 
     nodes: (key). edges: calls and imports (src, dst, type). contains: (src, dst). files: (key, path, change_count),
     change_count null where the history was not read. partners: (file, jaccard), a row for each side of a pair.
+    only: nodes are few of many, and only what leads to them is walked.
     """
     links = edges.where(F.col("type").isin("CALLS", "IMPORTS"))
-    back = reach(links, depth).groupBy(F.col("dst").alias("key")).agg(F.count("*").alias("dependents"))
     near = links.select("src", "dst").where("src <> dst").distinct()
-    direct = near.groupBy(F.col("dst").alias("key")).agg(F.count("*").alias("direct_dependents"))
-    out = near.groupBy(F.col("src").alias("key")).agg(F.count("*").alias("dependencies"))
     owner = owners(contains, files)
     in_tests = owner.join(files.select(F.col("key").alias("file"), "path"), "file").where(is_test_path(F.col("path"))).select(F.col("node").alias("src"))
-    tests = edges.where("type = 'CALLS'").select("src", "dst").distinct().join(in_tests, "src", "left_semi").groupBy(F.col("dst").alias("key")).agg(F.count("*").alias("test_references"))
+    tests = edges.where("type = 'CALLS'").select("src", "dst").distinct().join(in_tests, "src", "left_semi")
+    # Every count is a row (key, which, n), so that one grouping by key takes them all.
+    parts = [("dependents", reach(links, depth, nodes if only else None), "dst"), ("direct_dependents", near, "dst"), ("dependencies", near, "src"), ("test_references", tests, "dst")]
+    counted = None
+    for name, rows, end in parts:
+        one = rows.groupBy(F.col(end).alias("key")).agg(F.count("*").alias("n")).select("key", F.lit(name).alias("which"), "n")
+        counted = one if counted is None else counted.unionAll(one)
+    counts = counted.groupBy("key").agg(*[F.sum(F.when(F.col("which") == name, F.col("n"))).alias(name) for name, *_ in parts])
     coupled = partners.groupBy("file").agg(F.count("*").alias("co_partners"), F.max("jaccard").alias("max_jaccard"))
     of_file = files.select(F.col("key").alias("file"), "path", "change_count").join(coupled, "file", "left")
-    all_ = nodes.select("key").join(owner.withColumnRenamed("node", "key"), "key", "left").join(of_file, "file", "left")
-    for part in (back, direct, out, tests):
-        all_ = all_.join(part, "key", "left")
+    all_ = nodes.select("key").join(owner.withColumnRenamed("node", "key"), "key", "left").join(counts, "key", "left").join(of_file, "file", "left")
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("dependents", "direct_dependents", "dependencies", "test_references", "co_partners")]
     return all_.select("key", "path", *zero, F.coalesce("max_jaccard", F.lit(0.0)).alias("max_jaccard"), F.col("change_count").cast("long").alias("change_count"))
 
 
+def score_node(nodes: DataFrame, key: str, edges: DataFrame, contains: DataFrame, files: DataFrame, partners: DataFrame, depth: int = 2) -> DataFrame:
+    """The score of one node, from what leads to it alone; NodeNotFound if there is no such node."""
+    return score(metrics(get_node(nodes, key), edges, contains, files, partners, depth, only=True))
+
+
 def score(counted: DataFrame) -> DataFrame:
     """Adds score, band, factors, weights and reasons to metrics()."""
     made = factors()

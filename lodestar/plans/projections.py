@@ -30,8 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _next_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consecutive returned lines of one order: (a_part, a_supp, b_part, b_supp, line, both line statuses)."""
-    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    """Consecutive lines of one order: (a_part, a_supp, b_part, b_supp, line, both line statuses)."""
+    lines = table(spark, sf_dir, "lineitem")
     a = lines.select("l_orderkey", (F.col("l_linenumber") + 1).alias("n"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("a_part"), F.col("l_suppkey").alias("a_supp"), F.col("l_linestatus").alias("a_status"))
     b = lines.select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("b_part"), F.col("l_suppkey").alias("b_supp"), F.col("l_linestatus").alias("b_status"))
     return a.join(b, ["l_orderkey", "n"])
@@ -41,7 +41,7 @@ TIERS = {"OO": "local", "OF": "imported", "FO": "attribute_module", "FF": "attri
 
 
 def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, resolution, confidence, line): a returned line calls the next one of its order; their statuses give the tier."""
+    """(src, dst, resolution, confidence, line): a line calls the next one of its order; their statuses give the tier."""
     pairs = _next_lines(spark, sf_dir).where("a_part <> b_part")
     pick = lambda m: F.element_at(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]), F.concat("a_status", "b_status"))
     part = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
@@ -57,11 +57,10 @@ def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, type, confidence): the commonest successions of suppliers, as many as there are suppliers."""
+    """(src, dst, type, confidence): the successions of suppliers within orders."""
     supp = lambda c: F.concat(F.lit("s"), F.lpad(F.col(c).cast("string"), 8, "0"))
-    counted = _next_lines(spark, sf_dir).where("a_supp <> b_supp").groupBy(supp("a_supp").alias("src"), supp("b_supp").alias("dst")).agg(F.count("*").alias("n"))
-    many = table(spark, sf_dir, "supplier").count()
-    return counted.orderBy(F.desc("n"), "src", "dst").limit(many).select("src", "dst", F.lit("IMPORTS").alias("type"), F.lit(1.0).alias("confidence"))
+    edges = _next_lines(spark, sf_dir).where("a_supp <> b_supp").select(supp("a_supp").alias("src"), supp("b_supp").alias("dst")).distinct()
+    return edges.select("src", "dst", F.lit("IMPORTS").alias("type"), F.lit(1.0).alias("confidence"))
 
 
 def top_callee(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,8 +132,7 @@ def first_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_NEXT = """next_lines as (
   select a.l_partkey as a_part, a.l_suppkey as a_supp, b.l_partkey as b_part, b.l_suppkey as b_supp, cast(a.l_linenumber as int) as line, a.l_linestatus || b.l_linestatus as st
-  from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1
-  where a.l_returnflag = 'R' and b.l_returnflag = 'R')"""
+  from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1)"""
 SQL_SITES = (
     SQL_NEXT
     + """, sites as (
@@ -152,9 +150,7 @@ SQL_ROOT = ", root as (select dst as node from calls group by dst order by count
 SQL_IMPORTS = (
     SQL_NEXT
     + """, imports as (
-  select src, dst, 'IMPORTS' as type, 1.0::double as confidence from (
-    select 's' || lpad(cast(a_supp as varchar), 8, '0') as src, 's' || lpad(cast(b_supp as varchar), 8, '0') as dst, count(*) as n from next_lines where a_supp <> b_supp group by 1, 2)
-  order by n desc, src, dst limit (select count(*) from supplier))"""
+  select distinct 's' || lpad(cast(a_supp as varchar), 8, '0') as src, 's' || lpad(cast(b_supp as varchar), 8, '0') as dst, 'IMPORTS' as type, 1.0::double as confidence from next_lines where a_supp <> b_supp)"""
 )
 SQL_SYMBOLS = f"""symbols as (
   select source as path, source as module, 'd' || d.doc_id as name, source || '.d' || d.doc_id as qualname, 'function' as kind, 1 as line_start,

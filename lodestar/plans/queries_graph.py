@@ -69,8 +69,8 @@ def resolution_counts(spark, sf_dir):
 
 
 def unresolved_by_caller(spark, sf_dir):
-    """Returned lines followed by no returned line are calls that nothing answers."""
-    lines = p.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    """Lines followed by no line of their order are calls that nothing answers."""
+    lines = p.table(spark, sf_dir, "lineitem")
     here = lines.select("l_orderkey", (F.col("l_linenumber") + 1).alias("n"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("caller"))
     nxt = lines.select("l_orderkey", F.col("l_linenumber").alias("n"))
     return here.join(nxt, ["l_orderkey", "n"], "left_anti").groupBy("caller").agg(F.count("*").alias("unresolved_calls"))
@@ -126,8 +126,9 @@ def graph_upsert_sweep(spark, sf_dir):
 # --- co-change ------------------------------------------------------------------------------------------------
 
 
-def _pairs(spark, sf_dir, max_pairs=None):
-    return cochange.co_change(p.commits(spark, sf_dir), max_files=6, max_pairs=max_pairs)
+def _pairs(spark, sf_dir):
+    """All pairs, mined once a session and version of the orders, as a parse stores them."""
+    return p.stored(spark, sf_dir, "pairs", lambda s, d: cochange.co_change(p.commits(s, d), max_pairs=None))
 
 
 def cochange_pairs(spark, sf_dir):
@@ -142,7 +143,7 @@ def cochange_for_key(spark, sf_dir):
 
 
 def cochange_window_stats(spark, sf_dir):
-    return cochange.window_stats(p.commits(spark, sf_dir), max_files=6)
+    return cochange.window_stats(p.commits(spark, sf_dir))
 
 
 def partner_index(spark, sf_dir):
@@ -150,12 +151,12 @@ def partner_index(spark, sf_dir):
 
 
 def churn(spark, sf_dir):
-    return cochange.churn(p.commits(spark, sf_dir), max_files=6)
+    return cochange.churn(p.commits(spark, sf_dir))
 
 
 def cochange_edges(spark, sf_dir):
-    pairs = cochange.co_change(p.commits(spark, sf_dir, "l_suppkey", "s"), max_files=6, max_pairs=None)
-    files = p.supplier_files(spark, sf_dir).select(F.col("key").alias("path"), "key").where("substring(path, -1) <> '7'")
+    pairs = cochange.co_change(p.commits(spark, sf_dir, "l_suppkey", "s"), max_pairs=None)
+    files = p.supplier_files(spark, sf_dir).select(F.col("key").alias("path"), "key")
     return cochange.co_change_edges(pairs, files)
 
 
@@ -166,9 +167,9 @@ def _risk(spark, sf_dir, history: bool = True) -> DataFrame:
     edges, commits = p.call_edges(spark, sf_dir), p.commits(spark, sf_dir, "l_suppkey", "s")
     files = p.supplier_files(spark, sf_dir)
     if history:
-        counted = cochange.churn(commits, max_files=6).withColumnRenamed("path", "key")
+        counted = cochange.churn(commits).withColumnRenamed("path", "key")
         files = files.join(counted, "key", "left").withColumn("change_count", F.coalesce("change_count", F.lit(0)))
-        partners = cochange.partner_index(cochange.co_change(commits, max_files=6, max_pairs=None)).select(F.col("path").alias("file"), "jaccard")
+        partners = cochange.partner_index(cochange.co_change(commits, max_pairs=None)).select(F.col("path").alias("file"), "jaccard")
     else:
         files = files.withColumn("change_count", F.lit(None).cast("long"))
         partners = spark.createDataFrame([], "file string, jaccard double")
@@ -244,7 +245,7 @@ _NODES = """nodes as (
 
 def _cochange(column: str = "l_partkey", prefix: str = "p") -> str:
     return (
-        p.sql_commits(column, prefix) + """, sizes as (select ord, count(*) as n from commit_rows group by ord), used as (select c.* from commit_rows c join sizes s on c.ord = s.ord where s.n <= 6),
+        p.sql_commits(column, prefix) + """, sizes as (select ord, count(*) as n from commit_rows group by ord), used as (select c.* from commit_rows c join sizes s on c.ord = s.ord where s.n <= 40),
 per_file as (select path, count(*) as n from used group by path),
 shared as (select a.path as left_path, b.path as right_path, count(*) as shared, arg_min(a.authored_at, a.ord) as last_together from used a join used b on a.ord = b.ord and a.path < b.path group by 1, 2 having count(*) >= 2),
 pairs as (select left_path, right_path, shared, l.n as left_commits, r.n as right_commits, round(shared::double / (l.n + r.n - shared), 4) as jaccard, last_together
@@ -291,7 +292,7 @@ ORACLE_SQL = {
     "neighbours_seeded": "with recursive " + p.SQL_CALLS + ", seeds as (select dst as node from calls group by dst order by count(*) desc, dst limit 3)" + _BOTH + _paths("seeds", 2, True, "both_ways") + ", scored as (select * from walks) " + _best("hops, round(-confidence, 9), route, via", "node, hops, round(confidence, 4) as confidence, route[1] as seed"),
     "call_edges_agg": "with " + p.SQL_CALLS + " select src, dst, confidence, resolution, array_to_string(lines, ',') as lines, len(lines) as n_lines from calls",
     "resolution_counts": "with " + p.SQL_CALLS + " select type, resolution, count(*) as n from calls group by type, resolution",
-    "unresolved_by_caller": "select 'p' || a.l_partkey as caller, count(*) as unresolved_calls from lineitem a where l_returnflag = 'R' and not exists (select 1 from lineitem b where b.l_orderkey = a.l_orderkey and b.l_linenumber = a.l_linenumber + 1 and b.l_returnflag = 'R') group by 1",
+    "unresolved_by_caller": "select 'p' || a.l_partkey as caller, count(*) as unresolved_calls from lineitem a where not exists (select 1 from lineitem b where b.l_orderkey = a.l_orderkey and b.l_linenumber = a.l_linenumber + 1) group by 1",
     "node_search": "with " + _NODES + """ select key, label, length(coalesce(qualname, path, name, '')) as shown_length from nodes
       where contains(lower(coalesce(qualname, '')), '1.') or contains(lower(coalesce(path, '')), '1.') or contains(lower(coalesce(name, '')), '1.') or contains(lower(coalesce(dotted_name, '')), '1.') order by shown_length, key limit 25""",
     "node_lookup": "with " + _NODES + " select key, label from nodes where key = 'p1'",
@@ -304,10 +305,10 @@ ORACLE_SQL = {
     "cochange_pairs": "with " + _cochange() + " select * from pairs",
     "cochange_for_key": "with " + _cochange() + ", k as (select left_path as k from pairs order by shared desc, jaccard desc, left_path, right_path limit 1) select pairs.* from pairs, k where left_path = k or right_path = k order by shared desc, jaccard desc, left_path, right_path limit 100",
     "cochange_window_stats": "with " + _cochange() + """ select (select count(distinct o_orderkey) from orders where o_orderkey in (select l_orderkey from lineitem)) as commits_read, (select arg_max(authored_at, ord) from commit_rows) as first_date,
-      (select arg_min(authored_at, ord) from commit_rows) as last_date, count_if(n <= 6) as commits_used, count_if(n > 6) as commits_skipped from sizes""",
+      (select arg_min(authored_at, ord) from commit_rows) as last_date, count_if(n <= 40) as commits_used, count_if(n > 40) as commits_skipped from sizes""",
     "partner_index": "with " + _cochange() + _SIDES + " select * from sides",
     "churn": "with " + _cochange() + " select path, n as change_count from per_file",
-    "cochange_edges": "with " + _cochange("l_suppkey", "s") + " select left_path as src, right_path as dst, 'CO_CHANGED' as type, shared as commits, jaccard, left_commits, right_commits, last_together from pairs where right(left_path, 1) <> '7' and right(right_path, 1) <> '7'",
+    "cochange_edges": "with " + _cochange("l_suppkey", "s") + " select left_path as src, right_path as dst, 'CO_CHANGED' as type, shared as commits, jaccard, left_commits, right_commits, last_together from pairs",
     "risk_metrics": _risk_sql(True) + " select key, path, dependents, direct_dependents, dependencies, co_partners, max_jaccard, change_count, test_references from counted",
     "risk_ranked": _risk_sql(True) + " select key, score, band, case when dependents > 0 then dependents || ' symbol(s) depend on it, ' || direct_dependents || ' directly' else 'nothing depends on it' end as why from banded",
     "risk_no_history": _risk_sql(False) + " select key, score, band, 3 as n_reasons from banded",

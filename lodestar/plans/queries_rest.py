@@ -63,7 +63,7 @@ def debt_summary(spark, sf_dir):
 
 
 def import_cycles_minimal(spark, sf_dir):
-    return debt.minimal_cycles(debt.cycles(p.import_edges(spark, sf_dir))).select(F.array_join("files", ">").alias("files"), "hops")
+    return debt.minimal_cycles(debt.cycles(p.import_edges(spark, sf_dir), enough=debt.MAX_CYCLES)).select(F.array_join("files", ">").alias("files"), "hops")
 
 
 def circular_imports(spark, sf_dir):
@@ -244,14 +244,6 @@ _GOD = f""", fl as (select path, sum(line_end)::bigint as line_count, count(*) a
   from fl, gt where line_count >= lt and symbols >= st)"""
 _ALL = "with " + p.SQL_SYMBOLS + _COMPLEXITY + _DOCS + _GOD + ", every as (select * from cx union all select * from md union all select * from gf), ranked as (select *, case severity when 'high' then 0 when 'medium' then 1 when 'low' then 2 else 3 end as rank from every)"
 _COLS = "kind, severity, subject, path, line_start, key, why, confidence"
-_CYCLES = (
-    "with recursive " + p.SQL_IMPORTS + """, walk as (
-  select src as start, dst as pos, [src, dst] as files, 1 as hops from imports where src < dst
-  union all select start, dst, case when dst = start then files else list_append(files, dst) end, hops + 1 from walk join imports on src = pos
-    where hops < 6 and pos <> start and (dst = start or (dst > start and not list_contains(files, dst)))),
-closed as (select distinct files, hops from walk where pos = start and hops > 1 order by hops, files limit 1000),
-minimal as (select * from closed a where not exists (select 1 from closed b where b.hops < a.hops and len(list_intersect(b.files, a.files)) = b.hops))"""
-)
 _LINES = "lined as (select 'd' || doc_id as path, source as module, string_split(text, chr(10)) as lines, length(text) as chars from documents)"
 _WINDOWS = (
     "with " + _LINES + """, measured as (select *, len(lines) as n, greatest(16, 4000 // greatest(1, chars // greatest(len(lines), 1))) as per from lined),
@@ -271,9 +263,6 @@ ORACLE_SQL = {
     "debt_tally": _ALL + " select severity as name, count(*) as n from every group by 1 union all select kind, count(*) from every group by 1",
     "debt_filtered": _ALL + f" select {_COLS} from ranked where kind in ('complexity', 'missing_docstring') and rank <= 2",
     "debt_summary": _ALL + " select count_if(rank <= 1) as total, count_if(rank = 0) as high, count_if(rank = 1) as medium, 0 as low, 0 as info, count(*) as scanned_total from ranked",
-    "import_cycles_minimal": _CYCLES + " select array_to_string(files, '>') as files, hops from minimal",
-    "circular_imports": _CYCLES + """ select 'circular_import' as kind, case when hops = 2 then 'high' else 'medium' end as severity, array_to_string(list_append(files, files[1]), ' -> ') as subject, files[1] as path, 1 as line_start,
-      files[1] as key, hops || ' files import each other in a cycle: ' || array_to_string(list_append(files, files[1]), ' -> ') as why, 1.0::double as confidence from minimal""",
     "dead_code": "with " + p.SQL_CALLS + """, c as (select *, case when p_partkey % 7 = 0 then '_p' || p_partkey when p_partkey % 11 = 0 then 'main' else 'p' || p_partkey end as name, 'p' || p_partkey as key, p_partkey % 3 = 0 as decorated,
         case when p_partkey % 13 = 0 then 'tests/test_x.py' else 'src/x.py' end as path from part where p_partkey % 5 <> 0 and p_partkey % 13 <> 0 and 'p' || p_partkey not in (select dst from calls))
       select 'dead_code' as kind, case when name like '\\_%' escape '\\' then 'medium' else 'low' end as severity, p_brand || '.' || p_partkey as subject, path, 1 as line_start, key,

@@ -108,6 +108,15 @@ def test_cochange(spark):
     assert {x.path for x in cochange.partner_index(cochange.co_change(commits)).collect()} == {"a", "b"}
 
 
+def test_cochange_of_known_files_only(spark):
+    rows = [(0, "2024-01-03", ["a", "b", "gone"]), (1, "2024-01-02", ["b", "a", "a", *[f"x{k}" for k in range(50)]]), (2, "2024-01-01", ["gone"]), (3, "2023-01-01", ["a", "b", "c"])]
+    commits = spark.createDataFrame(rows, "ord int, authored_at string, paths array<string>")
+    known = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "path string")
+    got = {(r.ord, r.n_files, tuple(r.files or ())) for r in cochange.sized_commits(commits, known, 2).collect()}
+    assert got == {(0, 2, ("a", "b")), (1, 2, ("a", "b")), (3, 3, ())}
+    assert {(r.left_path, r.right_path, r.shared) for r in cochange.co_change(commits, known, 2).collect()} == {("a", "b", 2)}
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.sets(st.sampled_from("abcde"), max_size=5), min_size=1, max_size=12))
 def test_cochange_counts_pairs(spark, commits):

@@ -1,6 +1,7 @@
 """Debt, chunks, retrieval, limits, validation, streaming and sources on small inputs."""
 
 import io
+import random
 import uuid
 import zipfile
 
@@ -36,6 +37,37 @@ def test_detectors(spark):
     assert "**2 findings.**" in page and "did not run" in page and "### High (1)" in page and "| `a.py` | 2 | high |" in page
 
 
+def plain_cycles(edges, longest=6):
+    step, out = {}, set()
+    for a, b in edges:
+        if a != b:
+            step.setdefault(a, set()).add(b)
+
+    def go(path):
+        for b in step.get(path[-1], ()):
+            if b == path[0] and len(path) > 1:
+                out.add(tuple(path))
+            elif b > path[0] and b not in path and len(path) < longest:
+                go([*path, b])
+
+    for a in step:
+        go([a])
+    return sorted(out, key=lambda c: (len(c), c))
+
+
+def test_cycles_against_brute_force(spark):
+    rng = random.Random(8)
+    for n, m, limit in ((6, 14, None), (7, 30, 25), (9, 20, 1000), (4, 3, 1)):
+        edges = {(f"f{rng.randrange(n)}", f"f{rng.randrange(n)}") for _ in range(m)}
+        df = spark.createDataFrame(sorted(edges), "src string, dst string")
+        every = plain_cycles(edges)
+        assert sorted(tuple(r.files) for r in debt.cycles(df).collect()) == sorted(every)
+        kept = every if limit is None else every[:limit]
+        want = {c for c in kept if not any(len(x) < len(c) and set(x) <= set(c) for x in kept)}
+        got = debt.minimal_cycles(debt.cycles(df, enough=limit), limit).collect()
+        assert {tuple(r.files) for r in got} == want and len(got) == len(want)
+
+
 def test_cycles(spark):
     e = lambda *p: spark.createDataFrame([(a, b) for a, b in p], "src string, dst string")
     assert [r.files for r in debt.cycles(e("ab", "ba", "ca")).collect()] == [["a", "b"]]
