@@ -12,7 +12,8 @@ The words under factors, each at least 35 long, are those that go.
 
 No hash decides this. A block sends the words of its phrases that have a reference to the block of that
 reference, once a phrase; there they are factored against its words, compared byte for byte, and extended as far
-as both agree: these are the factors of the second table, with block, place and length. What a hash promised and
+as both agree: these are the factors of the second table, with block, place and length. (The smallest holder of a
+phrase refers to the next one, whose words or whose reference's words were compared with its own, so it sends none.) What a hash promised and
 words don't keep (a clash) is settled by the words themselves: all texts of such a phrase are counted over all
 blocks, and the documents of the blocks that hold it are factored again.
 
@@ -176,8 +177,9 @@ def _index(n_buckets: int, length: int):
     return run
 
 
-def merge(blocks: list[int], lists: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each block: which of its phrases another block holds too, and the reference block of each of those.
+def merge(blocks: list[int], lists: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each block and phrase: whether another block holds it too, its reference block, whether a block refers here, and
+    whether the block is the smallest that holds it.
 
     It is the smallest holder among the FAN blocks next to it in number, or where the block is that itself, among
     FAN * FAN, and so on; the smallest of all refers to the next. Phrases of one passage so keep one reference.
@@ -192,7 +194,7 @@ def merge(blocks: list[int], lists: list[np.ndarray]) -> list[tuple[np.ndarray,
     shared[:-1] |= shared[1:]
     at = order[shared]
     h, block = every[at], source[at]
-    reference = np.full(len(at), -1, np.int64)
+    reference, asked, least = np.full(len(at), -1, np.int64), np.zeros(len(at), bool), np.zeros(len(at), bool)
     width, most = FAN, max(blocks) + 1
     while len(at) and (reference < 0).any():
         new = np.ones(len(at), bool)
@@ -202,13 +204,16 @@ def merge(blocks: list[int], lists: list[np.ndarray]) -> list[tuple[np.ndarray,
         to = block[first]
         if width >= most * FAN:  # the smallest of all
             own = np.flatnonzero(new)
-            to[own] = block[own + 1]
-        reference = np.where((reference < 0) & (to != block), to, reference)
+            to[own], least[own] = block[own + 1], True
+        now = (reference < 0) & (to != block)
+        asked[first[now & ~least]] = True
+        reference = np.where(now, to, reference)
         width *= FAN
-    found, of = np.zeros(len(every), bool), np.zeros(len(every), np.int64)
-    found[at], of[at] = True, reference
+    out = [np.zeros(len(every), kind) for kind in (bool, np.int64, bool, bool)]
+    for whole, values in zip(out, (True, reference, asked, least), strict=True):
+        whole[at] = values
     ends = np.cumsum(size)
-    return [(found[e - n : e], of[e - n : e]) for e, n in zip(ends, size, strict=True)]
+    return [tuple(whole[e - n : e] for whole in out) for e, n in zip(ends, size, strict=True)]
 
 
 def _merge(key, rows):
@@ -217,8 +222,10 @@ def _merge(key, rows):
     return pa.table({
         "block": pa.array(blocks, pa.int64()),
         "bucket": pa.array([key[0].as_py()] * len(blocks), pa.int64()),
-        "found": pa.array([np.packbits(f).tobytes() for f, _ in out], pa.binary()),
-        "reference": pa.array([r[f].astype(np.int32).tobytes() for f, r in out], pa.binary()),
+        "found": pa.array([np.packbits(f).tobytes() for f, *_ in out], pa.binary()),
+        "reference": pa.array([r[f].astype(np.int32).tobytes() for f, r, *_ in out], pa.binary()),
+        "asked": pa.array([np.packbits(a[f]).tobytes() for f, _, a, _ in out], pa.binary()),
+        "least": pa.array([np.packbits(x[f]).tobytes() for f, _, _, x in out], pa.binary()),
     })
 
 
@@ -247,10 +254,13 @@ def _parse(n_buckets: int, length: int, with_text: bool):
         block = Block(docs.column("raw").to_pylist(), length)
         ph, bucket = block.phrases, block.bucket(n_buckets)
         reference = np.full(len(block.distinct), -1, np.int64)
-        for b, found, of in zip(*(answers.column(c).to_pylist() for c in ("bucket", "found", "reference")), strict=True):
+        asked, least = np.zeros(len(reference), bool), np.zeros(len(reference), bool)
+        bits = lambda raw, n: np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
+        for b, found, of, a, x in zip(*(answers.column(c).to_pylist() for c in ("bucket", "found", "reference", "asked", "least")), strict=True):
             low, high = np.searchsorted(bucket, [b, b + 1])
-            hit = np.unpackbits(np.frombuffer(found, np.uint8), count=high - low).astype(bool)
+            hit = bits(found, high - low)
             reference[low:high][hit] = np.frombuffer(of, np.int32)
+            asked[low:high][hit], least[low:high][hit] = bits(a, hit.sum()), bits(x, hit.sum())
         here = np.arange(len(block.of))
         twice = (block.count > 1)[block.of]
         partner = np.where(block.least[block.of] == here, block.second[block.of], block.least[block.of])
@@ -261,7 +271,7 @@ def _parse(n_buckets: int, length: int, with_text: bool):
         reach_out = np.where(outside >= 0, runs(along), 0)
         found = twice | (outside >= 0)
         parts = [_of_block(me, ids, documents(block, found, np.maximum(reach_in, reach_out), with_text))]
-        sent = segments(block, reference)
+        sent = segments(block, np.where(asked, me, -1)) | segments(block, np.where(least, -1, reference))
         if sent:
             parts.append(_rows(len(sent), ids.type, block=[me] * len(sent), reference=list(sent), starts=[np.array([a for a, _ in s], np.int64).tobytes() for s in sent.values()], phrases=[b"\n".join(t for _, t in s) for s in sent.values()]))
         parts.append(_rows(1, ids.type, block=[me], found=[np.packbits(found).tobytes()]))
@@ -274,7 +284,7 @@ def _parse(n_buckets: int, length: int, with_text: bool):
 
 
 def segments(block: Block, reference: np.ndarray) -> dict[int, list[tuple[int, bytes]]]:
-    """By reference block: the block's distinct phrases that go there, at their first places, as runs (first word, words)."""
+    """By block to go to: this block's distinct phrases that go there, at their first places, as runs (first word, words)."""
     out: dict[int, list[tuple[int, bytes]]] = {}
     has = np.flatnonzero(reference >= 0)
     has = has[np.argsort(block.least[has])]
@@ -396,12 +406,11 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     dealt = slim.withColumn("block", F.pmod(F.xxhash64("id", F.octet_length("raw")), F.lit(n_blocks))).repartition(-(-n_blocks // TASK_BLOCKS), "block")
     index = dealt.groupBy("block").applyInArrow(_index(n_buckets, length), "bucket long, block long, phrases binary")
     index = index.repartition(-(-n_buckets // TASK_BLOCKS), "bucket")
-    answers = index.groupBy("bucket").applyInArrow(_merge, "block long, bucket long, found binary, reference binary")
+    answers = index.groupBy("bucket").applyInArrow(_merge, "block long, bucket long, found binary, reference binary, asked binary, least binary")
     id_type = slim.schema["id"].dataType.simpleString()
     parsed = keep(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_parse(n_buckets, length, with_text), f"id {id_type}, {PARSED}"))
     sent = parsed.where("reference is not null").select("block", "reference", "starts", "phrases")
-    both = sent.select(F.explode(F.array("block", "reference")).alias("of"), "block", "starts", "phrases").repartition(-(-n_blocks // TASK_BLOCKS), "of")
-    verified = keep(both.groupBy("of").applyInArrow(_verify(length), FACTORS))
+    verified = keep(sent.repartition(-(-n_blocks // TASK_BLOCKS), "reference").groupBy("reference").applyInArrow(_verify(length), FACTORS))
     columns = ["id", "n_words", "n_removed", "n_factors", "kept", "spans"]
     done, out = parsed.where("n_words is not null"), verified.where("clash is null").drop("clash")
     named = lambda df: df.select(*columns).withColumnRenamed("id", id_col)

@@ -179,8 +179,8 @@ def test_merge_offers_each_holder_one_near_reference():
     h = np.array([3, 5, 9], np.uint64)
     blocks = list(range(0, 700, 3))
     out = subdedup.merge(blocks, [h if b % 2 else h[:2] for b in blocks])
-    of = {b: int(r[0]) for b, (found, r) in zip(blocks, out, strict=True)}
-    assert all(found[:2].all() for found, _ in out) and all(o in of and o != b for b, o in of.items())
+    of = {b: int(r[0]) for b, (_, r, *_) in zip(blocks, out, strict=True)}
+    assert all(found[:2].all() for found, *_ in out) and [bool(x[3][0]) for x in out] == [b == 0 for b in blocks] and {b for b, x in zip(blocks, out, strict=True) if x[2][0]} == {of[b] for b in blocks if b} and all(o in of and o != b for b, o in of.items())
     assert max(collections.Counter(of.values()).values()) <= (subdedup.FAN - 1) * 4 + 1
     for b in blocks:  # one tree: all lead to the smallest
         seen = set()
