@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a folder of this machine only where none is named."""
+    """The folder named in spark.checkpoint.dir; a folder of this machine only where none is named and all runs in this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestar-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
