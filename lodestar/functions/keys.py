@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def with_repo(*frames: DataFrame) -> list[DataFrame]:
+    """The frames, each with a column repo: one empty name where all rows are of one repository."""
+    return [df if "repo" in df.columns else df.withColumn("repo", F.lit("")) for df in frames]
+
+
 def repo_key(repo: Column | str) -> Column:
     return F.concat(F.lit("repo:"), _c(repo))
 

@@ -1,4 +1,4 @@
-"""Nodes and edges of the property graph from what extraction and resolution found."""
+"""Nodes and edges of the property graph from what extraction and resolution found, for any number of repositories (column repo)."""
 
 from __future__ import annotations
 
@@ -11,14 +11,14 @@ from lodestar.operators.graph import aggregate_calls, last_wins
 LABEL = "case when kind = 'class' then 'Class' else 'Function' end"
 
 
-def node_rows(repo: str, parsed: DataFrame, symbols: DataFrame, unresolved: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Repo, File, Class and Function nodes. parsed: (path, module, error); inventory: (path, line_count, sha256)."""
-    r = F.lit(repo)
-    root = parsed.sparkSession.range(1).select(repo_key(r).alias("key"), F.lit("Repo").alias("label"), r.alias("name"))
-    files = parsed.join(inventory.select("path", "line_count", "sha256"), "path", "left").select(file_key(r, "path").alias("key"), F.lit("File").alias("label"), F.substring_index("path", "/", -1).alias("name"), "path", "module", F.coalesce("line_count", F.lit(0)).alias("line_count"), "sha256", F.col("error").alias("parse_error"))
-    counted = symbols.join(unresolved.select("path", F.col("caller").alias("qualname"), "unresolved_calls"), ["path", "qualname"], "left")
+def node_rows(repos: DataFrame, parsed: DataFrame, symbols: DataFrame, unresolved: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Repo, File, Class and Function nodes. repos: (repo); parsed: (repo, path, module, error); inventory: (repo, path, line_count, sha256)."""
+    r = F.col("repo")
+    root = repos.select("repo", repo_key(r).alias("key"), F.lit("Repo").alias("label"), r.alias("name"))
+    files = parsed.join(inventory.select("repo", "path", "line_count", "sha256"), ["repo", "path"], "left").select("repo", file_key(r, "path").alias("key"), F.lit("File").alias("label"), F.substring_index("path", "/", -1).alias("name"), "path", "module", F.coalesce("line_count", F.lit(0)).alias("line_count"), "sha256", F.col("error").alias("parse_error"))
+    counted = symbols.join(unresolved.select("repo", "path", F.col("caller").alias("qualname"), "unresolved_calls"), ["repo", "path", "qualname"], "left")
     own = counted.select(
-        symbol_key(r, "module", "qualname", "path").alias("key"), F.expr(LABEL).alias("label"), "name", "path", "module", "qualname", "kind", "line_start", "line_end", "is_async", F.size(F.coalesce("parameters", F.array())).alias("param_count"),
+        "repo", symbol_key(r, "module", "qualname", "path").alias("key"), F.expr(LABEL).alias("label"), "name", "path", "module", "qualname", "kind", "line_start", "line_end", "is_async", F.size(F.coalesce("parameters", F.array())).alias("param_count"),
         F.coalesce("unresolved_calls", F.lit(0)).alias("unresolved_calls"), F.lit(False).alias("is_external"),
     )
     # Overloads and .py/.pyi twins share a key: the last one counts.
@@ -26,47 +26,47 @@ def node_rows(repo: str, parsed: DataFrame, symbols: DataFrame, unresolved: Data
     return root.unionByName(files, allowMissingColumns=True).unionByName(own, allowMissingColumns=True)
 
 
-def module_rows(repo: str, imports: DataFrame) -> DataFrame:
+def module_rows(imports: DataFrame) -> DataFrame:
     """A node for each external module."""
-    outside = imports.where("target_module is not null").select(F.col("target_module").alias("dotted_name")).distinct()
-    return outside.select(module_key(F.lit(repo), "dotted_name").alias("key"), F.lit("Module").alias("label"), F.col("dotted_name").alias("name"), "dotted_name", top_level("dotted_name").alias("top_level"), F.lit(True).alias("is_external"))
+    outside = imports.where("target_module is not null").select("repo", F.col("target_module").alias("dotted_name")).distinct()
+    return outside.select("repo", module_key("repo", "dotted_name").alias("key"), F.lit("Module").alias("label"), F.col("dotted_name").alias("name"), "dotted_name", top_level("dotted_name").alias("top_level"), F.lit(True).alias("is_external"))
 
 
-def external_class_rows(repo: str, bases: DataFrame) -> DataFrame:
-    outside = bases.where("base_path is null").select(F.col("base").alias("name")).distinct()
-    return outside.select(external_class_key(F.lit(repo), "name").alias("key"), F.lit("Class").alias("label"), "name", F.col("name").alias("qualname"), F.lit(True).alias("is_external"))
+def external_class_rows(bases: DataFrame) -> DataFrame:
+    outside = bases.where("base_path is null").select("repo", F.col("base").alias("name")).distinct()
+    return outside.select("repo", external_class_key("repo", "name").alias("key"), F.lit("Class").alias("label"), "name", F.col("name").alias("qualname"), F.lit(True).alias("is_external"))
 
 
-def import_rows(repo: str, deduped: DataFrame) -> DataFrame:
-    r = F.lit(repo)
+def import_rows(deduped: DataFrame) -> DataFrame:
+    r = F.col("repo")
     dst = F.when(F.col("target_path").isNotNull(), file_key(r, "target_path")).otherwise(module_key(r, "target_module"))
-    return deduped.select(file_key(r, "source_path").alias("src"), dst.alias("dst"), F.lit("IMPORTS").alias("type"), F.lit(1.0).alias("confidence"), "resolution", "line", "alias", "level", (F.col("level") > 0).alias("is_relative"))
+    return deduped.select("repo", file_key(r, "source_path").alias("src"), dst.alias("dst"), F.lit("IMPORTS").alias("type"), F.lit(1.0).alias("confidence"), "resolution", "line", "alias", "level", (F.col("level") > 0).alias("is_relative"))
 
 
-def call_rows(repo: str, resolved_calls: DataFrame, symbols: DataFrame) -> DataFrame:
+def call_rows(resolved_calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """One edge a pair of symbols."""
-    r = F.lit(repo)
-    of = symbols.select("path", F.col("qualname").alias("caller"), "module").dropDuplicates(["path", "caller"])
-    sites = resolved_calls.where("dst_qualname is not null").join(of, ["path", "caller"], "left")
-    keyed = sites.select(symbol_key(r, "module", "caller", "path").alias("src"), symbol_key(r, "dst_module", "dst_qualname", "dst_path").alias("dst"), "resolution", "confidence", "line")
+    r = F.col("repo")
+    of = symbols.select("repo", "path", F.col("qualname").alias("caller"), "module").dropDuplicates(["repo", "path", "caller"])
+    sites = resolved_calls.where("dst_qualname is not null").join(of, ["repo", "path", "caller"], "left")
+    keyed = sites.select("repo", symbol_key(r, "module", "caller", "path").alias("src"), symbol_key(r, "dst_module", "dst_qualname", "dst_path").alias("dst"), "resolution", "confidence", "line")
     return aggregate_calls(keyed)
 
 
-def inherit_rows(repo: str, bases: DataFrame, symbols: DataFrame) -> DataFrame:
-    r = F.lit(repo)
-    of = symbols.select("path", "qualname", "module").dropDuplicates(["path", "qualname"])
-    up = of.select(F.col("path").alias("base_path"), F.col("qualname").alias("base_qualname"), F.col("module").alias("base_module"))
-    joined = bases.join(of, ["path", "qualname"], "left").join(up, ["base_path", "base_qualname"], "left")
+def inherit_rows(bases: DataFrame, symbols: DataFrame) -> DataFrame:
+    r = F.col("repo")
+    of = symbols.select("repo", "path", "qualname", "module").dropDuplicates(["repo", "path", "qualname"])
+    up = of.select("repo", F.col("path").alias("base_path"), F.col("qualname").alias("base_qualname"), F.col("module").alias("base_module"))
+    joined = bases.join(of, ["repo", "path", "qualname"], "left").join(up, ["repo", "base_path", "base_qualname"], "left")
     dst = F.when(F.col("base_path").isNotNull(), symbol_key(r, "base_module", "base_qualname", "base_path")).otherwise(external_class_key(r, "base"))
-    return joined.select(symbol_key(r, "module", "qualname", "path").alias("src"), dst.alias("dst"), F.lit("INHERITS").alias("type"), "position")
+    return joined.select("repo", symbol_key(r, "module", "qualname", "path").alias("src"), dst.alias("dst"), F.lit("INHERITS").alias("type"), "position")
 
 
-def contains_rows(repo: str, parsed: DataFrame, symbols: DataFrame) -> DataFrame:
+def contains_rows(parsed: DataFrame, symbols: DataFrame) -> DataFrame:
     """Repo to files, files to top-level symbols, symbols to those inside; a parent that was not extracted falls back to the file."""
-    r = F.lit(repo)
-    files = parsed.select(repo_key(r).alias("src"), file_key(r, "path").alias("dst"))
-    parents = symbols.select("path", F.col("qualname").alias("parent"), symbol_key(r, "module", "qualname", "path").alias("parent_key")).dropDuplicates(["path", "parent"])
-    inner = symbols.join(parents, ["path", "parent"], "left").select(F.coalesce("parent_key", file_key(r, "path")).alias("src"), symbol_key(r, "module", "qualname", "path").alias("dst"))
+    r = F.col("repo")
+    files = parsed.select("repo", repo_key(r).alias("src"), file_key(r, "path").alias("dst"))
+    parents = symbols.select("repo", "path", F.col("qualname").alias("parent"), symbol_key(r, "module", "qualname", "path").alias("parent_key")).dropDuplicates(["repo", "path", "parent"])
+    inner = symbols.join(parents, ["repo", "path", "parent"], "left").select("repo", F.coalesce("parent_key", file_key(r, "path")).alias("src"), symbol_key(r, "module", "qualname", "path").alias("dst"))
     return files.union(inner).distinct().withColumn("type", F.lit("CONTAINS"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.keys import uuid5
+from lodestar.functions.keys import uuid5, with_repo
 
 # Fixed values.
 MAX_CHARS = 4000
@@ -41,25 +41,27 @@ def header(path: Column, module: Column, extra: Column) -> Column:
 
 def symbol_chunks(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """Chunks of functions and methods. files: (path, module, lines); symbols: (path, qualname, kind, line_start, line_end, …)."""
-    joined = symbols.where("kind <> 'class'").drop("module").join(files.select("path", "module", "lines"), "path")
+    symbols, files = with_repo(symbols, files)
+    joined = symbols.where("kind <> 'class'").drop("module").join(files.select("repo", "path", "module", "lines"), ["repo", "path"])
     body = slice_lines(F.col("lines"), F.col("line_start"), F.col("line_end"))
     # The length is a column of its own, so that windows() does not build the body again at each mention.
     cut = joined.withColumn("chars", F.length(body)).withColumn("w", F.explode(windows(F.col("line_start"), F.col("line_end"), F.col("chars"))))
     part = F.when(F.col("w.part_count") > 1, F.format_string(" (part %d of %d)", F.col("w.part") + 1, F.col("w.part_count"))).otherwise("")
     text = F.concat(header(F.col("path"), F.col("module"), F.concat_ws(": ", "kind", "qualname")), part, F.lit("\n\n"), slice_lines(F.col("lines"), F.col("w.line_start"), F.col("w.line_end")))
-    return cut.select("path", "module", "qualname", "name", "kind", "w.line_start", "w.line_end", "w.part", "w.part_count", text.alias("text"))
+    return cut.select("repo", "path", "module", "qualname", "name", "kind", "w.line_start", "w.line_end", "w.part", "w.part_count", text.alias("text"))
 
 
 def class_outlines(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """A class up to the line before its first member, and the heads of its members."""
-    members = symbols.where(F.col("parent").isNotNull()).select("path", F.col("parent").alias("qualname"), F.col("line_start").alias("m"), F.concat(F.when(F.col("is_async"), "    async def ").otherwise("    def "), "name", F.lit("("), F.array_join(F.transform("parameters", lambda p: p["name"]), ", "), F.lit(")")).alias("head"))
-    classes = symbols.where("kind = 'class'").drop("module").join(files.select("path", "module", "lines"), "path")
-    grouped = classes.select("path", "qualname", F.col("line_start").alias("c")).join(members, ["path", "qualname"]).groupBy("path", "qualname").agg(F.min(F.when(F.col("m") > F.col("c"), F.col("m"))).alias("first"), F.array_sort(F.collect_list(F.struct("m", "head"))).alias("heads"))
-    outlined = classes.join(grouped, ["path", "qualname"], "left").withColumn("stop", F.coalesce(F.col("first") - 1, F.col("line_end")))
+    symbols, files = with_repo(symbols, files)
+    members = symbols.where(F.col("parent").isNotNull()).select("repo", "path", F.col("parent").alias("qualname"), F.col("line_start").alias("m"), F.concat(F.when(F.col("is_async"), "    async def ").otherwise("    def "), "name", F.lit("("), F.array_join(F.transform("parameters", lambda p: p["name"]), ", "), F.lit(")")).alias("head"))
+    classes = symbols.where("kind = 'class'").drop("module").join(files.select("repo", "path", "module", "lines"), ["repo", "path"])
+    grouped = classes.select("repo", "path", "qualname", F.col("line_start").alias("c")).join(members, ["repo", "path", "qualname"]).groupBy("repo", "path", "qualname").agg(F.min(F.when(F.col("m") > F.col("c"), F.col("m"))).alias("first"), F.array_sort(F.collect_list(F.struct("m", "head"))).alias("heads"))
+    outlined = classes.join(grouped, ["repo", "path", "qualname"], "left").withColumn("stop", F.coalesce(F.col("first") - 1, F.col("line_end")))
     bases = F.when(F.size(F.coalesce("base_classes", F.array().cast("array<string>"))) > 0, F.concat(F.lit("("), F.array_join("base_classes", ", "), F.lit(")"))).otherwise("")
     listed = F.when(F.col("heads").isNotNull(), F.concat(F.lit("\n\n    # methods:\n"), F.array_join(F.transform("heads", lambda h: h["head"]), "\n"))).otherwise("")
     text = F.concat(header(F.col("path"), F.col("module"), F.concat(F.lit("class: "), "qualname", bases)), F.lit("\n\n"), slice_lines(F.col("lines"), F.col("line_start"), F.col("stop")), listed)
-    return outlined.select("path", "module", "qualname", "name", "kind", "line_start", F.col("stop").cast("int").alias("line_end"), F.lit(0).alias("part"), F.lit(1).alias("part_count"), text.alias("text"))
+    return outlined.select("repo", "path", "module", "qualname", "name", "kind", "line_start", F.col("stop").cast("int").alias("line_end"), F.lit(0).alias("part"), F.lit(1).alias("part_count"), text.alias("text"))
 
 
 def leftover(files: DataFrame, covered: DataFrame) -> DataFrame:
@@ -67,23 +69,30 @@ def leftover(files: DataFrame, covered: DataFrame) -> DataFrame:
 
     The spans of a file travel as one array to its lines, so nothing joins line by line.
     """
-    spans = covered.groupBy("path").agg(F.collect_list(F.struct("line_start", "line_end")).alias("spans"))
+    files, covered = with_repo(files, covered)
+    spans = covered.groupBy("repo", "path").agg(F.collect_list(F.struct("line_start", "line_end")).alias("spans"))
     numbered = F.transform("lines", lambda t, i: F.struct((i + 1).alias("number"), t.alias("text")))
     free = lambda x: (F.trim(x["text"]) != "") & ~F.exists(F.coalesce("spans", F.array().cast("array<struct<line_start:int,line_end:int>>")), lambda s: x["number"].between(s["line_start"], s["line_end"]))
-    rest = files.join(spans, "path", "left").withColumn("free", F.filter(numbered, free)).where(F.size("free") > 0)
+    rest = files.join(spans, ["repo", "path"], "left").withColumn("free", F.filter(numbered, free)).where(F.size("free") > 0)
     body = F.left(F.array_join(F.transform("free", lambda x: x["text"]), "\n"), F.lit(MAX_CHARS))
     text = F.concat(header(F.col("path"), F.col("module"), F.lit("module-level code")), F.lit("\n\n"), body)
     name = F.substring_index("path", "/", -1)
-    return rest.select("path", "module", F.lit(None).cast("string").alias("qualname"), name.alias("name"), F.lit("module").alias("kind"), F.element_at("free", 1)["number"].alias("line_start"), F.element_at("free", -1)["number"].alias("line_end"), F.lit(0).alias("part"), F.lit(1).alias("part_count"), text.alias("text"))
+    return rest.select("repo", "path", "module", F.lit(None).cast("string").alias("qualname"), name.alias("name"), F.lit("module").alias("kind"), F.element_at("free", 1)["number"].alias("line_start"), F.element_at("free", -1)["number"].alias("line_end"), F.lit(0).alias("part"), F.lit(1).alias("part_count"), text.alias("text"))
 
 
-def chunk(files: DataFrame, symbols: DataFrame, repo: str, namespace: str = NAMESPACE) -> DataFrame:
-    """All chunks with id, sha256, tokens and is_split; those of under MIN_CHARS are dropped. files: (path, module, text)."""
-    split = files.select("path", "module", F.split(F.regexp_replace(F.regexp_replace("text", "\r\n?", "\n"), "\n$", ""), "\n").alias("lines"))
+def chunk(files: DataFrame, symbols: DataFrame, repo: str | None = None, namespace: str = NAMESPACE) -> DataFrame:
+    """All chunks with id, sha256, tokens and is_split; those of under MIN_CHARS are dropped. files: (repo, path, module, text).
+
+    repo names the repository of tables that are of one and do not say which.
+    """
+    if repo is not None:
+        files, symbols = files.withColumn("repo", F.lit(repo)), symbols.withColumn("repo", F.lit(repo))
+    files, symbols = with_repo(files, symbols)
+    split = files.select("repo", "path", "module", F.split(F.regexp_replace(F.regexp_replace("text", "\r\n?", "\n"), "\n$", ""), "\n").alias("lines"))
     bodies, outlines = symbol_chunks(symbols, split), class_outlines(symbols, split)
-    spans = symbols.where("kind <> 'class'").select("path", "line_start", "line_end").union(outlines.select("path", "line_start", "line_end"))
+    spans = symbols.where("kind <> 'class'").select("repo", "path", "line_start", "line_end").union(outlines.select("repo", "path", "line_start", "line_end"))
     every = bodies.unionByName(outlines).unionByName(leftover(split, spans)).where(F.length(F.trim("text")) >= MIN_CHARS)
-    name = F.concat_ws("|", F.lit(repo), "path", F.coalesce("qualname", F.lit("")), F.col("line_start").cast("string"), F.col("part").cast("string"))
+    name = F.concat_ws("|", "repo", "path", F.coalesce("qualname", F.lit("")), F.col("line_start").cast("string"), F.col("part").cast("string"))
     return every.select("*", uuid5(namespace, name).alias("id"), F.sha2("text", 256).alias("sha256"), estimated_tokens(F.col("text")).alias("tokens"), (F.col("part_count") > 1).alias("is_split"))
 
 

@@ -1,8 +1,12 @@
-"""Files that change together, from commits (ord, sha, authored_at, paths); ord 0 is the newest."""
+"""Files that change together, from commits (ord, sha, authored_at, paths); ord 0 is the newest.
+
+Commits with a column repo are of several repositories: files of different ones never change together, and pairs and
+counts carry the repository.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_FILES = 40
@@ -10,20 +14,26 @@ MIN_SHARED = 2
 MAX_PAIRS = 5000
 
 
+def _own(df: DataFrame) -> list[str]:
+    return ["repo"] if "repo" in df.columns else []
+
+
 def sized_commits(commits: DataFrame, paths: DataFrame | None = None, max_files: int = MAX_FILES) -> DataFrame:
     """(ord, authored_at, n_files, files): commits with a file, files sorted and null in a commit of more than max_files.
 
     Repeats of a path in one commit count once; with paths: (path), only those count. Files are gathered only in
     commits that turned out small enough, so a commit that touches everything never becomes one row of its files.
     """
+    own = _own(commits)
     if paths is None:
-        rows = commits.select("ord", "authored_at", F.array_sort(F.array_distinct("paths")).alias("files"))
-        return rows.where(F.size("files") > 0).select("ord", "authored_at", F.size("files").alias("n_files"), F.when(F.size("files") <= max_files, F.col("files")).alias("files"))
-    rows = commits.select("ord", "authored_at", F.explode(F.array_distinct("paths")).alias("path")).join(paths.select("path").distinct(), "path", "left_semi")
-    sizes = rows.groupBy("ord", "authored_at").agg(F.count("*").cast("int").alias("n_files"))
-    small = sizes.where(F.col("n_files") <= max_files).select("ord", "authored_at")
-    files = rows.join(small, ["ord", "authored_at"], "left_semi").groupBy("ord", "authored_at").agg(F.array_sort(F.collect_list("path")).alias("files"))
-    return sizes.join(files, ["ord", "authored_at"], "left")
+        rows = commits.select(*own, "ord", "authored_at", F.array_sort(F.array_distinct("paths")).alias("files"))
+        return rows.where(F.size("files") > 0).select(*own, "ord", "authored_at", F.size("files").alias("n_files"), F.when(F.size("files") <= max_files, F.col("files")).alias("files"))
+    shared = [*own, "path"] if "repo" in paths.columns else ["path"]
+    rows = commits.select(*own, "ord", "authored_at", F.explode(F.array_distinct("paths")).alias("path")).join(paths.select(*shared).distinct(), shared, "left_semi")
+    sizes = rows.groupBy(*own, "ord", "authored_at").agg(F.count("*").cast("int").alias("n_files"))
+    small = sizes.where(F.col("n_files") <= max_files).select(*own, "ord", "authored_at")
+    files = rows.join(small, [*own, "ord", "authored_at"], "left_semi").groupBy(*own, "ord", "authored_at").agg(F.array_sort(F.collect_list("path")).alias("files"))
+    return sizes.join(files, [*own, "ord", "authored_at"], "left")
 
 
 def used_commits(commits: DataFrame, paths: DataFrame | None = None, max_files: int = MAX_FILES) -> tuple[DataFrame, DataFrame]:
@@ -32,27 +42,34 @@ def used_commits(commits: DataFrame, paths: DataFrame | None = None, max_files:
     A commit of more than max_files says nothing about coupling and is left out of all counts.
     """
     sized = sized_commits(commits, paths, max_files)
-    return sized.select("ord", "authored_at", F.explode("files").alias("path")), sized.drop("files")
+    return sized.select(*_own(sized), "ord", "authored_at", F.explode("files").alias("path")), sized.drop("files")
 
 
 def pairs_of(sized: DataFrame) -> DataFrame:
     """(left_path, right_path, ord, authored_at) of each commit: at most max_files * (max_files - 1) / 2, made within its row."""
     both = F.expr("flatten(transform(files, (l, i) -> transform(slice(files, i + 2, size(files)), r -> struct(l as left_path, r as right_path))))")
-    return sized.where("size(files) > 1").select("ord", "authored_at", F.explode(both).alias("p")).select("p.left_path", "p.right_path", "ord", "authored_at")
+    own = _own(sized)
+    return sized.where("size(files) > 1").select(*own, "ord", "authored_at", F.explode(both).alias("p")).select(*own, "p.left_path", "p.right_path", "ord", "authored_at")
 
 
 def co_change(commits: DataFrame, paths: DataFrame | None = None, max_files: int = MAX_FILES, min_shared: int = MIN_SHARED, min_jaccard: float = 0.0, max_pairs: int | None = MAX_PAIRS) -> DataFrame:
     """(left_path, right_path, shared, left_commits, right_commits, jaccard, last_together), strongest first.
 
     jaccard is rounded to 4 decimals and compared rounded. last_together is the date of the newest shared commit.
+    max_pairs is for each repository.
     """
+    own = _own(commits)
     sized = sized_commits(commits, paths, max_files)
-    per_file = sized.select(F.explode("files").alias("path")).groupBy("path").agg(F.count("*").alias("n"))
-    pairs = pairs_of(sized).groupBy("left_path", "right_path").agg(F.count("*").alias("shared"), F.min_by("authored_at", "ord").alias("last_together")).where(F.col("shared") >= min_shared)
-    both = pairs.join(per_file.select(F.col("path").alias("left_path"), F.col("n").alias("left_commits")), "left_path").join(per_file.select(F.col("path").alias("right_path"), F.col("n").alias("right_commits")), "right_path")
+    per_file = sized.select(*own, F.explode("files").alias("path")).groupBy(*own, "path").agg(F.count("*").alias("n"))
+    pairs = pairs_of(sized).groupBy(*own, "left_path", "right_path").agg(F.count("*").alias("shared"), F.min_by("authored_at", "ord").alias("last_together")).where(F.col("shared") >= min_shared)
+    both = pairs.join(per_file.select(*own, F.col("path").alias("left_path"), F.col("n").alias("left_commits")), [*own, "left_path"]).join(per_file.select(*own, F.col("path").alias("right_path"), F.col("n").alias("right_commits")), [*own, "right_path"])
     rated = both.withColumn("jaccard", F.round(F.col("shared") / (F.col("left_commits") + F.col("right_commits") - F.col("shared")), 4)).where(F.col("jaccard") >= min_jaccard)
-    out = rated.select("left_path", "right_path", "shared", "left_commits", "right_commits", "jaccard", "last_together").orderBy(F.desc("shared"), F.desc("jaccard"), "left_path", "right_path")
-    return out if max_pairs is None else out.limit(max_pairs)
+    strongest = [F.desc("shared"), F.desc("jaccard"), F.col("left_path"), F.col("right_path")]
+    out = rated.select(*own, "left_path", "right_path", "shared", "left_commits", "right_commits", "jaccard", "last_together")
+    if max_pairs is not None and own:
+        out = out.withColumn("__n", F.row_number().over(Window.partitionBy("repo").orderBy(*strongest))).where(F.col("__n") <= max_pairs).drop("__n")
+    out = out.orderBy(*own, *strongest)
+    return out if max_pairs is None or own else out.limit(max_pairs)
 
 
 def window_stats(commits: DataFrame, paths: DataFrame | None = None, max_files: int = MAX_FILES) -> DataFrame:
@@ -66,12 +83,12 @@ def window_stats(commits: DataFrame, paths: DataFrame | None = None, max_files:
 def churn(commits: DataFrame, paths: DataFrame | None = None, max_files: int = MAX_FILES) -> DataFrame:
     """(path, change_count): the counted commits that touch each file."""
     rows, _ = used_commits(commits, paths, max_files)
-    return rows.groupBy("path").agg(F.count("*").alias("change_count"))
+    return rows.groupBy(*_own(rows), "path").agg(F.count("*").alias("change_count"))
 
 
 def partner_index(pairs: DataFrame) -> DataFrame:
     """(path, partner, shared, jaccard): every pair from both sides."""
-    side = lambda a, b: pairs.select(F.col(a).alias("path"), F.col(b).alias("partner"), "shared", "jaccard")
+    side = lambda a, b: pairs.select(*_own(pairs), F.col(a).alias("path"), F.col(b).alias("partner"), "shared", "jaccard")
     return side("left_path", "right_path").union(side("right_path", "left_path"))
 
 
@@ -85,10 +102,11 @@ def coupled(pairs: DataFrame, path: str | None = None, min_commits: int = 1, lim
 
 def co_change_edges(pairs: DataFrame, files: DataFrame) -> DataFrame:
     """CO_CHANGED edges of pairs whose files both exist. files: (path, key)."""
-    a, b = files.select(F.col("path").alias("left_path"), F.col("key").alias("src")), files.select(F.col("path").alias("right_path"), F.col("key").alias("dst"))
-    return pairs.join(a, "left_path").join(b, "right_path").select("src", "dst", F.lit("CO_CHANGED").alias("type"), F.col("shared").alias("commits"), "jaccard", "left_commits", "right_commits", "last_together")
+    own = _own(pairs) and _own(files)
+    a, b = files.select(*own, F.col("path").alias("left_path"), F.col("key").alias("src")), files.select(*own, F.col("path").alias("right_path"), F.col("key").alias("dst"))
+    return pairs.join(a, [*own, "left_path"]).join(b, [*own, "right_path"]).select(*own, "src", "dst", F.lit("CO_CHANGED").alias("type"), F.col("shared").alias("commits"), "jaccard", "left_commits", "right_commits", "last_together")
 
 
 def set_churn(files: DataFrame, counts: DataFrame) -> DataFrame:
     """files with change_count: 0, not null, for a file that no counted commit touches."""
-    return files.drop("change_count").join(counts, "path", "left").withColumn("change_count", F.coalesce("change_count", F.lit(0)))
+    return files.drop("change_count").join(counts, [*(_own(counts) and _own(files)), "path"], "left").withColumn("change_count", F.coalesce("change_count", F.lit(0)))

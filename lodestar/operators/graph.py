@@ -149,8 +149,9 @@ def route_edges(items: DataFrame) -> DataFrame:
 def aggregate_calls(sites: DataFrame) -> DataFrame:
     """Call sites (src, dst, resolution, confidence, line) as one edge a pair: the surest resolution, sorted distinct lines, their number."""
     best = F.max(F.struct("confidence", F.col("resolution")))
-    out = sites.groupBy("src", "dst").agg(best.alias("b"), F.array_sort(F.collect_set("line")).alias("lines"))
-    return out.select("src", "dst", F.lit("CALLS").alias("type"), "b.confidence", "b.resolution", "lines", F.size("lines").alias("count"))
+    own = ["repo"] if "repo" in sites.columns else []
+    out = sites.groupBy(*own, "src", "dst").agg(best.alias("b"), F.array_sort(F.collect_set("line")).alias("lines"))
+    return out.select(*own, "src", "dst", F.lit("CALLS").alias("type"), "b.confidence", "b.resolution", "lines", F.size("lines").alias("count"))
 
 
 def last_wins(rows: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:
@@ -169,12 +170,36 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return new.unionByName(old.join(new.select(*key), key, "left_anti"), allowMissingColumns=True)
 
 
-def sweep(rows: DataFrame, run_id: str, keep_label: str | None = "Repo") -> tuple[DataFrame, DataFrame]:
-    """What stays after a run, and what it left behind: rows of another run or of none. Rows of keep_label stay."""
+def merge_properties(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of both by key. New values replace old ones, also with null; what only old has (rows, columns) stays.
+
+    So what another step set, such as the change_count of a file, outlives the next parse. Keys are unique on both sides.
+    """
+    theirs = [c for c in old.columns if c not in new.columns]
+    kept = old.select(*key, F.struct(*[c for c in old.columns if c not in key]).alias("__old"))
+    fresh = new.select(*key, F.struct(*[c for c in new.columns if c not in key]).alias("__new"))
+    pick = lambda c: F.col(f"__new.{c}") if c not in old.columns else F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(f"__old.{c}"))
+    out = fresh.join(kept, key, "full")
+    return out.select(*key, *[pick(c).alias(c) for c in new.columns if c not in key], *[F.col(f"__old.{c}").alias(c) for c in theirs])
+
+
+def repeated_keys(nodes: DataFrame, key: str = "key") -> DataFrame:
+    """(key, n) of keys that more than one row has: none in a graph that keeps its constraint."""
+    return nodes.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def sweep(rows: DataFrame, run_id: str, keep_label: str | None = "Repo", repos: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What stays after a run, and what it left behind: rows of another run or of none. Rows of keep_label stay.
+
+    repos: (repo), those the run was about; rows of other repositories stay.
+    """
     stale = F.col("run_id").isNull() | (F.col("run_id") != run_id)
+    if repos is not None:
+        rows = rows.join(repos.select("repo", F.lit(True).alias("__in_run")).distinct(), "repo", "left")
+        stale = stale & F.col("__in_run").isNotNull()
     if keep_label and "label" in rows.columns:
         stale = stale & (F.col("label") != keep_label)
-    return rows.where(~stale), rows.where(stale)
+    return rows.where(~stale).drop("__in_run"), rows.where(stale).drop("__in_run")
 
 
 def count_nodes(nodes: DataFrame) -> DataFrame:

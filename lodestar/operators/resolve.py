@@ -1,11 +1,13 @@
-"""Imports, calls and base classes of a source tree resolved to its files and symbols, as joins.
+"""Imports, calls and base classes of source trees resolved to their files and symbols, as joins.
 
-files: (path, module, ord), ord the order of the files. imports: (path, module, name, alias, line, level, is_from,
-ord). symbols: (path, module, qualname, name, kind, parent, line_start, ord, base_classes). calls: (path, callee,
-caller, line, ord).
+Any number of repositories resolve at once: the column repo is in every key, so none resolves into another. Tables
+without it are of one repository, whose name comes out empty.
 
-Chains of unknown length (scopes, bases) are walked level by level, each level written to the shared folder, until
-none is left. Inputs should be tables rather than long plans, for they are read several times.
+files: (repo, path, module, ord), ord the order of the files. imports: (repo, path, module, name, alias, line, level,
+is_from, ord). symbols: (repo, path, module, qualname, name, kind, parent, line_start, ord, base_classes).
+calls: (repo, path, callee, caller, line, ord).
+
+Base classes are walked level by level, each level written to the shared folder, until none is left. Inputs should be tables rather than long plans, for they are read several times.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions.keys import with_repo
 from lodestar.functions.scoring import CONFIDENCE
 from lodestar.operators.graph import first_wins, last_wins
 from lodestar.plans.written import Written
@@ -33,8 +36,9 @@ def bound_name() -> Column:
 
 
 def module_index(files: DataFrame) -> DataFrame:
-    """(module, target_path): of files with the same module the last one counts."""
-    return files.where("module is not null and module <> ''").groupBy("module").agg(F.max_by("path", "ord").alias("target_path"))
+    """(repo, module, target_path): of files with the same module the last one counts."""
+    (files,) = with_repo(files)
+    return files.where("module is not null and module <> ''").groupBy("repo", "module").agg(F.max_by("path", "ord").alias("target_path"))
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -43,8 +47,9 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     The deeper name is tried first: `from a import b` means the module a.b where there is one. Relative imports
     climb from the importing package; climbing too far makes them external under their own text.
     """
+    imports, files = with_repo(imports, files)
     index = module_index(files)
-    of = imports.withColumnRenamed("module", "named").join(files.select("path", F.col("module").alias("own")), "path", "left").withColumnRenamed("named", "module")
+    of = imports.withColumnRenamed("module", "named").join(files.select("repo", "path", F.col("module").alias("own")), ["repo", "path"], "left").withColumnRenamed("named", "module")
     parts = F.split("own", r"\.")
     package = F.when(F.endswith("path", F.lit("__init__.py")), parts).otherwise(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))))
     climb = F.col("level") - 1
@@ -53,8 +58,8 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     relative = F.nullif(F.concat_ws(".", F.nullif(left, F.lit("")), F.nullif("module", F.lit(""))), F.lit(""))
     base = F.when(F.col("level") > 0, F.when(inside, relative)).otherwise(F.nullif("module", F.lit("")))
     asked = of.withColumn("base", base).withColumn("deep", F.when(F.col("is_from") & (F.col("name") != ""), F.concat_ws(".", "base", "name"))).withColumn("deep", F.when(F.col("base").isNotNull(), F.col("deep")))
-    deep, plain = index.select(F.col("module").alias("deep"), F.col("target_path").alias("deep_path")), index.select(F.col("module").alias("base"), F.col("target_path").alias("base_path"))
-    found = asked.join(deep, "deep", "left").join(plain, "base", "left")
+    deep, plain = index.select("repo", F.col("module").alias("deep"), F.col("target_path").alias("deep_path")), index.select("repo", F.col("module").alias("base"), F.col("target_path").alias("base_path"))
+    found = asked.join(deep, ["repo", "deep"], "left").join(plain, ["repo", "base"], "left")
     resolution = (
         F.when(F.col("deep_path").isNull() & F.col("base_path").isNull(), "external")
         .when(F.col("level") > 0, "relative")
@@ -63,29 +68,29 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     )
     path = F.coalesce("deep_path", "base_path")
     outside = F.when(path.isNull(), F.when((F.col("level") > 0) | F.col("base").isNull(), target_of()).otherwise(F.col("base")))
-    return found.select(F.col("path").alias("source_path"), path.alias("target_path"), outside.alias("target_module"), resolution.alias("resolution"), bound_name().alias("bound_name"), F.col("name").alias("imported_name"), "alias", "line", "level", "ord")
+    return found.select("repo", F.col("path").alias("source_path"), path.alias("target_path"), outside.alias("target_module"), resolution.alias("resolution"), bound_name().alias("bound_name"), F.col("name").alias("imported_name"), "alias", "line", "level", "ord")
 
 
 def dedupe_edges(resolved: DataFrame) -> DataFrame:
     """One import a source, target and line: the first."""
-    return first_wins(resolved, ["source_path", "target_path", "target_module", "line"], ["ord"])
+    return first_wins(resolved, ["repo", "source_path", "target_path", "target_module", "line"], ["ord"])
 
 
 def bindings(resolved: DataFrame) -> DataFrame:
-    """(path, bound_name, target_path, imported_name): the last import that binds a name counts, in-repo or not."""
-    last = last_wins(resolved.where("bound_name is not null and bound_name <> ''"), ["source_path", "bound_name"], ["ord"])
-    return last.select(F.col("source_path").alias("path"), "bound_name", "target_path", "imported_name")
+    """(repo, path, bound_name, target_path, imported_name): the last import that binds a name counts, in-repo or not."""
+    last = last_wins(resolved.where("bound_name is not null and bound_name <> ''"), ["repo", "source_path", "bound_name"], ["ord"])
+    return last.select("repo", F.col("source_path").alias("path"), "bound_name", "target_path", "imported_name")
 
 
 def _by_qualname(symbols: DataFrame) -> DataFrame:
-    return last_wins(symbols, ["path", "qualname"], ["ord"])
+    return last_wins(symbols, ["repo", "path", "qualname"], ["ord"])
 
 
 def _by_name(symbols: DataFrame) -> DataFrame:
-    """(path, name, n, tops, one, top): how many symbols share a name in a file, and which one a bare use means."""
+    """(repo, path, name, n, tops, one, top): how many symbols share a name in a file, and which one a bare use means."""
     who = F.struct("qualname", "module", "kind")
     top = F.col("parent").isNull()
-    return symbols.groupBy("path", "name").agg(F.count("*").alias("n"), F.count_if(top).alias("tops"), F.min_by(who, "ord").alias("one"), F.min_by(F.when(top, who), F.when(top, F.col("ord"))).alias("top"))
+    return symbols.groupBy("repo", "path", "name").agg(F.count("*").alias("n"), F.count_if(top).alias("tops"), F.min_by(who, "ord").alias("one"), F.min_by(F.when(top, who), F.when(top, F.col("ord"))).alias("top"))
 
 
 def _picked() -> tuple[Column, Column]:
@@ -103,12 +108,13 @@ def lookup_in_file(asked: DataFrame, symbols: DataFrame, bound: DataFrame) -> Da
     One chain of joins, each by a unique key. Rows that are answered look on under a key of their own that matches
     nothing, so they neither change nor gather in one partition.
     """
-    key = ["look_path", "look_name"]
-    exact = _by_qualname(symbols).select(F.col("path").alias("look_path"), F.col("qualname").alias("look_name"), F.struct("qualname", "module", "kind").alias("hit"))
+    key = ["repo", "look_path", "look_name"]
+    asked, symbols, bound = with_repo(asked, symbols, bound)
+    exact = _by_qualname(symbols).select("repo", F.col("path").alias("look_path"), F.col("qualname").alias("look_name"), F.struct("qualname", "module", "kind").alias("hit"))
     picked, unclear = _picked()
-    loose = _by_name(symbols).select(F.col("path").alias("look_path"), F.col("name").alias("look_name"), picked.alias("picked"), unclear.alias("unclear"))
+    loose = _by_name(symbols).select("repo", F.col("path").alias("look_path"), F.col("name").alias("look_name"), picked.alias("picked"), unclear.alias("unclear"))
     meaning = exact.join(loose, key, "full")
-    follow = bound.where("target_path is not null and target_path <> path").select(F.col("path").alias("look_path"), F.col("bound_name").alias("look_name"), F.col("target_path").alias("next_path"), F.col("imported_name").alias("next_name"))
+    follow = bound.where("target_path is not null and target_path <> path").select("repo", F.col("path").alias("look_path"), F.col("bound_name").alias("look_name"), F.col("target_path").alias("next_path"), F.col("imported_name").alias("next_name"))
     none = F.lit(None).cast(exact.schema["hit"].dataType)
     now = asked.withColumns({"dst": none, "dst_path": F.lit(None).cast("string"), "ambiguous": F.lit(False)})
     for hop in range(MAX_HOPS + 1):
@@ -128,63 +134,68 @@ def longest_prefix(asked: DataFrame, index: DataFrame, dotted: str) -> DataFrame
     """Adds mod_path and mod_rest: the longest proper dotted prefix that is a module, and what follows it."""
     parts = F.split(dotted, r"\.")
     cuts = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(parts, F.lit(1), k), ".").alias("module"), F.array_join(F.slice(parts, k + 1, F.size(parts)), ".").alias("rest")))
-    tries = asked.where(F.size(parts) > 1).select("look_id", F.explode(cuts).alias("t")).select("look_id", "t.*").join(index, "module")
+    tries = asked.where(F.size(parts) > 1).select("repo", "look_id", F.explode(cuts).alias("t")).select("repo", "look_id", "t.*").join(index, ["repo", "module"])
     best = tries.groupBy("look_id").agg(F.max_by(F.struct(F.col("target_path"), F.col("rest")), "k").alias("b"))
     return asked.join(best, "look_id", "left").withColumn("mod_path", F.col("b.target_path")).withColumn("mod_rest", F.col("b.rest")).drop("b")
 
 
 def resolve_bases(symbols: DataFrame, files: DataFrame, resolved: DataFrame) -> DataFrame:
-    """(path, qualname, position, base, base_path, base_qualname): in-repo bases, else external under `base`.
+    """(repo, path, qualname, position, base, base_path, base_qualname): in-repo bases, else external under `base`.
 
     Dotted names go by module prefix, else by what binds their head; bare ones by the file's own classes, then by
     what is imported. No repository-wide guess.
     """
-    raw = symbols.where("kind = 'class'").select("path", "qualname", F.posexplode("base_classes").alias("position", "raw")).withColumn("base", F.trim(F.substring_index("raw", "[", 1))).where("base <> ''")
-    raw = raw.withColumn("look_id", F.concat_ws("\x1f", "path", "qualname", "position"))
-    asked = longest_prefix(raw.select("look_id", "path", "base"), module_index(files), "base")
+    symbols, files, resolved = with_repo(symbols, files, resolved)
+    raw = symbols.where("kind = 'class'").select("repo", "path", "qualname", F.posexplode("base_classes").alias("position", "raw")).withColumn("base", F.trim(F.substring_index("raw", "[", 1))).where("base <> ''")
+    raw = raw.withColumn("look_id", F.concat_ws("\x1f", "repo", "path", "qualname", "position"))
+    asked = longest_prefix(raw.select("repo", "look_id", "path", "base"), module_index(files), "base")
     bound = bindings(resolved)
     head, tail = F.substring_index("base", ".", 1), F.expr("substring(base, instr(base, '.') + 1)")
-    asked = asked.withColumn("head", head).join(bound.select("path", F.col("bound_name").alias("head"), F.col("target_path").alias("b_path"), "imported_name"), ["path", "head"], "left")
+    asked = asked.withColumn("head", head).join(bound.select("repo", "path", F.col("bound_name").alias("head"), F.col("target_path").alias("b_path"), "imported_name"), ["repo", "path", "head"], "left")
     dotted = F.contains("base", F.lit("."))
     first_path = F.when(dotted, F.coalesce("mod_path", "b_path")).otherwise(F.col("path"))
     first_name = F.when(dotted, F.when(F.col("mod_path").isNotNull(), F.col("mod_rest")).otherwise(tail)).otherwise(F.col("base"))
-    tries = asked.select("look_id", F.lit(0).alias("n"), first_path.alias("look_path"), first_name.alias("look_name")).union(asked.where(~dotted).select("look_id", F.lit(1), "b_path", F.coalesce("imported_name", "base")))
-    exact = _by_qualname(symbols).select(F.col("path").alias("look_path"), F.col("qualname").alias("look_name"), F.col("qualname").alias("eq"), F.col("kind").alias("ek"))
+    tries = asked.select("repo", "look_id", F.lit(0).alias("n"), first_path.alias("look_path"), first_name.alias("look_name")).union(asked.where(~dotted).select("repo", "look_id", F.lit(1), "b_path", F.coalesce("imported_name", "base")))
+    exact = _by_qualname(symbols).select("repo", F.col("path").alias("look_path"), F.col("qualname").alias("look_name"), F.col("qualname").alias("eq"), F.col("kind").alias("ek"))
     picked, _ = _picked()
-    loose = _by_name(symbols.where("kind = 'class'")).select(F.col("path").alias("look_path"), F.col("name").alias("look_name"), picked["qualname"].alias("lq"))
-    hit = tries.join(exact, ["look_path", "look_name"], "left").join(loose, ["look_path", "look_name"], "left")
+    loose = _by_name(symbols.where("kind = 'class'")).select("repo", F.col("path").alias("look_path"), F.col("name").alias("look_name"), picked["qualname"].alias("lq"))
+    hit = tries.join(exact, ["repo", "look_path", "look_name"], "left").join(loose, ["repo", "look_path", "look_name"], "left")
     found = hit.withColumn("q", F.when(F.col("ek").isNotNull(), F.when(F.col("ek") == "class", F.col("eq"))).otherwise(F.col("lq"))).where("q is not null")
     best = found.groupBy("look_id").agg(F.min_by(F.struct(F.col("look_path"), F.col("q")), "n").alias("b"))
-    return raw.join(best, "look_id", "left").select("path", "qualname", "position", "base", F.col("b.look_path").alias("base_path"), F.col("b.q").alias("base_qualname"))
+    return raw.join(best, "look_id", "left").select("repo", "path", "qualname", "position", "base", F.col("b.look_path").alias("base_path"), F.col("b.q").alias("base_qualname"))
 
 
 def enclosing_classes(symbols: DataFrame) -> DataFrame:
-    """(path, caller, owner): the nearest class around a symbol along its parents; a missing parent ends the search."""
-    known = _by_qualname(symbols).select("path", "qualname", "parent", "kind")
-    at = known.select("path", F.col("qualname").alias("caller"), F.col("parent").alias("up")).where("up is not null and up <> ''")
-    found, keep = None, Written(symbols.sparkSession)
-    while True:
-        above = at.join(known.select("path", F.col("qualname").alias("up"), F.col("parent").alias("next"), "kind"), ["path", "up"])
-        part = above.where("kind = 'class'").select("path", "caller", F.col("up").alias("owner"))
-        found = part if found is None else found.union(part)
-        at = keep(above.where("kind <> 'class' and next is not null and next <> ''").select("path", "caller", F.col("next").alias("up")))
-        if at.isEmpty():  # scopes nest finitely
-            return found
+    """(repo, path, caller, owner): the nearest class around a symbol along its parents; a missing parent ends the search.
+
+    A parent is the qualname up to its last dot, as extraction makes it, so all parents of a symbol are known at once
+    and one join finds them: no loop by depth.
+    """
+    (symbols,) = with_repo(symbols)
+    parts = F.split("caller", r"\.")
+    around = F.transform(F.sequence(F.size(parts) - 1, F.lit(1)), lambda k: F.struct((F.size(parts) - k).alias("up"), F.array_join(F.slice(parts, F.lit(1), k), ".").alias("owner")))
+    known = _by_qualname(symbols)
+    inner = known.where("parent is not null and parent <> ''").select("repo", "path", F.col("qualname").alias("caller")).where(F.size(parts) > 1)
+    up = inner.select("*", F.explode(around).alias("u")).select("repo", "path", "caller", "u.*").join(known.select("repo", "path", F.col("qualname").alias("owner"), "kind"), ["repo", "path", "owner"])
+    found = up.groupBy("repo", "path", "caller").agg(F.min_by("owner", F.when(F.col("kind") == "class", F.col("up"))).alias("owner"), F.min(F.when(F.col("kind") == "class", F.col("up"))).alias("at"), F.array_sort(F.collect_set("up")).alias("met"))
+    # The parents up to the class are all there if the at-th smallest distance is at itself.
+    return found.where(F.col("at").isNotNull() & (F.get("met", F.col("at") - 1) == F.col("at"))).select("repo", "path", "caller", "owner")
 
 
 def class_lookup_order(bases: DataFrame, classes: DataFrame, levels: int = MAX_LEVELS) -> DataFrame:
-    """(path, owner, at_path, at_qualname, rank): the classes self.x looks in, breadth first in order of bases."""
-    step = bases.where("base_path is not null").select(F.col("path").alias("at_path"), F.col("qualname").alias("at_qualname"), "base_path", "base_qualname", "position")
-    frontier = classes.select("path", F.col("qualname").alias("owner"), F.col("path").alias("at_path"), F.col("qualname").alias("at_qualname"), F.array().cast("array<int>").alias("rank"))
+    """(repo, path, owner, at_path, at_qualname, rank): the classes self.x looks in, breadth first in order of bases."""
+    bases, classes = with_repo(bases, classes)
+    step = bases.where("base_path is not null").select("repo", F.col("path").alias("at_path"), F.col("qualname").alias("at_qualname"), "base_path", "base_qualname", "position")
+    frontier = classes.select("repo", "path", F.col("qualname").alias("owner"), F.col("path").alias("at_path"), F.col("qualname").alias("at_qualname"), F.array().cast("array<int>").alias("rank"))
     found, keep = frontier, Written(bases.sparkSession)
     for _ in range(levels - 1):
-        frontier = frontier.join(step, ["at_path", "at_qualname"]).select("path", "owner", F.col("base_path").alias("at_path"), F.col("base_qualname").alias("at_qualname"), F.concat("rank", F.array("position")).alias("rank"))
-        frontier = frontier.groupBy("path", "owner", "at_path", "at_qualname").agg(F.min("rank").alias("rank"))
+        frontier = frontier.join(step, ["repo", "at_path", "at_qualname"]).select("repo", "path", "owner", F.col("base_path").alias("at_path"), F.col("base_qualname").alias("at_qualname"), F.concat("rank", F.array("position")).alias("rank"))
+        frontier = frontier.groupBy("repo", "path", "owner", "at_path", "at_qualname").agg(F.min("rank").alias("rank"))
         frontier = keep(frontier)
         if frontier.isEmpty():
             break
         found = found.union(frontier)
-    return found.groupBy("path", "owner", "at_path", "at_qualname").agg(F.min(F.struct(F.size("rank").alias("level"), "rank")).alias("rank"))
+    return found.groupBy("repo", "path", "owner", "at_path", "at_qualname").agg(F.min(F.struct(F.size("rank").alias("level"), "rank")).alias("rank"))
 
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame, files: DataFrame, resolved: DataFrame, bases: DataFrame) -> DataFrame:
@@ -194,39 +205,40 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, files: DataFrame, resolv
     own symbol, else what is imported. self and cls: the enclosing class and its in-repo bases. Other attributes:
     the longest prefix that is a module, whatever it holds, else what binds the head.
     """
+    calls, symbols, files, resolved, bases = with_repo(calls, symbols, files, resolved, bases)
     bound = bindings(resolved)
-    all_ = calls.withColumn("look_id", F.concat_ws("\x1f", "path", F.col("ord").cast("string")))
+    all_ = calls.withColumn("look_id", F.concat_ws("\x1f", "repo", "path", F.col("ord").cast("string")))
     inner = all_.where("caller is not null and caller <> ''")
     head, tail = F.substring_index("callee", ".", 1), F.expr("substring(callee, instr(callee, '.') + 1)")
     kind = F.when(~F.contains("callee", F.lit(".")), "bare").when(head.isin("self", "cls"), "self").otherwise("attribute")
     inner = inner.withColumn("form", kind).withColumn("head", head).withColumn("tail", F.when(kind != "bare", tail))
-    binding = bound.where("target_path is not null").select("path", F.col("bound_name").alias("head"), F.col("target_path").alias("b_path"), "imported_name")
+    binding = bound.where("target_path is not null").select("repo", "path", F.col("bound_name").alias("head"), F.col("target_path").alias("b_path"), "imported_name")
 
     picked, unclear = _picked()
-    names = _by_name(symbols).select("path", F.col("name").alias("callee"), picked.alias("picked"), unclear.alias("unclear"))
-    bare = inner.where("form = 'bare'").join(names, ["path", "callee"], "left")
+    names = _by_name(symbols).select("repo", "path", F.col("name").alias("callee"), picked.alias("picked"), unclear.alias("unclear"))
+    bare = inner.where("form = 'bare'").join(names, ["repo", "path", "callee"], "left")
     local = bare.where("picked is not null or unclear").select("look_id", F.when(F.col("picked").isNotNull(), F.col("path")).alias("dst_path"), F.col("picked").alias("dst"), F.coalesce("unclear", F.lit(False)).alias("ambiguous"), F.lit("local").alias("resolution"))
-    through = bare.where("picked is null and not coalesce(unclear, false)").join(binding, ["path", "head"]).select("look_id", F.col("b_path").alias("look_path"), F.coalesce("imported_name", "callee").alias("look_name"), F.lit("imported").alias("resolution"))
+    through = bare.where("picked is null and not coalesce(unclear, false)").join(binding, ["repo", "path", "head"]).select("repo", "look_id", F.col("b_path").alias("look_path"), F.coalesce("imported_name", "callee").alias("look_name"), F.lit("imported").alias("resolution"))
 
-    attribute = longest_prefix(inner.where("form = 'attribute'").select("look_id", "path", "callee", "head", "tail"), module_index(files), "callee").join(binding, ["path", "head"], "left")
-    dotted = attribute.select("look_id", F.coalesce("mod_path", "b_path").alias("look_path"), F.when(F.col("mod_path").isNotNull(), F.col("mod_rest")).otherwise(F.col("tail")).alias("look_name"), F.lit("attribute_module").alias("resolution")).where("look_path is not null")
+    attribute = longest_prefix(inner.where("form = 'attribute'").select("repo", "look_id", "path", "callee", "head", "tail"), module_index(files), "callee").join(binding, ["repo", "path", "head"], "left")
+    dotted = attribute.select("repo", "look_id", F.coalesce("mod_path", "b_path").alias("look_path"), F.when(F.col("mod_path").isNotNull(), F.col("mod_rest")).otherwise(F.col("tail")).alias("look_name"), F.lit("attribute_module").alias("resolution")).where("look_path is not null")
     looked = lookup_in_file(through.union(dotted), symbols, bound).select("look_id", "dst_path", "dst", "ambiguous", "resolution")
 
     order = class_lookup_order(bases, symbols.where("kind = 'class'"))
-    methods = _by_qualname(symbols).select(F.col("path").alias("m_path"), F.col("qualname").alias("m"), F.struct("qualname", "module", "kind").alias("dst"))
-    own = inner.where("form = 'self' and instr(tail, '.') = 0").join(enclosing_classes(symbols), ["path", "caller"]).join(order, ["path", "owner"])
-    hits = own.join(methods, (F.col("at_path") == F.col("m_path")) & (F.concat_ws(".", "at_qualname", "tail") == F.col("m")))
-    of_self = hits.groupBy("look_id").agg(F.min_by(F.struct("m_path", "dst"), F.struct("rank", "m_path", "m")).alias("b")).select("look_id", F.col("b.m_path").alias("dst_path"), F.col("b.dst").alias("dst"), F.lit(False).alias("ambiguous"), F.lit("attribute_self").alias("resolution"))
+    methods = _by_qualname(symbols).select("repo", F.col("path").alias("at_path"), F.col("qualname").alias("m"), F.struct("qualname", "module", "kind").alias("dst"))
+    own = inner.where("form = 'self' and instr(tail, '.') = 0").join(enclosing_classes(symbols), ["repo", "path", "caller"]).join(order, ["repo", "path", "owner"]).withColumn("m", F.concat_ws(".", "at_qualname", "tail"))
+    hits = own.join(methods, ["repo", "at_path", "m"])
+    of_self = hits.groupBy("look_id").agg(F.min_by(F.struct("at_path", "dst"), F.struct("rank", "at_path", "m")).alias("b")).select("look_id", F.col("b.at_path").alias("dst_path"), F.col("b.dst").alias("dst"), F.lit(False).alias("ambiguous"), F.lit("attribute_self").alias("resolution"))
 
     answers = local.unionByName(looked).unionByName(of_self)
     reason = F.when(F.coalesce("caller", F.lit("")) == "", "module_level").when(F.col("dst").isNotNull(), None).when(F.coalesce("ambiguous", F.lit(False)), "ambiguous").otherwise("unresolved")
     sure = F.element_at(F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv]), F.col("resolution"))
     out = all_.join(answers, "look_id", "left").withColumn("resolution", F.when(F.col("dst").isNotNull(), F.col("resolution")))
-    return out.select("path", "caller", "callee", "line", "ord", "dst_path", F.col("dst.qualname").alias("dst_qualname"), F.col("dst.module").alias("dst_module"), F.col("dst.kind").alias("dst_kind"), "resolution", F.when(F.col("resolution").isNotNull(), sure).alias("confidence"), reason.alias("reason"))
+    return out.select("repo", "path", "caller", "callee", "line", "ord", "dst_path", F.col("dst.qualname").alias("dst_qualname"), F.col("dst.module").alias("dst_module"), F.col("dst.kind").alias("dst_kind"), "resolution", F.when(F.col("resolution").isNotNull(), sure).alias("confidence"), reason.alias("reason"))
 
 
 def unresolved_by_caller(resolved_calls: DataFrame) -> DataFrame:
-    return resolved_calls.where("reason in ('unresolved', 'ambiguous')").groupBy("path", "caller").agg(F.count("*").alias("unresolved_calls"))
+    return resolved_calls.where("reason in ('unresolved', 'ambiguous')").groupBy("repo", "path", "caller").agg(F.count("*").alias("unresolved_calls"))
 
 
 def resolution_counts(resolved_calls: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def resolve_imports(spark, sf_dir):
 def resolve_bases(spark, sf_dir):
     keep = Written(spark)
     parsed, index, resolved = _resolved_imports(spark, keep)
-    return resolve.resolve_bases(extract.symbols_of(parsed), index, keep(resolved))
+    return resolve.resolve_bases(extract.symbols_of(parsed), index, keep(resolved)).drop("repo")
 
 
 def resolve_calls(spark, sf_dir):
@@ -100,6 +100,25 @@ def resolve_calls(spark, sf_dir):
     return resolve.resolve_calls(extract.calls_of(parsed), symbols, index, resolved, bases).select("path", "callee", "line", "dst_path", "dst_qualname", "resolution", "confidence", "reason")
 
 
+def many_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A repository for each source of documents and a module for each document, which imports the next one's function."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null").select(F.coalesce("source", F.lit("")).alias("repo"), "doc_id")
+    code = "from .d%d import work as next_work\n\n\nclass Step:\n    def run(self):\n        return self.stop()\n\n    def stop(self):\n        return work()\n\n\ndef work():\n    return next_work()\n"
+    modules = d.select("repo", F.format_string("pkg/d%d.py", "doc_id").alias("path"), F.format_string(code, F.col("doc_id") + 1).alias("text"))
+    packages = d.select("repo", F.lit("pkg/__init__.py").alias("path"), F.lit("").alias("text")).distinct()
+    return modules.union(packages).select("repo", "path", F.encode("text", "UTF-8").alias("content"), F.length("text").cast("long").alias("size_bytes"))
+
+
+def many_repositories(spark, sf_dir):
+    """Calls of thousands of files in several repositories at once: none resolves into another repository."""
+    keep = Written(spark)
+    files, _, parsed = lifecycle.extract_tree(many_trees(spark, sf_dir), keep)
+    index, symbols = lifecycle.ordered_files(files), extract.symbols_of(parsed)
+    resolved = keep(resolve.resolve_imports(extract.imports_of(parsed), index))
+    bases = keep(resolve.resolve_bases(symbols, index, resolved))
+    return resolve.resolve_calls(extract.calls_of(parsed), symbols, index, resolved, bases).select("repo", "path", "callee", "dst_path", "dst_qualname", "resolution", "reason")
+
+
 def graph_build(spark, sf_dir):
     """Nodes and edges of each kind that the tree gives."""
     made = _parse(spark)
@@ -120,7 +139,7 @@ def history_commits(spark, sf_dir):
 
 def history_pairs(spark, sf_dir):
     found = history.commits(spark.createDataFrame([("r", LOG)], "repo string, log string"))
-    return cochange.co_change(found)
+    return cochange.co_change(found).drop("repo")
 
 
 def extract_counts(spark, sf_dir):
@@ -152,7 +171,7 @@ def known_test_paths(spark, sf_dir):
     return rows.select("path", scoring.is_test_path(F.col("path")).alias("is_test"))
 
 
-QUERIES = {f.__name__: f for f in (extract_counts, inventory_totals, skipped_by_reason, source_kinds, name_validation, known_test_paths, walker_inventory, walker_skipped, extract_symbols, extract_imports, extract_calls, extract_errors, resolve_imports, resolve_bases, resolve_calls, graph_build, chunk_tree, history_commits, history_pairs)}
+QUERIES = {f.__name__: f for f in (extract_counts, inventory_totals, skipped_by_reason, source_kinds, name_validation, known_test_paths, walker_inventory, walker_skipped, extract_symbols, extract_imports, extract_calls, extract_errors, resolve_imports, resolve_bases, resolve_calls, many_repositories, graph_build, chunk_tree, history_commits, history_pairs)}
 
 
 def _values(columns: str, *rows: str) -> str:
@@ -160,6 +179,11 @@ def _values(columns: str, *rows: str) -> str:
 
 
 ORACLE_SQL = {
+    "many_repositories": """with d as (select coalesce(source, '') as repo, doc_id from documents where doc_id is not null), m as (select repo, doc_id, 'pkg/d' || doc_id || '.py' as path from d)
+select repo, path, 'self.stop' as callee, path as dst_path, 'Step.stop' as dst_qualname, 'attribute_self' as resolution, cast(null as varchar) as reason from m
+union all select repo, path, 'work', path, 'work', 'local', null from m
+union all select a.repo, a.path, 'next_work', b.path, case when b.path is not null then 'work' end, case when b.path is not null then 'imported' end, case when b.path is null then 'unresolved' end
+  from m a left join m b on a.repo = b.repo and b.doc_id = a.doc_id + 1""",
     "walker_inventory": _values("path, language, line_count, module", "'empty.py', 'python', 0, 'empty'", "'shop/__init__.py', 'python', 1, 'shop'", "'shop/base.py', 'python', 8, 'shop.base'", "'shop/broken.py', 'python', 1, 'shop.broken'", "'shop/cart.py', 'python', 18, 'shop.cart'", "'shop/pricing.py', 'python', 11, 'shop.pricing'", "'tools/run.py', 'python', 6, 'run'"),
     "walker_skipped": _values("path, reason", "'README.md', 'unsupported_extension'", "'node_modules', 'ignored_dir'"),
     "extract_symbols": _values(

@@ -12,6 +12,7 @@ from statistics import median
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions.keys import with_repo
 from lodestar.operators import build, chunking, cochange, resolve
 from lodestar.plans.written import Written
 from lodestar.sources import extract, tree
@@ -70,12 +71,21 @@ def extract_tree(source: DataFrame, keep: Written, settings: Settings = Settings
 
 
 def ordered_files(files: DataFrame) -> DataFrame:
-    """(path, module, ord) as resolution reads them: files count in order of their paths."""
-    return files.select("path", "module", F.col("path").alias("ord"))
+    """(repo, path, module, ord) as resolution reads them: files count in order of their paths."""
+    return with_repo(files)[0].select("repo", "path", "module", F.col("path").alias("ord"))
 
 
 def parse_repository(source: DataFrame, repo: str, commits: DataFrame | None = None, settings: Settings = Settings()) -> Parsed:
-    """From a source tree (path, content, size_bytes) to graph and chunks.
+    """parse_many() of one source tree (path, content, size_bytes), under the name repo."""
+    named = lambda df: df.withColumn("repo", F.lit(repo))
+    repos = source.sparkSession.range(1).select(F.lit(repo).alias("repo"))
+    return parse_many(named(source), None if commits is None else named(commits), settings, repos)
+
+
+def parse_many(source: DataFrame, commits: DataFrame | None = None, settings: Settings = Settings(), repos: DataFrame | None = None) -> Parsed:
+    """From source trees (repo, path, content, size_bytes) to graph and chunks: all repositories in the same jobs.
+
+    commits: (repo, ord, authored_at, paths). repos: (repo), all repositories where some may hold no file.
 
     What extraction and resolution find is written to the shared folder once and read from there; nodes, edges and
     chunks are lazy. A commit log that cannot be used leaves the rest whole: its failure is a warning.
@@ -88,16 +98,18 @@ def parse_repository(source: DataFrame, repo: str, commits: DataFrame | None = N
     bases = keep(resolve.resolve_bases(symbols, index, resolved))
     found = keep(resolve.resolve_calls(calls, symbols, index, resolved, bases))
     deduped = resolve.dedupe_edges(resolved)
-    nodes = build.node_rows(repo, parsed, symbols, resolve.unresolved_by_caller(found), files)
-    nodes = nodes.unionByName(build.module_rows(repo, deduped), allowMissingColumns=True).unionByName(build.external_class_rows(repo, bases), allowMissingColumns=True)
-    edges = {"CONTAINS": build.contains_rows(repo, parsed, symbols), "IMPORTS": build.import_rows(repo, deduped), "CALLS": build.call_rows(repo, found, symbols), "INHERITS": build.inherit_rows(repo, bases, symbols)}
+    repos = keep(source.select("repo").distinct()) if repos is None else repos
+    nodes = build.node_rows(repos, parsed, symbols, resolve.unresolved_by_caller(found), files)
+    nodes = nodes.unionByName(build.module_rows(deduped), allowMissingColumns=True).unionByName(build.external_class_rows(bases), allowMissingColumns=True)
+    edges = {"CONTAINS": build.contains_rows(parsed, symbols), "IMPORTS": build.import_rows(deduped), "CALLS": build.call_rows(found, symbols), "INHERITS": build.inherit_rows(bases, symbols)}
     nodes = keep(nodes)
     edges = {kind: build.merge_edges(rows, nodes, kind) for kind, rows in edges.items()}
-    text = files.select("path", "module", F.decode("content", "UTF-8").alias("text"))
-    out = Parsed(files.drop("content"), skipped, parsed, symbols, resolved, found, bases, nodes, edges, chunking.chunk(text, symbols, repo))
+    text = files.select("repo", "path", "module", F.decode("content", "UTF-8").alias("text"))
+    out = Parsed(files.drop("content"), skipped, parsed, symbols, resolved, found, bases, nodes, edges, chunking.chunk(text, symbols))
     if commits is not None:
         try:
-            out.pairs = cochange.co_change(commits, files.select("path"))
+            # Written here, so that a log that fails does so inside the try.
+            out.pairs = keep(cochange.co_change(commits, files.select("repo", "path")))
         except Exception as e:  # noqa: BLE001 - history is a modifier, not a condition
             out.warnings.append(f"cochange: {e}")
     return out

@@ -14,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions.keys import with_repo
+
 PARAMETER = "struct<name:string,kind:string,annotation:string,default:string>"
 SYMBOL = f"struct<name:string,qualname:string,kind:string,parent:string,line_start:int,line_end:int,docstring:string,decorators:array<string>,base_classes:array<string>,parameters:array<{PARAMETER}>,returns:string,is_async:boolean,complexity:int,ord:int>"
 IMPORT = "struct<module:string,name:string,alias:string,line:int,level:int,is_from:boolean,ord:int>"
 CALL = "struct<callee:string,line:int,caller:string,arg_count:int,ord:int>"
-PARSED = f"path string, module string, docstring string, error string, symbols array<{SYMBOL}>, imports array<{IMPORT}>, calls array<{CALL}>"
+PARSED = f"repo string, path string, module string, docstring string, error string, symbols array<{SYMBOL}>, imports array<{IMPORT}>, calls array<{CALL}>"
 
 DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 DECISIONS = (ast.If, ast.IfExp, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.Assert, ast.match_case)
@@ -142,31 +144,31 @@ def parse(source: bytes | str | None, path: str = "<unknown>") -> dict:
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """One row a file: path, module, docstring, error, and symbols, imports and calls as arrays. files: (path, module, content)."""
+    """One row a file: repo, path, module, docstring, error, and symbols, imports and calls as arrays. files: (repo, path, module, content)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    slim = files.select("path", "module", "content")
+    slim = with_repo(files)[0].select("repo", "path", "module", "content")
     spark_schema = slim.sparkSession.createDataFrame([], PARSED).schema
     schema = to_arrow_schema(spark_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{"path": p, "module": m, **parse(c, p)} for p, m, c in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)]
+            rows = [{"repo": r, "path": p, "module": m, **parse(c, p)} for r, p, m, c in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return slim.mapInArrow(run, spark_schema)
 
 
 def symbols_of(parsed: DataFrame) -> DataFrame:
-    return parsed.select("path", "module", F.explode("symbols").alias("s")).select("path", "module", "s.*")
+    return parsed.select("repo", "path", "module", F.explode("symbols").alias("s")).select("repo", "path", "module", "s.*")
 
 
 def imports_of(parsed: DataFrame) -> DataFrame:
-    return parsed.select("path", F.explode("imports").alias("i")).select("path", "i.*")
+    return parsed.select("repo", "path", F.explode("imports").alias("i")).select("repo", "path", "i.*")
 
 
 def calls_of(parsed: DataFrame) -> DataFrame:
-    return parsed.select("path", F.explode("calls").alias("c")).select("path", "c.*")
+    return parsed.select("repo", "path", F.explode("calls").alias("c")).select("repo", "path", "c.*")
 
 
 def counts(parsed: DataFrame) -> DataFrame:

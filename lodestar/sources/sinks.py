@@ -1,10 +1,18 @@
-"""Tables of a repository on disk: replaced by repository and read back."""
+"""Tables of a repository on disk: replaced by repository and read back.
+
+A graph is a folder of nodes and edges partitioned by repository. Each row is stamped with its run, and an edge counts
+only while the Repo node of its repository names the same run: so a run takes effect with its nodes, as a whole.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.operators.graph import merge_properties, sweep
+from lodestar.operators.retrieval import embedding_cost, payload
+from lodestar.plans.written import Written
+
 
 def replace_partitions(df: DataFrame, path: str, by: str = "repo") -> None:
     """Writes Parquet partitioned by `by`; only the partitions in df are replaced, each in one commit."""
@@ -16,6 +24,64 @@ def read(spark: SparkSession, path: str, repo: str | None = None, by: str = "rep
     return df if repo is None else df.where(F.col(by) == repo)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def write_graph(nodes: DataFrame, edges: dict[str, DataFrame], path: str, run_id: str) -> dict[str, int]:
+    """Upserts the nodes and edges of a run below path, and sweeps what its repositories no longer hold.
+
+    Properties that other steps have set on a node stay; edges are those of the run. Other repositories are not
+    touched. Returns how many nodes and edges were written and how many nodes were swept.
+    """
+    spark = nodes.sparkSession
+    keep = Written(spark)
+    new = keep(nodes.withColumn("run_id", F.lit(run_id)))
+    repos = new.select("repo").distinct()
+    swept = 0
+    merged = new
+    if _exists(spark, f"{path}/nodes"):
+        old = read(spark, f"{path}/nodes").join(repos, "repo", "left_semi")
+        kept, gone = sweep(keep(merge_properties(old, new, ["repo", "key"])), run_id, None)
+        swept, merged = gone.count(), kept
+    stamped = None
+    for rows in edges.values():
+        one = rows.withColumn("run_id", F.lit(run_id))
+        stamped = one if stamped is None else stamped.unionByName(one, allowMissingColumns=True)
+    if stamped is not None:
+        stamped = keep(stamped)
+        replace_partitions(stamped, f"{path}/edges")
+    replace_partitions(merged, f"{path}/nodes")
+    return {"nodes": new.count(), "edges": 0 if stamped is None else stamped.count(), "swept": swept}
+
+
+def read_graph(spark: SparkSession, path: str, repo: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges as the last finished run of each repository left them. Runs may have added columns."""
+    merged = lambda name: spark.read.option("mergeSchema", "true").parquet(f"{path}/{name}")
+    nodes, edges = merged("nodes"), merged("edges")
+    if repo is not None:
+        nodes, edges = nodes.where(F.col("repo") == repo), edges.where(F.col("repo") == repo)
+    return nodes, edges.join(nodes.where("label = 'Repo'").select("repo", "run_id"), ["repo", "run_id"], "left_semi")
+
+
+def set_properties(values: DataFrame, path: str) -> None:
+    """Sets properties of nodes that are there, for instance their change_count. values: (repo, key, …)."""
+    spark = values.sparkSession
+    nodes = read(spark, f"{path}/nodes")
+    held = values.join(nodes.select("repo", "key"), ["repo", "key"], "left_semi")
+    old = nodes.join(values.select("repo").distinct(), "repo", "left_semi")
+    replace_partitions(Written(spark)(merge_properties(old, held, ["repo", "key"])), f"{path}/nodes")
+
+
+def write_vectors(chunks: DataFrame, path: str, model: str, run_id: str, dimensions: int) -> dict[str, float]:
+    """Embeds the chunks (repo, id, text, tokens, …) and replaces those of their repositories. Returns rows, tokens and cost."""
+    made = Written(chunks.sparkSession)(payload(chunks, model, run_id, dimensions))
+    replace_partitions(made, path)
+    n, tokens, cost = made.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(embedding_cost(F.sum("tokens")), F.lit(0.0))).first()
+    return {"rows": n, "tokens": tokens, "cost": cost}
+
+
 def to_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

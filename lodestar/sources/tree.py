@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import io
+import os
+import shutil
+import stat
 import subprocess
 import zipfile
 from collections.abc import Iterator
@@ -42,6 +45,15 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     return found.union(spark.createDataFrame(empty, found.schema))
 
 
+def read_trees(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
+    """(repo, path, content, size_bytes) of several folders, by the name of their repository."""
+    trees = [read_tree(spark, root).withColumn("repo", F.lit(repo)) for repo, root in sorted(roots.items())]
+    out = trees[0]
+    for t in trees[1:]:
+        out = out.union(t)
+    return out.select("repo", "path", "content", "size_bytes")
+
+
 def read_zips(spark: SparkSession, paths: str) -> DataFrame:
     """(archive, path, content, size_bytes) of the files in zip archives, one archive a task step.
 
@@ -67,8 +79,37 @@ def read_zips(spark: SparkSession, paths: str) -> DataFrame:
     return zips.mapInPandas(unpack, "archive string, path string, content binary, size_bytes long")
 
 
-def clone(url: str, to: str, depth: int = 500, timeout: int = 900) -> None:
+def prepare_folder(to: str, force: bool = False) -> None:
+    """Makes room for a clone. A folder that holds something is refused, or with force deleted, read-only files too."""
+
+    def writable(remove, path, error):
+        os.chmod(path, stat.S_IRWXU)
+        remove(path)
+
+    if os.path.lexists(to) and (not os.path.isdir(to) or os.listdir(to)):
+        if not force:
+            raise IngestError(f"{to} exists and is not empty")
+        if os.path.islink(to) or not os.path.isdir(to):
+            os.remove(to)
+        else:
+            shutil.rmtree(to, onexc=writable)
+    os.makedirs(os.path.dirname(os.path.abspath(to)), exist_ok=True)
+
+
+def head_of(root: str) -> dict[str, str | None]:
+    """sha and branch of a checkout; null where git cannot tell."""
+
+    def ask(*what: str) -> str | None:
+        done = subprocess.run(["git", "-C", root, *what], capture_output=True, text=True, check=False)
+        return done.stdout.strip() or None if not done.returncode else None
+
+    branch = ask("rev-parse", "--abbrev-ref", "HEAD")
+    return {"sha": ask("rev-parse", "HEAD"), "branch": None if branch == "HEAD" else branch}
+
+
+def clone(url: str, to: str, depth: int = 500, timeout: int = 900, force: bool = False) -> None:
     """git clone into a folder; the driver does it, since it is one stream over the network."""
+    prepare_folder(to, force)
     done = subprocess.run(["git", "clone", "--depth", str(depth), "--", url, to], capture_output=True, text=True, timeout=timeout, check=False)
     if done.returncode:
         raise IngestError(done.stderr.strip() or "git clone failed")
@@ -112,13 +153,15 @@ def ignored_dir(path: Column) -> Column:
 def walk(tree: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
     """The files (path, language, extension, size_bytes, line_count, sha256, module) and the skipped paths (path, reason).
 
-    tree: (path, content, size_bytes) and, where known, is_symlink. An ignored folder is one skipped path.
+    tree: (path, content, size_bytes) and, where known, is_symlink, and repo, which both results then carry, so that
+    many repositories are walked at once. An ignored folder is one skipped path.
     """
+    own = ["repo"] if "repo" in tree.columns else []
     rows = tree if "is_symlink" in tree.columns else tree.withColumn("is_symlink", F.lit(False))
     rows = rows.withColumn("ignored", ignored_dir(F.col("path"))).withColumn("readable", F.col("content").isNotNull()).withColumn("reason", skip_reason(max_bytes))
-    skipped = rows.where("reason is not null").select(F.when(F.col("reason") == "ignored_dir", F.col("ignored")).otherwise(F.col("path")).alias("path"), "reason").distinct()
-    kept = rows.where("reason is null").select("path", F.element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), extension(F.col("path"))).alias("language"), extension(F.col("path")).alias("extension"), "size_bytes", line_count(F.col("content")).alias("line_count"), F.sha2("content", 256).alias("sha256"), "content")
-    return with_modules(kept).orderBy("path"), skipped.orderBy("path")
+    skipped = rows.where("reason is not null").select(*own, F.when(F.col("reason") == "ignored_dir", F.col("ignored")).otherwise(F.col("path")).alias("path"), "reason").distinct()
+    kept = rows.where("reason is null").select(*own, "path", F.element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), extension(F.col("path"))).alias("language"), extension(F.col("path")).alias("extension"), "size_bytes", line_count(F.col("content")).alias("line_count"), F.sha2("content", 256).alias("sha256"), "content")
+    return with_modules(kept).orderBy(*own, "path"), skipped.orderBy(*own, "path")
 
 
 def with_modules(files: DataFrame) -> DataFrame:
@@ -126,13 +169,14 @@ def with_modules(files: DataFrame) -> DataFrame:
 
     __init__ adds no part; only one directly in the root has no module.
     """
-    packages = files.where("path like '%/__init__.py'").select(F.expr("substring(path, 1, length(path) - length('/__init__.py'))").alias("dir")).distinct()
+    own = ["repo"] if "repo" in files.columns else []
+    packages = files.where("path like '%/__init__.py'").select(*own, F.expr("substring(path, 1, length(path) - length('/__init__.py'))").alias("dir")).distinct()
     parts = F.split("path", "/")
     stem = F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "")
     dirs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("dir")))
-    above = files.select("path", F.explode(F.when(F.size(parts) > 1, dirs).otherwise(F.array().cast("array<struct<k:int,dir:string>>"))).alias("d")).select("path", "d.k", "d.dir")
-    gaps = above.join(packages.withColumn("is_package", F.lit(True)), "dir", "left").where("is_package is null").groupBy("path").agg(F.max("k").alias("gap"))
-    joined = files.join(gaps, "path", "left").withColumn("gap", F.coalesce("gap", F.lit(0)))
+    above = files.select(*own, "path", F.explode(F.when(F.size(parts) > 1, dirs).otherwise(F.array().cast("array<struct<k:int,dir:string>>"))).alias("d")).select(*own, "path", "d.k", "d.dir")
+    gaps = above.join(packages.withColumn("is_package", F.lit(True)), [*own, "dir"], "left").where("is_package is null").groupBy(*own, "path").agg(F.max("k").alias("gap"))
+    joined = files.join(gaps, [*own, "path"], "left").withColumn("gap", F.coalesce("gap", F.lit(0)))
     inner = F.when(F.size(parts) - 1 > F.col("gap"), F.slice(parts, F.col("gap") + 1, F.size(parts) - 1 - F.col("gap"))).otherwise(F.array().cast("array<string>"))
     dotted = F.array_join(F.concat(inner, F.when(stem == "__init__", F.array().cast("array<string>")).otherwise(F.array(stem))), ".")
     return joined.withColumn("module", F.nullif(dotted, F.lit(""))).drop("gap")

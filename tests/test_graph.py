@@ -154,3 +154,23 @@ def test_lookup_follows_two_reexports_and_stops(spark):
     rows = spark.createDataFrame([a[:3] for a in asked], "look_id string, look_path string, look_name string")
     found = {r.look_id: (r.dst_path, r.q, r.ambiguous) for r in resolve.lookup_in_file(rows, symbols, bound).selectExpr("look_id", "dst_path", "dst.qualname as q", "ambiguous").collect()}
     assert found == {a[0]: a[3:] for a in asked}
+
+
+def test_merge_keeps_what_other_steps_set(spark):
+    old = spark.createDataFrame([("r", "a", "x", 3), ("r", "b", "y", 4)], "repo string, key string, name string, change_count int")
+    new = spark.createDataFrame([("r", "a", None), ("r", "c", "z")], "repo string, key string, name string")
+    got = {(r.key, r.name, r.change_count) for r in graph.merge_properties(old, new, ["repo", "key"]).collect()}
+    assert got == {("a", None, 3), ("b", "y", 4), ("c", "z", None)}
+    assert [r.key for r in graph.repeated_keys(new.union(new.limit(1))).collect()] and graph.repeated_keys(new).isEmpty()
+
+
+def test_sweep_leaves_other_repositories(spark):
+    rows = spark.createDataFrame([("r", "a", "1"), ("q", "a", "1"), ("r", "b", "2")], "repo string, key string, run_id string")
+    kept, gone = graph.sweep(rows, "2", None, rows.where("repo = 'r'").select("repo"))
+    assert {(r.repo, r.key) for r in kept.collect()} == {("q", "a"), ("r", "b")} and {(r.repo, r.key) for r in gone.collect()} == {("r", "a")}
+
+
+def test_enclosing_class_by_parents(spark):
+    rows = [("m", "A", "class", None), ("m", "A.f", "method", "A"), ("m", "A.f.g", "function", "A.f"), ("m", "A.f.B", "class", "A.f"), ("m", "A.f.B.h", "method", "A.f.B"), ("m", "C", "class", None), ("m", "C.gone.k", "function", "C.gone"), ("m", "top", "function", None), ("m", "top.x", "function", "top")]
+    symbols = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "path string, qualname string, kind string, parent string, ord int")
+    assert {r.caller: r.owner for r in resolve.enclosing_classes(symbols).collect()} == {"A.f": "A", "A.f.g": "A", "A.f.B": "A", "A.f.B.h": "A.f.B"}

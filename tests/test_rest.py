@@ -1,7 +1,9 @@
 """Debt, chunks, retrieval, limits, validation, streaming and sources on small inputs."""
 
 import io
+import json
 import random
+import subprocess
 import uuid
 import zipfile
 
@@ -10,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import keys, text
-from lodestar.operators import chunking, conversation, debt, impact, retrieval
+from lodestar.operators import chunking, cochange, conversation, debt, graph, impact, retrieval
 from lodestar.plans import cli, lifecycle
 from lodestar.sources import extract, sinks, tree
 from lodestar.streaming import token_bucket
@@ -248,3 +250,66 @@ def test_extraction_edge_cases():
     assert [(c["callee"], c["caller"]) for c in got["calls"]] == [("m", None), ("d", None), ("g", None), ("self.z.y", "A.f"), ("self.z.y", "A.f"), ("k", None)]
     assert [(p["name"], p["kind"], p["default"]) for p in got["symbols"][1]["parameters"]] == [("self", "positional_or_keyword", None), ("a", "positional_or_keyword", None), ("b", "positional_or_keyword", "g()"), ("args", "var_positional", None), ("c", "keyword_only", "h()"), ("kw", "var_keyword", None)]
     assert extract.parse(b"\x00")["error"] and extract.parse(None)["error"] and extract.parse("def (")["error"].startswith("SyntaxError")
+
+
+def two_trees(spark, second="def f():\n    return 1\n"):
+    rows = [("one", "a.py", "from b import f\n\n\ndef g():\n    return f()\n"), ("one", "b.py", "def f():\n    return 1\n"), ("two", "a.py", "from b import f\n\n\ndef g():\n    return f()\n"), ("two", "c.py", second)]
+    return spark.createDataFrame([(r, p, bytearray(c.encode()), len(c)) for r, p, c in rows], "repo string, path string, content binary, size_bytes long")
+
+
+def test_repositories_do_not_resolve_into_each_other(spark):
+    made = lifecycle.parse_many(two_trees(spark))
+    calls = {(r.repo, r.path, r.callee): (r.dst_path, r.reason) for r in made.calls.collect()}
+    assert calls == {("one", "a.py", "f"): ("b.py", None), ("two", "a.py", "f"): (None, "unresolved")}
+    assert {(r.repo, r.label, r.name) for r in made.nodes.where("label in ('Repo', 'Module')").collect()} == {("one", "Repo", "one"), ("two", "Repo", "two"), ("two", "Module", "b")}
+    assert {(r.repo, r.path) for r in made.chunks.where("qualname = 'g'").collect()} == {("one", "a.py"), ("two", "a.py")} and made.chunks.select("id").distinct().count() == made.chunks.count()
+
+
+def test_files_of_two_repositories_never_change_together(spark):
+    commits = spark.createDataFrame([("one", 0, "d", ["a", "b"]), ("one", 1, "c", ["a", "b"]), ("two", 0, "d", ["a", "c"]), ("two", 1, "c", ["b"])], "repo string, ord int, authored_at string, paths array<string>")
+    assert [(r.repo, r.left_path, r.right_path, r.shared, r.left_commits) for r in cochange.co_change(commits).collect()] == [("one", "a", "b", 2, 2)]
+    assert {(r.repo, r.path): r.change_count for r in cochange.churn(commits).collect()} == {("one", "a"): 2, ("one", "b"): 2, ("two", "a"): 1, ("two", "c"): 1, ("two", "b"): 1}
+
+
+def test_history_that_fails_is_a_warning(spark):
+    broken = spark.range(1).select(F.lit("one").alias("repo"), F.lit(0).alias("ord"), F.lit("d").alias("authored_at"), F.raise_error(F.lit("no log")).cast("array<string>").alias("paths"))
+    made = lifecycle.parse_many(two_trees(spark), broken)
+    assert made.pairs is None and made.warnings[0].startswith("cochange: ") and made.nodes.count() > 0
+
+
+def test_graph_is_written_merged_and_swept(spark, tmp_path):
+    path = str(tmp_path / "graph")
+    first = lifecycle.parse_many(two_trees(spark))
+    assert sinks.write_graph(first.nodes, first.edges, path, "1")["swept"] == 0
+    sinks.set_properties(first.nodes.where("label = 'File'").select("repo", "key", F.lit(7).alias("change_count")), path)
+    again = lifecycle.parse_many(two_trees(spark, "def other():\n    return 1\n").where("repo = 'two'"))
+    done = sinks.write_graph(again.nodes, again.edges, path, "2")
+    nodes, edges = sinks.read_graph(spark, path)
+    assert done["swept"] == 1 and nodes.where("qualname = 'other'").count() == 1 and nodes.where("repo = 'two' and qualname = 'f'").isEmpty()
+    assert nodes.where("label = 'File' and change_count = 7").count() == 4 and graph.repeated_keys(nodes).isEmpty()
+    assert {(r.repo, r.run_id) for r in edges.select("repo", "run_id").distinct().collect()} == {("one", "1"), ("two", "2")}
+    vectors = str(tmp_path / "vectors")
+    wrote = sinks.write_vectors(first.chunks, vectors, "hash", "1", 8)
+    assert wrote["rows"] == first.chunks.count() and sinks.write_vectors(again.chunks, vectors, "hash", "2", 8)["rows"] == again.chunks.count()
+    assert {(r.repo, r.run_id) for r in sinks.read(spark, vectors).select("repo", "run_id").distinct().collect()} == {("one", "1"), ("two", "2")}
+
+
+def test_clone_folders_and_command_line(spark, tmp_path, capsys):
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.py").write_text("def f():\n    pass\n")
+    (src / "b.txt").write_text("")
+    git = lambda *a: subprocess.run(["git", "-C", str(src), "-c", "user.name=n", "-c", "user.email=e@e", *a], check=True, capture_output=True)
+    git("init", "-b", "main"), git("add", "."), git("commit", "-m", "x")
+    to = tmp_path / "work" / "src"
+    tree.clone(f"file://{src}", str(to))
+    assert tree.head_of(str(to))["branch"] == "main" and len(tree.head_of(str(to))["sha"]) == 40 and tree.head_of(str(tmp_path / "none")) == {"sha": None, "branch": None}
+    (to / "a.py").chmod(0o400)
+    with pytest.raises(tree.IngestError, match="not empty"):
+        tree.clone(f"file://{src}", str(to))
+    tree.clone(f"file://{src}", str(to), force=True)
+    assert cli.main([str(to), "--json", "--symbols"], spark) == 0
+    found = json.loads(capsys.readouterr().out)
+    assert found["file_count"] == 1 and found["files"][0]["path"] == "a.py" and found["symbols"][0]["qualname"] == "f" and found["skipped_by_reason"]["unsupported_extension"] == 1
+    assert cli.main([str(to), "--limit", "0"], spark) == 0 and "a.py" in capsys.readouterr().out
+    assert cli.main([str(tmp_path / "absent")], spark) == 1
