@@ -55,6 +55,7 @@ class QualityModel:
 
 
 PIECE = 1 << 18
+BLOCK = 64
 
 
 def feature_counts(raw: bytes, hashes: np.ndarray, p: QualityParams) -> tuple[np.ndarray, np.ndarray]:
@@ -165,24 +166,35 @@ def fit(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams())
 
 
 def train(ids: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, p: QualityParams) -> QualityModel:
-    """Full-batch gradient descent with per-weight rates; classes count alike. Then Platt's scaling on rows held out."""
+    """Full-batch gradient descent with per-weight rates; classes count alike. Then Platt's scaling on rows held out.
+
+    Each step goes over blocks of rows and adds up, so what it holds besides the sample is of one block.
+    """
     held = np.zeros(len(y), bool)
     for c in (0, 1):  # of both classes
         held[np.flatnonzero(y == c)[:: p.held_out]] = True
-    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(i) for i in ids])
-    col = np.concatenate(ids)
-    val = np.sqrt(np.concatenate(values))  # square roots keep frequent features from ruling
-    size = 2 << p.bits
+    size, blocks = 2 << p.bits, []
+    for low in range(0, len(y), BLOCK):
+        n = [len(i) for i in ids[low : low + BLOCK]]
+        # Square roots keep frequent features from ruling.
+        blocks.append((low, low + len(n), np.repeat(np.arange(len(n), dtype=np.int32), n), np.concatenate(ids[low : low + BLOCK]), np.sqrt(np.concatenate(values[low : low + BLOCK]))))
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        w = w.astype(np.float32)
+        return np.concatenate([np.bincount(row, w[col] * val, high - low) for low, high, row, col, val in blocks])
+
     w, bias, grad2 = np.zeros(size), 0.0, np.full(size, 1e-8)
     weight = np.where(y == 1, 0.5 / max(1, (y[~held] == 1).sum()), 0.5 / max(1, (y[~held] == 0).sum())) * ~held
     for _ in range(p.rounds):
-        z = np.bincount(row, w.astype(np.float32)[col] * val, len(y)) + bias
+        z = sums(w) + bias
         r = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight
-        g = np.bincount(col, r.astype(np.float32)[row] * val, size) + p.l2 * w
+        g, r32 = p.l2 * w, r.astype(np.float32)
+        for low, high, row, col, val in blocks:
+            g += np.bincount(col, r32[low:high][row] * val, size)
         grad2 += g * g
         w -= p.rate * g / np.sqrt(grad2)
         bias -= p.rate * r.sum()
-    z = np.bincount(row, w.astype(np.float32)[col] * val, len(y)) + bias
+    z = sums(w) + bias
     a, b = platt(z[held], y[held])
     return QualityModel(w.astype(np.float32), a, a * bias + b)
 
