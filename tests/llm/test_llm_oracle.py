@@ -27,9 +27,9 @@ def test_rows_match(spark, sf, name):
 @pytest.fixture(scope="module")
 def awkward(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("awkward"))
-    spark.createDataFrame([(r[0], r[1]) for r in ROWS] + [(None, "x " * 40), (None, "x " * 40), (3, None)], "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(r[0], r[1], r[2]) for r in ROWS] + [(None, "x " * 40, None), (None, "x " * 40, "de"), (3, None, "en")], "doc_id long, text string, lang string").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(k, [1.0, k / 50.0], k % 3 or None) for k in range(60)] + [(99, None, 1), (98, [0.0, 0.0], 1), (97, [float("nan"), 1.0], 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
-    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, 1, 0), (6, 1, 1), (6, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     return path
 
 
