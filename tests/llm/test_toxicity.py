@@ -95,7 +95,7 @@ def test_labels_of_held_out_rows_change_nothing(spark):
 def test_awkward_rows(spark, kind):
     docs, labels = labelled(spark, kind)
     as_id = str if kind == "string" else int
-    odd = [(None, "word3 word4 word5 word6 " * 5 + "scum scum"), (as_id(900), None), (as_id(901), ""), (as_id(902), "word1 " * 400_000 + "scum " * 90_000), (as_id(903), "word2"), (as_id(903), "word2")]
+    odd = [(None, " ".join(f"word{k}" for k in range(40)) + " scum" * 3), (as_id(900), None), (as_id(901), ""), (as_id(902), " ".join(f"word{k}" for k in range(40)) * 10_000 + " scum" * 30_000), (as_id(903), "word2"), (as_id(903), "word2")]
     odd = spark.createDataFrame([(*r, 0.1, 7, "x") for r in odd], f"doc_id {kind}, text string, score double, id int, y string")
     more = spark.createDataFrame([(None, 1), (as_id(0), None), (as_id(777), 1), (as_id(1), 0)], f"doc_id {kind}, toxic int")
     model = tox.fit(docs.unionByName(odd.select("doc_id", "text")), labels.union(more))
