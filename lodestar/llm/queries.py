@@ -5,7 +5,7 @@ A query opN_base holds the base columns of operator N's rows, which come through
 
 from __future__ import annotations
 
-from lodestar.llm import filter_audit, html_text, licenses, mixing, oracles, packing, pii, quality, secret_scan, simhash, subdedup, toxicity, vectors
+from lodestar.llm import filter_audit, html_text, licenses, mixing, oracles, packing, pii, prefix_trie, quality, secret_scan, simhash, subdedup, toxicity, vectors
 
 QUERIES = {
     "op1_length_buckets": packing.op1_length_buckets,
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_secrets": secret_scan.op10_secrets,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_toxicity": toxicity.op12_toxicity,
     "op13_filter_audit": filter_audit.op13_filter_audit,
     "op3_base": lambda spark, sf_dir: licenses.op3_license_scan(spark, sf_dir).drop("labels", "score", "detections"),
@@ -29,6 +30,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op6_embedding_near_dedup": oracles.OP6,
     "op7_substring_dedup": oracles.OP7,
+    "op11_prefix_trie": prefix_trie.SQL,
     "op13_filter_audit": filter_audit.SQL,
     "op3_base": oracles.OP3_BASE,
     "op4_base": oracles.OP4_BASE,
