@@ -5,10 +5,10 @@ block is indexed by phrase, and the indexes of all blocks are merged by hash: a
 is offered a reference block, along a tree over block numbers, so that no block answers for more than
 `FAN` - 1 others a level, however common a passage is.
 
-Every document is then factored greedily, left to right: at each phrase that has a reference, in another block
-or at another place of its own block, the longest factor goes on as far as its phrases go on there. The next
-factor starts at the first phrase after those, so phrases across the boundary of two factors are looked up too.
-The words under factors, each at least 35 long, are those that go.
+Every document is then factored greedily, left to right: at each phrase that has a reference, a factor goes on while the
+next phrases have one in the same block (places that follow each other are asked for in the own block only, where two places
+of a phrase are known). The next factor starts at the first phrase after those, so phrases across the boundary of two
+factors are looked up too. The words under factors, each at least 35 long, are those that go.
 
 No hash decides this. A block sends the words of its phrases that have a reference to the block of that
 reference, once a phrase; there they are factored against its words, compared byte for byte, and extended as far
@@ -18,7 +18,7 @@ words don't keep (a clash) is settled by the words themselves: all texts of such
 blocks, and the documents of the blocks that hold it are factored again.
 
 Defined results: null, empty and short texts have no phrase and keep all their words; repeated rows repeat each
-other's phrases, so those of at least 35 words keep none; an empty table gives an empty result; very long texts
+other's phrases, so those of at least 35 words keep none (of very many equal rows two are parsed and stand for all); an empty table gives an empty result; very long texts
 stay whole in their block and are hashed in bounded pieces. Only the columns named are read, so others may have
 any name.
 """
@@ -42,6 +42,7 @@ FAN = 8
 BLOCK_BYTES = (2 << 20, 32 << 20)  # least and most
 BUCKETS_PER_BLOCK_BYTES = 4
 TASK_BLOCKS = 4
+HOT_ROWS, HOT_KEYS = 64, 100_000  # rows with more copies than HOT_ROWS and than a HOT_KEYS-th of all rows are parsed twice only
 
 
 class Phrases:
@@ -231,8 +232,8 @@ def _merge(key, rows):
 
 # --- parsing --------------------------------------------------------------------------------------------------
 
-PARSED = "block long, n_words long, n_removed long, n_factors long, kept string, spans string, reference long, starts binary, phrases binary, found binary, clash long"
-_TYPES = {"block": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "n_factors": pa.int64(), "kept": pa.string(), "spans": pa.string(),
+PARSED = "m long, block long, n_words long, n_removed long, n_factors long, kept string, spans string, reference long, starts binary, phrases binary, found binary, clash long"
+_TYPES = {"m": pa.int64(), "block": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "n_factors": pa.int64(), "kept": pa.string(), "spans": pa.string(),
           "reference": pa.int64(), "starts": pa.binary(), "phrases": pa.binary(), "found": pa.binary(), "clash": pa.int64()}
 
 
@@ -242,8 +243,9 @@ def _rows(n: int, id_type: pa.DataType, **columns) -> pa.Table:
     return pa.table({c: columns[c] if isinstance(columns.get(c), pa.ChunkedArray) else pa.array(columns.get(c) or [None] * n, t) for c, t in every.items()})
 
 
-def _of_block(key, ids, made: dict[str, list]) -> pa.Table:
-    return _rows(len(ids), ids.type, id=ids, block=[key] * len(ids), **made)
+def _of_block(key, docs: pa.Table, made: dict[str, list]) -> pa.Table:
+    ids = docs.column("id")
+    return _rows(len(ids), ids.type, id=ids, m=docs.column("m"), block=[key] * len(ids), **made)
 
 
 def _parse(n_buckets: int, length: int, with_text: bool):
@@ -270,7 +272,7 @@ def _parse(n_buckets: int, length: int, with_text: bool):
         along = going_on(ph.place, ph.place, outside >= 0) & (np.diff(outside, append=-1) == 0)
         reach_out = np.where(outside >= 0, runs(along), 0)
         found = twice | (outside >= 0)
-        parts = [_of_block(me, ids, documents(block, found, np.maximum(reach_in, reach_out), with_text))]
+        parts = [_of_block(me, docs, documents(block, found, np.maximum(reach_in, reach_out), with_text))]
         sent = segments(block, np.where(asked, me, -1)) | segments(block, np.where(least, -1, reference))
         if sent:
             parts.append(_rows(len(sent), ids.type, block=[me] * len(sent), reference=list(sent), starts=[np.array([a for a, _ in s], np.int64).tobytes() for s in sent.values()], phrases=[b"\n".join(t for _, t in s) for s in sent.values()]))
@@ -384,11 +386,28 @@ def _again(length: int, with_text: bool):
         for k in np.flatnonzero(np.isin(ph.hash, np.array([h for h, _ in settled], np.int64).view(np.uint64))).tolist():
             found[k] = settled[int(ph.hash[k : k + 1].view(np.int64)[0]), ph.words(ph.place[k], ph.place[k] + length)]
         reach = runs(going_on(ph.place, ph.place, found))
-        return _of_block(key[0].as_py(), docs.column("id"), documents(block, found, reach, with_text)).select(["id", "block", "n_words", "n_removed", "n_factors", "kept", "spans"])
+        return _of_block(key[0].as_py(), docs, documents(block, found, reach, with_text)).select(["id", "m", "block", "n_words", "n_removed", "n_factors", "kept", "spans"])
 
     return run
 
 
+def _counted(slim: DataFrame, n_rows: int, keep: Written) -> DataFrame:
+    """(id, raw, m), m the rows that one stands for: two rows stand for all copies of a row that very many repeat, as their words can't tell more.
+
+    There are fewer than HOT_KEYS such rows, so their table is broadcast.
+    """
+    by = [F.xxhash64("raw").alias("k"), F.octet_length("raw").alias("n")]
+    hot = keep(slim.groupBy("id", *by).agg(F.count("*").alias("m")).where(F.col("m") > max(HOT_ROWS, n_rows // HOT_KEYS)))
+    one = slim.withColumn("m", F.lit(1).cast("long"))
+    if hot.isEmpty():
+        return one
+    of = F.broadcast(hot.select(F.col("id").alias("hot"), "k", "n"))
+    same = F.col("id").eqNullSafe(F.col("hot")) & F.xxhash64("raw").eqNullSafe(F.col("k")) & F.octet_length("raw").eqNullSafe(F.col("n"))
+    many = one.join(of, same, "left_semi").groupBy("id", "raw").agg(F.count("*").alias("m"))
+    two = F.explode(F.when(F.col("m") > 1, F.array(F.lit(1).cast("long"), F.col("m") - 1)).otherwise(F.array("m")))
+    return one.join(of, same, "left_anti").union(many.select("id", "raw", two))
+
+
 def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = PHRASE, with_text: bool = True) -> tuple[DataFrame, DataFrame]:
     """Two tables: a row a document (id_col, n_words, n_removed, n_factors, kept, spans), and the factors between blocks.
 
@@ -398,12 +417,13 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     """
     spark = docs.sparkSession
     keep = Written(spark)
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0)).alias("n")).first().n
+    size, n_rows = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0)), F.count("*")).first()
     block_bytes = min(BLOCK_BYTES[1], max(BLOCK_BYTES[0], int(64 * math.sqrt(size))))
     n_blocks = max(1, -(-size // block_bytes))
     n_buckets = max(64, -(-size * 2 // (BUCKETS_PER_BLOCK_BYTES * block_bytes)))  # a phrase starts every six bytes and takes eight
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("raw"))
-    dealt = slim.withColumn("block", F.pmod(F.xxhash64("id", F.octet_length("raw")), F.lit(n_blocks))).repartition(-(-n_blocks // TASK_BLOCKS), "block")
+    slim = _counted(slim, n_rows, keep)
+    dealt = slim.withColumn("block", F.pmod(F.xxhash64("id", "raw", "m"), F.lit(n_blocks))).repartition(-(-n_blocks // TASK_BLOCKS), "block")
     index = dealt.groupBy("block").applyInArrow(_index(n_buckets, length), "bucket long, block long, phrases binary")
     index = index.repartition(-(-n_buckets // TASK_BLOCKS), "bucket")
     answers = index.groupBy("bucket").applyInArrow(_merge, "block long, bucket long, found binary, reference binary, asked binary, least binary")
@@ -411,9 +431,10 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     parsed = keep(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_parse(n_buckets, length, with_text), f"id {id_type}, {PARSED}"))
     sent = parsed.where("reference is not null").select("block", "reference", "starts", "phrases")
     verified = keep(sent.repartition(-(-n_blocks // TASK_BLOCKS), "reference").groupBy("reference").applyInArrow(_verify(length), FACTORS))
-    columns = ["id", "n_words", "n_removed", "n_factors", "kept", "spans"]
+    columns = ["id", "m", "n_words", "n_removed", "n_factors", "kept", "spans"]
     done, out = parsed.where("n_words is not null"), verified.where("clash is null").drop("clash")
-    named = lambda df: df.select(*columns).withColumnRenamed("id", id_col)
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), "m"))
+    named = lambda df: df.select(F.col("id").alias(id_col), *columns[2:], copies.alias("nth")).drop("nth")
     within = parsed.where("clash is not null").select("block", "clash")
     if verified.where("clash is not null").isEmpty() and within.isEmpty():
         return named(done), out
@@ -427,7 +448,7 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     none = F.lit(None)
     facts = texts.join(total, "words").select("block", none.cast("binary").alias("found"), "clash", "words", "repeats")
     bits = parsed.where("found is not null").join(blocks, "block", "left_semi").select("block", "found", none.cast("long").alias("clash"), none.cast("binary").alias("words"), none.cast("boolean").alias("repeats"))
-    again = some.groupBy("block").cogroup(facts.union(bits).groupBy("block")).applyInArrow(_again(length, with_text), f"id {id_type}, block long, n_words long, n_removed long, n_factors long, kept string, spans string")
+    again = some.groupBy("block").cogroup(facts.union(bits).groupBy("block")).applyInArrow(_again(length, with_text), f"id {id_type}, m long, block long, n_words long, n_removed long, n_factors long, kept string, spans string")
     return named(done.join(blocks, "block", "left_anti").select(*columns).union(again.select(*columns))), out
 
 
