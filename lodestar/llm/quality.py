@@ -132,26 +132,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, p: QualityParams) -> Dat
 
 
 def _sparse_rows(p: QualityParams):
-    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("ids", pa.binary()), ("values", pa.binary())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, y, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "y", "text")), strict=True):
+            for text in batch.column("text").to_pylist():
                 *_, raw, hashes = base_counts(text)
                 share = np.concatenate([c / max(1, c.sum()) for c in feature_counts(raw, hashes, p)])
                 ids = np.flatnonzero(share)
                 ids = np.sort(ids[np.argsort(-share[ids], kind="stable")[: p.max_features]])
-                out.append((doc_id, y, ids.astype(np.int32).tobytes(), share[ids].astype(np.float32).tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+                out.append((ids.astype(np.int32).tobytes(), share[ids].astype(np.float32).tobytes()))
+            cols = [pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *cols], names=["doc_id", "y", "ids", "values"])
 
     return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> QualityModel | None:
     """The driver gets one bounded sparse vector a sampled row: at most max_features each."""
-    found = labelled_sample(docs, labels, p).mapInArrow(_sparse_rows(p), "doc_id long, y int, ids binary, values binary").collect()
+    sample = labelled_sample(docs, labels, p)
+    id_type = sample.schema["doc_id"].dataType.simpleString()  # ids are only ordered, whatever their type
+    found = sample.mapInArrow(_sparse_rows(p), f"doc_id {id_type}, y int, ids binary, values binary").collect()
     found.sort(key=lambda r: (r.doc_id, r.y, r.ids, r.values))
     y = np.array([r.y for r in found], float)
     if min((y == 0).sum(), (y == 1).sum()) < p.min_per_class:
