@@ -63,6 +63,14 @@ def _import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.select("src", "dst", F.lit("IMPORTS").alias("type"), F.lit(1.0).alias("confidence"))
 
 
+def module_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, type, confidence): an order makes the part of its cheapest line import that of its dearest one."""
+    line = F.struct(F.col("l_extendedprice").alias("price"), F.col("l_partkey").alias("part"))
+    ends = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min(line)["part"].alias("a"), F.max(line)["part"].alias("b"))
+    module = lambda c: F.concat(F.lit("m"), F.lpad(F.col(c).cast("string"), 8, "0"))
+    return ends.where("a <> b").select(module("a").alias("src"), module("b").alias("dst")).distinct().select("src", "dst", F.lit("IMPORTS").alias("type"), F.lit(1.0).alias("confidence"))
+
+
 def top_callee(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(node): the part that most others call."""
     return call_edges(spark, sf_dir).groupBy("dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst").limit(1).select(F.col("dst").alias("node"))
@@ -152,6 +160,14 @@ SQL_IMPORTS = (
     + """, imports as (
   select distinct 's' || lpad(cast(a_supp as varchar), 8, '0') as src, 's' || lpad(cast(b_supp as varchar), 8, '0') as dst, 'IMPORTS' as type, 1.0::double as confidence from next_lines where a_supp <> b_supp)"""
 )
+SQL_CYCLES = """ends as (select min({'p': l_extendedprice, 'k': l_partkey}).k as a, max({'p': l_extendedprice, 'k': l_partkey}).k as b from lineitem group by l_orderkey),
+  imports as (select distinct 'm' || lpad(cast(a as varchar), 8, '0') as src, 'm' || lpad(cast(b as varchar), 8, '0') as dst from ends where a <> b),
+  paths as (select src as start, dst as place, [src, dst] as files from imports where src < dst
+    union all select start, i.dst, list_append(files, i.dst) from paths join imports i on i.src = place where len(files) < 6 and i.dst > start and not list_contains(files, i.dst)),
+  cycles as (select files, len(files) as hops from paths join imports i on i.src = place and i.dst = start),
+  members as (select files, hops, unnest(files) as m from cycles),
+  inside as (select distinct c.files from members c join cycles s on s.files[1] = c.m and s.hops < c.hops where list_has_all(c.files, s.files)),
+  minimal as (select * from cycles anti join inside using (files))"""
 SQL_SYMBOLS = f"""symbols as (
   select source as path, source as module, 'd' || d.doc_id as name, source || '.d' || d.doc_id as qualname, 'function' as kind, 1 as line_start,
     len(string_split(text, chr(10))) as line_end, len(regexp_extract_all(text, '{WORDS}')) + 1 as complexity, l.doc_id is not null as has_doc, 'sym:' || d.doc_id as key

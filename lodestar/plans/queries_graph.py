@@ -310,7 +310,7 @@ ORACLE_SQL = {
     "churn": "with " + _cochange() + " select path, n as change_count from per_file",
     "cochange_edges": "with " + _cochange("l_suppkey", "s") + " select left_path as src, right_path as dst, 'CO_CHANGED' as type, shared as commits, jaccard, left_commits, right_commits, last_together from pairs",
     "risk_metrics": _risk_sql(True) + " select key, path, dependents, direct_dependents, dependencies, co_partners, max_jaccard, change_count, test_references from counted",
-    "risk_ranked": _risk_sql(True) + " select key, score, band, case when dependents > 0 then dependents || ' symbol(s) depend on it, ' || direct_dependents || ' directly' else 'nothing depends on it' end as why from banded",
+    "risk_ranked": _risk_sql(True) + " select key, score, band, case when dependents > 0 then 'dependents: ' || dependents || ', direct ones: ' || direct_dependents else 'no dependents' end as why from banded",
     "risk_no_history": _risk_sql(False) + " select key, score, band, 3 as n_reasons from banded",
     "risk_bands": _risk_sql(True) + " select coalesce(band, 'unscored') as band, count(*) as n from part left join banded on banded.key = 'p' || p_partkey group by 1",
     "risk_dashboard": _risk_sql(True) + " select count(*) as nodes, count_if(band = 'critical') as critical, coalesce(max(score), 0.0) as max_score from banded",

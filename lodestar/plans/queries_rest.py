@@ -63,11 +63,11 @@ def debt_summary(spark, sf_dir):
 
 
 def import_cycles_minimal(spark, sf_dir):
-    return debt.minimal_cycles(debt.cycles(p.import_edges(spark, sf_dir), enough=debt.MAX_CYCLES)).select(F.array_join("files", ">").alias("files"), "hops")
+    return debt.minimal_cycles(debt.cycles(p.module_imports(spark, sf_dir))).select(F.array_join("files", ">").alias("files"), "hops")
 
 
 def circular_imports(spark, sf_dir):
-    return _shown(debt.detect_circular_imports(p.import_edges(spark, sf_dir)))
+    return _shown(debt.detect_circular_imports(p.module_imports(spark, sf_dir), limit=None))
 
 
 def dead_code(spark, sf_dir):
@@ -255,6 +255,9 @@ _URLS = """urls as (select page_id, case when page_id % 5 = 0 then 'https://u:se
   when page_id % 11 = 0 then regexp_replace(url, '^https?', 'ftp') else url end as url from pages)"""
 
 ORACLE_SQL = {
+    "import_cycles_minimal": "with recursive " + p.SQL_CYCLES + " select array_to_string(files, '>') as files, hops::int as hops from minimal",
+    "circular_imports": "with recursive " + p.SQL_CYCLES + """, shown as (select *, array_to_string(list_append(files, files[1]), ' -> ') as ring from minimal)
+      select 'circular_import' as kind, case when hops = 2 then 'high' else 'medium' end as severity, ring as subject, files[1] as path, 1::int as line_start, files[1] as key, ring || ' closes a ring of ' || hops || ' imports' as why, 1.0::double as confidence from shown""",
     "debt_complexity": "with " + p.SQL_SYMBOLS + _COMPLEXITY + f" select {_COLS} from cx",
     "debt_god_files": "with " + p.SQL_SYMBOLS + _GOD + f" select {_COLS} from gf",
     "debt_missing_docstring": "with " + p.SQL_SYMBOLS + _DOCS + f" select {_COLS} from md",
@@ -266,9 +269,9 @@ ORACLE_SQL = {
     "dead_code": "with " + p.SQL_CALLS + """, c as (select *, case when p_partkey % 7 = 0 then '_p' || p_partkey when p_partkey % 11 = 0 then 'main' else 'p' || p_partkey end as name, 'p' || p_partkey as key, p_partkey % 3 = 0 as decorated,
         case when p_partkey % 13 = 0 then 'tests/test_x.py' else 'src/x.py' end as path from part where p_partkey % 5 <> 0 and p_partkey % 13 <> 0 and 'p' || p_partkey not in (select dst from calls))
       select 'dead_code' as kind, case when name like '\\_%' escape '\\' then 'medium' else 'low' end as severity, p_brand || '.' || p_partkey as subject, path, 1 as line_start, key,
-        case when name like '\\_%' escape '\\' then 'private function, ' || p_size || ' lines, no caller inside a function. A call at module scope would not be visible here'
-          when decorated then 'no statically visible caller, but decorated with cached — check before deleting'
-          else 'public function, ' || p_size || ' lines, no caller or subclass in the repository — may be public API, or called at module scope' end as why,
+        case when name like '\\_%' escape '\\' then 'private function of ' || p_size || ' lines that no function calls; calls made while a module loads are not seen'
+          when decorated then 'nothing seen to call it, though cached may register it'
+          else 'public function of ' || p_size || ' lines without caller or subclass here; others may use it' end as why,
         case when name like '\\_%' escape '\\' then 0.75::double when decorated then 0.5::double else 0.6::double end as confidence from c where name <> 'main'""",
     "files_filtered": "with " + p.SQL_SYMBOLS + " select path, sum(line_end)::bigint as line_count from symbols where contains(lower(path), 'c1') group by path",
     "files_page": "with " + p.SQL_SYMBOLS + ", fl as (select path, sum(line_end)::bigint as line_count from symbols group by path) select path, line_count, (select count(*) from fl) as total from fl where path ilike '%_c1%' order by path limit 5 offset 2",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import keys, text
 from lodestar.operators import chunking, cochange, conversation, debt, graph, impact, retrieval
+from lodestar.operators import cycles as graph_cycles
 from lodestar.plans import cli, lifecycle
 from lodestar.sources import extract, sinks, tree
 from lodestar.streaming import token_bucket
@@ -66,10 +67,30 @@ def test_cycles_against_brute_force(spark):
         assert sorted(tuple(r.files) for r in debt.cycles(df).collect()) == sorted(every)
         kept = every if limit is None else every[:limit]
         want = {c for c in kept if not any(len(x) < len(c) and set(x) <= set(c) for x in kept)}
-        got = debt.minimal_cycles(debt.cycles(df, enough=limit), limit).collect()
+        got = debt.minimal_cycles(debt.cycles(df), limit).collect()
         assert {tuple(r.files) for r in got} == want and len(got) == len(want)
 
 
+def test_components_against_brute_force(spark):
+    rng = random.Random(3)
+    for n, m in ((12, 16), (30, 40), (30, 70), (5, 0)):
+        edges = {(f"f{rng.randrange(n):02d}", f"f{rng.randrange(n):02d}") for _ in range(m)}
+        reach = {a: {a} for e in edges for a in e}
+        for _ in range(n):
+            for a in reach:
+                reach[a] |= {y for x, y in edges if x in reach[a]}
+        want = {a: min(b for b in reach[a] if a in reach[b]) for a in reach if any(a in reach[b] for b in reach[a] - {a})}
+        got = graph_cycles.components(spark.createDataFrame(sorted(edges), "src string, dst string")).collect()
+        assert {r.node: r.component for r in got} == want and len(got) == len(want)
+
+
+def test_a_long_chain_has_no_component_and_a_long_ring_one(spark):
+    chain = [(f"{k:04d}", f"{k + 1:04d}") for k in range(300)]
+    df = lambda rows: spark.createDataFrame(rows, "src string, dst string")
+    assert graph_cycles.components(df(chain)).count() == 0
+    assert {r.component for r in graph_cycles.components(df([*chain, ("0300", "0000")])).collect()} == {"0000"}
+
+
 def test_cycles(spark):
     e = lambda *p: spark.createDataFrame([(a, b) for a, b in p], "src string, dst string")
     assert [r.files for r in debt.cycles(e("ab", "ba", "ca")).collect()] == [["a", "b"]]
