@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,15 +30,21 @@ def hash_vector(text: str, dimensions: int = DIMENSIONS) -> list[float]:
     return [v / norm for v in values]
 
 
-def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """hash_vector() as an Arrow-batched column function; null stays null."""
+def bind(value: Column, use) -> Column:
+    """use(value) with the value computed once: a lambda's variable stands for it wherever `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: None if t is None else hash_vector(t, dimensions))
 
-    return run(text)
+def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
+    """hash_vector() as built-in functions: SHA-256 of the text and a counter, two bytes a value; null stays null."""
+    blocks = -(-2 * dimensions // 32)
+    counted = lambda raw: F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.sha2(F.concat(raw, F.unhex(F.lpad(F.hex(k), 8, "0"))), 256))
+    value = lambda digits, i: F.conv(F.substring(digits, i * 4 + 1, F.lit(4)), 16, 10).cast("double") / 32768.0 - 1.0
+    values = lambda digits: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: value(digits, i))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    unit = lambda v: bind(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x)))
+    made = bind(F.encode(text, "UTF-8"), lambda raw: bind(F.array_join(counted(raw), ""), lambda digits: bind(values(digits), unit)))
+    return F.when(text.isNotNull(), made)
 
 
 def checked_width(vectors: DataFrame, column: str, dimensions: int) -> DataFrame:

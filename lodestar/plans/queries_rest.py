@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import classify_source, derive_name, git_url_problem, human_size, url_host
 from lodestar.operators import chunking, conversation, debt, listing, retrieval
 from lodestar.plans import lifecycle
 from lodestar.plans import projections as p
+from lodestar.plans.written import shared_dir
+from lodestar.sources import sinks
 from lodestar.streaming import token_bucket
 
 LINE_FLOOR, SYMBOL_FLOOR = 400, 20
@@ -189,8 +193,46 @@ def hybrid_slots(spark, sf_dir):
 
 
 def hash_embedding(spark, sf_dir):
+    """Embeddings told by their ends and a weighted sum of all values."""
     e = p.table(spark, sf_dir, "conversations").select("conv_id", "turn", retrieval.hash_embedding(F.col("text"), 64).alias("e"))
-    return e.select("conv_id", "turn", F.size("e").alias("dimensions"), F.round(retrieval.dot(F.col("e"), F.col("e")), 6).alias("norm"))
+    weighed = F.aggregate(F.zip_with("e", F.sequence(F.lit(1), F.lit(64)), lambda x, i: x * i), F.lit(0.0), lambda s, x: s + x)
+    return e.select("conv_id", "turn", F.size("e").alias("dimensions"), F.round(retrieval.dot(F.col("e"), F.col("e")), 6).alias("norm"), F.round(F.element_at("e", 1), 6).alias("first"), F.round(F.element_at("e", 64), 6).alias("last"), F.round(weighed, 5).alias("weighed"))
+
+
+# --- sinks ----------------------------------------------------------------------------------------------------
+
+
+def _parts(spark, sf_dir):
+    """Parts as nodes of repositories named by their size, 001 and on."""
+    part = p.table(spark, sf_dir, "part")
+    return part.select(F.lpad(F.col("p_size").cast("string"), 3, "0").alias("repo"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("key"), F.lit("Function").alias("label"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"))
+
+
+def graph_sink_runs(spark, sf_dir):
+    """Two runs written and read back. The second is about the repositories of small parts, holds the dear ones and their sure calls."""
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    nodes, calls = _parts(spark, sf_dir), p.call_edges(spark, sf_dir).select("src", "dst", "type", "confidence")
+    inner = lambda nodes: calls.join(nodes.select("repo", F.col("key").alias("src")), "src").join(nodes.select(F.col("repo").alias("r"), F.col("key").alias("dst")), "dst").where("repo = r").drop("r")
+    sinks.write_graph(nodes, {"CALLS": inner(nodes)}, path, "1")
+    sinks.set_properties(nodes.select("repo", "key", F.length("name").alias("change_count")), path)
+    dear = nodes.where("repo < '026' and price >= 1200").drop("price")
+    sinks.write_graph(dear, {"CALLS": inner(dear).where("confidence >= 0.9")}, path, "2")
+    kept, edges = sinks.read_graph(spark, path)
+    counts = kept.groupBy("repo").agg(F.max("run_id").alias("run_id"), F.count("*").alias("nodes"), F.count("price").alias("priced"), F.sum("change_count").alias("changes"))
+    return counts.join(edges.groupBy("repo").agg(F.count("*").alias("n")), "repo", "left").select("repo", "run_id", "nodes", "priced", "changes", F.coalesce("n", F.lit(0)).alias("edges"))
+
+
+def vector_sink_runs(spark, sf_dir):
+    """Three runs over documents: all; without the bad ones and with toxic ones rewritten; the same again, which embeds nothing."""
+    path = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    labels = p.table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    docs = p.table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(F.coalesce("lang", F.lit("")).alias("repo"), F.col("doc_id").cast("string").alias("id"), "text", "quality", "toxic", F.ceil(F.length("text") / 4).alias("tokens"))
+    row = ["repo", "id", "text", "tokens"]
+    second = docs.where("coalesce(quality, 1) = 1").withColumn("text", F.when(F.col("toxic") == 1, F.concat("text", F.lit(" (cut)"))).otherwise(F.col("text"))).select(*row)
+    runs = [sinks.write_vectors(d, path, "hash", str(k), 16) for k, d in enumerate((docs.select(*row), second, second), 1)]
+    done = [F.lit(int(r[c])).cast("long").alias(f"{c}_{k}") for c in ("embedded", "swept") for k, r in enumerate(runs, 1)]
+    found = sinks.read_vectors(spark, path).groupBy("repo").agg(F.count("*").alias("n"), F.count_if(F.size("embedding") == 16).alias("wide"), F.countDistinct("id").alias("ids"))
+    return found.select("repo", "n", "wide", "ids", *done)
 
 
 # --- limits, times, names -------------------------------------------------------------------------------------
@@ -221,7 +263,7 @@ def url_names(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     debt_complexity, debt_god_files, debt_missing_docstring, debt_rollup, debt_tally, debt_filtered, debt_summary, import_cycles_minimal, circular_imports, dead_code, files_page, files_filtered, symbols_page, jobs_latest, jobs_page,
-    conversations_page, conversation_detail, history_last8, conversation_title, stub_chat, repository_deleted, chunk_windows, chunk_hash, module_leftover, chunk_uuid5, vector_topk, vector_topk_kind, hybrid_slots, hash_embedding,
+    conversations_page, conversation_detail, history_last8, conversation_title, stub_chat, repository_deleted, chunk_windows, chunk_hash, module_leftover, chunk_uuid5, vector_topk, vector_topk_kind, hybrid_slots, hash_embedding, graph_sink_runs, vector_sink_runs,
     token_bucket_decisions, stage_percentages, endpoint_median, url_validation, url_names,
 )}
 
@@ -255,6 +297,18 @@ _URLS = """urls as (select page_id, case when page_id % 5 = 0 then 'https://u:se
   when page_id % 11 = 0 then regexp_replace(url, '^https?', 'ftp') else url end as url from pages)"""
 
 ORACLE_SQL = {
+    "hash_embedding": """with h as (select conv_id, turn, list_reduce(list_transform(range(4), lambda k: sha256(encode(text) || unhex(format('{:08x}', k)))), lambda a, b: a || b) as d from conversations),
+      v as (select conv_id, turn, list_transform(range(64), lambda i: ('0x' || substring(d, (4 * i + 1)::int, 4))::int / 32768.0::double - 1) as v from h), n as (select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from v)
+      select conv_id, turn, 64::int as dimensions, round(list_sum(list_transform(v, lambda x: x / n * (x / n))), 6) as norm, round(v[1] / n, 6) as first, round(v[64] / n, 6) as last,
+        round(list_sum(list_transform(v, lambda x, i: x / n * i)), 5) as weighed from n""",
+    "graph_sink_runs": "with " + p.SQL_CALLS + """, parts as (select lpad(p_size::varchar, 3, '0') as repo, 'p' || p_partkey as key, p_name, p_retailprice as price from part),
+      kept as (select *, repo < '026' and exists (select 1 from parts x where x.repo = parts.repo and x.price >= 1200) as second from parts), final as (select * from kept where not second or price >= 1200),
+      inner_ as (select a.repo from calls join final a on a.key = src join final b on b.key = dst and a.repo = b.repo where not a.second or confidence >= 0.9),
+      e as (select repo, count(*) as n from inner_ group by repo)
+      select repo, case when bool_or(second) then '2' else '1' end as run_id, count(*) as nodes, count(price) as priced, sum(length(p_name))::bigint as changes, coalesce(any_value(n), 0) as edges from final left join e using (repo) group by repo""",
+    "vector_sink_runs": """with l as (select doc_id, min(quality) as quality, max(toxic) as toxic from labels group by doc_id), d as (select coalesce(lang, '') as repo, coalesce(quality, 1) = 1 as stays, coalesce(toxic, 0) = 1 as toxic from documents left join l using (doc_id)),
+      t as (select count(*) as embedded_1, count_if(stays and toxic) as embedded_2, 0::bigint as embedded_3, 0::bigint as swept_1, count_if(not stays) as swept_2, 0::bigint as swept_3 from d)
+      select repo, count(*) as n, count(*) as wide, count(*) as ids, any_value(columns(t.*)) from d, t where stays group by repo""",
     "import_cycles_minimal": "with recursive " + p.SQL_CYCLES + " select array_to_string(files, '>') as files, hops::int as hops from minimal",
     "circular_imports": "with recursive " + p.SQL_CYCLES + """, shown as (select *, array_to_string(list_append(files, files[1]), ' -> ') as ring from minimal)
       select 'circular_import' as kind, case when hops = 2 then 'high' else 'medium' end as severity, ring as subject, files[1] as path, 1::int as line_start, files[1] as key, ring || ' closes a ring of ' || hops || ' imports' as why, 1.0::double as confidence from shown""",
