@@ -6,20 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.scoring import WEIGHTS, band, factors, is_test_path, reasons, weight
+from lodestar.operators.bitmaps import dependents_within
 from lodestar.operators.graph import checked_depth, get_node
 
 CONTAINED = 4
 
 
-def reach(edges: DataFrame, depth: int, to: DataFrame | None = None) -> DataFrame:
+def reach(edges: DataFrame, depth: int, to: DataFrame) -> DataFrame:
     """(src, dst): the pairs with a path of 1 to depth edges, each once, without loops. Distinct after every hop.
 
-    to: (key), the ends asked for. Paths grow backwards from the ends, so what does not lead to them is never touched;
+    to: (key), the few ends asked for. Paths grow backwards from the ends, so what does not lead to them is never touched;
     a node that very many paths cross is split by the adaptive plan's skew join.
     """
     checked_depth(depth)
     step = edges.select("src", "dst").where("src <> dst").distinct()
-    first = step if to is None else step.join(to.select(F.col("key").alias("dst")).distinct(), "dst", "left_semi")
+    first = step.join(to.select(F.col("key").alias("dst")).distinct(), "dst", "left_semi")
     seen = frontier = first.select("src", "dst")
     before = step.select(F.col("src").alias("far"), F.col("dst").alias("src"))
     for _ in range(depth - 1):
@@ -44,7 +45,8 @@ def metrics(nodes: DataFrame, edges: DataFrame, contains: DataFrame, files: Data
 
     nodes: (key). edges: calls and imports (src, dst, type). contains: (src, dst). files: (key, path, change_count),
     change_count null where the history was not read. partners: (file, jaccard), a row for each side of a pair.
-    only: nodes are few of many, and only what leads to them is walked.
+    only: nodes are few of many, and only what leads to them is walked. Otherwise the dependents of all nodes are
+    counted in bitmaps, without a row for each pair.
     """
     links = edges.where(F.col("type").isin("CALLS", "IMPORTS"))
     near = links.select("src", "dst").where("src <> dst").distinct()
@@ -52,12 +54,17 @@ def metrics(nodes: DataFrame, edges: DataFrame, contains: DataFrame, files: Data
     in_tests = owner.join(files.select(F.col("key").alias("file"), "path"), "file").where(is_test_path(F.col("path"))).select(F.col("node").alias("src"))
     tests = edges.where("type = 'CALLS'").select("src", "dst").distinct().join(in_tests, "src", "left_semi")
     # Every count is a row (key, which, n), so that one grouping by key takes them all.
-    parts = [("dependents", reach(links, depth, nodes if only else None), "dst"), ("direct_dependents", near, "dst"), ("dependencies", near, "src"), ("test_references", tests, "dst")]
+    parts = [("direct_dependents", near, "dst"), ("dependencies", near, "src"), ("test_references", tests, "dst")]
     counted = None
+    if only:
+        parts.append(("dependents", reach(links, depth, nodes), "dst"))
+    else:
+        checked_depth(depth)
+        counted = dependents_within(links, depth).select("key", F.lit("dependents").alias("which"), F.col("dependents").alias("n"))
     for name, rows, end in parts:
         one = rows.groupBy(F.col(end).alias("key")).agg(F.count("*").alias("n")).select("key", F.lit(name).alias("which"), "n")
         counted = one if counted is None else counted.unionAll(one)
-    counts = counted.groupBy("key").agg(*[F.sum(F.when(F.col("which") == name, F.col("n"))).alias(name) for name, *_ in parts])
+    counts = counted.groupBy("key").agg(*[F.sum(F.when(F.col("which") == name, F.col("n"))).alias(name) for name in ("dependents", "direct_dependents", "dependencies", "test_references")])
     coupled = partners.groupBy("file").agg(F.count("*").alias("co_partners"), F.max("jaccard").alias("max_jaccard"))
     of_file = files.select(F.col("key").alias("file"), "path", "change_count").join(coupled, "file", "left")
     all_ = nodes.select("key").join(owner.withColumnRenamed("node", "key"), "key", "left").join(counts, "key", "left").join(of_file, "file", "left")

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestar.functions import scoring
-from lodestar.operators import cochange, graph, impact, resolve, risk
+from lodestar.operators import bitmaps, cochange, graph, impact, resolve, risk
 
 EDGE = "src string, dst string, type string, confidence double"
 
@@ -174,3 +174,29 @@ def test_enclosing_class_by_parents(spark):
     rows = [("m", "A", "class", None), ("m", "A.f", "method", "A"), ("m", "A.f.g", "function", "A.f"), ("m", "A.f.B", "class", "A.f"), ("m", "A.f.B.h", "method", "A.f.B"), ("m", "C", "class", None), ("m", "C.gone.k", "function", "C.gone"), ("m", "top", "function", None), ("m", "top.x", "function", "top")]
     symbols = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "path string, qualname string, kind string, parent string, ord int")
     assert {r.caller: r.owner for r in resolve.enclosing_classes(symbols).collect()} == {"A.f": "A", "A.f.g": "A", "A.f.B": "A", "A.f.B.h": "A.f.B"}
+
+
+def test_dependents_by_bitmaps_against_brute_force(spark):
+    import random
+
+    rng = random.Random(12)
+    for n, m, depth in ((15, 40, 2), (40, 60, 5), (3, 6, 3)):
+        rows = {(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(m)}
+        near = {k: {a for a, b in rows if b == k and a != b} for k in {x for r in rows for x in r}}
+        want = {}
+        for k in near:
+            seen, edge = set(), {k}
+            for _ in range(depth):
+                edge = set().union(*(near[x] for x in edge))
+                seen |= edge
+            if seen - {k}:
+                want[k] = len(seen - {k})
+        got = bitmaps.dependents_within(spark.createDataFrame(sorted(rows), "src string, dst string"), depth).collect()
+        assert {r.key: r.dependents for r in got} == want and len(got) == len(want)
+
+
+def test_a_hub_between_very_many_makes_no_pairs(spark):
+    n = 100_000
+    star = spark.range(n).selectExpr("concat('a', id) as src", "'hub' as dst").union(spark.range(n).selectExpr("'hub' as src", "concat('z', id) as dst"))
+    got = bitmaps.dependents_within(star, 2).groupBy("dependents").count().collect()
+    assert {r.dependents: r["count"] for r in got} == {n: 1, n + 1: n}

@@ -40,6 +40,14 @@ def test_detectors(spark):
     assert "**2 findings.**" in page and "did not run" in page and "### High (1)" in page and "| `a.py` | 2 | high |" in page
 
 
+def test_a_detector_that_fails_in_its_last_row_is_named(spark):
+    rows = spark.range(1000).repartition(8)
+    finding = lambda why: rows.select(F.lit("x").alias("kind"), F.lit("low").alias("severity"), F.col("id").cast("string").alias("subject"), F.lit("p").alias("path"), F.lit(1).alias("line_start"), F.lit("k").alias("key"), why.alias("why"), F.create_map(F.lit("a"), F.lit("b")).alias("metrics"), F.lit(1.0).alias("confidence"))
+    breaks = F.when(F.col("id") == 999, F.raise_error(F.lit("row 999"))).otherwise("fine")
+    all_, ran, failed = debt.run_detectors({"good": lambda: finding(F.lit("fine")), "bad": lambda: finding(breaks)})
+    assert ran == ["good"] and list(failed) == ["bad"] and all_.count() == 1000
+
+
 def plain_cycles(edges, longest=6):
     step, out = {}, set()
     for a, b in edges:
