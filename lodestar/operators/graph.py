@@ -7,9 +7,11 @@ so the hops unroll into one lazy plan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.operators import trigram
+
 MAX_DEPTH = 5
 #: Products of confidences are compared at this many decimals, so the order of multiplication cannot matter.
 DIGITS = 9
@@ -85,6 +87,9 @@ def get_node(nodes: DataFrame, key: str) -> DataFrame:
     return found
 
 
+SEARCHED = ["qualname", "path", "name", "dotted_name"]
+
+
 def search_nodes(nodes: DataFrame, query: str, limit: int = 25) -> DataFrame:
     """Nodes with the query as a literal in any case in qualname, path, name or dotted_name, shortest name first.
 
@@ -92,10 +97,24 @@ def search_nodes(nodes: DataFrame, query: str, limit: int = 25) -> DataFrame:
     """
     q = F.lower(F.lit(query))
     hit = F.lit(False)
-    for c in ("qualname", "path", "name", "dotted_name"):
+    for c in SEARCHED:
         hit = hit | F.contains(F.lower(F.coalesce(c, F.lit(""))), q)
+    return shortest_first(nodes.where(hit), limit)
+
+
+def shortest_first(found: DataFrame, limit: int) -> DataFrame:
     shown = F.length(F.coalesce("qualname", "path", "name", F.lit("")))
-    return nodes.where(hit).withColumn("shown_length", shown).orderBy("shown_length", "key").limit(limit)
+    return found.withColumn("shown_length", shown).orderBy("shown_length", "key").limit(limit)
+
+
+def index_nodes(nodes: DataFrame, path: str) -> None:
+    """Writes the trigram index that search_index() reads."""
+    trigram.build(nodes, SEARCHED, path)
+
+
+def search_index(spark: SparkSession, path: str, query: str, limit: int = 25) -> DataFrame:
+    """search_nodes() over indexed nodes: only the candidates of the query's rarest trigrams are read."""
+    return shortest_first(trigram.search(spark, path, query, SEARCHED), limit)
 
 
 def truncated(ordered: DataFrame, limit: int) -> tuple[DataFrame, bool]:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.operators import cochange, graph, impact, risk
 from lodestar.plans import projections as p
+from lodestar.plans.written import shared_dir
 
+LITERALS = ["S/TEST_S1", "rc/s2", "AN", "src/s1", "no such node"]
 JOINED = lambda c: F.array_join(c, ">").alias(c)
 
 
@@ -88,6 +92,21 @@ def node_search(spark, sf_dir):
     return graph.search_nodes(_nodes(spark, sf_dir), "1.", 25).select("key", "label", "shown_length")
 
 
+def _node_index(spark, sf_dir) -> str:
+    path = f"{shared_dir(spark)}/nodes-{uuid.uuid4().hex}"
+    graph.index_nodes(_nodes(spark, sf_dir), path)
+    return path
+
+
+def node_search_indexed(spark, sf_dir):
+    """Literals looked up in one trigram index: a common one, one that crosses a slash, one of two characters, one that nothing holds."""
+    path, out = _node_index(spark, sf_dir), None
+    for literal in LITERALS:
+        found = graph.search_index(spark, path, literal, 50).select(F.lit(literal).alias("literal"), "key", "label", "shown_length")
+        out = found if out is None else out.union(found)
+    return out
+
+
 def node_lookup(spark, sf_dir):
     """One node by its key."""
     return graph.get_node(_nodes(spark, sf_dir), "p1").select("key", "label")
@@ -205,7 +224,7 @@ def risk_bar_widths(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    impact_ranked, impact_decay1, impact_summary, impact_routes, impact_groups, dependencies_2hop, dependents_2hop, neighbours_seeded, call_edges_agg, resolution_counts, unresolved_by_caller, node_search, node_lookup, node_counts,
+    impact_ranked, impact_decay1, impact_summary, impact_routes, impact_groups, dependencies_2hop, dependents_2hop, neighbours_seeded, call_edges_agg, resolution_counts, unresolved_by_caller, node_search, node_search_indexed, node_lookup, node_counts,
     files_view, calls_view, collapse_groups, visible_edges, graph_upsert_sweep, cochange_pairs, cochange_for_key, cochange_window_stats, partner_index, churn, cochange_edges,
     risk_metrics, risk_ranked, risk_no_history, risk_bands, risk_dashboard, risk_bar_widths,
 )}
@@ -295,6 +314,9 @@ ORACLE_SQL = {
     "unresolved_by_caller": "select 'p' || a.l_partkey as caller, count(*) as unresolved_calls from lineitem a where not exists (select 1 from lineitem b where b.l_orderkey = a.l_orderkey and b.l_linenumber = a.l_linenumber + 1) group by 1",
     "node_search": "with " + _NODES + """ select key, label, length(coalesce(qualname, path, name, '')) as shown_length from nodes
       where contains(lower(coalesce(qualname, '')), '1.') or contains(lower(coalesce(path, '')), '1.') or contains(lower(coalesce(name, '')), '1.') or contains(lower(coalesce(dotted_name, '')), '1.') order by shown_length, key limit 25""",
+    "node_search_indexed": "with " + _NODES + """, q as (select unnest(""" + str(LITERALS) + """) as literal),
+      hits as (select literal, key, label, length(coalesce(qualname, path, name, '')) as shown_length from nodes, q where contains(lower(coalesce(qualname, '')), lower(literal)) or contains(lower(coalesce(path, '')), lower(literal)) or contains(lower(coalesce(name, '')), lower(literal)) or contains(lower(coalesce(dotted_name, '')), lower(literal)))
+      select literal, key, label, shown_length from (select *, row_number() over (partition by literal order by shown_length, key) as nth from hits) where nth <= 50""",
     "node_lookup": "with " + _NODES + " select key, label from nodes where key = 'p1'",
     "node_counts": "with " + _NODES + " select label, count(*) as n from nodes group by label",
     "files_view": "with " + _NODES + ", " + p.SQL_IMPORTS + " select key as src, dst, confidence from nodes left join imports on src = key where label = 'File'",

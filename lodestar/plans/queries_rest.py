@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import classify_source, derive_name, git_url_problem, human_size, url_host
-from lodestar.operators import chunking, conversation, debt, listing, retrieval
+from lodestar.operators import chunking, conversation, debt, ivf, listing, retrieval
 from lodestar.plans import lifecycle
 from lodestar.plans import projections as p
 from lodestar.plans.written import shared_dir
@@ -187,6 +187,15 @@ def vector_topk_kind(spark, sf_dir):
     return retrieval.top_k(p.vectors(spark, sf_dir), p.first_vector(spark, sf_dir), 10, [1, 3]).select("id", "kind", F.round("score", 4).alias("score"))
 
 
+def vector_knn(spark, sf_dir):
+    """The ten nearest vectors of every 50th one, through the inverted file."""
+    path = f"{shared_dir(spark)}/ivf-{uuid.uuid4().hex}"
+    vectors = p.table(spark, sf_dir, "embeddings")
+    ivf.build(vectors, path, id_col="vec_id")
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    return ivf.nearest(ivf.load(spark, path), asked, 10, exact=True).select("qid", "id", F.round("score", 5).alias("score"))
+
+
 def hybrid_slots(spark, sf_dir):
     found = retrieval.hybrid(p.vectors(spark, sf_dir), p.call_edges(spark, sf_dir), p.first_vector(spark, sf_dir), 8, 1)
     return found.select("id", "symbol_key", F.round("score", 4).alias("score"), "source", "hops", "seed")
@@ -263,7 +272,7 @@ def url_names(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     debt_complexity, debt_god_files, debt_missing_docstring, debt_rollup, debt_tally, debt_filtered, debt_summary, import_cycles_minimal, circular_imports, dead_code, files_page, files_filtered, symbols_page, jobs_latest, jobs_page,
-    conversations_page, conversation_detail, history_last8, conversation_title, stub_chat, repository_deleted, chunk_windows, chunk_hash, module_leftover, chunk_uuid5, vector_topk, vector_topk_kind, hybrid_slots, hash_embedding, graph_sink_runs, vector_sink_runs,
+    conversations_page, conversation_detail, history_last8, conversation_title, stub_chat, repository_deleted, chunk_windows, chunk_hash, module_leftover, chunk_uuid5, vector_topk, vector_topk_kind, vector_knn, hybrid_slots, hash_embedding, graph_sink_runs, vector_sink_runs,
     token_bucket_decisions, stage_percentages, endpoint_median, url_validation, url_names,
 )}
 
@@ -297,6 +306,8 @@ _URLS = """urls as (select page_id, case when page_id % 5 = 0 then 'https://u:se
   when page_id % 11 = 0 then regexp_replace(url, '^https?', 'ftp') else url end as url from pages)"""
 
 ORACLE_SQL = {
+    "vector_knn": """with v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null), s as (select q.vec_id as qid, v.vec_id as id, list_cosine_similarity(q.e, v.e) as score from v q, v where q.vec_id % 50 = 0),
+      r as (select *, row_number() over (partition by qid order by round(score, 9) desc, id) as nth from s) select qid, id, round(score, 5) as score from r where nth <= 10""",
     "hash_embedding": """with h as (select conv_id, turn, list_reduce(list_transform(range(4), lambda k: sha256(encode(text) || unhex(format('{:08x}', k)))), lambda a, b: a || b) as d from conversations),
       v as (select conv_id, turn, list_transform(range(64), lambda i: ('0x' || substring(d, (4 * i + 1)::int, 4))::int / 32768.0::double - 1) as v from h), n as (select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from v)
       select conv_id, turn, 64::int as dimensions, round(list_sum(list_transform(v, lambda x: x / n * (x / n))), 6) as norm, round(v[1] / n, 6) as first, round(v[64] / n, 6) as last,
