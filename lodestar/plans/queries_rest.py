@@ -252,6 +252,15 @@ def token_bucket_decisions(spark, sf_dir):
     return token_bucket.check(e, 4, 0.0012).groupBy("client").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("refused"))
 
 
+def token_bucket_stream(spark, sf_dir):
+    """The same decisions by a stream over the events, with a state for each client."""
+    source = f"{sf_dir}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{source[:-1]}[t]")  # a pattern, so that it may be a file or a folder
+    requests = events.select(F.col("user_id").alias("client"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("time"))
+    decided = token_bucket.run_stream(requests, 4, 0.0012, f"{shared_dir(spark)}/buckets-{uuid.uuid4().hex}")
+    return decided.groupBy("client").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("refused"))
+
+
 def stage_percentages(spark, sf_dir):
     return lifecycle.stage_percentages(p.jobs(spark, sf_dir))
 
@@ -273,7 +282,7 @@ def url_names(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     debt_complexity, debt_god_files, debt_missing_docstring, debt_rollup, debt_tally, debt_filtered, debt_summary, import_cycles_minimal, circular_imports, dead_code, files_page, files_filtered, symbols_page, jobs_latest, jobs_page,
     conversations_page, conversation_detail, history_last8, conversation_title, stub_chat, repository_deleted, chunk_windows, chunk_hash, module_leftover, chunk_uuid5, vector_topk, vector_topk_kind, vector_knn, hybrid_slots, hash_embedding, graph_sink_runs, vector_sink_runs,
-    token_bucket_decisions, stage_percentages, endpoint_median, url_validation, url_names,
+    token_bucket_decisions, token_bucket_stream, stage_percentages, endpoint_median, url_validation, url_names,
 )}
 
 
@@ -368,3 +377,4 @@ ORACLE_SQL = {
     "url_names": """select page_id, case when regexp_matches(url, '^https?://') then 'git' else 'local' end as kind, nullif(regexp_replace(regexp_replace(regexp_extract(regexp_replace(url, '/+$', ''), '[^/:]*$', 0), '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), '') as name,
       case when strlen(html) < 1024 then strlen(html) || ' B' when strlen(html) < 1048576 then printf('%.1f KB', round(strlen(html) / 1024.0::double, 1)) else printf('%.1f MB', round(strlen(html) / 1048576.0::double, 1)) end as size from pages""",
 }
+ORACLE_SQL["token_bucket_stream"] = ORACLE_SQL["token_bucket_decisions"]

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 # Requests at once and per minute.
 LIMITS = {"chat": (10, 4.0), "explain": (20, 6.0), "search": (60, 15.0)}
@@ -65,3 +66,69 @@ def check_stream(requests: DataFrame, capacity: float, per_minute: float, idle_m
         yield rows.assign(allowed=[o for o, _ in out], wait=pd.Series([w for _, w in out], index=rows.index, dtype="float64"))[["client", "id", "at", "allowed", "wait"]]
 
     return requests.groupBy("client").applyInPandasWithState(fold, "client string, id long, at double, allowed boolean, wait double", "tokens double, updated double", "append", "ProcessingTimeTimeout" if idle_ms else "NoTimeout")
+
+
+DECISIONS = "client string, id long, at double, allowed boolean, wait double"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Buckets(StatefulProcessor):
+    """A bucket for each client. A timer drops it at the event time at which it would be full again: a new bucket is full too,
+    so the state of idle clients ends and no decision changes."""
+
+    def __init__(self, capacity: float, per_minute: float):
+        self.capacity, self.rate = float(capacity), per_minute / 60.0
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.bucket = handle.getValueState("bucket", "tokens double, updated double, due long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        tokens, updated, due = self.bucket.get() if self.bucket.exists() else (self.capacity, None, None)
+        arrived = pd.concat(list(rows)).sort_values(["at", "id"], kind="stable")
+        allowed, wait = [], []
+        for at in arrived["at"].tolist():
+            tokens = min(self.capacity, tokens + max(0.0, at - (at if updated is None else updated)) * self.rate)
+            updated, ok = at, tokens >= 1.0
+            tokens -= ok
+            allowed.append(ok)
+            wait.append(None if ok else max(1.0, (1.0 - tokens) / self.rate) if self.rate else 60.0)
+        if due is not None:
+            self.handle.deleteTimer(due)
+        if self.rate:
+            due = int((updated + self.capacity / self.rate) * 1000) + 1
+            self.handle.registerTimer(due)
+        self.bucket.update((tokens, updated, due))
+        yield pd.DataFrame({"client": key[0], "id": arrived["id"].to_numpy(), "at": arrived["at"].to_numpy(), "allowed": allowed, "wait": pd.Series(wait, dtype="float64")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.bucket.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def decide_stream(requests: DataFrame, capacity: float, per_minute: float, late: str = "1 hour") -> DataFrame:
+    """check() over a stream of (client, id, time timestamp), whose rows come at most `late` after newer ones.
+
+    A trigger's requests of one client are decided in order of time; the trigger bounds how many these are. The query needs
+    the RocksDB state store (`ROCKSDB`).
+    """
+    rows = requests.select(F.col("client").cast("string").alias("client"), "id", (F.unix_micros("time") / 1e6).alias("at"), "time").withWatermark("time", late)
+    return rows.groupBy("client").transformWithStateInPandas(Buckets(capacity, per_minute), DECISIONS, "Append", "EventTime")
+
+
+def run_stream(requests: DataFrame, capacity: float, per_minute: float, path: str, timeout: int = 600) -> DataFrame:
+    """The decisions about all that a stream has now, written below path in batches that are each visible once."""
+    spark, key = requests.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        query = decide_stream(requests, capacity, per_minute).writeStream.format("parquet").option("path", f"{path}/decisions").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+        if not query.awaitTermination(timeout):
+            query.stop()
+            raise TimeoutError(f"the stream has not ended in {timeout} s")
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    return spark.read.schema(DECISIONS).parquet(f"{path}/decisions")

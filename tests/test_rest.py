@@ -207,6 +207,17 @@ def test_token_bucket_batch_and_stream(spark, tmp_path):
     assert {r.id: r.allowed for r in spark.table("decided").collect()} == {k: v[0] for k, v in batch.items()}
 
 
+def test_stream_with_timers_decides_like_the_batch(spark, tmp_path):
+    rows = [("a", k, 1e6 + t) for k, t in enumerate([0, 0, 0, 1, 30, 61])] + [("b", 10, 1e6 + 5)] + [("a", 20 + k, 1e6 + 9000 + t) for k, t in enumerate([0, 0, 0, 20])] + [(None, 30, 1e6 + 5), ("a", 40, 2e6)]
+    batch = {r.id: (r.allowed, r.wait) for r in token_bucket.check(spark.createDataFrame(rows, "client string, id long, at double"), 2, 1.0).collect()}
+    for name, part in (("1", rows[:7] + [rows[-2]]), ("2", rows[7:-2]), ("3", rows[-1:])):
+        df = spark.createDataFrame(part, "client string, id long, at double").selectExpr("client", "id", "timestamp_micros(cast(at * 1000000 as long)) as time")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("client string, id long, time timestamp").parquet(str(tmp_path / "in"))
+        decided = token_bucket.run_stream(stream, 2, 1.0, str(tmp_path / "out"), 120)  # goes on from the checkpoint
+    assert {r.id: (r.allowed, r.wait) for r in decided.collect()} == batch
+
+
 def test_cache_and_registry(spark):
     cache, made = lifecycle.ParseCache(2), []
     get = lambda repo, at: cache.get(repo, at, "v", lambda: made.append(repo) or len(made))[1]
