@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.operators import cochange, graph, impact, risk
+from lodestar.operators import cochange, cochange_counts, graph, impact, risk
 from lodestar.plans import projections as p
 from lodestar.plans.written import shared_dir
 
@@ -161,6 +161,17 @@ def cochange_for_key(spark, sf_dir):
     return cochange.coupled(near, None, 2, 100)
 
 
+def cochange_incremental(spark, sf_dir):
+    """The window of the newest 500 orders, mined in three updates of the counts."""
+    new = p.commits(spark, sf_dir, "l_suppkey", "s").select((-F.col("ord")).alias("seq"), "authored_at", "paths")
+    low, high = new.agg(F.min("seq"), F.max("seq")).first()
+    cuts = [] if low is None else [low - 1, low + (high - low) // 2, high - (high - low) // 8, high]
+    state = cochange_counts.empty(spark)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        state = cochange_counts.update(state, new.where((F.col("seq") > a) & (F.col("seq") <= b)))
+    return cochange_counts.co_change(state).drop("repo")
+
+
 def cochange_window_stats(spark, sf_dir):
     return cochange.window_stats(p.commits(spark, sf_dir))
 
@@ -225,7 +236,7 @@ def risk_bar_widths(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     impact_ranked, impact_decay1, impact_summary, impact_routes, impact_groups, dependencies_2hop, dependents_2hop, neighbours_seeded, call_edges_agg, resolution_counts, unresolved_by_caller, node_search, node_search_indexed, node_lookup, node_counts,
-    files_view, calls_view, collapse_groups, visible_edges, graph_upsert_sweep, cochange_pairs, cochange_for_key, cochange_window_stats, partner_index, churn, cochange_edges,
+    files_view, calls_view, collapse_groups, visible_edges, graph_upsert_sweep, cochange_pairs, cochange_for_key, cochange_incremental, cochange_window_stats, partner_index, churn, cochange_edges,
     risk_metrics, risk_ranked, risk_no_history, risk_bands, risk_dashboard, risk_bar_widths,
 )}
 QUERIES["impact"] = QUERIES["impact_ranked"]
@@ -326,6 +337,7 @@ ORACLE_SQL = {
     "graph_upsert_sweep": "with " + p.SQL_CALLS + " select count_if(confidence >= 0.9) as kept, count_if(confidence < 0.9) as swept from calls",
     "cochange_pairs": "with " + _cochange() + " select * from pairs",
     "cochange_for_key": "with " + _cochange() + ", k as (select left_path as k from pairs order by shared desc, jaccard desc, left_path, right_path limit 1) select pairs.* from pairs, k where left_path = k or right_path = k order by shared desc, jaccard desc, left_path, right_path limit 100",
+    "cochange_incremental": "with " + _cochange("l_suppkey", "s").replace("from commit_rows group by ord", "from commit_rows where ord in (select distinct ord from commit_rows order by ord limit 500) group by ord", 1) + " select * from pairs",
     "cochange_window_stats": "with " + _cochange() + """ select (select count(distinct o_orderkey) from orders where o_orderkey in (select l_orderkey from lineitem)) as commits_read, (select arg_max(authored_at, ord) from commit_rows) as first_date,
       (select arg_min(authored_at, ord) from commit_rows) as last_date, count_if(n <= 40) as commits_used, count_if(n > 40) as commits_skipped from sizes""",
     "partner_index": "with " + _cochange() + _SIDES + " select * from sides",
