@@ -317,6 +317,20 @@ _URLS = """urls as (select page_id, case when page_id % 5 = 0 then 'https://u:se
 ORACLE_SQL = {
     "vector_knn": """with v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null), s as (select q.vec_id as qid, v.vec_id as id, list_cosine_similarity(q.e, v.e) as score from v q, v where q.vec_id % 50 = 0),
       r as (select *, row_number() over (partition by qid order by round(score, 9) desc, id) as nth from s) select qid, id, round(score, 5) as score from r where nth <= 10""",
+    "chunk_uuid5": """with l as (select 'd' || doc_id as path, source as module, string_split(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n$', ''), chr(10)) as lines from documents),
+      n as (select path, module, i, lines[i] as t from (select *, unnest(range(1, len(lines) + 1)) as i from l) where trim(lines[i]) <> ''),
+      c as (select path, min(i) as line_start, 'File: ' || path || chr(10) || case when any_value(module) <> '' then 'Module: ' || any_value(module) || chr(10) else '' end || 'module-level code' || chr(10) || chr(10) || left(string_agg(t, chr(10) order by i), 4000) as body from n group by path),
+      h as (select *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('repo|' || path || '||' || line_start || '|0')) as h from c where length(trim(body)) >= 24)
+      select path, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substring('89ab89ab89ab89ab', strpos('0123456789abcdef', h[17]), 1) || h[18:20] || '-' || h[21:32] as id, 0::int as part, greatest(1, length(body) // 4)::int as tokens from h""",
+    "hybrid_slots": "with " + p.SQL_CALLS + """, q as (select arg_min(embedding, vec_id)::double[] as q from embeddings),
+      s as (select vec_id as id, 'p' || (vec_id + 1) as symbol_key, list_cosine_similarity(embedding::double[], q) as score from embeddings, q), hits as (select * from s order by round(score, 9) desc, id limit 10),
+      seeds as (select distinct symbol_key from (select * from hits order by round(score, 9) desc, id limit 5)),
+      both_ways as (select src, dst, confidence from calls union all select dst, src, confidence from calls),
+      near as (select dst as node, src as seed, confidence, row_number() over (partition by dst order by round(-confidence, 9), src) as nth from both_ways where src <> dst and src in (select symbol_key from seeds) and dst not in (select symbol_key from seeds)),
+      g as (select id, symbol_key, score * 0.6::double * confidence as score, seed from s join near on node = symbol_key and nth = 1 where symbol_key not in (select symbol_key from hits) order by round(score * 0.6::double * confidence, 9) desc, id limit 3),
+      r as (select *, row_number() over (order by round(score, 9) desc, id) as nth from hits)
+      select id, symbol_key, round(score, 4) as score, 'vector' as source, null::int as hops, null::varchar as seed from r where nth <= 8 - (select count(*) from g)
+      union all select id, symbol_key, round(score, 4), 'graph', 1, seed from g""",
     "hash_embedding": """with h as (select conv_id, turn, list_reduce(list_transform(range(4), lambda k: sha256(encode(text) || unhex(format('{:08x}', k)))), lambda a, b: a || b) as d from conversations),
       v as (select conv_id, turn, list_transform(range(64), lambda i: ('0x' || substring(d, (4 * i + 1)::int, 4))::int / 32768.0::double - 1) as v from h), n as (select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from v)
       select conv_id, turn, 64::int as dimensions, round(list_sum(list_transform(v, lambda x: x / n * (x / n))), 6) as norm, round(v[1] / n, 6) as first, round(v[64] / n, 6) as last,
