@@ -7,7 +7,7 @@ files: (repo, path, module, ord), ord the order of the files. imports: (repo, pa
 is_from, ord). symbols: (repo, path, module, qualname, name, kind, parent, line_start, ord, base_classes).
 calls: (repo, path, callee, caller, line, ord).
 
-Base classes are walked level by level, each level written to the shared folder, until none is left. Inputs should be tables rather than long plans, for they are read several times.
+Chains of base classes double in length each round, each round written to the shared folder. Inputs should be tables rather than long plans, for they are read several times.
 """
 
 from __future__ import annotations
@@ -183,19 +183,25 @@ def enclosing_classes(symbols: DataFrame) -> DataFrame:
 
 
 def class_lookup_order(bases: DataFrame, classes: DataFrame, levels: int = MAX_LEVELS) -> DataFrame:
-    """(repo, path, owner, at_path, at_qualname, rank): the classes self.x looks in, breadth first in order of bases."""
+    """(repo, path, owner, at_path, at_qualname, rank): the classes self.x looks in, breadth first in order of bases.
+
+    rank is (level, positions): of the shortest ways to a class the one whose positions come first. Ways double in length
+    each round, a way of 2k steps being two of k that meet: both halves of a first way are first ways themselves, so one
+    row a pair of classes is enough. Rounds end when no class finds a further one.
+    """
     bases, classes = with_repo(bases, classes)
-    step = bases.where("base_path is not null").select("repo", F.col("path").alias("at_path"), F.col("qualname").alias("at_qualname"), "base_path", "base_qualname", "position")
-    frontier = classes.select("repo", "path", F.col("qualname").alias("owner"), F.col("path").alias("at_path"), F.col("qualname").alias("at_qualname"), F.array().cast("array<int>").alias("rank"))
-    found, keep = frontier, Written(bases.sparkSession)
-    for _ in range(levels - 1):
-        frontier = frontier.join(step, ["repo", "at_path", "at_qualname"]).select("repo", "path", "owner", F.col("base_path").alias("at_path"), F.col("base_qualname").alias("at_qualname"), F.concat("rank", F.array("position")).alias("rank"))
-        frontier = frontier.groupBy("repo", "path", "owner", "at_path", "at_qualname").agg(F.min("rank").alias("rank"))
-        frontier = keep(frontier)
-        if frontier.isEmpty():
-            break
-        found = found.union(frontier)
-    return found.groupBy("repo", "path", "owner", "at_path", "at_qualname").agg(F.min(F.struct(F.size("rank").alias("level"), "rank")).alias("rank"))
+    keep = Written(bases.sparkSession)
+    one = classes.select("repo", "path", F.col("qualname").alias("owner"), F.col("path").alias("at_path"), F.col("qualname").alias("at_qualname"), F.struct(F.lit(0).alias("level"), F.array().cast("array<int>").alias("rank")).alias("rank"))
+    edge = bases.where("base_path is not null").select("repo", "path", F.col("qualname").alias("owner"), F.col("base_path").alias("at_path"), F.col("base_qualname").alias("at_qualname"), F.struct(F.lit(1).alias("level"), F.array("position").alias("rank")).alias("rank"))
+    known = classes.select("repo", "path", F.col("qualname").alias("owner"))
+    first = lambda rows: rows.groupBy("repo", "path", "owner", "at_path", "at_qualname").agg(F.min("rank").alias("rank"))
+    now, reach, n = keep(first(one.union(edge.join(known, ["repo", "path", "owner"], "left_semi")))), 1, -1
+    while reach < levels - 1 and n != (n := now.count()):
+        on = now.where("rank.level > 0").select("repo", F.col("path").alias("at_path"), F.col("owner").alias("at_qualname"), F.col("at_path").alias("to_path"), F.col("at_qualname").alias("to"), F.col("rank").alias("then"))
+        further = now.where("rank.level > 0").join(on, ["repo", "at_path", "at_qualname"]).where(F.col("rank.level") + F.col("then.level") < levels)
+        further = further.select("repo", "path", "owner", F.col("to_path").alias("at_path"), F.col("to").alias("at_qualname"), F.struct((F.col("rank.level") + F.col("then.level")).alias("level"), F.concat("rank.rank", "then.rank").alias("rank")).alias("rank"))
+        now, reach = keep(first(now.union(further))), 2 * reach
+    return now
 
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame, files: DataFrame, resolved: DataFrame, bases: DataFrame) -> DataFrame:

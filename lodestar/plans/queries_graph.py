@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.operators import cochange, cochange_counts, graph, impact, risk
+from lodestar.operators import cochange, cochange_counts, graph, impact, resolve, risk
 from lodestar.plans import projections as p
 from lodestar.plans.written import shared_dir
 
@@ -72,6 +72,16 @@ def resolution_counts(spark, sf_dir):
     return graph.count_relationships(p.call_edges(spark, sf_dir))
 
 
+def class_lookup(spark, sf_dir):
+    """Parts as classes whose bases are the parts of half and of a third of their number: in which order self.x looks in them."""
+    k = F.col("p_partkey")
+    part = p.table(spark, sf_dir, "part").where(k > 0).select(k.alias("k"), F.lit("m.py").alias("path"), F.concat(F.lit("C"), k.cast("string")).alias("qualname"))
+    both = part.select("path", "qualname", F.posexplode(F.array_distinct(F.array(F.floor(F.col("k") / 2), F.floor(F.col("k") / 3)))).alias("position", "b")).where("b > 0")
+    bases = both.select("path", "qualname", "position", F.col("path").alias("base_path"), F.concat(F.lit("C"), F.col("b").cast("string")).alias("base_qualname"))
+    found = resolve.class_lookup_order(bases, part.select("path", "qualname"))
+    return found.select("owner", F.col("at_qualname").alias("class"), "rank.level", F.array_join(F.col("rank.rank").cast("array<string>"), ",").alias("positions"))
+
+
 def unresolved_by_caller(spark, sf_dir):
     """Lines followed by no line of their order are calls that nothing answers."""
     lines = p.table(spark, sf_dir, "lineitem")
@@ -235,7 +245,7 @@ def risk_bar_widths(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    impact_ranked, impact_decay1, impact_summary, impact_routes, impact_groups, dependencies_2hop, dependents_2hop, neighbours_seeded, call_edges_agg, resolution_counts, unresolved_by_caller, node_search, node_search_indexed, node_lookup, node_counts,
+    impact_ranked, impact_decay1, impact_summary, impact_routes, impact_groups, dependencies_2hop, dependents_2hop, neighbours_seeded, call_edges_agg, resolution_counts, class_lookup, unresolved_by_caller, node_search, node_search_indexed, node_lookup, node_counts,
     files_view, calls_view, collapse_groups, visible_edges, graph_upsert_sweep, cochange_pairs, cochange_for_key, cochange_incremental, cochange_window_stats, partner_index, churn, cochange_edges,
     risk_metrics, risk_ranked, risk_no_history, risk_bands, risk_dashboard, risk_bar_widths,
 )}
@@ -322,6 +332,10 @@ ORACLE_SQL = {
     "neighbours_seeded": "with recursive " + p.SQL_CALLS + ", seeds as (select dst as node from calls group by dst order by count(*) desc, dst limit 3)" + _BOTH + _paths("seeds", 2, True, "both_ways") + ", scored as (select * from walks) " + _best("hops, round(-confidence, 9), route, via", "node, hops, round(confidence, 4) as confidence, route[1] as seed"),
     "call_edges_agg": "with " + p.SQL_CALLS + " select src, dst, confidence, resolution, array_to_string(lines, ',') as lines, len(lines) as n_lines from calls",
     "resolution_counts": "with " + p.SQL_CALLS + " select type, resolution, count(*) as n from calls group by type, resolution",
+    "class_lookup": """with recursive c as (select p_partkey as k from part where p_partkey > 0), e as (select k, 0 as position, k // 2 as b from c where k // 2 > 0 union all select k, 1, k // 3 from c where k // 3 > 0 and k // 3 <> k // 2),
+      w as (select k as owner, k as place, 0 as level, []::int[] as rank from c union all select owner, b, level + 1, list_append(rank, position) from w join e on e.k = w.place where level < 9),
+      r as (select *, row_number() over (partition by owner, place order by level, rank) as nth from w)
+      select 'C' || owner as owner, 'C' || place as class, level::int as level, array_to_string(rank, ',') as positions from r where nth = 1""",
     "unresolved_by_caller": "select 'p' || a.l_partkey as caller, count(*) as unresolved_calls from lineitem a where not exists (select 1 from lineitem b where b.l_orderkey = a.l_orderkey and b.l_linenumber = a.l_linenumber + 1) group by 1",
     "node_search": "with " + _NODES + """ select key, label, length(coalesce(qualname, path, name, '')) as shown_length from nodes
       where contains(lower(coalesce(qualname, '')), '1.') or contains(lower(coalesce(path, '')), '1.') or contains(lower(coalesce(name, '')), '1.') or contains(lower(coalesce(dotted_name, '')), '1.') order by shown_length, key limit 25""",
