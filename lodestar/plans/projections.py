@@ -15,16 +15,24 @@ from lodestar.plans.written import Written
 _stored: dict[tuple, DataFrame] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, make, of: str = "lineitem") -> DataFrame:
-    """A derived table, written once a session and version of its source, as a parse writes what it finds once for all queries."""
-    source = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{of}.parquet")
-    status = source.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(source)
-    key = (spark.sparkContext.applicationId, sf_dir, name, status.getModificationTime(), status.getLen())
+def stored(spark: SparkSession, sf_dir: str, name: str, make, of: tuple[str, ...] = ("lineitem",)) -> DataFrame:
+    """A derived table, written once a session and version of all its sources, as a parse writes what it finds once for all queries."""
+    versions = []
+    for source in of:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{source}.parquet")
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        versions += [status.getModificationTime(), status.getLen()]
+    key = (spark.sparkContext.applicationId, sf_dir, name, *versions)
     if key not in _stored:
         _stored[key] = Written(spark)(make(spark, sf_dir))
     return _stored[key]
 
 
+def forget() -> None:
+    """The next use of a stored table makes it anew."""
+    _stored.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -100,7 +108,7 @@ WORDS = " (and|or|und|oder|et|ou|y|de) "
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "symbols", _symbols, "documents")
+    return stored(spark, sf_dir, "symbols", _symbols, ("documents", "labels"))
 
 
 def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,7 +157,7 @@ def graph_upsert_sweep(spark, sf_dir):
 
 def _pairs(spark, sf_dir):
     """All pairs, mined once a session and version of the orders, as a parse stores them."""
-    return p.stored(spark, sf_dir, "pairs", lambda s, d: cochange.co_change(p.commits(s, d), max_pairs=None))
+    return p.stored(spark, sf_dir, "pairs", lambda s, d: cochange.co_change(p.commits(s, d), max_pairs=None), ("lineitem", "orders"))
 
 
 def cochange_pairs(spark, sf_dir):
