@@ -173,6 +173,12 @@ def aggregate_calls(sites: DataFrame) -> DataFrame:
     return out.select(*own, "src", "dst", F.lit("CALLS").alias("type"), "b.confidence", "b.resolution", "lines", F.size("lines").alias("count"))
 
 
+def serialise_edges(edges: DataFrame) -> DataFrame:
+    """(type, source, target, resolution, confidence, count, line): edges as callers get them; what an edge lacks is null."""
+    kinds = {"resolution": "string", "confidence": "double", "count": "long", "line": "int"}
+    return edges.select("type", F.col("src").alias("source"), F.col("dst").alias("target"), *[(F.col(c) if c in edges.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+
+
 def last_wins(rows: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:
     """The last row of each key in that order."""
     w = Window.partitionBy(*key).orderBy(*[F.desc(o) if isinstance(o, str) else o.desc() for o in order])

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,42 @@ def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
     return F.when(text.isNotNull(), made)
 
 
+class ProviderError(RuntimeError):
+    """A provider broke its contract or failed; the message names it."""
+
+
+def embed_batch(name: str, embed, texts: list[str], dimensions: int) -> list[list[float]]:
+    """Vectors of texts in their order from embed(texts) -> [(index, vector)], in any order. Blank texts go as one space."""
+    try:
+        made = embed([t if t.strip() else " " for t in texts])
+    except Exception as e:
+        raise ProviderError(f"{name}: {type(e).__name__}: {e}") from e
+    if sorted(i for i, _ in made) != list(range(len(texts))):
+        raise ProviderError(f"{name}: {len(made)} vectors for {len(texts)} texts")
+    ordered = [list(map(float, v)) for _, v in sorted(made, key=lambda x: x[0])]
+    wrong = next((len(v) for v in ordered if len(v) != dimensions), None)
+    if wrong is not None:
+        raise ProviderError(f"{name}: a vector has {wrong} dimensions, not {dimensions}")
+    return ordered
+
+
+def embed_with(rows: DataFrame, name: str, embed, dimensions: int, text_col: str = "text", batch: int = 256) -> DataFrame:
+    """rows with `embedding` from a provider, `batch` texts a call, each task its own calls; a null text has none."""
+    schema = rows.withColumn("embedding", F.lit(None).cast("array<double>")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for low in range(0, len(part), batch):
+                piece = part.slice(low, batch)
+                texts = piece.column(text_col).to_pylist()
+                some = [t for t in texts if t is not None]
+                vectors = iter(embed_batch(name, embed, some, dimensions) if some else [])
+                made = pa.array([None if t is None else next(vectors) for t in texts], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*piece.columns, made], names=[*piece.schema.names, "embedding"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def checked_width(vectors: DataFrame, column: str, dimensions: int) -> DataFrame:
     """The same table; reading a vector of another width fails."""
     wrong = F.concat(F.lit(f"{column} must have {dimensions} dimensions, not "), F.size(column).cast("string"))

@@ -163,11 +163,9 @@ SQL_CALLS = (
   select src, dst, 'CALLS' as type, max(confidence) as confidence, arg_max(resolution, confidence) as resolution, list_sort(list(distinct line)) as lines from sites group by src, dst)"""
 )
 SQL_ROOT = ", root as (select dst as node from calls group by dst order by count(*) desc, dst limit 1)"
-SQL_IMPORTS = (
-    SQL_NEXT
-    + """, imports as (
+SQL_IMPORT_ROWS = """, imports as (
   select distinct 's' || lpad(cast(a_supp as varchar), 8, '0') as src, 's' || lpad(cast(b_supp as varchar), 8, '0') as dst, 'IMPORTS' as type, 1.0::double as confidence from next_lines where a_supp <> b_supp)"""
-)
+SQL_IMPORTS = SQL_NEXT + SQL_IMPORT_ROWS
 SQL_CYCLES = """ends as (select min({'p': l_extendedprice, 'k': l_partkey}).k as a, max({'p': l_extendedprice, 'k': l_partkey}).k as b from lineitem group by l_orderkey),
   imports as (select distinct 'm' || lpad(cast(a as varchar), 8, '0') as src, 'm' || lpad(cast(b as varchar), 8, '0') as dst from ends where a <> b),
   paths as (select src as start, dst as place, [src, dst] as files from imports where src < dst

@@ -68,6 +68,11 @@ def call_edges_agg(spark, sf_dir):
     return p.call_edges(spark, sf_dir).select("src", "dst", "confidence", "resolution", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"), F.col("count").alias("n_lines"))
 
 
+def edges_serialised(spark, sf_dir):
+    """Calls and imports in one form."""
+    return graph.serialise_edges(p.call_edges(spark, sf_dir)).union(graph.serialise_edges(p.import_edges(spark, sf_dir)))
+
+
 def resolution_counts(spark, sf_dir):
     return graph.count_relationships(p.call_edges(spark, sf_dir))
 
@@ -245,7 +250,7 @@ def risk_bar_widths(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    impact_ranked, impact_decay1, impact_summary, impact_routes, impact_groups, dependencies_2hop, dependents_2hop, neighbours_seeded, call_edges_agg, resolution_counts, class_lookup, unresolved_by_caller, node_search, node_search_indexed, node_lookup, node_counts,
+    impact_ranked, impact_decay1, impact_summary, impact_routes, impact_groups, dependencies_2hop, dependents_2hop, neighbours_seeded, call_edges_agg, edges_serialised, resolution_counts, class_lookup, unresolved_by_caller, node_search, node_search_indexed, node_lookup, node_counts,
     files_view, calls_view, collapse_groups, visible_edges, graph_upsert_sweep, cochange_pairs, cochange_for_key, cochange_incremental, cochange_window_stats, partner_index, churn, cochange_edges,
     risk_metrics, risk_ranked, risk_no_history, risk_bands, risk_dashboard, risk_bar_widths,
 )}
@@ -331,6 +336,8 @@ ORACLE_SQL = {
     "dependents_2hop": "with recursive " + p.SQL_CALLS + p.SQL_ROOT + _paths("root", 2, False) + ", scored as (select * from walks) " + _best("hops, round(-confidence, 9), route, via", "node, hops, " + _NEAR),
     "neighbours_seeded": "with recursive " + p.SQL_CALLS + ", seeds as (select dst as node from calls group by dst order by count(*) desc, dst limit 3)" + _BOTH + _paths("seeds", 2, True, "both_ways") + ", scored as (select * from walks) " + _best("hops, round(-confidence, 9), route, via", "node, hops, round(confidence, 4) as confidence, route[1] as seed"),
     "call_edges_agg": "with " + p.SQL_CALLS + " select src, dst, confidence, resolution, array_to_string(lines, ',') as lines, len(lines) as n_lines from calls",
+    "edges_serialised": "with " + p.SQL_CALLS + p.SQL_IMPORT_ROWS + """
+      select type, src as source, dst as target, resolution, confidence, len(lines)::bigint as count, null::int as line from calls union all select type, src, dst, null, confidence, null, null from imports""",
     "resolution_counts": "with " + p.SQL_CALLS + " select type, resolution, count(*) as n from calls group by type, resolution",
     "class_lookup": """with recursive c as (select p_partkey as k from part where p_partkey > 0), e as (select k, 0 as position, k // 2 as b from c where k // 2 > 0 union all select k, 1, k // 3 from c where k // 3 > 0 and k // 3 <> k // 2),
       w as (select k as owner, k as place, 0 as level, []::int[] as rank from c union all select owner, b, level + 1, list_append(rank, position) from w join e on e.k = w.place where level < 9),
