@@ -20,7 +20,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over `documents`, each written to the shared folder before the next reads it."""
+    """The stages over `documents`, each written to the shared folder before the next reads it.
+
+    Null and empty texts end at the first stage. Rows without an id, and rows that share one, are documents of their own in every
+    stage; of rows that agree in all columns one stays. Very long texts pass whole. Without documents, labels or both the result
+    is empty or the rules alone decide. Columns beside doc_id, text and source may have any name and go along up to packing.
+    """
     keep = Written(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:

@@ -150,11 +150,16 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it. Rows that repeat id and text are told apart by rank; all columns stay, whatever their names."""
+    """Each document as many times as the mix takes it; all columns stay, whatever their names.
+
+    Rows that share id and text are told apart by their rank in the order of a hash of all their columns, so reruns take the
+    same ones. Texts without words and empty tables behave as in mix().
+    """
     key = F.xxhash64("doc_id", "text")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("__id"), key.alias("__k"))
-    keyed = keyed.withColumn("__r", F.row_number().over(Window.partitionBy("__id", "__k").orderBy(F.lit(0))))
-    counts = mix(docs).select("doc_id", "__key", "copies").withColumn("__rank", F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy(F.lit(0))))
+    hashed = [F.col(f"`{c}`") for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("__id"), key.alias("__k"), F.xxhash64(*hashed).alias("__all"))
+    keyed = keyed.withColumn("__r", F.row_number().over(Window.partitionBy("__id", "__k").orderBy("__all")))
+    counts = mix(docs).select("doc_id", "__key", "copies").withColumn("__rank", F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy(F.desc("copies"))))
     taken = counts.where("copies > 0").select("doc_id", "__key", "__rank", F.col("copies").cast("int").alias("copies"))
     same = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__k") == F.col("__key")) & (F.col("__r") == F.col("__rank"))
     joined = keyed.join(taken, same).select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("nth"))

@@ -99,5 +99,8 @@ def op1_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in their batches; copies of a document are packed each for itself."""
+    """The pieces of all documents in their batches; copies of a document are packed each for itself.
+
+    Texts without words have no pieces, null ids are packed like others, an empty table gives no rows.
+    """
     return pack(docs)

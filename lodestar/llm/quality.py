@@ -259,7 +259,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules and the model keep, with their own columns; a pure filter, so nothing joins back."""
+    """The documents that the rules and the model keep, with their own columns; a pure filter, so nothing joins back.
+
+    Null and empty texts go; rows that repeat, ids that are null and columns of any name stay as they are; an empty table stays empty.
+    """
     p = QualityParams()
     model = fit(docs, table(spark, sf_dir, "labels"), p)
     held = model and spark.sparkContext.broadcast((model.weights, model.a, model.b))

@@ -143,7 +143,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: id_col, fingerprint (16 lowercase hex digits), component_id (smallest id reachable).
 
     Null and empty texts, and those without words, have fingerprint zero and link like any other. Repeated rows
-    and exact copies share a fingerprint. A null id is never a component's smallest unless all are null.
+    and exact copies share a fingerprint. A null id is never a component's smallest unless all are null. Very long texts
+    count whole, in bounded pieces; an empty table gives no rows; other columns may have any name. Copies of one fingerprint
+    meet again in the last join only, whose large partitions the adaptive plan splits.
     """
     spark = docs.sparkSession
     keep = Written(spark)

@@ -162,7 +162,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Vectors that are null, empty or zero, hold null or non-finite components, or have a null label or id link
     with nothing. Vectors of different lengths never link. Rows that repeat are vectors of their own, linked to
-    each other; ids are meant to be unique.
+    each other; of vectors that share an id each has its own row, and the id stands for all of them in component_id. Very
+    long vectors are rotated like others, in memory of their length squared; an empty table gives no rows; other columns
+    may have any name. The loop below has a round for each length that a good vector has. Copies of one vector meet again
+    in the last join only, whose large partitions the adaptive plan splits.
     """
     spark = vectors.sparkSession
     keep = Written(spark)
