@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import subprocess
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.plans.written import Written
+
 RECORD, FIELD = "\x00", "\x1f"
 COMMITS = "repo string, ord int, sha string, authored_at string, author string, subject string, paths array<string>"
 
@@ -40,33 +41,36 @@ def changes(logs: DataFrame) -> DataFrame:
 def commits(logs: DataFrame) -> DataFrame:
     """Commits with their distinct, sorted paths under today's names; ord 0 is the newest.
 
-    A rename seen in a newer commit renames every older mention, so each repository is folded in order; it is one
-    log of bounded length.
+    A rename holds for every older mention of the old name, until an older rename of that name: an interval of places in
+    the log. Every mention follows the rename whose interval it lies in to the name that has today, and goes on from there; a
+    name that it had before ends the way. All mentions of all repositories take a step a round, and a rename's own new name is
+    a mention too, so there are as many rounds as one file has names in a row, and no repository is one task's.
     """
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        today: dict[str, str] = {}
-
-        def name(path: str) -> str:
-            seen = set()
-            while path in today and today[path] not in seen:
-                seen.add(path)
-                path = today[path]
-            return path
-
-        pdf = pdf.sort_values("ord")
-        out = []
-        for entries in pdf["changes"]:
-            paths = set()
-            for e in entries:
-                now = name(e["path"])
-                if e["was"] is not None:
-                    today[e["was"]] = now
-                paths.add(now)
-            out.append(sorted(paths))
-        return pdf.drop(columns="changes").assign(paths=out)
-
-    return changes(logs).groupBy("repo").applyInPandas(follow, COMMITS)
+    keep = Written(logs.sparkSession)
+    rows = keep(changes(logs))
+    each = rows.select("repo", "ord", F.posexplode("changes").alias("n", "c")).select("repo", F.struct("ord", "n").alias("at"), "c.path", "c.was")
+    older = F.lead("at").over(Window.partitionBy("repo", "was").orderBy("at"))
+    renames = keep(each.where("was is not null").select("repo", F.col("was").alias("name"), F.col("at").alias("since"), older.alias("until")))
+    now = keep(each.select("repo", "at", F.col("path").alias("name"), F.array().cast("array<string>").alias("seen"), F.lit(False).alias("done")))
+    while True:
+        known = renames.join(now.where("done").select("repo", F.col("at").alias("since"), F.col("name").alias("today")), ["repo", "since"], "left")
+        one = now.where("not done").join(known, ["repo", "name"], "left").where("since is null or (since < at and (until is null or at <= until))")
+        # A mention outside all intervals of its name has no row left: it is done too.
+        moves = one.where("since is not null").select("repo", "at", "since", "today")
+        stepped = now.where("not done").join(moves, ["repo", "at"], "left")
+        ends = F.col("since").isNull() | F.array_contains("seen", F.col("today"))
+        goes = F.col("today").isNotNull() & ~F.coalesce(ends, F.lit(False))
+        left = Observation()
+        stepped = stepped.select(
+            "repo", "at", F.when(goes, F.col("today")).otherwise(F.col("name")).alias("name"),
+            F.when(goes, F.concat("seen", F.array("name"))).otherwise(F.col("seen")).alias("seen"), F.coalesce(ends, F.lit(False)).alias("done"),
+        ).observe(left, F.count_if(~F.col("done")).alias("n"))
+        now = keep(now.where("done").unionByName(stepped))
+        if not left.get["n"]:
+            break
+    paths = now.groupBy("repo", F.col("at.ord").alias("ord")).agg(F.array_sort(F.collect_set("name")).alias("paths"))
+    out = rows.drop("changes").join(paths, ["repo", "ord"], "left").withColumn("paths", F.coalesce("paths", F.array().cast("array<string>")))
+    return out.select(*[c.split()[0] for c in COMMITS.split(", ")])
 
 
 def from_checkout(spark: SparkSession, root: str, repo: str, max_commits: int = 500) -> DataFrame:
