@@ -27,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--json", action="store_true", help="one JSON document: source, head, totals, files, skipped paths; with --symbols also the symbols")
     p.add_argument("--limit", type=int, default=50, help="rows to print; 0 for all")
     p.add_argument("--show-skipped", action="store_true", help="list what was skipped and why")
-    p.add_argument("--max-mb", type=float, default=500)
+    p.add_argument("--max-size-mb", dest="max_mb", type=float, default=500)
     p.add_argument("--force", action="store_true", help="replace the folder of an earlier clone")
     p.add_argument("--workspace", help="folder for clones; a temporary one on this machine if not given, in local mode only")
     p.add_argument("--timeout", type=int, default=900, help="seconds a clone may take")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import scoring, text
-from lodestar.operators import cochange, resolve
+from lodestar.operators import cochange, impact, resolve
 from lodestar.plans import lifecycle
 from lodestar.plans.written import Written
 from lodestar.sources import extract, history, tree
@@ -77,6 +77,12 @@ def extract_symbols(spark, sf_dir):
     return s.select("repo", "path", "qualname", "kind", "parent", "line_start", "line_end", "complexity", F.array_join(F.transform("parameters", lambda x: F.concat_ws(":", x["name"], x["kind"])), ",").alias("parameters"), "is_async")
 
 
+def signatures(spark, sf_dir):
+    """Symbols as explanations describe them: signature, and the first line of the docstring."""
+    s = extract.symbols_of(_extracted(spark, sf_dir))
+    return s.select("repo", "path", "qualname", impact.signature().alias("signature"), F.substring_index(F.trim("docstring"), "\n", 1).alias("doc"))
+
+
 def extract_imports(spark, sf_dir):
     return extract.imports_of(_extracted(spark, sf_dir)).select("repo", "path", "module", "name", "alias", "line", "level", "is_from", resolve.bound_name().alias("bound"))
 
@@ -191,7 +197,7 @@ def name_validation(spark, sf_dir):
 def known_test_paths(spark, sf_dir):
     return _per_page(spark, sf_dir, PATHS, "path").select("page_id", "path", scoring.is_test_path(F.col("path")).alias("is_test"))
 
-QUERIES = {f.__name__: f for f in (extract_counts, inventory_totals, skipped_by_reason, source_kinds, name_validation, known_test_paths, walker_inventory, walker_skipped, extract_symbols, extract_imports, extract_calls, extract_errors, resolve_imports, resolve_bases, resolve_calls, many_repositories, graph_build, chunk_tree, history_commits, history_pairs)}
+QUERIES = {f.__name__: f for f in (extract_counts, inventory_totals, skipped_by_reason, source_kinds, name_validation, known_test_paths, walker_inventory, walker_skipped, extract_symbols, signatures, extract_imports, extract_calls, extract_errors, resolve_imports, resolve_bases, resolve_calls, many_repositories, graph_build, chunk_tree, history_commits, history_pairs)}
 
 
 _OF_DOCUMENTS = "select distinct coalesce(source, '') as repo, 'p' || doc_id as mark from documents where doc_id is not null"
@@ -247,6 +253,20 @@ union all select a.repo, a.path, 'next_work', b.path, case when b.path is not nu
         "'§/tools/run_§.py', 'f', 'function', null, 5, 6, 1, '', false",
         "'§/tools/run_§.py', 'main', 'function', null, 1, 2, 2, '', false",
     ),
+    "signatures": _each(
+        "path, qualname, signature, doc",
+        "path",
+        "'§/base.py', 'Model', 'class Model', 'A row.'",
+        "'§/base.py', 'Model.check', 'def Model.check(self)', null",
+        "'§/base.py', 'Model.save', 'def Model.save(self)', null",
+        "'§/cart.py', 'Cart', 'class Cart(Row, Generic[T])', null",
+        "'§/cart.py', 'Cart.add', 'async def Cart.add(self, item: str, n: int) -> None', null",
+        "'§/cart.py', 'Cart.add.inner', 'def Cart.add.inner()', null",
+        "'§/pricing.py', 'helper', 'def helper()', null",
+        "'§/pricing.py', 'total', 'def total(items, rate, more)', null",
+        "'§/tools/run_§.py', 'f', 'def f()', null",
+        "'§/tools/run_§.py', 'main', 'def main()', null",
+    ),
     "extract_imports": _each(
         "path, module, name, alias, line, level, is_from, bound",
         "path, module, name, bound",

@@ -237,6 +237,20 @@ def risk_no_history(spark, sf_dir):
     return risk.rank(_risk(spark, sf_dir, False)).select("key", "score", "band", F.size("reasons").alias("n_reasons"))
 
 
+def risk_node(spark, sf_dir):
+    """One part scored alone: only what leads to it is walked."""
+    edges, files = p.call_edges(spark, sf_dir), p.supplier_files(spark, sf_dir)
+    counted = cochange.churn(p.commits(spark, sf_dir, "l_suppkey", "s")).withColumnRenamed("path", "key")
+    files = files.join(counted, "key", "left").withColumn("change_count", F.coalesce("change_count", F.lit(0)))
+    partners = cochange.partner_index(cochange.co_change(p.commits(spark, sf_dir, "l_suppkey", "s"), max_pairs=None)).select(F.col("path").alias("file"), "jaccard")
+    return risk.score_node(_nodes(spark, sf_dir), "p1", edges, p.owners(spark, sf_dir), files, partners).select(*COUNTED, "score", "band")
+
+
+def impact_texts(spark, sf_dir):
+    """Routes as prompts and answers show them."""
+    return _items(spark, sf_dir).select("node", impact.route_text(F.col("route")).alias("text"))
+
+
 def risk_bands(spark, sf_dir):
     return risk.risk_colours(_nodes(spark, sf_dir).where("label = 'Function'"), _risk(spark, sf_dir)).groupBy("band").agg(F.count("*").alias("n"))
 
@@ -252,7 +266,7 @@ def risk_bar_widths(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     impact_ranked, impact_decay1, impact_summary, impact_routes, impact_groups, dependencies_2hop, dependents_2hop, neighbours_seeded, call_edges_agg, edges_serialised, resolution_counts, class_lookup, unresolved_by_caller, node_search, node_search_indexed, node_lookup, node_counts,
     files_view, calls_view, collapse_groups, visible_edges, graph_upsert_sweep, cochange_pairs, cochange_for_key, cochange_incremental, cochange_window_stats, partner_index, churn, cochange_edges,
-    risk_metrics, risk_ranked, risk_no_history, risk_bands, risk_dashboard, risk_bar_widths,
+    risk_metrics, risk_node, impact_texts, risk_ranked, risk_no_history, risk_bands, risk_dashboard, risk_bar_widths,
 )}
 QUERIES["impact"] = QUERIES["impact_ranked"]
 
@@ -365,6 +379,8 @@ ORACLE_SQL = {
     "churn": "with " + _cochange() + " select path, n as change_count from per_file",
     "cochange_edges": "with " + _cochange("l_suppkey", "s") + " select left_path as src, right_path as dst, 'CO_CHANGED' as type, shared as commits, jaccard, left_commits, right_commits, last_together from pairs",
     "risk_metrics": _risk_sql(True) + " select key, path, dependents, direct_dependents, dependencies, co_partners, max_jaccard, change_count, test_references from counted",
+    "risk_node": _risk_sql(True) + " select key, path, dependents, direct_dependents, dependencies, co_partners, max_jaccard, change_count, test_references, score, band from banded where key = 'p1'",
+    "impact_texts": _impact_sql(0.6) + " select node, array_to_string(route, ' -> ') as text from items",
     "risk_ranked": _risk_sql(True) + " select key, score, band, case when dependents > 0 then 'dependents: ' || dependents || ', direct ones: ' || direct_dependents else 'no dependents' end as why from banded",
     "risk_no_history": _risk_sql(False) + " select key, score, band, 3 as n_reasons from banded",
     "risk_bands": _risk_sql(True) + " select coalesce(band, 'unscored') as band, count(*) as n from part left join banded on banded.key = 'p' || p_partkey group by 1",

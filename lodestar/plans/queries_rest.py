@@ -187,6 +187,12 @@ def vector_topk_kind(spark, sf_dir):
     return retrieval.top_k(p.vectors(spark, sf_dir), p.first_vector(spark, sf_dir), 10, [1, 3]).select("id", "kind", F.round("score", 4).alias("score"))
 
 
+def search_kinds(spark, sf_dir):
+    """A search that a filter on kinds forces into vector mode."""
+    found = retrieval.search(p.vectors(spark, sf_dir), p.call_edges(spark, sf_dir), p.first_vector(spark, sf_dir), 12, "hybrid", 1, [1, 3])
+    return found.select("id", "symbol_key", F.round("score", 4).alias("score"), "source")
+
+
 def vector_knn(spark, sf_dir):
     """The ten nearest vectors of every 50th one, through the inverted file."""
     path = f"{shared_dir(spark)}/ivf-{uuid.uuid4().hex}"
@@ -281,7 +287,7 @@ def url_names(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     debt_complexity, debt_god_files, debt_missing_docstring, debt_rollup, debt_tally, debt_filtered, debt_summary, import_cycles_minimal, circular_imports, dead_code, files_page, files_filtered, symbols_page, jobs_latest, jobs_page,
-    conversations_page, conversation_detail, history_last8, conversation_title, stub_chat, repository_deleted, chunk_windows, chunk_hash, module_leftover, chunk_uuid5, vector_topk, vector_topk_kind, vector_knn, hybrid_slots, hash_embedding, graph_sink_runs, vector_sink_runs,
+    conversations_page, conversation_detail, history_last8, conversation_title, stub_chat, repository_deleted, chunk_windows, chunk_hash, module_leftover, chunk_uuid5, vector_topk, vector_topk_kind, search_kinds, vector_knn, hybrid_slots, hash_embedding, graph_sink_runs, vector_sink_runs,
     token_bucket_decisions, token_bucket_stream, stage_percentages, endpoint_median, url_validation, url_names,
 )}
 
@@ -315,6 +321,8 @@ _URLS = """urls as (select page_id, case when page_id % 5 = 0 then 'https://u:se
   when page_id % 11 = 0 then regexp_replace(url, '^https?', 'ftp') else url end as url from pages)"""
 
 ORACLE_SQL = {
+    "search_kinds": """with q as (select arg_min(embedding, vec_id)::double[] as q from embeddings), s as (select vec_id as id, 'p' || (vec_id + 1) as symbol_key, list_cosine_similarity(embedding::double[], q) as score from embeddings, q where label in (1, 3))
+      select id, symbol_key, round(score, 4) as score, 'vector' as source from s order by round(s.score, 9) desc, id limit 12""",
     "vector_knn": """with v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null), s as (select q.vec_id as qid, v.vec_id as id, list_cosine_similarity(q.e, v.e) as score from v q, v where q.vec_id % 50 = 0),
       r as (select *, row_number() over (partition by qid order by round(score, 9) desc, id) as nth from s) select qid, id, round(score, 5) as score from r where nth <= 10""",
     "chunk_uuid5": """with l as (select 'd' || doc_id as path, source as module, string_split(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n$', ''), chr(10)) as lines from documents),
