@@ -1,7 +1,8 @@
 """Simple cycles of a directed graph: strongly connected components first, then two half-paths that meet.
 
 Components come from labels: in rounds every node learns the smallest node that reaches it and the smallest one that it
-reaches. Edges between nodes of different labels are in no cycle and go; the rest is labelled again, until nothing goes.
+reaches. Edges between nodes of different labels are in no cycle and go. Nodes whose two labels are one node are its
+component; the others are labelled again among themselves, until none is left.
 Each round also takes the label of its label, so labels travel in doubling steps along long chains.
 
 A cycle of k edges is ceil(k/2) steps ahead of its smallest member and floor(k/2) steps back to it. Both halves are walked
@@ -42,16 +43,15 @@ def _labels(edges: DataFrame, keep: Written) -> DataFrame:
 def within_components(edges: DataFrame, keep: Written | None = None) -> DataFrame:
     """(src, dst): the distinct edges, without loops, that lie inside a strongly connected component."""
     keep = keep or Written(edges.sparkSession)
-    now = keep(edges.select("src", "dst").where("src <> dst").distinct())
-    n = now.count()
-    while n:
-        of = _labels(now, keep).groupBy("node").agg(F.min(F.when(F.col("way") == "to", F.col("label"))).alias("to"), F.min(F.when(F.col("way") == "from", F.col("label"))).alias("from_"))
+    rest, inside = keep(edges.select("src", "dst").where("src <> dst").distinct()), None
+    while inside is None or not rest.isEmpty():
+        of = _labels(rest, keep).groupBy("node").agg(F.min(F.when(F.col("way") == "to", F.col("label"))).alias("to"), F.min(F.when(F.col("way") == "from", F.col("label"))).alias("from_"))
         a, b = of.select(F.col("node").alias("src"), F.struct("to", "from_").alias("a")), of.select(F.col("node").alias("dst"), F.struct("to", "from_").alias("b"))
-        now = keep(now.join(a, "src").join(b, "dst").where("a = b").select("src", "dst"))
-        before, n = n, now.count()
-        if n == before:
-            break
-    return now
+        same = keep(rest.join(a, "src").join(b, "dst").where("a = b").select("src", "dst", (F.col("a.to") == F.col("a.from_")).alias("settled")))
+        # A node that one node reaches and that reaches it is in that node's component: nothing to label again.
+        settled, rest = same.where("settled").drop("settled"), same.where("not settled").drop("settled")
+        inside = settled if inside is None else inside.union(settled)
+    return inside
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -94,10 +94,10 @@ def test_components_against_brute_force(spark):
 
 
 def test_a_long_chain_has_no_component_and_a_long_ring_one(spark):
-    chain = [(f"{k:04d}", f"{k + 1:04d}") for k in range(60)]
+    chain = [(f"{k:04d}", f"{k + 1:04d}") for k in range(20)]
     df = lambda rows: spark.createDataFrame(rows, "src string, dst string")
     assert graph_cycles.components(df(chain)).count() == 0
-    assert {r.component for r in graph_cycles.components(df([*chain, ("0060", "0000")])).collect()} == {"0000"}
+    assert {r.component for r in graph_cycles.components(df([*chain, ("0020", "0000")])).collect()} == {"0000"}
 
 
 def test_cycles(spark):
