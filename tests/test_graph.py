@@ -200,3 +200,34 @@ def test_a_hub_between_very_many_makes_no_pairs(spark):
     star = spark.range(n).selectExpr("concat('a', id) as src", "'hub' as dst").union(spark.range(n).selectExpr("'hub' as src", "concat('z', id) as dst"))
     got = bitmaps.dependents_within(star, 2).groupBy("dependents").count().collect()
     assert {r.dependents: r["count"] for r in got} == {n: 1, n + 1: n}
+
+
+@pytest.mark.parametrize("light", [0, 1, 4, 4096])
+def test_dependents_of_both_kinds_of_sets(spark, monkeypatch, light):
+    import random
+
+    monkeypatch.setattr(bitmaps, "LIGHT", light)
+    rng = random.Random(light)
+    rows = {(f"n{rng.randrange(12)}", f"n{rng.randrange(12) ** 2 // 11}") for _ in range(22)}
+    near = {(a, b) for a, b in rows if a != b}
+    for depth in (1, 3):
+        reach = set(near)
+        for _ in range(depth - 1):
+            reach |= {(a, c) for a, b in near for b2, c in reach if b == b2}
+        want = {}
+        for b in (b for a, b in reach if a != b):
+            want[b] = want.get(b, 0) + 1
+        got = bitmaps.dependents_within(spark.createDataFrame(sorted(rows), "src string, dst string"), depth).collect()
+        assert {r.key: r.dependents for r in got} == want
+
+
+def test_sets_of_a_sparse_graph_cost_their_numbers_and_not_blocks(spark):
+    """Four far numbers reach each node within two edges: they travel as arrays, whatever blocks they are in."""
+    from lodestar.plans.written import Written
+
+    n, keep = 300_000, Written(spark)
+    step = keep(spark.range(1, n + 1).selectExpr("id as s", f"1 + (id * 7919) % {n} as d").union(spark.range(1, n + 1).selectExpr("id as s", f"1 + (id * 104729) % {n} as d")))
+    small, large = bitmaps._hop(step, None, None, keep)
+    small, large = bitmaps._hop(step, keep(small), keep(large), keep)
+    assert large.isEmpty()
+    assert small.selectExpr("sum(size(ids))").first()[0] <= 6 * n
