@@ -56,9 +56,11 @@ def update(state: Counts, new: DataFrame, window: int = WINDOW, max_files: int =
     (new,) = with_repo(new)
     sized = sized_commits(new.withColumn("ord", F.struct("seq")), None, max_files).select("repo", F.col("ord.seq").cast("long").alias("seq"), "authored_at", "files")
     fresh = sized.join(state.commits.select("repo", "seq"), ["repo", "seq"], "left_anti").withColumn("fresh", F.lit(True))
+    # A window's worth of the new ones is enough, and Spark takes it in each task before the rows of a repository meet.
+    place = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("seq")))
+    fresh = fresh.withColumn("place", place).where(F.col("place") <= window).drop("place")
     touched = fresh.select("repo").distinct()  # windows of other repositories stand still
     at_hand = state.commits.join(touched, "repo", "left_semi").withColumn("fresh", F.lit(False)).unionByName(fresh)
-    place = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("seq")))
     placed = keep(at_hand.withColumn("stays", place <= window))
     come, go = _of(placed.where("fresh and stays"), 1), _of(placed.where("not fresh and not stays"), -1)
     newest = F.max(F.struct("last_seq", "last_together")).alias("last")

@@ -40,3 +40,19 @@ def test_older_commits_and_nothing_new_change_nothing(spark):
     after = cochange_counts.update(cochange_counts.update(state, frame([(None, 1, "old", ["a", "b"])]), window=3), frame([]), window=3)
     for x in (state, after):
         assert [tuple(r) for r in cochange_counts.co_change(x).collect()] == [("", "a", "b", 3, 3, 3, 1.0, "d")]
+
+
+def test_of_very_many_new_commits_a_window_is_placed(spark, monkeypatch):
+    sizes = []
+
+    class Counted(cochange_counts.Written):
+        def __call__(self, df):
+            out = super().__call__(df)
+            sizes.append(out.count())
+            return out
+
+    monkeypatch.setattr(cochange_counts, "Written", Counted)
+    rows = [("r", k, "d", ["a", "b"]) for k in range(200)]
+    state = cochange_counts.update(cochange_counts.empty(spark), spark.createDataFrame(rows, SCHEMA), window=3)
+    assert sizes[0] == 3
+    assert [tuple(r) for r in cochange_counts.co_change(state).collect()] == [("r", "a", "b", 3, 3, 3, 1.0, "d")]
