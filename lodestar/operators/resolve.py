@@ -182,25 +182,29 @@ def enclosing_classes(symbols: DataFrame) -> DataFrame:
     return found.where(F.col("at").isNotNull() & (F.get("met", F.col("at") - 1) == F.col("at"))).select("repo", "path", "caller", "owner")
 
 
+def _further(now: DataFrame, reach: int, levels: int) -> DataFrame:
+    """The ways of more than reach steps, up to twice as many and under levels: those of exactly reach steps, gone on from where they end."""
+    on = now.where("rank.level > 0").select("repo", F.col("path").alias("at_path"), F.col("owner").alias("at_qualname"), F.col("at_path").alias("to_path"), F.col("at_qualname").alias("to"), F.col("rank").alias("then"))
+    met = now.where(F.col("rank.level") == reach).join(on, ["repo", "at_path", "at_qualname"]).where(F.col("rank.level") + F.col("then.level") < levels)
+    return met.select("repo", "path", "owner", F.col("to_path").alias("at_path"), F.col("to").alias("at_qualname"), F.struct((F.col("rank.level") + F.col("then.level")).alias("level"), F.concat("rank.rank", "then.rank").alias("rank")).alias("rank"))
+
+
 def class_lookup_order(bases: DataFrame, classes: DataFrame, levels: int = MAX_LEVELS) -> DataFrame:
     """(repo, path, owner, at_path, at_qualname, rank): the classes self.x looks in, breadth first in order of bases.
 
     rank is (level, positions): of the shortest ways to a class the one whose positions come first. Ways double in length
-    each round, a way of 2k steps being two of k that meet: both halves of a first way are first ways themselves, so one
-    row a pair of classes is enough. Rounds end when no class finds a further one.
+    each round: a way of k + j steps is one of exactly k that meets one of j <= k. Both parts of a first way are first ways
+    themselves, so one row a pair of classes is enough, and each further way is made once. Rounds end when no class finds a further one.
     """
     bases, classes = with_repo(bases, classes)
     keep = Written(bases.sparkSession)
     one = classes.select("repo", "path", F.col("qualname").alias("owner"), F.col("path").alias("at_path"), F.col("qualname").alias("at_qualname"), F.struct(F.lit(0).alias("level"), F.array().cast("array<int>").alias("rank")).alias("rank"))
     edge = bases.where("base_path is not null").select("repo", "path", F.col("qualname").alias("owner"), F.col("base_path").alias("at_path"), F.col("base_qualname").alias("at_qualname"), F.struct(F.lit(1).alias("level"), F.array("position").alias("rank")).alias("rank"))
     known = classes.select("repo", "path", F.col("qualname").alias("owner"))
-    first = lambda rows: rows.groupBy("repo", "path", "owner", "at_path", "at_qualname").agg(F.min("rank").alias("rank"))
+    first = lambda rows: rows.groupBy("owner", "at_qualname", "path", "at_path", "repo").agg(F.min("rank").alias("rank")).select("repo", "path", "owner", "at_path", "at_qualname", "rank")
     now, reach, n = keep(first(one.union(edge.join(known, ["repo", "path", "owner"], "left_semi")))), 1, -1
     while reach < levels - 1 and n != (n := now.count()):
-        on = now.where("rank.level > 0").select("repo", F.col("path").alias("at_path"), F.col("owner").alias("at_qualname"), F.col("at_path").alias("to_path"), F.col("at_qualname").alias("to"), F.col("rank").alias("then"))
-        further = now.where("rank.level > 0").join(on, ["repo", "at_path", "at_qualname"]).where(F.col("rank.level") + F.col("then.level") < levels)
-        further = further.select("repo", "path", "owner", F.col("to_path").alias("at_path"), F.col("to").alias("at_qualname"), F.struct((F.col("rank.level") + F.col("then.level")).alias("level"), F.concat("rank.rank", "then.rank").alias("rank")).alias("rank"))
-        now, reach = keep(first(now.union(further))), 2 * reach
+        now, reach = keep(first(now.union(_further(now, reach, levels)))), 2 * reach
     return now
 
 

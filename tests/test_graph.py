@@ -231,3 +231,10 @@ def test_sets_of_a_sparse_graph_cost_their_numbers_and_not_blocks(spark):
     small, large = bitmaps._hop(step, keep(small), keep(large), keep)
     assert large.isEmpty()
     assert small.selectExpr("sum(size(ids))").first()[0] <= 6 * n
+
+
+def test_each_further_way_to_a_class_is_made_once(spark):
+    rows = [("", "m", f"C{a}", "m", f"C{b}", (a - b, [0] * (a - b))) for a in range(12) for b in range(max(0, a - 4), a + 1)]
+    now = spark.createDataFrame(rows, "repo string, path string, owner string, at_path string, at_qualname string, rank struct<level:int,rank:array<int>>")
+    got = [(r.owner, r.at_qualname, r["rank"].level) for r in resolve._further(now, 4, 8).collect()]
+    assert sorted(got) == sorted((f"C{a}", f"C{b}", a - b) for a in range(12) for b in range(a) if 4 < a - b < 8)
