@@ -124,6 +124,11 @@ def enforce_size(files: DataFrame, max_mb: float = 500) -> DataFrame:
     return files
 
 
+def tasks(spark: SparkSession) -> int:
+    """Into how many parts sources are dealt: enough for every core, however few bytes they have."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(32, 4 * spark.sparkContext.defaultParallelism))
+
+
 def line_count(content: Column) -> Column:
     """Line feeds, and one more for a last line without one. ISO-8859-1 gives a character for every byte."""
     text = F.decode(content, "ISO-8859-1")
@@ -151,6 +156,13 @@ def ignored_dir(path: Column) -> Column:
 
 
 def walk(tree: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """inventory() in order of paths."""
+    own = ["repo"] if "repo" in tree.columns else []
+    files, skipped = inventory(tree, max_bytes)
+    return files.orderBy(*own, "path"), skipped.orderBy(*own, "path")
+
+
+def inventory(tree: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
     """The files (path, language, extension, size_bytes, line_count, sha256, module) and the skipped paths (path, reason).
 
     tree: (path, content, size_bytes) and, where known, is_symlink, and repo, which both results then carry, so that
@@ -161,7 +173,7 @@ def walk(tree: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> tuple[DataFrame, D
     rows = rows.withColumn("ignored", ignored_dir(F.col("path"))).withColumn("readable", F.col("content").isNotNull()).withColumn("reason", skip_reason(max_bytes))
     skipped = rows.where("reason is not null").select(*own, F.when(F.col("reason") == "ignored_dir", F.col("ignored")).otherwise(F.col("path")).alias("path"), "reason").distinct()
     kept = rows.where("reason is null").select(*own, "path", F.element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), extension(F.col("path"))).alias("language"), extension(F.col("path")).alias("extension"), "size_bytes", line_count(F.col("content")).alias("line_count"), F.sha2("content", 256).alias("sha256"), "content")
-    return with_modules(kept).orderBy(*own, "path"), skipped.orderBy(*own, "path")
+    return with_modules(kept), skipped
 
 
 def with_modules(files: DataFrame) -> DataFrame:
