@@ -99,6 +99,18 @@ def _picked() -> tuple[Column, Column]:
     return picked, (F.col("n") > 1) & (F.col("tops") != 1)
 
 
+def _named(symbols: DataFrame) -> DataFrame:
+    """(repo, path, name, picked, unclear): what a bare use of a name means in a file."""
+    picked, unclear = _picked()
+    return _by_name(symbols).select("repo", "path", "name", picked.alias("picked"), unclear.alias("unclear"))
+
+
+def _meanings(known: DataFrame, names: DataFrame) -> DataFrame:
+    """(repo, look_path, look_name, hit, picked, unclear): what a name means in a file. known: _by_qualname(), names: _named()."""
+    exact = known.select("repo", F.col("path").alias("look_path"), F.col("qualname").alias("look_name"), F.struct("qualname", "module", "kind").alias("hit"))
+    return exact.join(names.select("repo", F.col("path").alias("look_path"), F.col("name").alias("look_name"), "picked", "unclear"), ["repo", "look_path", "look_name"], "full")
+
+
 def lookup_in_file(asked: DataFrame, symbols: DataFrame, bound: DataFrame) -> DataFrame:
     """Adds dst_path, dst (struct qualname, module, kind) and ambiguous to rows with look_path, look_name, look_id.
 
@@ -108,14 +120,14 @@ def lookup_in_file(asked: DataFrame, symbols: DataFrame, bound: DataFrame) -> Da
     One chain of joins, each by a unique key. Rows that are answered look on under a key of their own that matches
     nothing, so they neither change nor gather in one partition.
     """
-    key = ["repo", "look_path", "look_name"]
     asked, symbols, bound = with_repo(asked, symbols, bound)
-    exact = _by_qualname(symbols).select("repo", F.col("path").alias("look_path"), F.col("qualname").alias("look_name"), F.struct("qualname", "module", "kind").alias("hit"))
-    picked, unclear = _picked()
-    loose = _by_name(symbols).select("repo", F.col("path").alias("look_path"), F.col("name").alias("look_name"), picked.alias("picked"), unclear.alias("unclear"))
-    meaning = exact.join(loose, key, "full")
+    return _looked_up(asked, _meanings(_by_qualname(symbols), _named(symbols)), bound)
+
+
+def _looked_up(asked: DataFrame, meaning: DataFrame, bound: DataFrame) -> DataFrame:
+    key = ["repo", "look_path", "look_name"]
     follow = bound.where("target_path is not null and target_path <> path").select("repo", F.col("path").alias("look_path"), F.col("bound_name").alias("look_name"), F.col("target_path").alias("next_path"), F.col("imported_name").alias("next_name"))
-    none = F.lit(None).cast(exact.schema["hit"].dataType)
+    none = F.lit(None).cast(meaning.schema["hit"].dataType)
     now = asked.withColumns({"dst": none, "dst_path": F.lit(None).cast("string"), "ambiguous": F.lit(False)})
     for hop in range(MAX_HOPS + 1):
         bare = ~F.contains("look_name", F.lit("."))
@@ -172,9 +184,12 @@ def enclosing_classes(symbols: DataFrame) -> DataFrame:
     and one join finds them: no loop by depth.
     """
     (symbols,) = with_repo(symbols)
+    return _enclosing(_by_qualname(symbols))
+
+
+def _enclosing(known: DataFrame) -> DataFrame:
     parts = F.split("caller", r"\.")
     around = F.transform(F.sequence(F.size(parts) - 1, F.lit(1)), lambda k: F.struct((F.size(parts) - k).alias("up"), F.array_join(F.slice(parts, F.lit(1), k), ".").alias("owner")))
-    known = _by_qualname(symbols)
     inner = known.where("parent is not null and parent <> ''").select("repo", "path", F.col("qualname").alias("caller")).where(F.size(parts) > 1)
     up = inner.select("*", F.explode(around).alias("u")).select("repo", "path", "caller", "u.*").join(known.select("repo", "path", F.col("qualname").alias("owner"), "kind"), ["repo", "path", "owner"])
     found = up.groupBy("repo", "path", "caller").agg(F.min_by("owner", F.when(F.col("kind") == "class", F.col("up"))).alias("owner"), F.min(F.when(F.col("kind") == "class", F.col("up"))).alias("at"), F.array_sort(F.collect_set("up")).alias("met"))
@@ -197,7 +212,7 @@ def class_lookup_order(bases: DataFrame, classes: DataFrame, levels: int = MAX_L
     themselves, so one row a pair of classes is enough, and each further way is made once. Rounds end when no class finds a further one.
     """
     bases, classes = with_repo(bases, classes)
-    keep = Written(bases.sparkSession)
+    keep = Written(bases.sparkSession, sorted_joins=True)
     one = classes.select("repo", "path", F.col("qualname").alias("owner"), F.col("path").alias("at_path"), F.col("qualname").alias("at_qualname"), F.struct(F.lit(0).alias("level"), F.array().cast("array<int>").alias("rank")).alias("rank"))
     edge = bases.where("base_path is not null").select("repo", "path", F.col("qualname").alias("owner"), F.col("base_path").alias("at_path"), F.col("base_qualname").alias("at_qualname"), F.struct(F.lit(1).alias("level"), F.array("position").alias("rank")).alias("rank"))
     known = classes.select("repo", "path", F.col("qualname").alias("owner"))
@@ -216,7 +231,11 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, files: DataFrame, resolv
     the longest prefix that is a module, whatever it holds, else what binds the head.
     """
     calls, symbols, files, resolved, bases = with_repo(calls, symbols, files, resolved, bases)
-    bound = bindings(resolved)
+    # Read several times below, so made once: in one plan each use would make it anew, and the driver would hold a plan of them all.
+    keep = Written(calls.sparkSession, sorted_joins=True)
+    known = keep(_by_qualname(symbols.select("repo", "path", "qualname", "module", "kind", "parent", "ord")))
+    names, bound, index = keep(_named(symbols)), keep(bindings(resolved)), keep(module_index(files))
+    meaning = keep(_meanings(known, names))
     all_ = calls.withColumn("look_id", F.concat_ws("\x1f", "repo", "path", F.col("ord").cast("string")))
     inner = all_.where("caller is not null and caller <> ''")
     head, tail = F.substring_index("callee", ".", 1), F.expr("substring(callee, instr(callee, '.') + 1)")
@@ -224,23 +243,21 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, files: DataFrame, resolv
     inner = inner.withColumn("form", kind).withColumn("head", head).withColumn("tail", F.when(kind != "bare", tail))
     binding = bound.where("target_path is not null").select("repo", "path", F.col("bound_name").alias("head"), F.col("target_path").alias("b_path"), "imported_name")
 
-    picked, unclear = _picked()
-    names = _by_name(symbols).select("repo", "path", F.col("name").alias("callee"), picked.alias("picked"), unclear.alias("unclear"))
-    bare = inner.where("form = 'bare'").join(names, ["repo", "path", "callee"], "left")
+    bare = inner.where("form = 'bare'").join(names.withColumnRenamed("name", "callee"), ["repo", "path", "callee"], "left")
     local = bare.where("picked is not null or unclear").select("look_id", F.when(F.col("picked").isNotNull(), F.col("path")).alias("dst_path"), F.col("picked").alias("dst"), F.coalesce("unclear", F.lit(False)).alias("ambiguous"), F.lit("local").alias("resolution"))
     through = bare.where("picked is null and not coalesce(unclear, false)").join(binding, ["repo", "path", "head"]).select("repo", "look_id", F.col("b_path").alias("look_path"), F.coalesce("imported_name", "callee").alias("look_name"), F.lit("imported").alias("resolution"))
 
-    attribute = longest_prefix(inner.where("form = 'attribute'").select("repo", "look_id", "path", "callee", "head", "tail"), module_index(files), "callee").join(binding, ["repo", "path", "head"], "left")
+    attribute = longest_prefix(inner.where("form = 'attribute'").select("repo", "look_id", "path", "callee", "head", "tail"), index, "callee").join(binding, ["repo", "path", "head"], "left")
     dotted = attribute.select("repo", "look_id", F.coalesce("mod_path", "b_path").alias("look_path"), F.when(F.col("mod_path").isNotNull(), F.col("mod_rest")).otherwise(F.col("tail")).alias("look_name"), F.lit("attribute_module").alias("resolution")).where("look_path is not null")
-    looked = lookup_in_file(through.union(dotted), symbols, bound).select("look_id", "dst_path", "dst", "ambiguous", "resolution")
+    looked = keep(_looked_up(through.union(dotted), meaning, bound).select("look_id", "dst_path", "dst", "ambiguous", "resolution"))
 
     order = class_lookup_order(bases, symbols.where("kind = 'class'"))
-    methods = _by_qualname(symbols).select("repo", F.col("path").alias("at_path"), F.col("qualname").alias("m"), F.struct("qualname", "module", "kind").alias("dst"))
-    own = inner.where("form = 'self' and instr(tail, '.') = 0").join(enclosing_classes(symbols), ["repo", "path", "caller"]).join(order, ["repo", "path", "owner"]).withColumn("m", F.concat_ws(".", "at_qualname", "tail"))
+    methods = known.select("repo", F.col("path").alias("at_path"), F.col("qualname").alias("m"), F.struct("qualname", "module", "kind").alias("dst"))
+    own = inner.where("form = 'self' and instr(tail, '.') = 0").join(_enclosing(known), ["repo", "path", "caller"]).join(order, ["repo", "path", "owner"]).withColumn("m", F.concat_ws(".", "at_qualname", "tail"))
     hits = own.join(methods, ["repo", "at_path", "m"])
     of_self = hits.groupBy("look_id").agg(F.min_by(F.struct("at_path", "dst"), F.struct("rank", "at_path", "m")).alias("b")).select("look_id", F.col("b.at_path").alias("dst_path"), F.col("b.dst").alias("dst"), F.lit(False).alias("ambiguous"), F.lit("attribute_self").alias("resolution"))
 
-    answers = local.unionByName(looked).unionByName(of_self)
+    answers = keep(local.unionByName(looked).unionByName(of_self))
     reason = F.when(F.coalesce("caller", F.lit("")) == "", "module_level").when(F.col("dst").isNotNull(), None).when(F.coalesce("ambiguous", F.lit(False)), "ambiguous").otherwise("unresolved")
     sure = F.element_at(F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv]), F.col("resolution"))
     out = all_.join(answers, "look_id", "left").withColumn("resolution", F.when(F.col("dst").isNotNull(), F.col("resolution")))

@@ -42,7 +42,7 @@ LOG = (
 def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, path, content, size_bytes): FILES for each document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null")
-    each = docs.select(F.coalesce("source", F.lit("")).alias("repo"), F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("p")).distinct()
+    each = docs.select(F.coalesce("source", F.lit("")).alias("repo"), F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("p")).repartition(tree.tasks(spark), "repo", "p").distinct()
     of = F.explode(F.array(*[F.struct(F.lit(path).alias("path"), F.lit(code).alias("code")) for path, code in FILES.items()])).alias("f")
     filled = lambda c: F.replace(F.col(c), F.lit("§"), F.col("p"))
     code = each.select("repo", "p", of).select("repo", filled("f.path").alias("path"), F.encode(filled("f.code"), "UTF-8").alias("content"))
@@ -69,7 +69,7 @@ def walker_skipped(spark, sf_dir):
 
 
 def _extracted(spark, sf_dir):
-    return extract.extract(tree.walk(source_tree(spark, sf_dir))[0])
+    return extract.extract(tree.inventory(source_tree(spark, sf_dir))[0])
 
 
 def extract_symbols(spark, sf_dir):
@@ -103,17 +103,17 @@ def _resolved_imports(spark, sf_dir, keep: Written) -> tuple[DataFrame, DataFram
 
 
 def resolve_imports(spark, sf_dir):
-    return _resolved_imports(spark, sf_dir, Written(spark))[2].select("repo", "source_path", "target_path", "target_module", "resolution", "bound_name", "line")
+    return _resolved_imports(spark, sf_dir, Written(spark, sorted_joins=True))[2].select("repo", "source_path", "target_path", "target_module", "resolution", "bound_name", "line")
 
 
 def resolve_bases(spark, sf_dir):
-    keep = Written(spark)
+    keep = Written(spark, sorted_joins=True)
     parsed, index, resolved = _resolved_imports(spark, sf_dir, keep)
     return resolve.resolve_bases(extract.symbols_of(parsed), index, keep(resolved))
 
 
 def resolve_calls(spark, sf_dir):
-    keep = Written(spark)
+    keep = Written(spark, sorted_joins=True)
     parsed, index, resolved = _resolved_imports(spark, sf_dir, keep)
     symbols, resolved = extract.symbols_of(parsed), keep(resolved)
     bases = keep(resolve.resolve_bases(symbols, index, resolved))
@@ -131,7 +131,7 @@ def many_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def many_repositories(spark, sf_dir):
     """Calls of thousands of files in several repositories at once: none resolves into another repository."""
-    keep = Written(spark)
+    keep = Written(spark, sorted_joins=True)
     files, _, parsed = lifecycle.extract_tree(many_trees(spark, sf_dir), keep)
     index, symbols = lifecycle.ordered_files(files), extract.symbols_of(parsed)
     resolved = keep(resolve.resolve_imports(extract.imports_of(parsed), index))

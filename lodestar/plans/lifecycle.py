@@ -65,9 +65,9 @@ class Parsed:
 
 def extract_tree(source: DataFrame, keep: Written, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Files and skipped paths of a source tree, and what its files hold; files and what they hold are written once."""
-    files, skipped = tree.walk(source, settings.max_file_bytes)
+    files, skipped = tree.inventory(source, settings.max_file_bytes)
     files = keep(files)
-    return files, skipped, keep(extract.extract(files))
+    return files, skipped.orderBy(*[c for c in ("repo",) if c in skipped.columns], "path"), keep(extract.extract(files))
 
 
 def ordered_files(files: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def parse_many(source: DataFrame, commits: DataFrame | None = None, settings: Se
     What extraction and resolution find is written to the shared folder once and read from there; nodes, edges and
     chunks are lazy. A commit log that cannot be used leaves the rest whole: its failure is a warning.
     """
-    keep = Written(source.sparkSession)
+    keep = Written(source.sparkSession, sorted_joins=True)
     files, skipped, parsed = extract_tree(source, keep, settings)
     symbols, imports, calls = extract.symbols_of(parsed), extract.imports_of(parsed), extract.calls_of(parsed)
     index = ordered_files(files)

@@ -429,3 +429,25 @@ def test_clone_folders_and_command_line(spark, tmp_path, capsys):
     assert found["file_count"] == 1 and found["files"][0]["path"] == "a.py" and found["symbols"][0]["qualname"] == "f" and found["skipped_by_reason"]["unsupported_extension"] == 1
     assert cli.main([str(to), "--limit", "0"], spark) == 0 and "a.py" in capsys.readouterr().out
     assert cli.main([str(tmp_path / "absent")], spark) == 1
+
+
+def test_sources_are_spread_and_copies_share_one_parse(spark):
+    rows = [("r", f"{k}.py", f"m{k}", code.encode()) for k, code in enumerate(["def f():\n    g()\n", "def (", "", "def f():\n    g()\n", "import a\n"])] + [("r", "gone.py", "gone", None)]
+    files = spark.createDataFrame(rows, "repo string, path string, module string, content binary").coalesce(1)
+    out = extract.extract(files)
+    assert out.rdd.getNumPartitions() == tree.tasks(spark) > 1
+    got = {r.path: r for r in out.collect()}
+    for _, path, module, content in rows:
+        alone = extract.parse(content, path)
+        assert got[path].module == module and got[path].error == alone["error"]
+        assert [s.qualname for s in got[path].symbols] == [s["qualname"] for s in alone["symbols"]]
+        assert [c.callee for c in got[path].calls] == [c["callee"] for c in alone["calls"]] and len(got[path].imports) == len(alone["imports"])
+
+
+def test_written_sources_are_never_broadcast(spark):
+    code = b"class A:\n    def f(self):\n        return self.f()\n"
+    source = spark.createDataFrame([("r", f"p{k}.py", code, len(code)) for k in range(3)], "repo string, path string, content binary, size_bytes long")
+    made = lifecycle.parse_many(source)
+    plan = made.calls.join(made.symbols, ["repo", "path"]).groupBy("repo").count().join(made.bases, "repo")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {(r.path, r.dst_qualname, r.resolution) for r in made.calls.collect()} == {(f"p{k}.py", "A.f", "attribute_self") for k in range(3)}
