@@ -7,7 +7,7 @@ Each round also takes the label of its label, so labels travel in doubling steps
 
 A cycle of k edges is ceil(k/2) steps ahead of its smallest member and floor(k/2) steps back to it. Both halves are walked
 from every start over larger nodes only, and meet in a join on (start, end): a path of more than half the longest cycle is
-never built, and whatever can't return to its start meets nothing.
+never built, and whatever can't return to its start meets nothing. All of it runs over numbers of nodes.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from lodestar.operators.bitmaps import numbered
 from lodestar.plans.written import Written
 
 MAX_CYCLE = 6
@@ -60,27 +61,54 @@ def components(edges: DataFrame) -> DataFrame:
     return _labels(within_components(edges, keep), keep).where("way = 'to'").select("node", F.col("label").alias("component"))
 
 
-def cycles(imports: DataFrame, max_length: int = MAX_CYCLE) -> DataFrame:
-    """(files, hops): every simple cycle of 2 to max_length edges, once, from its smallest member."""
-    keep = Written(imports.sparkSession)
-    step = within_components(imports, keep)
-    on, back_on = step.select(F.col("src").alias("end"), F.col("dst").alias("to")), step.select(F.col("dst").alias("end"), F.col("src").alias("to"))
-    fresh = F.expr("to > start and not array_contains(files, to)")
-    # files: what follows the start, up to the end; on the way back, what lies between the end and the start.
-    ahead = [keep(step.where("src < dst").select(F.col("src").alias("start"), F.col("dst").alias("end"), F.array("dst").alias("files")))]
-    back = [keep(step.where("dst < src").select(F.col("dst").alias("start"), F.col("src").alias("end"), F.array().cast(ahead[0].schema["files"].dataType).alias("files")))]
-    while len(ahead) < (max_length + 1) // 2:
-        ahead.append(keep(ahead[-1].join(on, "end").where(fresh).select("start", F.col("to").alias("end"), F.concat("files", F.array("to")).alias("files"))))
-    while len(back) < max_length // 2:
-        back.append(keep(back[-1].join(back_on, "end").where(fresh).where("to <> end").select("start", F.col("to").alias("end"), F.concat(F.array("end"), "files").alias("files"))))
-    out = None
-    for hops in range(2, max_length + 1):
-        a, b = ahead[(hops + 1) // 2 - 1], back[hops // 2 - 1].withColumnRenamed("files", "rest")
-        met = a.join(b, ["start", "end"]).where(~F.arrays_overlap("files", "rest")).select(F.concat(F.array("start"), "files", "rest").alias("files"), F.lit(hops).alias("hops"))
-        out = met if out is None else out.union(met)
+def _by_number(edges: DataFrame, keep: Written) -> tuple[DataFrame, DataFrame]:
+    """The distinct edges without loops between the numbers of their ends, and (key, n), numbers in order of keys."""
+    step = keep(edges.select("src", "dst").where("src <> dst").distinct())
+    ids = keep(numbered(step.select(F.col("src").alias("key")).union(step.select("dst")), keep))
+    a, b = ids.select(F.col("key").alias("src"), F.col("n").alias("s")), ids.select(F.col("key").alias("dst"), F.col("n").alias("d"))
+    return keep(step.join(a, "src").join(b, "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))), ids
+
+
+def _walks(first: DataFrame, on: DataFrame, name: str, longest: int, keep: Written) -> DataFrame:
+    """(start, end, edges, name1, name2, …): walks of 1 to longest edges over nodes larger than their start, with what lies between its ends, outwards.
+
+    first: (start, end), walks of one edge. on: (end, to). Only walks that go on are written; the longest ones are read once.
+    """
+    between = [f"{name}{k}" for k in range(1, longest)]
+    padded = lambda rows, k: rows.select("start", "end", F.lit(k).alias("edges"), *[F.col(c) if i < k - 1 else F.lit(None).cast("bigint").alias(c) for i, c in enumerate(between)])
+    now, out = first, padded(first, 1)
+    for k in range(2, longest + 1):
+        fresh = F.col("to") > F.col("start")
+        for c in ("end", *between[: k - 2]):
+            fresh = fresh & (F.col("to") != F.col(c))
+        now = now.join(on, "end").where(fresh).select("start", F.col("to").alias("end"), *between[: k - 2], F.col("end").alias(between[k - 2]))
+        now = keep(now) if k < longest else now
+        out = out.union(padded(now, k))
     return out
 
 
+def cycles(imports: DataFrame, max_length: int = MAX_CYCLE) -> DataFrame:
+    """(files, hops): every simple cycle of 2 to max_length edges, once, from its smallest member.
+
+    Nodes are numbered in order of their keys, so halves are a few numbers a row, and all lengths meet in one join.
+    """
+    keep = Written(imports.sparkSession, sorted_joins=True)
+    edges, ids = _by_number(imports, keep)
+    step = keep(within_components(edges, keep))
+    half, rest = (max_length + 1) // 2, max_length // 2
+    ahead = _walks(step.where("src < dst").select(F.col("src").alias("start"), F.col("dst").alias("end")), step.select(F.col("src").alias("end"), F.col("dst").alias("to")), "a", half, keep)
+    back = _walks(step.where("dst < src").select(F.col("dst").alias("start"), F.col("src").alias("end")), step.select(F.col("dst").alias("end"), F.col("src").alias("to")), "b", rest, keep)
+    met = ahead.withColumnRenamed("edges", "there").join(back.withColumnRenamed("edges", "home"), ["start", "end"]).where("there = home or there = home + 1")
+    a, b = [f"a{k}" for k in range(1, half)], [f"b{k}" for k in range(1, rest)]
+    for x in a:
+        for y in b:
+            met = met.where(F.coalesce(F.col(x) != F.col(y), F.lit(True)))
+    found = keep(met.select(F.array_compact(F.array("start", *a, "end", *reversed(b))).alias("ring"), (F.col("there") + F.col("home")).alias("hops")))
+    named = found.select("ring", "hops", F.posexplode("ring").alias("at", "n")).join(ids, "n")
+    files = F.transform(F.array_sort(F.collect_list(F.struct("at", "key"))), lambda x: x["key"])
+    return keep(named.groupBy("ring", "hops").agg(files.alias("files")).select("files", "hops"))
+
+
 def minimal_cycles(found: DataFrame, limit: int | None = None) -> DataFrame:
     """The shortest `limit` cycles, or all, without those whose members strictly contain a reported one's."""
     kept = found if limit is None else found.orderBy("hops", "files").limit(limit)

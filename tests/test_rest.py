@@ -451,3 +451,10 @@ def test_written_sources_are_never_broadcast(spark):
     plan = made.calls.join(made.symbols, ["repo", "path"]).groupBy("repo").count().join(made.bases, "repo")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert {(r.path, r.dst_qualname, r.resolution) for r in made.calls.collect()} == {(f"p{k}.py", "A.f", "attribute_self") for k in range(3)}
+
+
+def test_found_cycles_are_made_once(spark):
+    df = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("b", "a"), ("c", "d")], "src string, dst string")
+    found = graph_cycles.cycles(df)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()  # minimal_cycles() reads it three times
+    assert sorted((r.files, r.hops) for r in found.collect()) == [(["a", "b"], 2), (["a", "b", "c"], 3)]
