@@ -26,7 +26,7 @@ def sized_commits(commits: DataFrame, paths: DataFrame | None = None, max_files:
     """
     own = _own(commits)
     if paths is None:
-        rows = commits.select(*own, "ord", "authored_at", F.array_sort(F.array_distinct("paths")).alias("files"))
+        rows = commits.select(*own, "ord", "authored_at", F.sort_array(F.array_distinct("paths")).alias("files"))
         return rows.where(F.size("files") > 0).select(*own, "ord", "authored_at", F.size("files").alias("n_files"), F.when(F.size("files") <= max_files, F.col("files")).alias("files"))
     shared = [*own, "path"] if "repo" in paths.columns else ["path"]
     rows = commits.select(*own, "ord", "authored_at", F.explode(F.array_distinct("paths")).alias("path")).join(paths.select(*shared).distinct(), shared, "left_semi")
@@ -47,16 +47,17 @@ def used_commits(commits: DataFrame, paths: DataFrame | None = None, max_files:
 
 def pairs_of(sized: DataFrame) -> DataFrame:
     """(left_path, right_path, ord, authored_at) of each commit: at most max_files * (max_files - 1) / 2, made within its row."""
-    both = F.expr("flatten(transform(files, (l, i) -> transform(slice(files, i + 2, size(files)), r -> struct(l as left_path, r as right_path))))")
     own = _own(sized)
-    return sized.where("size(files) > 1").select(*own, "ord", "authored_at", F.explode(both).alias("p")).select(*own, "p.left_path", "p.right_path", "ord", "authored_at")
+    left = sized.where("size(files) > 1").select(*own, "ord", "authored_at", "files", F.posexplode("files").alias("i", "left_path"))
+    return left.select(*own, "left_path", F.explode(F.expr("slice(files, i + 2, size(files))")).alias("right_path"), "ord", "authored_at")
 
 
-def co_change(commits: DataFrame, paths: DataFrame | None = None, max_files: int = MAX_FILES, min_shared: int = MIN_SHARED, min_jaccard: float = 0.0, max_pairs: int | None = MAX_PAIRS) -> DataFrame:
+def co_change(commits: DataFrame, paths: DataFrame | None = None, max_files: int = MAX_FILES, min_shared: int = MIN_SHARED, min_jaccard: float = 0.0, max_pairs: int | None = MAX_PAIRS, ordered: bool = True) -> DataFrame:
     """(left_path, right_path, shared, left_commits, right_commits, jaccard, last_together), strongest first.
 
     jaccard is rounded to 4 decimals and compared rounded. last_together is the date of the newest shared commit.
-    max_pairs is for each repository.
+    max_pairs is for each repository. ordered: False leaves all pairs in no order, for readers that need none. Paths may be
+    numbers; with dates that are not text, pairs are counted in hash tables and never sorted.
     """
     own = _own(commits)
     sized = sized_commits(commits, paths, max_files)
@@ -68,6 +69,8 @@ def co_change(commits: DataFrame, paths: DataFrame | None = None, max_files: int
     out = rated.select(*own, "left_path", "right_path", "shared", "left_commits", "right_commits", "jaccard", "last_together")
     if max_pairs is not None and own:
         out = out.withColumn("__n", F.row_number().over(Window.partitionBy("repo").orderBy(*strongest))).where(F.col("__n") <= max_pairs).drop("__n")
+    if not ordered and (max_pairs is None or own):
+        return out
     out = out.orderBy(*own, *strongest)
     return out if max_pairs is None or own else out.limit(max_pairs)
 

@@ -162,7 +162,7 @@ def graph_upsert_sweep(spark, sf_dir):
 
 def _pairs(spark, sf_dir):
     """All pairs, mined once a session and version of the orders, as a parse stores them."""
-    return p.stored(spark, sf_dir, "pairs", lambda s, d: cochange.co_change(p.commits(s, d), max_pairs=None), ("lineitem", "orders"))
+    return p.stored(spark, sf_dir, "pairs", lambda s, d: p.co_changed(s, d, ordered=True), ("lineitem", "orders"))
 
 
 def cochange_pairs(spark, sf_dir):
@@ -200,7 +200,7 @@ def churn(spark, sf_dir):
 
 
 def cochange_edges(spark, sf_dir):
-    pairs = cochange.co_change(p.commits(spark, sf_dir, "l_suppkey", "s"), max_pairs=None)
+    pairs = p.co_changed(spark, sf_dir, "l_suppkey", "s")
     files = p.supplier_files(spark, sf_dir).select(F.col("key").alias("path"), "key")
     return cochange.co_change_edges(pairs, files)
 
@@ -214,7 +214,7 @@ def _risk(spark, sf_dir, history: bool = True) -> DataFrame:
     if history:
         counted = cochange.churn(commits).withColumnRenamed("path", "key")
         files = files.join(counted, "key", "left").withColumn("change_count", F.coalesce("change_count", F.lit(0)))
-        partners = cochange.partner_index(cochange.co_change(commits, max_pairs=None)).select(F.col("path").alias("file"), "jaccard")
+        partners = cochange.partner_index(p.co_changed(spark, sf_dir, "l_suppkey", "s")).select(F.col("path").alias("file"), "jaccard")
     else:
         files = files.withColumn("change_count", F.lit(None).cast("long"))
         partners = spark.createDataFrame([], "file string, jaccard double")
@@ -242,7 +242,7 @@ def risk_node(spark, sf_dir):
     edges, files = p.call_edges(spark, sf_dir), p.supplier_files(spark, sf_dir)
     counted = cochange.churn(p.commits(spark, sf_dir, "l_suppkey", "s")).withColumnRenamed("path", "key")
     files = files.join(counted, "key", "left").withColumn("change_count", F.coalesce("change_count", F.lit(0)))
-    partners = cochange.partner_index(cochange.co_change(p.commits(spark, sf_dir, "l_suppkey", "s"), max_pairs=None)).select(F.col("path").alias("file"), "jaccard")
+    partners = cochange.partner_index(p.co_changed(spark, sf_dir, "l_suppkey", "s")).select(F.col("path").alias("file"), "jaccard")
     return risk.score_node(_nodes(spark, sf_dir), "p1", edges, p.owners(spark, sf_dir), files, partners).select(*COUNTED, "score", "band")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import scoring
 from lodestar.operators import bitmaps, cochange, graph, impact, resolve, risk
+from lodestar.plans import projections as p
 
 EDGE = "src string, dst string, type string, confidence double"
 
@@ -238,3 +239,23 @@ def test_each_further_way_to_a_class_is_made_once(spark):
     now = spark.createDataFrame(rows, "repo string, path string, owner string, at_path string, at_qualname string, rank struct<level:int,rank:array<int>>")
     got = [(r.owner, r.at_qualname, r["rank"].level) for r in resolve._further(now, 4, 8).collect()]
     assert sorted(got) == sorted((f"C{a}", f"C{b}", a - b) for a in range(12) for b in range(a) if 4 < a - b < 8)
+
+
+def test_pairs_of_the_tables_are_counted_without_sorting_texts(spark, sf):
+    plan = p.co_changed(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "min_by" in plan
+
+
+def test_numbers_stand_for_names_whatever_the_key(spark, tmp_path):
+    keys = [0, 1, 7, 99999999, 100000000, 123456789, 123456780, -5, -6, -123, -1234567, -12345678, None]
+    df = spark.createDataFrame([(k,) for k in keys], "k long").select(F.concat(F.lit("p"), F.lpad(F.col("k").cast("string"), 8, "0")).alias("path"), p.number(F.col("k")).alias("n"))
+    rows = df.withColumn("back", p.name(F.col("n"), "p")).collect()
+    assert all(r.path == r.back for r in rows)
+    some = [r for r in rows if r.n is not None]
+    assert [r.path for r in sorted(some, key=lambda r: r.n)] == sorted(r.path for r in some)
+    spark.createDataFrame([(o, k) for o in (1, 2, 3) for k in keys], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("select o_orderkey, timestamp'1995-03-04 00:00:00' as o_orderdate from values (1L), (2L), (4L) as t(o_orderkey)").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(tuple(r) for r in p.co_changed(spark, str(tmp_path)).collect())
+    want = sorted(tuple(r) for r in cochange.co_change(p.commits(spark, str(tmp_path)), max_pairs=None).collect())
+    names = len({r.path for r in some})
+    assert got == want and len(got) == names * (names - 1) // 2 and {r[2] for r in got} == {2} and {r[6] for r in got} == {"1995-03-04"}
