@@ -52,17 +52,20 @@ def pairs_of(sized: DataFrame) -> DataFrame:
     return left.select(*own, "left_path", F.explode(F.expr("slice(files, i + 2, size(files))")).alias("right_path"), "ord", "authored_at")
 
 
-def co_change(commits: DataFrame, paths: DataFrame | None = None, max_files: int = MAX_FILES, min_shared: int = MIN_SHARED, min_jaccard: float = 0.0, max_pairs: int | None = MAX_PAIRS, ordered: bool = True) -> DataFrame:
+def co_change(commits: DataFrame, paths: DataFrame | None = None, max_files: int = MAX_FILES, min_shared: int = MIN_SHARED, min_jaccard: float = 0.0, max_pairs: int | None = MAX_PAIRS, ordered: bool = True, of: DataFrame | None = None) -> DataFrame:
     """(left_path, right_path, shared, left_commits, right_commits, jaccard, last_together), strongest first.
 
     jaccard is rounded to 4 decimals and compared rounded. last_together is the date of the newest shared commit.
     max_pairs is for each repository. ordered: False leaves all pairs in no order, for readers that need none. Paths may be
-    numbers; with dates that are not text, pairs are counted in hash tables and never sorted.
+    numbers; with dates that are not text, pairs are counted in hash tables and never sorted. of: (path), one file: only its pairs are counted.
     """
     own = _own(commits)
     sized = sized_commits(commits, paths, max_files)
     per_file = sized.select(*own, F.explode("files").alias("path")).groupBy(*own, "path").agg(F.count("*").alias("n"))
-    pairs = pairs_of(sized).groupBy(*own, "left_path", "right_path").agg(F.count("*").alias("shared"), F.min_by("authored_at", "ord").alias("last_together")).where(F.col("shared") >= min_shared)
+    made = pairs_of(sized)
+    if of is not None:
+        made = made.join(F.broadcast(of.select("path")), F.col("path").isin(F.col("left_path"), F.col("right_path")), "left_semi")  # one row
+    pairs = made.groupBy(*own, "left_path", "right_path").agg(F.count("*").alias("shared"), F.min_by("authored_at", "ord").alias("last_together")).where(F.col("shared") >= min_shared)
     both = pairs.join(per_file.select(*own, F.col("path").alias("left_path"), F.col("n").alias("left_commits")), [*own, "left_path"]).join(per_file.select(*own, F.col("path").alias("right_path"), F.col("n").alias("right_commits")), [*own, "right_path"])
     rated = both.withColumn("jaccard", F.round(F.col("shared") / (F.col("left_commits") + F.col("right_commits") - F.col("shared")), 4)).where(F.col("jaccard") >= min_jaccard)
     strongest = [F.desc("shared"), F.desc("jaccard"), F.col("left_path"), F.col("right_path")]
@@ -90,9 +93,10 @@ def churn(commits: DataFrame, paths: DataFrame | None = None, max_files: int = M
 
 
 def partner_index(pairs: DataFrame) -> DataFrame:
-    """(path, partner, shared, jaccard): every pair from both sides."""
-    side = lambda a, b: pairs.select(*_own(pairs), F.col(a).alias("path"), F.col(b).alias("partner"), "shared", "jaccard")
-    return side("left_path", "right_path").union(side("right_path", "left_path"))
+    """(path, partner, shared, jaccard): every pair from both sides, each made once."""
+    side = lambda a, b: F.struct(F.col(a).alias("path"), F.col(b).alias("partner"))
+    both = F.explode(F.array(side("left_path", "right_path"), side("right_path", "left_path")))
+    return pairs.select(*_own(pairs), both.alias("s"), "shared", "jaccard").select(*_own(pairs), "s.path", "s.partner", "shared", "jaccard")
 
 
 def coupled(pairs: DataFrame, path: str | None = None, min_commits: int = 1, limit: int = 100) -> DataFrame:

@@ -238,11 +238,12 @@ def risk_no_history(spark, sf_dir):
 
 
 def risk_node(spark, sf_dir):
-    """One part scored alone: only what leads to it is walked."""
+    """One part scored alone: only what leads to it is walked, and only the pairs of its file are counted."""
     edges, files = p.call_edges(spark, sf_dir), p.supplier_files(spark, sf_dir)
     counted = cochange.churn(p.commits(spark, sf_dir, "l_suppkey", "s")).withColumnRenamed("path", "key")
     files = files.join(counted, "key", "left").withColumn("change_count", F.coalesce("change_count", F.lit(0)))
-    partners = cochange.partner_index(p.co_changed(spark, sf_dir, "l_suppkey", "s")).select(F.col("path").alias("file"), "jaccard")
+    mine = risk.owners(p.owners(spark, sf_dir), files).where("node = 'p1'").select(F.col("file").alias("path"))
+    partners = cochange.partner_index(p.co_changed(spark, sf_dir, "l_suppkey", "s", of=mine)).select(F.col("path").alias("file"), "jaccard")
     return risk.score_node(_nodes(spark, sf_dir), "p1", edges, p.owners(spark, sf_dir), files, partners).select(*COUNTED, "score", "band")
 
 

@@ -248,7 +248,7 @@ def test_pairs_of_the_tables_are_counted_without_sorting_texts(spark, sf):
 
 def test_numbers_stand_for_names_whatever_the_key(spark, tmp_path):
     keys = [0, 1, 7, 99999999, 100000000, 123456789, 123456780, -5, -6, -123, -1234567, -12345678, None]
-    df = spark.createDataFrame([(k,) for k in keys], "k long").select(F.concat(F.lit("p"), F.lpad(F.col("k").cast("string"), 8, "0")).alias("path"), p.number(F.col("k")).alias("n"))
+    df = spark.createDataFrame([(k,) for k in keys], "k long").select(F.concat(F.lit("p"), F.lpad(F.col("k").cast("string"), 8, "0")).alias("path"), p.number(F.lpad(F.col("k").cast("string"), 8, "0")).alias("n"))
     rows = df.withColumn("back", p.name(F.col("n"), "p")).collect()
     assert all(r.path == r.back for r in rows)
     some = [r for r in rows if r.n is not None]
@@ -259,3 +259,13 @@ def test_numbers_stand_for_names_whatever_the_key(spark, tmp_path):
     want = sorted(tuple(r) for r in cochange.co_change(p.commits(spark, str(tmp_path)), max_pairs=None).collect())
     names = len({r.path for r in some})
     assert got == want and len(got) == names * (names - 1) // 2 and {r[2] for r in got} == {2} and {r[6] for r in got} == {"1995-03-04"}
+
+
+def test_pairs_of_one_file_are_all_its_pairs(spark):
+    rows = [(-i, f"2020-01-{i + 1:02d}", [f"f{(i * k) % 7}" for k in range(1, 5)]) for i in range(20)]
+    commits = spark.createDataFrame(rows, "ord long, authored_at string, paths array<string>")
+    every = cochange.co_change(commits, max_pairs=None)
+    for path in ("f1", "f6", "none"):
+        got = cochange.co_change(commits, max_pairs=None, ordered=False, of=spark.createDataFrame([(path,)], "path string"))
+        assert sorted(map(tuple, got.collect())) == sorted(tuple(r) for r in every.collect() if path in r[:2])
+    assert "Union" not in cochange.partner_index(every)._jdf.queryExecution().optimizedPlan().toString()
