@@ -37,9 +37,11 @@ def build(rows: DataFrame, columns: list[str], path: str, key: str = "key") -> N
     sharded = rows.withColumn("__shard", F.pmod(F.xxhash64(checked), F.lit(SHARDS)).cast("int"))
     sharded.repartitionByRange("__shard", key).write.partitionBy("__shard").parquet(f"{path}/rows")
     every = F.array_distinct(F.flatten(F.array(*[grams(F.coalesce(c, F.lit(""))) for c in columns])))
-    postings = rows.select(F.col(key).alias("key"), F.explode(every).alias("gram")).distinct()
+    # A row makes many postings: rows are dealt first, so that no task holds those of a whole file of them, and repeats meet there.
+    dealt = rows.repartition(SHARDS, key)
+    postings = dealt.select(F.col(key).alias("key"), F.explode(every).alias("gram")).distinct()
     postings = postings.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int"))
-    postings.repartitionByRange("bucket", "gram", "key").sortWithinPartitions("bucket", "gram", "key").write.partitionBy("bucket").parquet(f"{path}/postings")
+    postings.repartitionByRange(BUCKETS, "bucket", "gram", "key").sortWithinPartitions("bucket", "gram", "key").write.partitionBy("bucket").parquet(f"{path}/postings")
     written = rows.sparkSession.read.parquet(f"{path}/postings")
     counts = written.groupBy("bucket", "gram").agg(F.count("*").alias("n"))
     counts.repartition("bucket").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{path}/counts")

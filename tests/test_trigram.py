@@ -41,3 +41,11 @@ def test_candidates_are_few(spark, nodes, path):
 def test_a_null_key_is_refused(spark, tmp_path):
     with pytest.raises(Exception, match="key is null"):
         graph.index_nodes(spark.createDataFrame([(None, "File", "a", None, None, None)], SCHEMA), str(tmp_path / "i"))
+
+
+def test_postings_are_dealt_whatever_the_files_of_the_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(f"k{i}", f"name {i:05d} of many") for i in range(300)], "key string, name string").coalesce(1)
+    trigram.build(rows, ["name"], f"{tmp_path}/index")
+    tasks = {f.name.split("-")[1] for f in (tmp_path / "index" / "postings").glob("bucket=*/part-*")}
+    assert len(tasks) > trigram.BUCKETS // 4
+    assert trigram.search(spark, f"{tmp_path}/index", "NAME 00123 of", ["name"]).count() == 1
