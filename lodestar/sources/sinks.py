@@ -191,28 +191,31 @@ def write_vectors(chunks: DataFrame, path: str, model: str, run_id: str, dimensi
     """Makes the chunks (repo, id, text, sha256, tokens, …) the vectors of their repositories.
 
     Chunks whose id, text hash, model and width a repository has already keep their vector and only the others are
-    embedded; ids that are gone are swept. Rows of chunks are small and written anew; vectors are written once.
+    embedded; ids that are gone are swept. Rows of chunks are small and written anew; vectors are written once, and of the
+    texts only those to be embedded. The names of the repositories are read from chunks in a pass of their own.
     Returns rows, embedded, swept, and the tokens and cost of what was embedded.
     """
     spark = chunks.sparkSession
     keep, after, run = Written(spark), version(spark, path), _run()
     if "sha256" not in chunks.columns:
         chunks = chunks.withColumn("sha256", F.sha2("text", 256))
-    now = keep(chunks.withColumn("model", F.lit(model)).withColumn("dimensions", F.lit(dimensions)))
-    repos = now.select("repo").distinct()
+    now = chunks.withColumn("model", F.lit(model)).withColumn("dimensions", F.lit(dimensions))
     same = ["repo", "id", "sha256", "model", "dimensions"]
+    repos = keep(now.select("repo").distinct())
     old = _rows(spark, path, "vectors", manifest(spark, path, after).join(repos, "repo", "left_semi"))
     swept, placed = 0, now.withColumn("at", F.lit(None).cast("string"))
     if old is not None:
-        swept = old.join(now.select("repo", "id"), ["repo", "id"], "left_anti").count()
-        placed = keep(now.join(old.select(*same, "at"), same, "left"))
+        placed = now.join(old.groupBy(*same).agg(F.max("at").alias("at")), same, "left").withColumn("text", F.when(F.col("at").isNull(), F.col("text")))
+    placed = keep(placed)  # the texts of what is embedded, and no others
+    if old is not None:
+        swept = old.join(placed.select("repo", "id"), ["repo", "id"], "left_anti").count()
     fresh = placed.where("at is null").drop("at")
     made = payload(fresh.drop("model"), model, run_id, dimensions).select("repo", "id", "sha256", "embedding")
     _put(made, f"{path}/embeddings/run={run}")
     _put(placed.drop("text").withColumn("at", F.coalesce("at", F.lit(run))).withColumn("run_id", F.lit(run_id)), f"{path}/vectors/run={run}")
     _change(spark, path, repos, after, vectors=run)
     n, tokens, cost = fresh.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(embedding_cost(F.sum("tokens")), F.lit(0.0))).first()
-    return {"rows": now.count(), "embedded": n, "swept": swept, "tokens": tokens, "cost": cost}
+    return {"rows": placed.count(), "embedded": n, "swept": swept, "tokens": tokens, "cost": cost}
 
 
 def read_vectors(spark: SparkSession, path: str, repo: str | None = None) -> DataFrame:

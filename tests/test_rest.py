@@ -458,3 +458,22 @@ def test_found_cycles_are_made_once(spark):
     found = graph_cycles.cycles(df)
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()  # minimal_cycles() reads it three times
     assert sorted((r.files, r.hops) for r in found.collect()) == [(["a", "b"], 2), (["a", "b", "c"], 3)]
+
+
+def test_texts_that_have_their_vector_are_not_written_again(spark, tmp_path, monkeypatch):
+    kept = []
+
+    class Watched(sinks.Written):
+        def __call__(self, df):
+            kept.append(super().__call__(df))
+            return kept[-1]
+
+    monkeypatch.setattr(sinks, "Written", Watched)
+    rows = [("r", str(i), f"text {i}", 1) for i in range(20)] + [("r", "3", "text 3", 1), ("r", "n", None, 1)]
+    write = lambda rows, k: sinks.write_vectors(spark.createDataFrame(rows, "repo string, id string, text string, tokens long"), str(tmp_path), "hash", k, 4)
+    assert write(rows, "1")["embedded"] == 22
+    kept.clear()
+    done = write([*rows[1:20], rows[20], ("r", "new", "text new", 1)], "2")
+    assert (done["rows"], done["embedded"], done["swept"]) == (21, 1, 2)
+    texts = [r.text for df in kept if "text" in df.columns for r in df.collect() if r.text is not None]
+    assert texts == ["text new"]
