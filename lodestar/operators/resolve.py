@@ -20,6 +20,7 @@ from lodestar.functions.scoring import CONFIDENCE
 from lodestar.operators.graph import first_wins, last_wins
 from lodestar.plans.written import Written
 
+#: Classes that self.x of a call is looked up in, in levels: the reference follows calls no further. class_lookup_order itself has no such bound.
 MAX_LEVELS = 10
 MAX_HOPS = 2
 
@@ -197,19 +198,21 @@ def _enclosing(known: DataFrame) -> DataFrame:
     return found.where(F.col("at").isNotNull() & (F.get("met", F.col("at") - 1) == F.col("at"))).select("repo", "path", "caller", "owner")
 
 
-def _further(now: DataFrame, reach: int, levels: int) -> DataFrame:
-    """The ways of more than reach steps, up to twice as many and under levels: those of exactly reach steps, gone on from where they end."""
+def _further(now: DataFrame, reach: int, levels: int | None = None) -> DataFrame:
+    """The ways of more than reach steps, up to twice as many and under levels if given: those of exactly reach steps, gone on from where they end."""
     on = now.where("rank.level > 0").select("repo", F.col("path").alias("at_path"), F.col("owner").alias("at_qualname"), F.col("at_path").alias("to_path"), F.col("at_qualname").alias("to"), F.col("rank").alias("then"))
-    met = now.where(F.col("rank.level") == reach).join(on, ["repo", "at_path", "at_qualname"]).where(F.col("rank.level") + F.col("then.level") < levels)
+    met = now.where(F.col("rank.level") == reach).join(on, ["repo", "at_path", "at_qualname"])
+    if levels is not None:
+        met = met.where(F.col("rank.level") + F.col("then.level") < levels)
     return met.select("repo", "path", "owner", F.col("to_path").alias("at_path"), F.col("to").alias("at_qualname"), F.struct((F.col("rank.level") + F.col("then.level")).alias("level"), F.concat("rank.rank", "then.rank").alias("rank")).alias("rank"))
 
 
-def class_lookup_order(bases: DataFrame, classes: DataFrame, levels: int = MAX_LEVELS) -> DataFrame:
-    """(repo, path, owner, at_path, at_qualname, rank): the classes self.x looks in, breadth first in order of bases.
+def class_lookup_order(bases: DataFrame, classes: DataFrame, levels: int | None = None) -> DataFrame:
+    """(repo, path, owner, at_path, at_qualname, rank): the classes self.x looks in, breadth first in order of bases: all of them, or those of the first levels.
 
     rank is (level, positions): of the shortest ways to a class the one whose positions come first. Ways double in length
     each round: a way of k + j steps is one of exactly k that meets one of j <= k. Both parts of a first way are first ways
-    themselves, so one row a pair of classes is enough, and each further way is made once. Rounds end when no class finds a further one.
+    themselves, so one row a pair of classes is enough, and each further way is made once. Rounds end when no way is as long as they reach.
     """
     bases, classes = with_repo(bases, classes)
     keep = Written(bases.sparkSession, sorted_joins=True)
@@ -217,10 +220,10 @@ def class_lookup_order(bases: DataFrame, classes: DataFrame, levels: int = MAX_L
     edge = bases.where("base_path is not null").select("repo", "path", F.col("qualname").alias("owner"), F.col("base_path").alias("at_path"), F.col("base_qualname").alias("at_qualname"), F.struct(F.lit(1).alias("level"), F.array("position").alias("rank")).alias("rank"))
     known = classes.select("repo", "path", F.col("qualname").alias("owner"))
     first = lambda rows: rows.groupBy("owner", "at_qualname", "path", "at_path", "repo").agg(F.min("rank").alias("rank")).select("repo", "path", "owner", "at_path", "at_qualname", "rank")
-    now, reach, n = keep(first(one.union(edge.join(known, ["repo", "path", "owner"], "left_semi")))), 1, -1
-    while reach < levels - 1 and n != (n := now.count()):
+    now, reach = keep(first(one.union(edge.join(known, ["repo", "path", "owner"], "left_semi")))), 1
+    while (levels is None or reach < levels - 1) and now.agg(F.max("rank.level")).first()[0] == reach:
         now, reach = keep(first(now.union(_further(now, reach, levels)))), 2 * reach
-    return now
+    return now if levels is None else now.where(F.col("rank.level") < levels)
 
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame, files: DataFrame, resolved: DataFrame, bases: DataFrame) -> DataFrame:
@@ -251,7 +254,7 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, files: DataFrame, resolv
     dotted = attribute.select("repo", "look_id", F.coalesce("mod_path", "b_path").alias("look_path"), F.when(F.col("mod_path").isNotNull(), F.col("mod_rest")).otherwise(F.col("tail")).alias("look_name"), F.lit("attribute_module").alias("resolution")).where("look_path is not null")
     looked = keep(_looked_up(through.union(dotted), meaning, bound).select("look_id", "dst_path", "dst", "ambiguous", "resolution"))
 
-    order = class_lookup_order(bases, symbols.where("kind = 'class'"))
+    order = class_lookup_order(bases, symbols.where("kind = 'class'"), MAX_LEVELS)
     methods = known.select("repo", F.col("path").alias("at_path"), F.col("qualname").alias("m"), F.struct("qualname", "module", "kind").alias("dst"))
     own = inner.where("form = 'self' and instr(tail, '.') = 0").join(_enclosing(known), ["repo", "path", "caller"]).join(order, ["repo", "path", "owner"]).withColumn("m", F.concat_ws(".", "at_qualname", "tail"))
     hits = own.join(methods, ["repo", "at_path", "m"])

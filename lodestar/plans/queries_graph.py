@@ -355,7 +355,7 @@ ORACLE_SQL = {
       select type, src as source, dst as target, resolution, confidence, len(lines)::bigint as count, null::int as line from calls union all select type, src, dst, null, confidence, null, null from imports""",
     "resolution_counts": "with " + p.SQL_CALLS + " select type, resolution, count(*) as n from calls group by type, resolution",
     "class_lookup": """with recursive c as (select p_partkey as k from part where p_partkey > 0), e as (select k, 0 as position, k // 2 as b from c where k // 2 > 0 union all select k, 1, k // 3 from c where k // 3 > 0 and k // 3 <> k // 2),
-      w as (select k as owner, k as place, 0 as level, []::int[] as rank from c union all select owner, b, level + 1, list_append(rank, position) from w join e on e.k = w.place where level < 9),
+      w as (select k as owner, k as place, 0 as level, []::int[] as rank from c union all select owner, b, level + 1, list_append(rank, position) from w join e on e.k = w.place),
       r as (select *, row_number() over (partition by owner, place order by level, rank) as nth from w)
       select 'C' || owner as owner, 'C' || place as class, level::int as level, array_to_string(rank, ',') as positions from r where nth = 1""",
     "unresolved_by_caller": "select 'p' || a.l_partkey as caller, count(*) as unresolved_calls from lineitem a where not exists (select 1 from lineitem b where b.l_orderkey = a.l_orderkey and b.l_linenumber = a.l_linenumber + 1) group by 1",

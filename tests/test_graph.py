@@ -241,6 +241,56 @@ def test_each_further_way_to_a_class_is_made_once(spark):
     assert sorted(got) == sorted((f"C{a}", f"C{b}", a - b) for a in range(12) for b in range(a) if 4 < a - b < 8)
 
 
+def breadth_first(bases, owner):
+    """{class: (level, positions)} by hand: the first place where a class is met counts."""
+    found, edge = {owner: (0, ())}, [owner]
+    while edge:
+        met = [(b, (found[a][0] + 1, (*found[a][1], i))) for a in edge for i, b in enumerate(bases.get(a, []))]
+        edge = []
+        for b, rank in met:
+            if b not in found:
+                found[b] = rank
+                edge.append(b)
+    return found
+
+
+def test_classes_are_looked_up_at_any_depth(spark):
+    """A chain of 40 classes, a ring of 13 below it, a diamond whose ways are 12 and 13 long: all are found unless levels are given."""
+    bases = {f"C{k}": [f"C{k + 1}"] for k in range(39)} | {f"R{k}": [f"R{(k + 1) % 13}"] for k in range(13)}
+    bases["R5"] = ["R6", "C30"]
+    bases |= {"D": ["A1", "B1"], "B12": ["Z"], "A11": ["Y"], "Y": ["Z"]} | {f"A{k}": [f"A{k + 1}"] for k in range(1, 11)} | {f"B{k}": [f"B{k + 1}"] for k in range(1, 12)}
+    names = sorted(set(bases) | {b for bs in bases.values() for b in bs})
+    rows = spark.createDataFrame([("m", a, i, "m", b) for a, bs in bases.items() for i, b in enumerate(bs)], "path string, qualname string, position int, base_path string, base_qualname string")
+    classes = spark.createDataFrame([("m", k) for k in names], "path string, qualname string")
+    want = {(a, b): rank for a in names for b, rank in breadth_first(bases, a).items()}
+    for levels in ((), (10,), (1,)):
+        got = resolve.class_lookup_order(rows, classes, *levels).collect()
+        found = {(r.owner, r.at_qualname): (r["rank"].level, tuple(r["rank"].rank)) for r in got}
+        assert len(found) == len(got) and found == {k: v for k, v in want.items() if not levels or v[0] < levels[0]}
+
+
+def test_parts_are_looked_up_at_any_depth(spark, tmp_path):
+    import duckdb
+
+    from lodestar.plans import queries_graph
+
+    def bases(k):
+        return [b for b in dict.fromkeys((k // 2, k // 3)) if b > 0]
+
+    keys, edge = set(), {3_000_000}
+    while edge:
+        keys |= edge
+        edge = {b for k in edge for b in bases(k)}
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(tuple(r) for r in queries_graph.class_lookup(spark, str(tmp_path)).collect())
+    graph_ = {k: bases(k) for k in keys}
+    want = sorted((f"C{a}", f"C{b}", level, ",".join(map(str, rank))) for a in keys for b, (level, rank) in breadth_first(graph_, a).items())
+    assert got == want and max(r[2] for r in got) > 12
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    assert got == sorted(con.execute(queries_graph.ORACLE_SQL["class_lookup"]).fetchall())
+
+
 def test_pairs_of_the_tables_are_counted_without_sorting_texts(spark, sf):
     plan = p.co_changed(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "min_by" in plan
